@@ -176,7 +176,8 @@ def margin_pct(price, cost) -> Column:
     """(price-cost)/price*100 rounded 1; NULL when price is 0 (dashboard rule)."""
     p = _c(price).cast("decimal(12,2)")
     c = _c(cost).cast("decimal(12,2)")
-    return F.round((p - c) / F.nullif(p, F.lit(0)) * 100, 1).cast("double")
+    # division in double, as the SQL engines do for decimals
+    return F.round((p - c).cast("double") / F.nullif(p, F.lit(0)).cast("double") * 100, 1)
 
 
 def margin_band(pct) -> Column:
