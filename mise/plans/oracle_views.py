@@ -149,4 +149,7 @@ def _order(names: list[str]) -> list[str]:
 def with_views(body: str, *names: str) -> str:
     order = _order(list(names))
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
+    body = body.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
