@@ -1 +1,154 @@
-"""Registered queries."""
+"""Registered sales and ticket queries."""
+
+from __future__ import annotations
+
+import datetime as _dt
+
+from pyspark.sql import functions as F
+
+from mise.operators import sales as S
+from mise.plans.oracle_views import with_views
+from mise.plans.q_costing import UNIT_COST_SQL
+from mise.plans.registry import AS_OF, Tables, query
+
+HISTORY_START = "1995-01-01"  # the whole sales history of the fixture
+LAST_30 = (_dt.date.fromisoformat(AS_OF) - _dt.timedelta(days=30)).isoformat()
+
+
+@query("a4_daily_sales_report", with_views("""
+SELECT CAST(created_at AS DATE) AS dia, CAST(round(sum(total_sale), 0) AS DOUBLE) AS ventas,
+       CAST(round(sum(total_cost), 0) AS DOUBLE) AS costos,
+       CAST(round(sum(total_profit), 0) AS DOUBLE) AS ganancia
+FROM daily_sales GROUP BY 1""", "daily_sales"))
+def a4_daily_sales_report(spark, sf):
+    return S.daily_rollup(Tables(spark, sf).sales)
+
+
+@query("a4_daily_sales_dashboard", with_views("""
+SELECT CAST(created_at AS DATE) AS fecha, CAST(round(sum(total_sale), 0) AS DOUBLE) AS ventas,
+       CAST(round(sum(total_cost), 0) AS DOUBLE) AS costos,
+       CAST(round(sum(total_profit), 0) AS DOUBLE) AS ganancia
+FROM daily_sales GROUP BY 1 ORDER BY fecha DESC LIMIT 30""", "daily_sales"))
+def a4_daily_sales_dashboard(spark, sf):
+    return S.daily_rollup_newest(Tables(spark, sf).sales)
+
+
+@query("a4_daily_sales_api", with_views("""
+SELECT * FROM (
+  SELECT strftime(CAST(created_at AS DATE), '%Y-%m-%d') AS fecha,
+         CAST(round(sum(total_sale), 0) AS DOUBLE) AS ventas,
+         CAST(round(sum(total_cost), 0) AS DOUBLE) AS costos,
+         CAST(round(sum(total_profit), 0) AS DOUBLE) AS ganancia
+  FROM daily_sales GROUP BY 1 ORDER BY fecha DESC LIMIT 30) t ORDER BY fecha""", "daily_sales"))
+def a4_daily_sales_api(spark, sf):
+    return S.daily_rollup_api(Tables(spark, sf).sales)
+
+
+@query("a5_day_summary", with_views(f"""
+SELECT CAST(coalesce(sum(total_sale), 0) AS DOUBLE) AS total_sale,
+       CAST(coalesce(sum(total_cost), 0) AS DOUBLE) AS total_cost,
+       CAST(coalesce(sum(total_profit), 0) AS DOUBLE) AS total_profit,
+       count(*) AS orders_count, CAST(coalesce(sum(items_count), 0) AS BIGINT) AS items_count
+FROM daily_sales WHERE created_at >= TIMESTAMP '{AS_OF} 00:00:00'""", "daily_sales"))
+def a5_day_summary(spark, sf):
+    return S.day_summary(Tables(spark, sf).sales, AS_OF)
+
+
+@query("a6_daily_units", with_views(f"""
+SELECT i.dish_id, CAST(s.created_at AS DATE) AS dia, CAST(sum(i.quantity) AS BIGINT) AS unidades
+FROM daily_sales s JOIN sale_items i ON s.id = i.sale_id
+WHERE s.created_at >= TIMESTAMP '{HISTORY_START} 00:00:00'
+GROUP BY 1, 2""", "daily_sales", "sale_items"))
+def a6_daily_units(spark, sf):
+    t = Tables(spark, sf)
+    return S.daily_units(t.sales, t.sale_items, HISTORY_START)
+
+
+@query("a7_units_last_30_days", with_views(f"""
+SELECT dish_id, CAST(sum(quantity) AS BIGINT) AS units FROM sale_items
+WHERE sale_id IN (SELECT id FROM daily_sales WHERE created_at >= TIMESTAMP '{LAST_30} 00:00:00')
+GROUP BY dish_id""", "daily_sales", "sale_items"))
+def a7_units_last_30_days(spark, sf):
+    t = Tables(spark, sf)
+    return S.units_by_dish(t.sales, t.sale_items, LAST_30)
+
+
+@query("a7_units_month_to_date", with_views(f"""
+SELECT dish_id, CAST(sum(quantity) AS BIGINT) AS units FROM sale_items
+WHERE sale_id IN (SELECT id FROM daily_sales
+                  WHERE created_at >= CAST(date_trunc('month', DATE '{AS_OF}') AS TIMESTAMP))
+GROUP BY dish_id""", "daily_sales", "sale_items"))
+def a7_units_month_to_date(spark, sf):
+    t = Tables(spark, sf)
+    return S.units_by_dish(t.sales, t.sale_items, F.trunc(F.lit(AS_OF).cast("date"), "month"))
+
+
+@query("p21_daily_profit_sign", with_views("""
+SELECT CAST(created_at AS DATE) AS dia, CAST(sum(total_profit) AS DOUBLE) AS profit,
+       CASE WHEN sum(total_profit) >= 0 THEN 'positive' ELSE 'negative' END AS sign
+FROM daily_sales GROUP BY 1""", "daily_sales"))
+def p21_daily_profit_sign(spark, sf):
+    return S.daily_profit_flags(Tables(spark, sf).sales)
+
+
+DISH_COST_SQL = f"""
+SELECT m.id AS dish_id, m.dish_name, m.sale_price,
+       CAST(round(coalesce(r.raw, 0) + m.overhead_cost, 2) AS DECIMAL(12,2)) AS cpu
+FROM menu_board m LEFT JOIN (
+  SELECT r.dish_id, sum(r.quantity_grams * {UNIT_COST_SQL}) AS raw
+  FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name
+  GROUP BY r.dish_id) r ON r.dish_id = m.id"""
+
+PRICED_SQL = f"""
+SELECT t.ticket_id, t.line_id, t.dish_id, d.dish_name, t.quantity,
+       d.dish_name IS NOT NULL AS dish_found,
+       CAST(coalesce(d.sale_price, 0) AS DOUBLE) AS sale_price_unit,
+       CAST(d.cpu AS DOUBLE) AS cost_per_unit,
+       CAST(round(coalesce(d.sale_price, 0) * t.quantity, 2) AS DOUBLE) AS line_sale,
+       CAST(round(d.cpu * t.quantity, 2) AS DOUBLE) AS line_cost,
+       CAST(round(round(coalesce(d.sale_price, 0) * t.quantity, 2) - round(d.cpu * t.quantity, 2), 2)
+            AS DOUBLE) AS line_profit
+FROM ticket_lines_multi t LEFT JOIN ({DISH_COST_SQL}) d ON d.dish_id = t.dish_id
+WHERE t.quantity >= 1"""
+
+TICKET_VIEWS = ("ticket_lines_multi", "menu_board", "menu_recipe_items", "ingredient_table")
+
+
+def _priced(t: Tables):
+    return S.price_tickets(t.tickets_multi, t.menu, t.items, t.ing)
+
+
+@query("a26_ticket_lines", with_views(PRICED_SQL, *TICKET_VIEWS))
+def a26_ticket_lines(spark, sf):
+    return _priced(Tables(spark, sf)).drop("ts")
+
+
+TOTALS_SQL = f"""
+SELECT ticket_id, bool_and(dish_found) AND count(*) > 0 AS accepted,
+       CAST(round(sum(CAST(line_sale AS DECIMAL(12,2))), 2) AS DOUBLE) AS total_sale,
+       CAST(round(sum(CAST(line_cost AS DECIMAL(12,2))), 2) AS DOUBLE) AS total_cost,
+       CAST(round(sum(CAST(line_profit AS DECIMAL(12,2))), 2) AS DOUBLE) AS total_profit,
+       CAST(sum(quantity) AS INTEGER) AS items_count
+FROM ({PRICED_SQL}) p GROUP BY ticket_id"""
+
+
+@query("a27_ticket_totals", with_views(TOTALS_SQL, *TICKET_VIEWS))
+def a27_ticket_totals(spark, sf):
+    return S.post_sales(_priced(Tables(spark, sf))).drop("created_at")
+
+
+@query("a28_stock_depletion", with_views(f"""
+WITH tot AS ({TOTALS_SQL}),
+     units AS (SELECT t.dish_id, sum(t.quantity) AS units FROM ticket_lines_multi t
+               WHERE t.quantity >= 1 AND t.ticket_id IN (SELECT ticket_id FROM tot WHERE accepted)
+               GROUP BY t.dish_id),
+     used AS (SELECT r.ingredient_name, sum(r.quantity_grams * u.units) AS used
+              FROM menu_recipe_items r JOIN units u ON u.dish_id = r.dish_id GROUP BY 1)
+SELECT i.name, CAST(i.count AS DOUBLE) AS count_before, CAST(coalesce(u.used, 0) AS DOUBLE) AS depleted,
+       CAST(CASE WHEN u.used IS NULL THEN i.count
+                 WHEN i.count - u.used > 0 THEN i.count - u.used ELSE 0 END AS DOUBLE) AS count_after
+FROM ingredient_table i LEFT JOIN used u ON u.ingredient_name = i.name""", *TICKET_VIEWS))
+def a28_stock_depletion(spark, sf):
+    t = Tables(spark, sf)
+    priced = _priced(t)
+    return S.deplete_stock(t.ing, priced, S.post_sales(priced), t.items)
