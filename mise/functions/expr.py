@@ -110,21 +110,25 @@ def unit_factor(measure) -> Column:
 
 
 def display_qty(grams, measure) -> Column:
-    """F8: g, ml round 0; kg, l /1000 round 2; lb /453.592 round 2; other round 0."""
+    """F8: g, ml round 0; kg, l /1000 round 2; lb /453.592 round 2; other round 0.
+
+    Division by 1000 is the exact product by 0.001 (no binary rounding at .xx5);
+    the pound branch is a double division as in the reference. Returns decimal(20,2).
+    """
     g = _c(grams)
     m = _c(measure)
     return (
-        F.when(m.isin("kg", "l"), F.round(g / F.lit(1000), 2))
-        .when(m == "lb", F.round(g / F.lit(453.592), 2))
+        F.when(m.isin("kg", "l"), F.round(g * F.lit("0.001").cast("decimal(4,3)"), 2))
+        .when(m == "lb", F.round(g.cast("double") / F.lit(453.592), 2))
         .otherwise(F.round(g, 0))
-    ).cast("double")
+    ).cast("decimal(20,2)")
 
 
 def stock_display(val, measure) -> Column:
     """lb /453.592 round 2; everything else /1000 round 3 (also 'u', see D6)."""
-    v = _c(val).cast("double")
-    return F.when(_c(measure) == "lb", F.round(v / F.lit(453.592), 2)).otherwise(
-        F.round(v / F.lit(1000.0), 3))
+    v = _c(val)
+    return F.when(_c(measure) == "lb", F.round(v.cast("double") / F.lit(453.592), 2)).otherwise(
+        F.round(v * F.lit("0.001").cast("decimal(4,3)"), 3).cast("double"))
 
 
 def stock_unit_label(measure) -> Column:

@@ -57,6 +57,12 @@ class Tables:
     def proj_rows(self) -> DataFrame:
         return A.projection_rows(self.spark, self.sf)
 
+    @cached_property
+    def proj(self) -> DataFrame:
+        """``sales_projections``: the base rows re-costed for their units."""
+        from mise.operators.projections import recost_projections
+        return recost_projections(self.proj_rows, self.items, self.ing)
+
     @cached_property
     def prices(self) -> DataFrame:
         return A.precios_competencia(self.spark, self.sf)
