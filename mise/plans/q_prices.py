@@ -1 +1,121 @@
-"""Registered queries."""
+"""Registered competitor-price queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mise.operators import prices as PR
+from mise.plans.oracle_views import with_views
+from mise.plans.registry import Tables, query
+
+PRICE_DAY = "2024-01-15"  # the newest scrape day of the fixture = "today" of the price job
+
+PIVOT_SQL = """
+SELECT i.name AS ingrediente, i.supplier AS proveedor, CAST(round(i.cost, 0) AS DOUBLE) AS nuestro_costo,
+       CAST(round(avg(CASE WHEN p.supermercado = 'Olímpica' THEN p.precio END), 0) AS DOUBLE) AS olimpica,
+       CAST(round(avg(CASE WHEN p.supermercado = 'Carulla' THEN p.precio END), 0) AS DOUBLE) AS carulla,
+       CAST(round(avg(CASE WHEN p.supermercado = 'Éxito' THEN p.precio END), 0) AS DOUBLE) AS exito,
+       CAST(round(avg(CASE WHEN p.supermercado = 'Makro' THEN p.precio END), 0) AS DOUBLE) AS makro
+FROM ingredient_table i LEFT JOIN precios_competencia p ON i.name = p.ingrediente
+WHERE i.cost > 0
+GROUP BY i.name, i.supplier, i.cost"""
+
+
+@query("a21_price_pivot", with_views(PIVOT_SQL, "ingredient_table", "precios_competencia"))
+def a21_price_pivot(spark, sf):
+    t = Tables(spark, sf)
+    return PR.price_pivot(t.ing, t.prices)
+
+
+@query("t6_price_pivot_first30", with_views(PIVOT_SQL + " ORDER BY i.name LIMIT 30",
+                                            "ingredient_table", "precios_competencia"))
+def t6_price_pivot_first30(spark, sf):
+    return a21_price_pivot(spark, sf).orderBy("ingrediente").limit(30)
+
+
+@query("a22_price_latest", with_views("""
+SELECT ingrediente, supermercado, CAST(arg_max(precio, fecha_scrape) AS DECIMAL(12,2)) AS precio,
+       max(fecha_scrape) AS fecha_scrape
+FROM precios_competencia GROUP BY 1, 2""", "precios_competencia"))
+def a22_price_latest(spark, sf):
+    return PR.price_latest(Tables(spark, sf).prices)
+
+
+def _cell(col: str) -> str:
+    return (f"CASE WHEN {col} IS NOT NULL AND coalesce(i.cost, 0) > 0 THEN "
+            f"CASE WHEN {col} < coalesce(i.cost, 0) THEN 'cheaper' ELSE 'dearer' END ELSE '' END")
+
+
+@query("j16_competitor_grid", with_views(f"""
+WITH l AS (SELECT ingrediente, supermercado, arg_max(precio, fecha_scrape) AS precio
+           FROM precios_competencia GROUP BY 1, 2),
+w AS (SELECT ingrediente,
+             max(CASE WHEN supermercado = 'Olímpica' THEN precio END) AS o,
+             max(CASE WHEN supermercado = 'Carulla' THEN precio END) AS c,
+             max(CASE WHEN supermercado = 'Éxito' THEN precio END) AS e,
+             max(CASE WHEN supermercado = 'Makro' THEN precio END) AS m
+      FROM l GROUP BY 1),
+names AS (SELECT DISTINCT ingrediente AS name FROM precios_competencia
+          UNION ALL SELECT name FROM ingredient_table
+          WHERE NOT EXISTS (SELECT 1 FROM precios_competencia))
+SELECT n.name, coalesce(i.measure, '') AS measure, CAST(coalesce(i.cost, 0) AS DOUBLE) AS nuestro_costo,
+       CAST(w.o AS DOUBLE) AS olimpica, {_cell('w.o')} AS olimpica_class,
+       CAST(w.c AS DOUBLE) AS carulla, {_cell('w.c')} AS carulla_class,
+       CAST(w.e AS DOUBLE) AS exito, {_cell('w.e')} AS exito_class,
+       CAST(w.m AS DOUBLE) AS makro, {_cell('w.m')} AS makro_class
+FROM names n LEFT JOIN ingredient_table i ON i.name = n.name LEFT JOIN w ON w.ingrediente = n.name""",
+                                         "ingredient_table", "precios_competencia"))
+def j16_competitor_grid(spark, sf):
+    t = Tables(spark, sf)
+    return PR.competitor_grid(t.ing, t.prices)
+
+
+@query("a23_store_summary", with_views(f"""
+SELECT supermercado, count(*) AS productos, CAST(round(avg(precio), 0) AS DOUBLE) AS precio_promedio
+FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}' GROUP BY 1""", "precios_competencia"))
+def a23_store_summary(spark, sf):
+    return PR.store_summary(Tables(spark, sf).prices, PRICE_DAY)
+
+
+SEED_SQL = f"""
+SELECT i.name AS ingrediente, s.store AS supermercado, i.name AS producto,
+       CAST(NULL AS VARCHAR) AS presentacion,
+       CAST(round(i.cost * (0.7 + CAST(CAST('0x' || substr(sha256(i.name || '|' || s.store), 1, 8) AS BIGINT)
+                                       % 1000000 AS DECIMAL(7,0)) * 0.000001 * 0.8), 0) AS DECIMAL(12,2))
+         AS precio,
+       '' AS url, DATE '{PRICE_DAY}' AS fecha_scrape
+FROM ingredient_table i, (VALUES ('Olímpica'), ('Carulla'), ('Éxito'), ('Makro')) s(store)
+WHERE i.cost > 0"""
+
+
+@query("g3_seed_prices", with_views(SEED_SQL, "ingredient_table"))
+def g3_seed_prices(spark, sf):
+    return PR.seed_prices(Tables(spark, sf).ing, PRICE_DAY)
+
+
+REAL_SQL = f"SELECT * FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}'"
+
+
+@query("u1_real_over_seed_merge", with_views(f"""
+SELECT ingrediente, supermercado, producto, presentacion, precio, url, fecha_scrape FROM (
+  SELECT *, row_number() OVER (PARTITION BY ingrediente, supermercado ORDER BY prio, producto, precio) AS rn
+  FROM (SELECT *, 0 AS prio FROM ({REAL_SQL}) r UNION ALL SELECT *, 1 AS prio FROM ({SEED_SQL}) s) x) y
+WHERE rn = 1""", "ingredient_table", "precios_competencia"))
+def u1_real_over_seed_merge(spark, sf):
+    t = Tables(spark, sf)
+    real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
+    return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY), min_real_rows=None)
+
+
+@query("u1_prices_with_seed_rule", with_views(f"""
+SELECT * FROM ({REAL_SQL}) r
+UNION ALL
+SELECT s.* FROM ({SEED_SQL}) s
+WHERE (SELECT count(*) FROM ({REAL_SQL}) r2) < 100
+  AND NOT EXISTS (SELECT 1 FROM ({REAL_SQL}) r3
+                  WHERE r3.ingrediente = s.ingrediente AND r3.supermercado = s.supermercado)""",
+                                              "ingredient_table", "precios_competencia"))
+def u1_prices_with_seed_rule(spark, sf):
+    t = Tables(spark, sf)
+    real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
+    return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY))
