@@ -41,6 +41,11 @@ def lenient_number(x, to: str = "double") -> Column:
     return F.coalesce(_try_cast(_c(x).cast("string"), to), F.lit(0).cast(to))
 
 
+def strip(x) -> Column:
+    """Python-style strip: leading and trailing whitespace of any kind (tabs too)."""
+    return F.regexp_replace(_c(x), r"^\s+|\s+$", "")
+
+
 def _try_cast(col: Column, to: str) -> Column:
     return col.try_cast(to)
 

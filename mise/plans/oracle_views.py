@@ -147,6 +147,8 @@ def _order(names: list[str]) -> list[str]:
 
 
 def with_views(body: str, *names: str) -> str:
+    if not names:
+        return body
     order = _order(list(names))
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     body = body.lstrip()
