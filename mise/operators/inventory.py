@@ -14,13 +14,17 @@ from pyspark.sql import functions as F
 from mise.functions.expr import (lenient_number, margin_pct, stock_state_fixed,
                                  stock_state_report)
 
-VALUE = F.col("count") * F.col("cost")
 
 # Dashboard status labels (with their marker emoji).
 DASH_LABELS = {"SIN STOCK": "🔴 SIN STOCK", "BAJO": "🟡 BAJO", "OK": "🟢 OK"}
 NO_CLASS, NO_SUPPLIER, NO_CATEGORY = "Sin clasificar", "Sin proveedor", "Sin categoria"
 
 
+def _value() -> F.Column:
+    """Inventory value of a row: count x cost (exact decimals)."""
+    return F.col("count") * F.col("cost")
+
+
 def _round0(c) -> F.Column:
     return F.round(c, 0).cast("double")
 
@@ -34,10 +38,10 @@ def by_class(ing: DataFrame, variant: str = "all") -> DataFrame:
     if variant == "all":
         return ing.groupBy("classification").agg(
             F.count(F.lit(1)).alias("ingredientes"),
-            _round0(F.sum(VALUE)).alias("valor_inventario_actual"))
+            _round0(F.sum(_value())).alias("valor_inventario_actual"))
     if variant == "costed":
         return ing.filter(F.col("cost") > 0).groupBy("classification").agg(
-            F.count(F.lit(1)).alias("cantidad"), _round0(F.sum(VALUE)).alias("valor_total"))
+            F.count(F.lit(1)).alias("cantidad"), _round0(F.sum(_value())).alias("valor_total"))
     if variant == "null_bucket":
         cls = F.coalesce(F.nullif(F.col("classification"), F.lit("")), F.lit(NO_CLASS))
         v = F.coalesce(F.col("cost"), F.lit(0)) * F.coalesce(F.col("count"), F.lit(0))
@@ -54,7 +58,7 @@ def by_supplier(ing: DataFrame, variant: str = "sql", top: int = 10) -> DataFram
     if variant == "sql":
         f = ing.filter(F.col("supplier").isNotNull() & (F.col("supplier") != "") & (F.col("cost") > 0))
         g = f.groupBy("supplier").agg(F.count(F.lit(1)).alias("productos"),
-                                      _round0(F.sum(VALUE)).alias("valor_inventario"))
+                                      _round0(F.sum(_value())).alias("valor_inventario"))
         return g.orderBy(F.desc("valor_inventario"), "supplier").limit(top)
     sup = F.coalesce(F.nullif(F.col("supplier"), F.lit("")), F.lit(NO_SUPPLIER))
     v = F.coalesce(F.col("cost"), F.lit(0)) * F.coalesce(F.col("count"), F.lit(0))
@@ -75,7 +79,7 @@ def kpis(ing: DataFrame, menu: DataFrame, sales: DataFrame, as_of: str) -> DataF
     """A3 + U3: the six dashboard KPIs, one row each; one pass per table."""
     today = F.to_date("created_at") == F.lit(as_of).cast("date")
     return _kpi_rows(ing, [
-        ("Valor Total Inventario", F.round(F.sum(F.when(F.col("cost") > 0, VALUE)), 0)),
+        ("Valor Total Inventario", F.round(F.sum(F.when(F.col("cost") > 0, _value())), 0)),
         ("Total Ingredientes", F.count(F.lit(1))),
     ]).unionByName(_kpi_rows(menu, [("Platos en Menú", F.count(F.lit(1)))])).unionByName(
         _kpi_rows(sales, [
@@ -204,7 +208,7 @@ def top_costly(ing: DataFrame, top: int = 20) -> DataFrame:
     """The most costly ingredients (cost > 0) with their inventory value."""
     return ing.filter(F.col("cost") > 0).orderBy(F.desc("cost"), "name").limit(top).select(
         "name", _round0("cost").alias("costo_unitario"), "measure",
-        _round0(VALUE).alias("valor_total_inventario"))
+        _round0(_value()).alias("valor_total_inventario"))
 
 
 def top_value(ing: DataFrame, top: int = 10) -> DataFrame:

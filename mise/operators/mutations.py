@@ -122,16 +122,26 @@ def split_valid(df: DataFrame, checks: list[tuple[str, Column]]) -> tuple[DataFr
     return good, rejected
 
 
-RECIPE_CHECKS = [
-    ("missing ingredient name", F.col("ingredient_name").isNotNull() & (F.trim("ingredient_name") != "")),
-    ("quantity must be > 0", F.col("quantity_grams") > 0),
-]
-DISH_CHECKS = [
-    ("missing category", F.col("category").isNotNull() & (F.col("category") != "")),
-    ("missing dish name", F.col("dish_name").isNotNull() & (F.col("dish_name") != "")),
-]
-PRICE_CHECKS = [("price must be > 0", F.col("precio") > 0)]
-TICKET_CHECKS = [("quantity < 1", F.col("quantity") >= 1)]
+def recipe_checks() -> list[tuple[str, Column]]:
+    """Recipe line: ingredient name present, quantity > 0."""
+    return [("missing ingredient name",
+             F.col("ingredient_name").isNotNull() & (F.trim("ingredient_name") != "")),
+            ("quantity must be > 0", F.col("quantity_grams") > 0)]
+
+
+def dish_checks() -> list[tuple[str, Column]]:
+    """New dish: category and name present."""
+    return [("missing category", F.col("category").isNotNull() & (F.col("category") != "")),
+            ("missing dish name", F.col("dish_name").isNotNull() & (F.col("dish_name") != ""))]
+
+
+def price_checks() -> list[tuple[str, Column]]:
+    return [("price must be > 0", F.col("precio") > 0)]
+
+
+def ticket_checks() -> list[tuple[str, Column]]:
+    return [("quantity < 1", F.col("quantity") >= 1)]
+
 
 # The menu columns copied onto a catalog product by the alignment.
 ALIGN_COLUMNS = ["dish_name", "category", "sort_order", "status", "cost_total", "portion_weight_g",

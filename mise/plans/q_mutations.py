@@ -180,7 +180,7 @@ def m8_validate_recipe_items(spark, sf):
     x = t.items.select("id", F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(
         F.col("ingredient_name")).alias("ingredient_name"),
         (F.col("quantity_grams") - 150).alias("quantity_grams"))
-    good, bad = M.split_valid(x, M.RECIPE_CHECKS)
+    good, bad = M.split_valid(x, M.recipe_checks())
     return good.select("id", F.lit(None).cast("string").alias("reject_reason")).unionByName(
         bad.select("id", "reject_reason"))
 
@@ -195,7 +195,7 @@ FROM (SELECT CASE WHEN id % 3 = 0 THEN '' ELSE category END AS category, dish_na
 def m8_validate_dishes(spark, sf):
     t = Tables(spark, sf)
     m = t.menu.withColumn("category", F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.col("category")))
-    good, bad = M.split_valid(m, M.DISH_CHECKS)
+    good, bad = M.split_valid(m, M.dish_checks())
     return good.select(F.lit("good").alias("k")).unionByName(bad.select(F.lit("rejected").alias("k"))) \
         .groupBy().pivot("k", ["good", "rejected"]).count().fillna(0)
 
