@@ -17,7 +17,7 @@ bounded by the number of days, whatever the number of sale lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mise.functions.expr import MONEY, next_month_start
@@ -96,30 +96,55 @@ def projections_view(proj: DataFrame, menu: DataFrame, items: DataFrame) -> Data
 def forecast_units(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """G1: units per dish for the ``horizon`` days after its last sale day.
 
-    ``daily``: dish_id, dia, unidades (A6).
+    ``daily``: dish_id, dia, unidades (A6). One aggregate per dish over the daily
+    series gives everything the model needs, so the plan is: daily series -> one
+    shuffle by dish -> row arithmetic. No window, no re-join, no per-day explode.
+
+    * Least squares from sums. t is the day number; the fit does not depend on where
+      t starts, so t = days since 1970-01-01. With integer t and y the sums are exact
+      (bigint sums, decimal products), and s = (n*Sty - St*Sy) / (n*Stt - St^2), i = (Sy - s*St) / n.
+    * Weekday residual means from per-weekday sums: e[w] = (Sy_w - s*St_w - i*n_w) / n_w.
+    * The horizon sum: sum_h i + s*(t1 + h) = horizon*i + s*(horizon*t1 + horizon*(horizon+1)/2),
+      plus sum_h e[weekday(d1 + h)] = sum_w c_w * e[w], where c_w counts the horizon days
+      on weekday w (full weeks, plus the remaining days after them).
     """
-    w = Window.partitionBy("dish_id")
-    d = daily.select("dish_id", "dia", F.col("unidades").cast("double").alias("y"),
-                     F.datediff("dia", F.min("dia").over(w)).cast("double").alias("t"))
-    stats = d.groupBy("dish_id").agg(
-        F.regr_slope("y", "t").alias("s"), F.regr_intercept("y", "t").alias("i"),
-        F.count(F.lit(1)).alias("n"), F.avg("y").alias("m"),
-        F.max("dia").alias("d1"), F.max("t").alias("t1"))
-    resid = (d.join(stats.select("dish_id", "s", "i"), "dish_id")
-             .groupBy("dish_id", F.dayofweek("dia").alias("wd"))
-             .agg(F.avg(F.col("y") - (F.col("s") * F.col("t") + F.col("i"))).alias("e")))
-    future = stats.select("dish_id", "s", "i", "d1", "t1",
-                          F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
-    future = future.select("dish_id", "s", "i", "t1", "h",
-                           F.dayofweek(F.date_add("d1", F.col("h"))).alias("wd"))
-    pred = (future.join(resid, ["dish_id", "wd"], "left")
-            .groupBy("dish_id")
-            .agg(F.sum(F.col("i") + F.col("s") * (F.col("t1") + F.col("h"))
-                       + F.coalesce(F.col("e"), F.lit(0.0))).alias("f")))
-    j = stats.join(pred, "dish_id", "left")
-    f = F.when((F.col("n") < 3) | F.col("f").isNull(), F.col("m") * horizon).otherwise(F.col("f"))
-    return j.select("dish_id", F.col("n").alias("sales_days"),
-                    F.greatest(F.lit(1), F.round(f, 0).cast("int")).alias("projected_units"))
+    # bigint sums (ANSI mode fails on overflow rather than wrapping); the per-dish
+    # products below are widened to decimal(38,0) so that they stay exact.
+    t = F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("bigint")
+    y = F.col("unidades").cast("bigint")
+    wd = F.dayofweek("dia")
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(F.col("unidades").cast("double")).alias("m"),
+            F.sum(t).alias("st"), F.sum(y).alias("sy"), F.sum(t * t).alias("stt"),
+            F.sum(t * y).alias("sty"), F.max("dia").alias("d1")]
+    for w in range(1, 8):
+        on = wd == w
+        aggs += [F.count_if(on).alias(f"n{w}"), F.sum(F.when(on, y)).alias(f"sy{w}"),
+                 F.sum(F.when(on, t)).alias(f"st{w}")]
+    g = daily.groupBy("dish_id").agg(*aggs)
+
+    def dec(c):
+        return F.col(c).cast("decimal(38,0)")
+    den = dec("n") * dec("stt") - dec("st") * dec("st")
+    s = F.when(den != 0, (dec("n") * dec("sty") - dec("st") * dec("sy")).cast("double")
+               / den.cast("double"))
+    g = g.withColumn("s", s).withColumn(
+        "i", (F.col("sy").cast("double") - F.col("s") * F.col("st").cast("double")) / F.col("n"))
+    t1 = F.datediff("d1", F.lit("1970-01-01").cast("date")).cast("double")
+    trend = horizon * F.col("i") + F.col("s") * (horizon * t1 + horizon * (horizon + 1) / 2)
+    full_weeks, extra = divmod(horizon, 7)
+    season = F.lit(0.0)
+    for w in range(1, 8):
+        e_w = F.when(F.col(f"n{w}") > 0, (F.col(f"sy{w}").cast("double")
+                                          - F.col("s") * F.col(f"st{w}").cast("double")
+                                          - F.col("i") * F.col(f"n{w}")) / F.col(f"n{w}"))
+        c_w = F.lit(full_weeks)
+        for k in range(1, extra + 1):
+            c_w = c_w + F.when(F.dayofweek(F.date_add("d1", full_weeks * 7 + k)) == w, 1).otherwise(0)
+        season = season + F.coalesce(e_w, F.lit(0.0)) * c_w
+    f = trend + season
+    units = F.when((F.col("n") < 3) | f.isNull(), F.col("m") * horizon).otherwise(f)
+    return g.select("dish_id", F.col("n").alias("sales_days"),
+                    F.greatest(F.lit(1), F.round(units, 0).cast("int")).alias("projected_units"))
 
 
 def apply_forecast(proj: DataFrame, forecast: DataFrame) -> DataFrame:

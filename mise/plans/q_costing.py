@@ -33,7 +33,7 @@ SELECT m.id AS dish_id, m.dish_name,
        coalesce(c.n, 0) AS ingredient_count
 FROM menu_board m LEFT JOIN ({RAW_COST_SQL}) c ON c.dish_id = m.id""", *COSTING_VIEWS))
 def a8_dish_cost(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return C.dish_cost_report(t.menu, t.items, t.ing)
 
 
@@ -50,7 +50,7 @@ FROM (SELECT m.*, coalesce(c.n, 0) AS n,
                   ELSE round(coalesce(c.raw, 0) + m.overhead_cost, 2) END AS fin
       FROM menu_board m LEFT JOIN ({RAW_COST_SQL}) c ON c.dish_id = m.id) x""", *COSTING_VIEWS))
 def a9_pos_dishes(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return C.pos_dishes(t.menu, t.items, t.ing)
 
 
@@ -61,7 +61,7 @@ SELECT r.id, r.dish_id, r.ingredient_name, CAST(r.quantity_grams AS DOUBLE) AS q
 FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name""",
                                    *COSTING_VIEWS))
 def a10_recipe_lines(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return C.recipe_lines(t.items, t.ing)
 
 
@@ -84,7 +84,7 @@ FROM menu_board m LEFT JOIN (
   FROM menu_recipe_items r LEFT JOIN nutrition_table n ON n.ingredient_name = r.ingredient_name
   GROUP BY r.dish_id) s ON s.dish_id = m.id""", "menu_board", "menu_recipe_items", "nutrition_table"))
 def a11_dish_nutrition(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return C.dish_nutrition(t.menu, t.items, t.nut)
 
 
@@ -93,7 +93,7 @@ SELECT dish_id, CAST(round(sum(quantity_grams), 1) AS DOUBLE) AS total_recipe_g,
        count(*) AS ingredient_count
 FROM menu_recipe_items GROUP BY dish_id""", "menu_recipe_items"))
 def a12_recipe_size(spark, sf):
-    return C.recipe_size(Tables(spark, sf).items)
+    return C.recipe_size(Tables.of(spark, sf).items)
 
 
 def _recipes(t: Tables):
@@ -124,7 +124,7 @@ FROM menu_board m LEFT JOIN (
   FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name
   GROUP BY r.dish_id) a ON a.dish_id = m.id""", *COSTING_VIEWS))
 def a13_recipe_check(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     recipes, lines = _recipes(t)
     return C.check_recipes(recipes, lines, t.ing)
 
@@ -139,7 +139,7 @@ SELECT r.dish_id AS recipe_id, r.ingredient_name,
 FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name""",
                                     *COSTING_VIEWS))
 def a14_have_need_pct(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     _, lines = _recipes(t)
     return C.recipe_check_lines(lines, t.ing)
 
@@ -153,7 +153,7 @@ FROM menu_board m LEFT JOIN (
   FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name
   GROUP BY r.dish_id) x ON x.dish_id = m.id""", *COSTING_VIEWS))
 def j7_recipes_with_items(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     recipes, lines = _recipes(t)
     return C.recipes_with_items(recipes, lines, t.ing).drop("ingredients")
 
@@ -167,7 +167,7 @@ FROM menu_board m LEFT JOIN (
   FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name
   GROUP BY r.dish_id) f ON f.dish_id = m.id""", *COSTING_VIEWS))
 def a29_dish_stock_flags(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return C.dish_stock_flags(t.menu, t.items, t.ing)
 
 
@@ -186,7 +186,7 @@ LEFT JOIN (SELECT si.dish_id, sum(si.quantity) AS units FROM sale_items si
 
 @query("a31_profitability", with_views(PROFIT_SQL, *COSTING_VIEWS, "sale_items", "daily_sales"))
 def a31_profitability(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     since = F.trunc(F.lit(AS_OF).cast("date"), "month")
     return C.profitability(t.menu, t.items, t.ing, t.sales, t.sale_items, since)
 

@@ -35,7 +35,7 @@ def _demand_body(demand_sql: str) -> str:
 
 @query("a15_demand_stock", with_views(_demand_body(STOCK_DEMAND_SQL), "menu_recipe_items"))
 def a15_demand_stock(spark, sf):
-    d = D.demand_from_stock(Tables(spark, sf).items)
+    d = D.demand_from_stock(Tables.of(spark, sf).items)
     return d.select("ingredient_name", F.col("needed").cast("double").alias("needed"))
 
 
@@ -49,14 +49,14 @@ def _sales_demand(t: Tables, all_inactive: bool = False):
 @query("a15_demand_projections", with_views(_demand_body(PROJ_DEMAND_SQL),
                                             "menu_recipe_items", "projection_rows"))
 def a15_demand_projections(spark, sf):
-    d = _sales_demand(Tables(spark, sf))
+    d = _sales_demand(Tables.of(spark, sf))
     return d.select("ingredient_name", F.col("needed").cast("double").alias("needed"))
 
 
 @query("a15_demand_sales_history", with_views(_demand_body(SALES_DEMAND_SQL),
                                               "menu_recipe_items", "daily_sales", "sale_items"))
 def a15_demand_sales_history(spark, sf):
-    d = _sales_demand(Tables(spark, sf), all_inactive=True)
+    d = _sales_demand(Tables.of(spark, sf), all_inactive=True)
     return d.select("ingredient_name", F.col("needed").cast("double").alias("needed"))
 
 
@@ -103,14 +103,14 @@ def _total(sql: str) -> str:
 @query("a16_shopping_list_stock", with_views(_list_cols(_shopping_sql(STOCK_DEMAND_SQL)),
                                              "ingredient_table", "menu_recipe_items"))
 def a16_shopping_list_stock(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return D.shopping_list(t.ing, D.demand_from_stock(t.items)).drop("item_cost_dec")
 
 
 @query("a16_shopping_total_stock", with_views(_total(_shopping_sql(STOCK_DEMAND_SQL)),
                                               "ingredient_table", "menu_recipe_items"))
 def a16_shopping_total_stock(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return D.shopping_total(D.shopping_list(t.ing, D.demand_from_stock(t.items)))
 
 
@@ -118,7 +118,7 @@ def a16_shopping_total_stock(spark, sf):
                                                    "ingredient_table", "menu_recipe_items",
                                                    "projection_rows"))
 def a16_shopping_list_projections(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return D.shopping_list(t.ing, _sales_demand(t)).drop("item_cost_dec")
 
 
@@ -126,7 +126,7 @@ def a16_shopping_list_projections(spark, sf):
                                                       "ingredient_table", "menu_recipe_items",
                                                       "daily_sales", "sale_items"))
 def a16_shopping_total_sales_history(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return D.shopping_total(D.shopping_list(t.ing, _sales_demand(t, all_inactive=True)))
 
 
@@ -137,6 +137,6 @@ SELECT supplier, name, CAST(GROUPING(supplier, name) AS BIGINT) AS level, count(
 FROM ({_shopping_sql(STOCK_DEMAND_SQL)}) s
 GROUP BY ROLLUP (supplier, name)""", "ingredient_table", "menu_recipe_items"))
 def a17_purchase_order(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     shop = D.shopping_list(t.ing, D.demand_from_stock(t.items))
     return D.purchase_order(shop.select("name", "supplier", "qty", "cost"))

@@ -18,7 +18,7 @@ SELECT classification, count(*) AS ingredientes,
        CAST(round(sum(count * cost), 0) AS DOUBLE) AS valor_inventario_actual
 FROM ingredient_table GROUP BY classification""", ING))
 def a1_class_all(spark, sf):
-    return I.by_class(Tables(spark, sf).ing, "all")
+    return I.by_class(Tables.of(spark, sf).ing, "all")
 
 
 @query("a1_class_costed", with_views("""
@@ -26,7 +26,7 @@ SELECT classification, count(*) AS cantidad,
        CAST(round(sum(count * cost), 0) AS DOUBLE) AS valor_total
 FROM ingredient_table WHERE cost > 0 GROUP BY classification""", ING))
 def a1_class_costed(spark, sf):
-    return I.by_class(Tables(spark, sf).ing, "costed")
+    return I.by_class(Tables.of(spark, sf).ing, "costed")
 
 
 @query("a1_class_null_bucket", with_views("""
@@ -36,7 +36,7 @@ SELECT CASE WHEN classification IS NULL OR classification = '' THEN 'Sin clasifi
        CAST(round(sum(coalesce(cost, 0) * coalesce(count, 0)), 0) AS DOUBLE) AS cost
 FROM ingredient_table GROUP BY 1""", ING))
 def a1_class_null_bucket(spark, sf):
-    return I.by_class(Tables(spark, sf).ing, "null_bucket")
+    return I.by_class(Tables.of(spark, sf).ing, "null_bucket")
 
 
 @query("a2_supplier_sql", with_views("""
@@ -44,7 +44,7 @@ SELECT supplier, count(*) AS productos, CAST(round(sum(count * cost), 0) AS DOUB
 FROM ingredient_table WHERE supplier IS NOT NULL AND supplier <> '' AND cost > 0
 GROUP BY supplier ORDER BY valor_inventario DESC, supplier LIMIT 10""", ING))
 def a2_supplier_sql(spark, sf):
-    return I.by_supplier(Tables(spark, sf).ing, "sql")
+    return I.by_supplier(Tables.of(spark, sf).ing, "sql")
 
 
 @query("a2_supplier_api", with_views("""
@@ -53,7 +53,7 @@ SELECT CASE WHEN supplier IS NULL OR supplier = '' THEN 'Sin proveedor' ELSE sup
        CAST(round(sum(coalesce(cost, 0) * coalesce(count, 0)), 0) AS DOUBLE) AS cost
 FROM ingredient_table GROUP BY 1 ORDER BY cost DESC, name LIMIT 10""", ING))
 def a2_supplier_api(spark, sf):
-    return I.by_supplier(Tables(spark, sf).ing, "api")
+    return I.by_supplier(Tables.of(spark, sf).ing, "api")
 
 
 @query("a3_kpis", with_views(f"""
@@ -66,7 +66,7 @@ UNION ALL SELECT 'Ganancia Neta', CAST(round(sum(total_profit), 0) AS DOUBLE) FR
 UNION ALL SELECT 'Ventas Hoy', CAST(round(sum(total_sale), 0) AS DOUBLE) FROM daily_sales
   WHERE CAST(created_at AS DATE) = DATE '{AS_OF}'""", ING, "menu_board", "daily_sales"))
 def a3_kpis(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return I.kpis(t.ing, t.menu, t.sales, AS_OF)
 
 
@@ -76,7 +76,7 @@ SELECT name, measure, CAST(count AS DOUBLE) AS stock_actual, CAST(min_stock AS D
        CASE WHEN count <= 0 THEN 'SIN STOCK' WHEN count < min_stock THEN 'BAJO' ELSE 'OK' END AS estado
 FROM ingredient_table WHERE count <= min_stock""", ING))
 def p8_low_stock_report(spark, sf):
-    return I.low_stock_report(Tables(spark, sf).ing)
+    return I.low_stock_report(Tables.of(spark, sf).ing)
 
 
 @query("p8_low_stock_dashboard", with_views("""
@@ -87,7 +87,7 @@ SELECT name, measure, CAST(round(count, 1) AS DOUBLE) AS stock_actual,
             ELSE '🟢 OK' END AS estado
 FROM ingredient_table WHERE count <= min_stock ORDER BY diferencia, name LIMIT 30""", ING))
 def p8_low_stock_dashboard(spark, sf):
-    return I.low_stock_dashboard(Tables(spark, sf).ing)
+    return I.low_stock_dashboard(Tables.of(spark, sf).ing)
 
 
 @query("p9_low_stock_api", with_views("""
@@ -96,7 +96,7 @@ SELECT name, coalesce(measure, '') AS measure, CAST(coalesce(count, 0) AS DOUBLE
        CASE WHEN coalesce(count, 0) - coalesce(min_stock, 0) < 0 THEN 'SIN STOCK' ELSE 'BAJO' END AS badge
 FROM ingredient_table WHERE coalesce(count, 0) <= coalesce(min_stock, 0)""", ING))
 def p9_low_stock_api(spark, sf):
-    return I.low_stock_api(Tables(spark, sf).ing)
+    return I.low_stock_api(Tables.of(spark, sf).ing)
 
 
 @query("p10_stock_health", with_views("""
@@ -110,25 +110,25 @@ FROM (SELECT count(*) AS ingredient_count,
              count(*) FILTER (WHERE coalesce(count, 0) <= 0) AS out
       FROM ingredient_table) s""", ING))
 def p10_stock_health(spark, sf):
-    return I.stock_health(Tables(spark, sf).ing)
+    return I.stock_health(Tables.of(spark, sf).ing)
 
 
 @query("p11_inventory_filter_low", with_views("""
 SELECT * FROM ingredient_table WHERE lower(name) LIKE '%bolt%' AND count < 5""", ING))
 def p11_inventory_filter_low(spark, sf):
-    return I.inventory_filter(Tables(spark, sf).ing, "Bolt", "low")
+    return I.inventory_filter(Tables.of(spark, sf).ing, "Bolt", "low")
 
 
 @query("p11_inventory_filter_ok", with_views("""
 SELECT * FROM ingredient_table WHERE lower(name) LIKE '%red%' AND count >= 5""", ING))
 def p11_inventory_filter_ok(spark, sf):
-    return I.inventory_filter(Tables(spark, sf).ing, "RED", "ok")
+    return I.inventory_filter(Tables.of(spark, sf).ing, "RED", "ok")
 
 
 @query("p12_row_totals", with_views("""
 SELECT name, CAST(coalesce(count, 0) * coalesce(cost, 0) AS DOUBLE) AS total FROM ingredient_table""", ING))
 def p12_row_totals(spark, sf):
-    return I.row_totals(Tables(spark, sf).ing)
+    return I.row_totals(Tables.of(spark, sf).ing)
 
 
 @query("p13_row_search", with_views("""
@@ -143,21 +143,21 @@ WHERE lower(coalesce(CAST(name AS VARCHAR), '')) LIKE '%brand#1%'
    OR lower(coalesce(presentation, '')) LIKE '%brand#1%'
    OR lower(coalesce(CAST(min_stock AS VARCHAR), '')) LIKE '%brand#1%'""", ING))
 def p13_row_search(spark, sf):
-    return I.row_search(Tables(spark, sf).ing, "Brand#1")
+    return I.row_search(Tables.of(spark, sf).ing, "Brand#1")
 
 
 @query("p14_name_search", with_views("""
 SELECT count(*) FILTER (WHERE lower(dish_name) LIKE '%widget%') AS matches, count(*) AS total
 FROM menu_board""", "menu_board"))
 def p14_name_search(spark, sf):
-    return I.name_search_count(Tables(spark, sf).menu, "dish_name", "Widget")
+    return I.name_search_count(Tables.of(spark, sf).menu, "dish_name", "Widget")
 
 
 @query("p15_sellable_dishes", with_views("""
 SELECT id, dish_name, category, portion_weight_g FROM menu_board WHERE portion_weight_g > 0""",
                                       "menu_board"))
 def p15_sellable_dishes(spark, sf):
-    return Tables(spark, sf).menu.filter(F.col("portion_weight_g") > 0).select(
+    return Tables.of(spark, sf).menu.filter(F.col("portion_weight_g") > 0).select(
         "id", "dish_name", "category", "portion_weight_g")
 
 
@@ -166,7 +166,7 @@ SELECT name, CAST(round(cost, 0) AS DOUBLE) AS costo_unitario, measure,
        CAST(round(count * cost, 0) AS DOUBLE) AS valor_total_inventario
 FROM ingredient_table WHERE cost > 0 ORDER BY cost DESC, name LIMIT 20""", ING))
 def t1_top_costly(spark, sf):
-    return I.top_costly(Tables(spark, sf).ing)
+    return I.top_costly(Tables.of(spark, sf).ing)
 
 
 @query("t2_top_dish_cost", with_views("""
@@ -175,7 +175,7 @@ SELECT dish_name, category, CAST(cost_total AS DOUBLE) AS costo_plato,
        round((sale_price - cost_total) / nullif(sale_price, 0) * 100, 1) AS margen_porcentaje
 FROM menu_board WHERE cost_total > 0 ORDER BY cost_total DESC, id LIMIT 20""", "menu_board"))
 def t2_top_dish_cost(spark, sf):
-    return I.top_dish_cost(Tables(spark, sf).menu)
+    return I.top_dish_cost(Tables.of(spark, sf).menu)
 
 
 @query("t3_top_margin", with_views("""
@@ -187,7 +187,7 @@ SELECT dish_name, costo_plato, precio_venta, ganancia_neta, margen_pct FROM (
   FROM menu_board WHERE cost_total > 0 AND sale_price > 0
   ORDER BY margen_pct DESC, id LIMIT 20) t""", "menu_board"))
 def t3_top_margin(spark, sf):
-    return I.top_margin(Tables(spark, sf).menu)
+    return I.top_margin(Tables.of(spark, sf).menu)
 
 
 @query("t5_top_value_ingredients", with_views("""
@@ -195,7 +195,7 @@ SELECT name, CAST(round(coalesce(count, 0) * coalesce(cost, 0), 2) AS DOUBLE) AS
        CAST(count AS DOUBLE) AS count, measure
 FROM ingredient_table ORDER BY value DESC, name LIMIT 10""", ING))
 def t5_top_value_ingredients(spark, sf):
-    return I.top_value(Tables(spark, sf).ing)
+    return I.top_value(Tables.of(spark, sf).ing)
 
 
 def _page_sql(page_no: int) -> str:
@@ -212,12 +212,12 @@ FROM r, p WHERE r.rn > (p.pg - 1) * 10 AND r.rn <= p.pg * 10""", ING)
 
 @query("t7_inventory_page", _page_sql(3))
 def t7_inventory_page(spark, sf):
-    return I.page(Tables(spark, sf).ing, ["name"], 3)
+    return I.page(Tables.of(spark, sf).ing, ["name"], 3)
 
 
 @query("t7_inventory_page_clamped", _page_sql(100000))
 def t7_inventory_page_clamped(spark, sf):
-    return I.page(Tables(spark, sf).ing, ["name"], 100000)
+    return I.page(Tables.of(spark, sf).ing, ["name"], 100000)
 
 
 @query("a24_suppliers", with_views("""
@@ -225,19 +225,19 @@ SELECT trim(min(supplier)) AS supplier FROM ingredient_table
 WHERE supplier IS NOT NULL AND trim(supplier) <> ''
 GROUP BY lower(trim(supplier))""", ING))
 def a24_suppliers(spark, sf):
-    return I.suppliers(Tables(spark, sf).ing)
+    return I.suppliers(Tables.of(spark, sf).ing)
 
 
 @query("a25_ingredient_names", with_views("SELECT name FROM ingredient_table ORDER BY name", ING))
 def a25_ingredient_names(spark, sf):
-    return Tables(spark, sf).ing.select("name").orderBy("name")
+    return Tables.of(spark, sf).ing.select("name").orderBy("name")
 
 
 @query("a25_nutrition_sorted", with_views("""
 SELECT ingredient_name, CAST(protein_g AS DOUBLE) AS protein_g, CAST(total_calories AS DOUBLE) AS total_calories
 FROM nutrition_table ORDER BY ingredient_name""", "nutrition_table"))
 def a25_nutrition_sorted(spark, sf):
-    return Tables(spark, sf).nut.select(
+    return Tables.of(spark, sf).nut.select(
         "ingredient_name", F.col("protein_g").cast("double").alias("protein_g"),
         F.col("total_calories").cast("double").alias("total_calories")).orderBy("ingredient_name")
 
@@ -247,7 +247,7 @@ SELECT dish_id, ingredient_name, CAST(quantity_grams AS DOUBLE) AS quantity_gram
        count(*) OVER () AS total
 FROM menu_recipe_items""", "menu_board", "menu_recipe_items"))
 def a25_recipe_items_total(spark, sf):
-    items = Tables(spark, sf).items
+    items = Tables.of(spark, sf).items
     total = items.select(F.count(F.lit(1))).scalar()
     return items.select("dish_id", "ingredient_name",
                         F.col("quantity_grams").cast("double").alias("quantity_grams"),
@@ -260,7 +260,7 @@ SELECT name, CAST(count AS DOUBLE) AS count,
              100.0) AS bar_pct
 FROM ingredient_table""", ING))
 def w1_stock_bar(spark, sf):
-    return I.stock_bar(Tables(spark, sf).ing)
+    return I.stock_bar(Tables.of(spark, sf).ing)
 
 
 @query("w4_category_breaks", with_views("""
@@ -268,7 +268,7 @@ SELECT id, category, sort_order,
        row_number() OVER (PARTITION BY category ORDER BY sort_order, id) = 1 AS category_header
 FROM menu_board""", "menu_board"))
 def w4_category_breaks(spark, sf):
-    return I.category_breaks(Tables(spark, sf).menu)
+    return I.category_breaks(Tables.of(spark, sf).menu)
 
 
 @query("a30_category_counts", with_views("""
@@ -276,7 +276,7 @@ SELECT CASE WHEN category IS NULL OR category = '' THEN 'Sin categoria' ELSE cat
        count(*) AS dishes
 FROM menu_board GROUP BY 1""", "menu_board"))
 def a30_category_counts(spark, sf):
-    return I.category_counts(Tables(spark, sf).menu)
+    return I.category_counts(Tables.of(spark, sf).menu)
 
 
 @query("a32_load_totals", with_views("""
@@ -287,7 +287,7 @@ GROUP BY coalesce(trim(classification), '')
 UNION ALL SELECT 'ingredients_total', 'all', count(*) FROM ingredient_table
 UNION ALL SELECT 'dishes_total', 'all', count(*) FROM menu_board""", ING, "menu_board"))
 def a32_load_totals(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     cls = F.coalesce(normalise_class("classification"), F.lit(""))
     return (t.menu.groupBy(F.lit("dishes_by_category").alias("kind"), F.col("category").alias("key"))
             .agg(F.count(F.lit(1)).alias("n"))
@@ -306,4 +306,4 @@ SELECT coalesce(classification, '') AS "Clasificacion", name AS "Producto", coal
        CAST(coalesce(count, 0) * coalesce(cost, 0) AS DOUBLE) AS "Valor Total", '' AS "Observacion"
 FROM ingredient_table""", ING))
 def k3_inventory_export(spark, sf):
-    return inventory_export_frame(Tables(spark, sf).ing)
+    return inventory_export_frame(Tables.of(spark, sf).ing)

@@ -42,7 +42,7 @@ SELECT coalesce(c.id, l.id) AS id, c.email,
        CAST(CASE WHEN l.id IS NOT NULL THEN l.balance ELSE c.balance END AS DOUBLE) AS balance
 FROM user_profiles c FULL OUTER JOIN last l ON l.id = c.id""", "user_profiles"))
 def m1_upsert_profiles(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     out = M.upsert(t.profiles, _profile_changes(t), ["id"], order="seq")
     return out.withColumn("balance", F.col("balance").cast("double"))
 
@@ -56,7 +56,7 @@ SELECT coalesce(c.id, l.id) AS id, c.email,
 FROM user_profiles c FULL OUTER JOIN last l ON l.id = c.id""", "user_profiles"))
 def m1_upsert_idempotent(spark, sf):
     """Applying the same change set twice gives the once-applied table."""
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     chg = _profile_changes(t)
     once = M.upsert(t.profiles, chg, ["id"], order="seq")
     twice = M.upsert(once, chg, ["id"], order="seq")
@@ -72,7 +72,7 @@ FROM projection_rows p LEFT JOIN (
   SELECT id, projected_units * 2 AS projected_units, false AS is_active FROM projection_rows WHERE id % 20 = 0
 ) c ON c.id = p.id""", "projection_rows"))
 def m2_patch_projections(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     p = t.proj_rows
     chg = p.filter(F.col("id") % 20 == 0).select(
         "id", (F.col("projected_units") * 2).alias("projected_units"),
@@ -89,7 +89,7 @@ SELECT r.id, r.dish_id, r.ingredient_name FROM menu_recipe_items r
 WHERE r.dish_id IN (SELECT id FROM menu_board WHERE status <> 'inactivo')""",
                                        "menu_board", "menu_recipe_items"))
 def m3_delete_cascade(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     gone = t.menu.filter(F.col("status") == "inactivo").select("id")
     menu = M.delete_keys(t.menu, gone, ["id"])
     return M.cascade(t.items, menu, "dish_id", "id").select("id", "dish_id", "ingredient_name")
@@ -103,7 +103,7 @@ SELECT dish_id * 10 + 9, dish_id, 'REPLACED', 100.0 FROM (SELECT DISTINCT dish_i
                                                          WHERE dish_id % 20 = 0) d""",
                                          "menu_board", "menu_recipe_items"))
 def m4_replace_children(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     items = t.items
     new = items.filter(F.col("dish_id") % 20 == 0).select("dish_id").distinct().select(
         (F.col("dish_id") * 10 + 9).alias("id"), "dish_id", F.lit(None).cast("bigint").alias("menu_item_id"),
@@ -118,7 +118,7 @@ def m4_replace_children(spark, sf):
 SELECT name, CAST(cost AS DOUBLE) AS cost, CAST(count AS DOUBLE) AS count FROM ingredient_table""",
                                      "ingredient_table"))
 def m5_restore_cost(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     damaged = t.ing.withColumn("cost", F.when(F.col("count") > 100, F.col("cost") * 2)
                                .otherwise(F.col("cost")).cast(MONEY))
     snap = t.ing.select("name", "cost")
@@ -140,7 +140,7 @@ SELECT coalesce(c.ingrediente, n.ingrediente) AS ingrediente,
 FROM cur c FULL OUTER JOIN chg n ON n.ingrediente = c.ingrediente AND n.supermercado = c.supermercado""",
                                      "precios_competencia"))
 def m6_price_upsert(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     day = F.lit("2024-01-15").cast("date")
     cur = price_latest(t.prices.filter(F.col("fecha_scrape") < day))
     chg = t.prices.filter(F.col("fecha_scrape") == day).select(
@@ -166,7 +166,7 @@ FROM (SELECT p_partkey AS id, p_type AS category, upper(p_name) || ' NEW ' || CA
 LEFT JOIN (SELECT category, max(sort_order) AS mx FROM menu_board GROUP BY category) t
   ON t.category = n.category""", "menu_board"))
 def m7_append_dishes(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return M.append_dishes(t.menu, _new_dishes(t)).select("id", "category", "dish_name", "sort_order")
 
 
@@ -176,7 +176,7 @@ SELECT id, CASE WHEN ingredient_name IS NULL OR trim(ingredient_name) = '' THEN
 FROM (SELECT id, CASE WHEN id % 13 = 0 THEN NULL ELSE ingredient_name END AS ingredient_name,
              quantity_grams - 150 AS q FROM menu_recipe_items) x""", "menu_board", "menu_recipe_items"))
 def m8_validate_recipe_items(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     x = t.items.select("id", F.when(F.col("id") % 13 == 0, F.lit(None)).otherwise(
         F.col("ingredient_name")).alias("ingredient_name"),
         (F.col("quantity_grams") - 150).alias("quantity_grams"))
@@ -193,7 +193,7 @@ SELECT count(*) FILTER (WHERE category IS NOT NULL AND category <> '' AND dish_n
 FROM (SELECT CASE WHEN id % 3 = 0 THEN '' ELSE category END AS category, dish_name FROM menu_board) m""",
                                         "menu_board"))
 def m8_validate_dishes(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     m = t.menu.withColumn("category", F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.col("category")))
     good, bad = M.split_valid(m, M.dish_checks())
     return good.select(F.lit("good").alias("k")).unionByName(bad.select(F.lit("rejected").alias("k"))) \
@@ -229,7 +229,7 @@ SELECT p.slug, p.name,
 FROM prods p LEFT JOIN mb ON mb.k = upper(trim(p.name)) LEFT JOIN menu_board m ON m.id = mb.id""",
                                       "menu_board"))
 def m9_align_catalog(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     out = M.align_catalog(_catalog(t), t.menu)
     return out.select("slug", "name", "dish_name", "category",
                       F.col("cost_total").cast("double").alias("cost_total"),

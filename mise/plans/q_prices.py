@@ -23,7 +23,7 @@ GROUP BY i.name, i.supplier, i.cost"""
 
 @query("a21_price_pivot", with_views(PIVOT_SQL, "ingredient_table", "precios_competencia"))
 def a21_price_pivot(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return PR.price_pivot(t.ing, t.prices)
 
 
@@ -38,7 +38,7 @@ SELECT ingrediente, supermercado, CAST(arg_max(precio, fecha_scrape) AS DECIMAL(
        max(fecha_scrape) AS fecha_scrape
 FROM precios_competencia GROUP BY 1, 2""", "precios_competencia"))
 def a22_price_latest(spark, sf):
-    return PR.price_latest(Tables(spark, sf).prices)
+    return PR.price_latest(Tables.of(spark, sf).prices)
 
 
 def _cell(col: str) -> str:
@@ -66,7 +66,7 @@ SELECT n.name, coalesce(i.measure, '') AS measure, CAST(coalesce(i.cost, 0) AS D
 FROM names n LEFT JOIN ingredient_table i ON i.name = n.name LEFT JOIN w ON w.ingrediente = n.name""",
                                          "ingredient_table", "precios_competencia"))
 def j16_competitor_grid(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return PR.competitor_grid(t.ing, t.prices)
 
 
@@ -74,7 +74,7 @@ def j16_competitor_grid(spark, sf):
 SELECT supermercado, count(*) AS productos, CAST(round(avg(precio), 0) AS DOUBLE) AS precio_promedio
 FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}' GROUP BY 1""", "precios_competencia"))
 def a23_store_summary(spark, sf):
-    return PR.store_summary(Tables(spark, sf).prices, PRICE_DAY)
+    return PR.store_summary(Tables.of(spark, sf).prices, PRICE_DAY)
 
 
 SEED_SQL = f"""
@@ -90,7 +90,7 @@ WHERE i.cost > 0"""
 
 @query("g3_seed_prices", with_views(SEED_SQL, "ingredient_table"))
 def g3_seed_prices(spark, sf):
-    return PR.seed_prices(Tables(spark, sf).ing, PRICE_DAY)
+    return PR.seed_prices(Tables.of(spark, sf).ing, PRICE_DAY)
 
 
 REAL_SQL = f"SELECT * FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}'"
@@ -102,7 +102,7 @@ SELECT ingrediente, supermercado, producto, presentacion, precio, url, fecha_scr
   FROM (SELECT *, 0 AS prio FROM ({REAL_SQL}) r UNION ALL SELECT *, 1 AS prio FROM ({SEED_SQL}) s) x) y
 WHERE rn = 1""", "ingredient_table", "precios_competencia"))
 def u1_real_over_seed_merge(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
     return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY), min_real_rows=None)
 
@@ -116,6 +116,6 @@ WHERE (SELECT count(*) FROM ({REAL_SQL}) r2) < 100
                   WHERE r3.ingrediente = s.ingrediente AND r3.supermercado = s.supermercado)""",
                                               "ingredient_table", "precios_competencia"))
 def u1_prices_with_seed_rule(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
     return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY))

@@ -36,13 +36,13 @@ SELECT m.id AS dish_id, m.dish_name, 30 AS projected_units,
 FROM menu_board m LEFT JOIN ({COST_INFO_SQL}) c ON c.dish_id = m.id""",
                                           "menu_board", "menu_recipe_items", "ingredient_table"))
 def a18_init_projections(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return P.init_projections(t.menu, t.items, t.ing, AS_OF)
 
 
 @query("a19_recost_projections", with_views(PROJ_SQL, *VIEWS))
 def a19_recost_projections(spark, sf):
-    return Tables(spark, sf).proj
+    return Tables.of(spark, sf).proj
 
 
 @query("a20_projection_totals", with_views(f"""
@@ -52,7 +52,7 @@ SELECT count(*) AS dishes, CAST(coalesce(sum(projected_units), 0) AS BIGINT) AS
        CAST(round(coalesce(sum(CAST(estimated_qty AS DECIMAL(20,2))), 0) * 0.001, 3) AS DOUBLE) AS total_kg
 FROM ({PROJ_SQL}) p""", *VIEWS))
 def a20_projection_totals(spark, sf):
-    return P.projection_totals(Tables(spark, sf).proj)
+    return P.projection_totals(Tables.of(spark, sf).proj)
 
 
 @query("t4_top_projections", with_views(f"""
@@ -61,13 +61,13 @@ SELECT dish_name, CAST(round(projected_units, 0) AS DOUBLE) AS unidades_poyectad
        CAST(round(CAST(unit_cost AS DECIMAL(12,2)) * projected_units, 0) AS DOUBLE) AS costo_total_proyectado
 FROM ({PROJ_SQL}) p WHERE is_active ORDER BY projected_units DESC, id LIMIT 20""", *VIEWS))
 def t4_top_projections(spark, sf):
-    return P.top_projections(Tables(spark, sf).proj)
+    return P.top_projections(Tables.of(spark, sf).proj)
 
 
 @query("p16_active_projections", with_views(f"""
 SELECT id, dish_id, dish_name, projected_units FROM ({PROJ_SQL}) p WHERE is_active""", *VIEWS))
 def p16_active_projections(spark, sf):
-    return Tables(spark, sf).proj.filter(F.col("is_active")).select(
+    return Tables.of(spark, sf).proj.filter(F.col("is_active")).select(
         "id", "dish_id", "dish_name", "projected_units")
 
 
@@ -80,7 +80,7 @@ LEFT JOIN (SELECT coalesce(nullif(menu_item_id, 0), dish_id) AS dish_id, count(*
            FROM menu_recipe_items GROUP BY 1) c ON c.dish_id = p.dish_id""",
                                           "projection_rows", "menu_board", "menu_recipe_items"))
 def j10_projections_view(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return P.projections_view(t.proj_rows, t.menu, t.items)
 
 
@@ -109,7 +109,7 @@ def _forecast(t: Tables):
 
 @query("g1_forecast", with_views(FORECAST_SQL, "daily_sales", "sale_items"))
 def g1_forecast(spark, sf):
-    return _forecast(Tables(spark, sf))
+    return _forecast(Tables.of(spark, sf))
 
 
 @query("g2_apply_forecast", with_views(f"""
@@ -120,5 +120,5 @@ SELECT p.id, p.dish_id, p.projected_units AS old_units,
 FROM projection_rows p LEFT JOIN ({FORECAST_SQL}) fc ON fc.dish_id = p.dish_id""",
                                        "projection_rows", "daily_sales", "sale_items"))
 def g2_apply_forecast(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return P.apply_forecast(t.proj_rows, _forecast(t))

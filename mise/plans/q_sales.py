@@ -21,7 +21,7 @@ SELECT CAST(created_at AS DATE) AS dia, CAST(round(sum(total_sale), 0) AS DOUBLE
        CAST(round(sum(total_profit), 0) AS DOUBLE) AS ganancia
 FROM daily_sales GROUP BY 1""", "daily_sales"))
 def a4_daily_sales_report(spark, sf):
-    return S.daily_rollup(Tables(spark, sf).sales)
+    return S.daily_rollup(Tables.of(spark, sf).sales)
 
 
 @query("a4_daily_sales_dashboard", with_views("""
@@ -30,7 +30,7 @@ SELECT CAST(created_at AS DATE) AS fecha, CAST(round(sum(total_sale), 0) AS DOUB
        CAST(round(sum(total_profit), 0) AS DOUBLE) AS ganancia
 FROM daily_sales GROUP BY 1 ORDER BY fecha DESC LIMIT 30""", "daily_sales"))
 def a4_daily_sales_dashboard(spark, sf):
-    return S.daily_rollup_newest(Tables(spark, sf).sales)
+    return S.daily_rollup_newest(Tables.of(spark, sf).sales)
 
 
 @query("a4_daily_sales_api", with_views("""
@@ -41,7 +41,7 @@ SELECT * FROM (
          CAST(round(sum(total_profit), 0) AS DOUBLE) AS ganancia
   FROM daily_sales GROUP BY 1 ORDER BY fecha DESC LIMIT 30) t ORDER BY fecha""", "daily_sales"))
 def a4_daily_sales_api(spark, sf):
-    return S.daily_rollup_api(Tables(spark, sf).sales)
+    return S.daily_rollup_api(Tables.of(spark, sf).sales)
 
 
 @query("a5_day_summary", with_views(f"""
@@ -51,7 +51,7 @@ SELECT CAST(coalesce(sum(total_sale), 0) AS DOUBLE) AS total_sale,
        count(*) AS orders_count, CAST(coalesce(sum(items_count), 0) AS BIGINT) AS items_count
 FROM daily_sales WHERE created_at >= TIMESTAMP '{AS_OF} 00:00:00'""", "daily_sales"))
 def a5_day_summary(spark, sf):
-    return S.day_summary(Tables(spark, sf).sales, AS_OF)
+    return S.day_summary(Tables.of(spark, sf).sales, AS_OF)
 
 
 @query("a6_daily_units", with_views(f"""
@@ -60,7 +60,7 @@ FROM daily_sales s JOIN sale_items i ON s.id = i.sale_id
 WHERE s.created_at >= TIMESTAMP '{HISTORY_START} 00:00:00'
 GROUP BY 1, 2""", "daily_sales", "sale_items"))
 def a6_daily_units(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return S.daily_units(t.sales, t.sale_items, HISTORY_START)
 
 
@@ -69,7 +69,7 @@ SELECT dish_id, CAST(sum(quantity) AS BIGINT) AS units FROM sale_items
 WHERE sale_id IN (SELECT id FROM daily_sales WHERE created_at >= TIMESTAMP '{LAST_30} 00:00:00')
 GROUP BY dish_id""", "daily_sales", "sale_items"))
 def a7_units_last_30_days(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return S.units_by_dish(t.sales, t.sale_items, LAST_30)
 
 
@@ -79,7 +79,7 @@ WHERE sale_id IN (SELECT id FROM daily_sales
                   WHERE created_at >= CAST(date_trunc('month', DATE '{AS_OF}') AS TIMESTAMP))
 GROUP BY dish_id""", "daily_sales", "sale_items"))
 def a7_units_month_to_date(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return S.units_by_dish(t.sales, t.sale_items, F.trunc(F.lit(AS_OF).cast("date"), "month"))
 
 
@@ -88,7 +88,7 @@ SELECT CAST(created_at AS DATE) AS dia, CAST(sum(total_profit) AS DOUBLE) AS pro
        CASE WHEN sum(total_profit) >= 0 THEN 'positive' ELSE 'negative' END AS sign
 FROM daily_sales GROUP BY 1""", "daily_sales"))
 def p21_daily_profit_sign(spark, sf):
-    return S.daily_profit_flags(Tables(spark, sf).sales)
+    return S.daily_profit_flags(Tables.of(spark, sf).sales)
 
 
 DISH_COST_SQL = f"""
@@ -120,7 +120,7 @@ def _priced(t: Tables):
 
 @query("a26_ticket_lines", with_views(PRICED_SQL, *TICKET_VIEWS))
 def a26_ticket_lines(spark, sf):
-    return _priced(Tables(spark, sf)).drop("ts")
+    return _priced(Tables.of(spark, sf)).drop("ts")
 
 
 TOTALS_SQL = f"""
@@ -134,7 +134,7 @@ FROM ({PRICED_SQL}) p GROUP BY ticket_id"""
 
 @query("a27_ticket_totals", with_views(TOTALS_SQL, *TICKET_VIEWS))
 def a27_ticket_totals(spark, sf):
-    return S.post_sales(_priced(Tables(spark, sf))).drop("created_at")
+    return S.post_sales(_priced(Tables.of(spark, sf))).drop("created_at")
 
 
 @query("a28_stock_depletion", with_views(f"""
@@ -149,6 +149,6 @@ SELECT i.name, CAST(i.count AS DOUBLE) AS count_before, CAST(coalesce(u.used, 0)
                  WHEN i.count - u.used > 0 THEN i.count - u.used ELSE 0 END AS DOUBLE) AS count_after
 FROM ingredient_table i LEFT JOIN used u ON u.ingredient_name = i.name""", *TICKET_VIEWS))
 def a28_stock_depletion(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     priced = _priced(t)
     return S.deplete_stock(t.ing, priced, S.post_sales(priced), t.items)

@@ -35,7 +35,7 @@ SELECT l_orderkey AS sale_id, CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOU
        CAST(CAST(l_quantity AS DECIMAL(12,2)) AS DOUBLE) AS quantity_grams, l_linenumber AS line_no
 FROM lineitem"""))
 def s1_load_sale_lines(spark, sf):
-    li = Tables(spark, sf).raw("lineitem")
+    li = Tables.of(spark, sf).raw("lineitem")
     export = li.select(
         F.col("l_orderkey").alias("sale_id"), F.col("l_extendedprice").alias("line_sale"),
         F.when(F.col("l_discount") == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
@@ -61,7 +61,7 @@ WHERE NOT (CAST(regexp_extract(ingredient_name, '#([0-9]+)$', 1) AS BIGINT) % 9
 def s2_nutrition_sheet(spark, sf):
     """The nutrition table written out as sheet text (decimal commas, padded cells,
     blank products for every 9th part) and read back through the S2 rules."""
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     n = t.nut.withColumn("pk", F.regexp_extract("ingredient_name", r"#(\d+)$", 1).cast("bigint"))
     cells = {"CLASIFICACION": F.concat(F.col("classification"), F.lit("\t")),
              "PRODUCTO": F.when(F.col("pk") % 9 == 0, F.lit("  ")).otherwise(
@@ -118,7 +118,7 @@ FROM part"""))
 def s3_ingredient_sheet(spark, sf):
     """Two ingredient sheets (the second re-prices every 7th part) loaded by S3; the
     later batch wins per name."""
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     b1 = _sheet_rows(t, "b1", lambda pk: pk >= 0, 0)
     b2 = _sheet_rows(t, "b2", lambda pk: pk % 7 == 0, 1000)
     out = L.parse_ingredients(b1.unionByName(b2))
@@ -133,7 +133,7 @@ SELECT name, presentation,
             WHEN presentation = 'LIBRA' THEN 'lb' WHEN presentation = 'LITRO' THEN 'l' ELSE 'u' END AS unit
 FROM ingredient_table""", "ingredient_table"))
 def f3_unit_from_presentation(spark, sf):
-    ing = Tables(spark, sf).ing
+    ing = Tables.of(spark, sf).ing
     return ing.select("name", "presentation", X.unit_from_presentation("presentation").alias("unit"))
 
 
@@ -159,7 +159,7 @@ FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}' AND supermercad
 def s4_store_json(spark, sf):
     """Search responses built from the day's prices (a hit without price, a hit priced
     only by its seller, a hit with a range price; two orders) and parsed by S4."""
-    p = _today_prices(Tables(spark, sf)).filter(F.col("supermercado") != "Makro")
+    p = _today_prices(Tables.of(spark, sf)).filter(F.col("supermercado") != "Makro")
     slug = _slug(F.col("producto"))
     price_txt = F.col("precio").cast("string")
     no_price = F.struct(F.concat("producto", F.lit(" A")).alias("productName"),
@@ -193,7 +193,7 @@ FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}' AND supermercad
 def s5_store_html(spark, sf):
     """Store result pages generated from the day's Makro prices (a node without price,
     then a priced node with a '$ 1.234,56' price) and parsed by S5."""
-    p = _today_prices(Tables(spark, sf)).filter(F.col("supermercado") == "Makro")
+    p = _today_prices(Tables.of(spark, sf)).filter(F.col("supermercado") == "Makro")
     cents = F.lpad(((F.col("precio") * 100).cast("bigint") % 100).cast("string"), 2, "0")
     price_txt = F.concat(F.lit("$ "), _dots(F.floor("precio")), F.lit(","), cents)
     link = F.concat(F.lit("/p/"), F.length("producto").cast("string"))
@@ -242,7 +242,7 @@ def _catalog(t: Tables):
 
 @query("s6_catalog", with_views(CATALOG_SQL))
 def s6_catalog(spark, sf):
-    c = _catalog(Tables(spark, sf))
+    c = _catalog(Tables.of(spark, sf))
     return c.select("slug", "name", F.col("price").cast("double").alias("price"),
                     F.col("regular_price").cast("double").alias("regular_price"), "in_stock",
                     F.array_join("categories", "|").alias("categories"),
@@ -255,7 +255,7 @@ SELECT 'p-' || CAST(p_partkey AS VARCHAR) AS slug,
        CASE WHEN p_partkey % 3 = 0 THEN '<em>' || p_brand || '</em>' END AS variations
 FROM part"""))
 def s7_catalog_details(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     part = t.raw("part")
     pk = F.col("p_partkey")
     details = part.filter(pk % 3 == 0).select(F.to_json(F.struct(
@@ -274,7 +274,7 @@ SELECT page_id, substring(regexp_replace(html, '<[^>]*>', '', 'g'), 1, 120) AS e
        length(regexp_replace(html, '<[^>]*>', '', 'g')) AS text_chars
 FROM pages""")
 def f10_page_excerpt(spark, sf):
-    pages = Tables(spark, sf).raw("pages")
+    pages = Tables.of(spark, sf).raw("pages")
     return pages.select("page_id", X.excerpt("html").alias("excerpt"),
                         F.length(X.strip_tags("html")).alias("text_chars"))
 
@@ -284,7 +284,7 @@ SELECT p_partkey, array_to_string(list_filter(string_split(regexp_replace(txt, '
                                               lambda x: x <> ''), '|') AS items
 FROM (SELECT p_partkey, '{' || p_brand || ',"' || p_type || ' x",,' || p_name || '}' AS txt FROM part) t""")
 def f10_pg_array(spark, sf):
-    part = Tables(spark, sf).raw("part")
+    part = Tables.of(spark, sf).raw("part")
     txt = F.concat(F.lit("{"), F.col("p_brand"), F.lit(',"'), F.col("p_type"), F.lit(' x",,'),
                    F.col("p_name"), F.lit("}"))
     return part.select("p_partkey", F.array_join(X.pg_array(txt), "|").alias("items"))
@@ -325,7 +325,7 @@ SELECT o.o_orderkey AS id, o.o_orderstatus AS status,
        '{"country":"CO"}' AS shipping_address
 FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey"""))
 def s8_orders(spark, sf):
-    o = PS.parse_orders(_order_bodies(Tables(spark, sf)))
+    o = PS.parse_orders(_order_bodies(Tables.of(spark, sf)))
     return o.select("id", "status", "currency", F.col("total").cast("double").alias("total"),
                     "customer_name", F.size("items").cast("bigint").alias("n_items"), "shipping_address")
 
@@ -340,7 +340,7 @@ UNION ALL
 SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""))
 def s9_order_lines(spark, sf):
-    lines = PS.order_lines(PS.parse_orders(_order_bodies(Tables(spark, sf))))
+    lines = PS.order_lines(PS.parse_orders(_order_bodies(Tables.of(spark, sf))))
     return lines.select("order_id", "product_id", "name", "quantity",
                         F.col("price").cast("double").alias("price"),
                         F.col("total").cast("double").alias("total"))
@@ -351,7 +351,7 @@ def s9_order_lines(spark, sf):
 SELECT ticket_id, dish_id, quantity, CAST(NULL AS DOUBLE) AS sale_price FROM ticket_lines_multi""",
                                          "ticket_lines_multi"))
 def s10_ticket_payloads(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     bodies = t.tickets_multi.groupBy("ticket_id").agg(
         F.min("ts").alias("ts"),
         F.to_json(F.collect_list(F.struct(F.col("dish_id").cast("string").alias("dish_id"),
@@ -364,7 +364,7 @@ def s10_ticket_payloads(spark, sf):
 # ------------------------------------------------------------------- S11 / F11
 @query("s11_browse_menu", with_views("SELECT * FROM menu_board", "menu_board"))
 def s11_browse_menu(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables.of(spark, sf)
     return L.browse({"menu_board": t.menu, "ingredient_table": t.ing,
                      "menu_recipe_items": t.items, "nutrition_table": t.nut}, "menu_board")
 
@@ -374,7 +374,7 @@ SELECT id, CAST(created_at AS DATE) AS dia,
        CAST(substring(CAST(CAST(created_at AS DATE) AS VARCHAR), 1, 10) AS DATE) AS dia_from_text
 FROM daily_sales""", "daily_sales"))
 def f11_day_of(spark, sf):
-    s = Tables(spark, sf).sales
+    s = Tables.of(spark, sf).sales
     iso = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
     broken = F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit(" (local)"))
     return s.select("id", X.day_of(iso).alias("dia"), X.day_of(broken).alias("dia_from_text"))

@@ -28,11 +28,25 @@ def query(name: str, sql: str | None):
 
 
 class Tables:
-    """The adapter views for one (session, folder); each is built once per query."""
+    """The adapter views for one (session, folder).
+
+    DataFrames are immutable lazy plans, so each view is built (and analysed) once per
+    session and folder and shared by every query that reads it.
+    """
+
+    _shared: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf = spark, sf_dir
 
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Tables":
+        key = (id(spark), sf_dir)
+        t = cls._shared.get(key)
+        if t is None or t.spark is not spark:
+            t = cls._shared[key] = cls(spark, sf_dir)
+        return t
+
     @cached_property
     def ing(self) -> DataFrame:
         return A.ingredient_table(self.spark, self.sf)

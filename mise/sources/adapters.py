@@ -34,8 +34,16 @@ def dec(text: str, t: str) -> F.Column:
     return F.lit(text).cast(t)
 
 
+_READS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; the DataFrame (file listing and footer schema) is reused per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    hit = _READS.get((id(spark), path))
+    if hit is None or hit[0] is not spark:
+        hit = _READS[(id(spark), path)] = (spark, spark.read.parquet(path))
+    return hit[1]
 
 
 def _pick(idx: F.Column, values: list[str]) -> F.Column:
