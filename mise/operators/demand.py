@@ -44,11 +44,11 @@ def demand_from_sales(items: DataFrame, projections: DataFrame, sales: DataFrame
                       sale_items: DataFrame, since) -> DataFrame:
     """A15 sales mode: if any projection is active, grams x projected units over the
     active projections (rows of one dish add up); otherwise grams x units sold since
-    ``since``. The "any active" test is a scalar subquery; the branch that does not
+    ``since``. The "any active" test is an EXISTS subquery; the branch that does not
     apply sees an empty input, which AQE propagates so its scan is skipped.
     """
     active = projections.filter(F.col("is_active"))
-    has_active = active.select((F.count(F.lit(1)) > 0).alias("a")).scalar()
+    has_active = active.exists()   # EXISTS subquery, evaluated once
     proj_units = (active.filter(has_active)
                   .groupBy("dish_id").agg(F.sum("projected_units").cast("bigint").alias("units")))
     recent = sales.filter(~has_active)

@@ -244,12 +244,13 @@ def category_counts(menu: DataFrame) -> DataFrame:
 
 
 def category_breaks(menu: DataFrame) -> DataFrame:
-    """Rows in (category, sort_order, id) order flagged where the category changes.
-
-    The window is partitioned by category, so it scales with the number of
-    categories; the first row of each partition is the header row.
-    """
-    from pyspark.sql import Window
-    w = Window.partitionBy("category").orderBy("sort_order", "id")
-    return menu.select("id", "category", "sort_order",
-                       (F.row_number().over(w) == 1).alias("category_header"))
+    """Rows in (category, sort_order, id) order, flagged where the category changes
+    (the first row of each category is its header).
+
+    The first row per category is a ``min`` over (sort_order, id) - an aggregate that
+    is reduced map-side, so a category holding most of the menu is never sorted in one
+    task - joined back on the category (one row per category)."""
+    first = menu.groupBy("category").agg(F.min(F.struct("sort_order", "id")).alias("_first"))
+    j = menu.join(first, menu.category.eqNullSafe(first.category), "left").drop(first.category)
+    return j.select("id", "category", "sort_order",
+                    (F.col("_first.id") == F.col("id")).alias("category_header"))

@@ -50,9 +50,9 @@ def competitor_grid(ing: DataFrame, prices: DataFrame) -> DataFrame:
     no prices at all), our cost, the latest price per store and its cell class."""
     latest = price_latest(prices)
     wide = latest.groupBy("ingrediente").pivot("supermercado", STORES).agg(F.first("precio"))
-    has_prices = prices.select((F.count(F.lit(1)) > 0).alias("x")).scalar()
+    # EXISTS subquery: stops at the first price row
     names = (prices.select(F.col("ingrediente").alias("name")).distinct()
-             .unionByName(ing.filter(~has_prices).select("name")))
+             .unionByName(ing.filter(~prices.exists()).select("name")))
     info = ing.select("name", "cost", "measure")
     j = names.join(info, "name", "left").join(
         wide.withColumnRenamed("ingrediente", "name"), "name", "left")

@@ -162,3 +162,20 @@ def deplete_stock(ing: DataFrame, priced: DataFrame, totals: DataFrame, items: D
         "name", F.col("count").cast("double").alias("count_before"),
         F.coalesce("used", F.lit(0)).cast("double").alias("depleted"),
         after.cast(MONEY).cast("double").alias("count_after"))
+
+
+def post_tickets(tickets: DataFrame, menu: DataFrame, items: DataFrame, ing: DataFrame,
+                 materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A26-A28 as one posting job: (priced lines, ticket totals, new stock).
+
+    The priced lines feed both the totals and the depletion. They are written once as a
+    reliable checkpoint in the session's shared ``spark.checkpoint.dir``: computed a
+    single time, and a lost executor re-reads them instead of re-running the pricing.
+    """
+    priced = price_tickets(tickets, menu, items, ing)
+    if materialize:
+        from mise.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(priced.sparkSession)
+        priced = priced.checkpoint(eager=True)
+    totals = post_sales(priced)
+    return priced, totals, deplete_stock(ing, priced, totals, items)

@@ -150,5 +150,5 @@ SELECT i.name, CAST(i.count AS DOUBLE) AS count_before, CAST(coalesce(u.used, 0)
 FROM ingredient_table i LEFT JOIN used u ON u.ingredient_name = i.name""", *TICKET_VIEWS))
 def a28_stock_depletion(spark, sf):
     t = Tables.of(spark, sf)
-    priced = _priced(t)
-    return S.deplete_stock(t.ing, priced, S.post_sales(priced), t.items)
+    _priced_lines, _totals, stock = S.post_tickets(t.tickets_multi, t.menu, t.items, t.ing)
+    return stock
