@@ -196,3 +196,36 @@ def a31_profitability(spark, sf):
     *COSTING_VIEWS, "sale_items", "daily_sales"))
 def t5_top_recipes_by_cost(spark, sf):
     return a31_profitability(spark, sf).orderBy(F.desc("cost"), "recipe_id").limit(8)
+
+
+@query("p18_margin_band", with_views(f"""
+SELECT id AS dish_id, dish_name, CAST(margin AS DOUBLE) AS margin_pct,
+       CASE WHEN margin >= 50 THEN 'high' WHEN margin >= 20 THEN 'medium' ELSE 'low' END AS band
+FROM (SELECT m.id, m.dish_name,
+             CASE WHEN m.sale_price = 0 THEN 0.0
+                  ELSE round((m.sale_price - round(coalesce(c.raw, 0) + m.overhead_cost, 2)) / m.sale_price * 100, 1)
+             END AS margin
+      FROM menu_board m LEFT JOIN ({RAW_COST_SQL}) c ON c.dish_id = m.id) x""", *COSTING_VIEWS))
+def p18_margin_band(spark, sf):
+    """P17 + P18 on the recomputed dish cost: margin (0 when the price is 0) and band."""
+    from mise.functions.expr import margin_band
+    t = Tables.of(spark, sf)
+    c = C.dish_cost_report(t.menu, t.items, t.ing)
+    m = t.menu.select(F.col("id").alias("dish_id"), "sale_price")
+    j = c.join(m, "dish_id")
+    price = F.col("sale_price").cast("double")
+    margin = F.when(F.col("sale_price") == 0, F.lit(0.0)).otherwise(
+        F.round((F.col("sale_price") - F.col("final_cost").cast("decimal(12,2)")).cast("double") / price * 100, 1))
+    return j.select("dish_id", "dish_name", margin.alias("margin_pct"), margin_band(margin).alias("band"))
+
+
+@query("p19_suggested_prices", with_views(f"""
+SELECT recipe_id, cost, CAST(round(CAST(cost AS DECIMAL(20,2)) * 2, 2) AS DOUBLE) AS price_2x,
+       CAST(round(CAST(cost AS DECIMAL(20,2)) * 3, 2) AS DOUBLE) AS price_3x
+FROM ({PROFIT_SQL}) p""", *COSTING_VIEWS, "sale_items", "daily_sales"))
+def p19_suggested_prices(spark, sf):
+    """Suggested prices at 2x and 3x the raw recipe cost."""
+    p = a31_profitability(spark, sf)
+    c = F.col("cost").cast("decimal(20,2)")
+    return p.select("recipe_id", "cost", F.round(c * 2, 2).cast("double").alias("price_2x"),
+                    F.round(c * 3, 2).cast("double").alias("price_3x"))
