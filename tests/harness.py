@@ -10,6 +10,7 @@ import datetime as _dt
 import decimal
 import hashlib
 import math
+import os
 
 import duckdb
 
@@ -36,7 +37,7 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return float(f"{v:.9g}")
+        return v if os.environ.get("ORACLE_STRICT") else float(f"{v:.9g}")
     if isinstance(v, _dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, _dt.date):
