@@ -118,3 +118,17 @@ def real_over_seed(real: DataFrame, seed: DataFrame, min_real_rows: int | None =
 def valid_price_rows(prices: DataFrame) -> DataFrame:
     """M8 for prices: keep rows with a price > 0 (others are rejected)."""
     return prices.filter(F.col("precio") > 0)
+
+
+def price_edits(edits: DataFrame, day) -> tuple[DataFrame, DataFrame]:
+    """M6 (+M8): single price edits (ingrediente, supermercado, precio[, producto]) as
+    price rows: product defaults to the ingredient, the row is stamped with ``day``;
+    edits with a price <= 0 are rejected. Returns (rows, rejected); the caller merges
+    the rows by (ingrediente, supermercado) with M1."""
+    from mise.operators.mutations import price_checks, split_valid
+    prod = F.col("producto") if "producto" in edits.columns else F.lit(None).cast("string")
+    rows = edits.select(
+        "ingrediente", "supermercado", F.coalesce(prod, F.col("ingrediente")).alias("producto"),
+        F.lit(None).cast("string").alias("presentacion"), F.col("precio").cast(MONEY).alias("precio"),
+        F.lit("").alias("url"), F.lit(day).cast("date").alias("fecha_scrape"))
+    return split_valid(rows, price_checks())

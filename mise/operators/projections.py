@@ -157,3 +157,13 @@ def apply_forecast(proj: DataFrame, forecast: DataFrame) -> DataFrame:
     return j.select("id", "dish_id", F.col("projected_units").alias("old_units"),
                     F.coalesce("forecast_units", keep).cast("int").alias("projected_units"),
                     F.col("forecast_units").isNotNull().alias("from_forecast"))
+
+
+def bulk_recost(proj: DataFrame, changes: DataFrame, items: DataFrame, ing: DataFrame,
+                stamp=None) -> DataFrame:
+    """A19 bulk form: only the changed rows (id, dish_id, projected_units) are re-costed
+    for their new units and patched onto the projections (M2); the rest is kept."""
+    from mise.operators.mutations import patch
+    costed = recost_projections(changes.select("id", "dish_id", "projected_units"), items, ing)
+    cols = ["projected_units", "unit_cost", "estimated_qty", "estimated_cost"]
+    return patch(proj, costed, ["id"], cols, stamp_col="updated_at", stamp=stamp)

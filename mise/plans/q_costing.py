@@ -229,3 +229,18 @@ def p19_suggested_prices(spark, sf):
     c = F.col("cost").cast("decimal(20,2)")
     return p.select("recipe_id", "cost", F.round(c * 2, 2).cast("double").alias("price_2x"),
                     F.round(c * 3, 2).cast("double").alias("price_3x"))
+
+
+@query("a9_persist_costs", with_views(f"""
+SELECT m.id, m.dish_name, CAST(round(coalesce(c.raw, 0) + m.overhead_cost, 2) AS DOUBLE) AS cost_total,
+       DATE '{AS_OF}' AS updated_at
+FROM menu_board m LEFT JOIN ({RAW_COST_SQL}) c ON c.dish_id = m.id""", *COSTING_VIEWS))
+def a9_persist_costs(spark, sf):
+    """A9 persisted: the final cost patched onto every dish's cost_total (M2)."""
+    from mise.operators.mutations import patch
+    t = Tables.of(spark, sf)
+    costs = C.dish_cost_report(t.menu, t.items, t.ing).select(
+        F.col("dish_id").alias("id"), F.col("final_cost").cast("decimal(10,2)").alias("cost_total"))
+    out = patch(t.menu, costs, ["id"], ["cost_total"], stamp_col="updated_at",
+                stamp=F.lit(AS_OF).cast("date"))
+    return out.select("id", "dish_name", F.col("cost_total").cast("double").alias("cost_total"), "updated_at")

@@ -119,3 +119,47 @@ def u1_prices_with_seed_rule(spark, sf):
     t = Tables.of(spark, sf)
     real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
     return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY))
+
+
+@query("m6_price_edits", with_views("""
+WITH e AS (SELECT p_name || ' #' || CAST(p_partkey AS VARCHAR) AS ingrediente,
+                  CASE WHEN p_partkey % 2 = 0 THEN 'Makro' ELSE 'Éxito' END AS supermercado,
+                  CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE 'edit ' || CAST(p_partkey AS VARCHAR) END AS producto,
+                  CAST(CASE WHEN p_partkey % 33 = 0 THEN 0 ELSE p_retailprice END AS DECIMAL(12,2)) AS precio
+           FROM part WHERE p_partkey % 11 = 0),
+cur AS (SELECT ingrediente, supermercado, producto, precio, fecha_scrape FROM precios_competencia
+        WHERE fecha_scrape = DATE '2024-01-15'),
+ok AS (SELECT ingrediente, supermercado, coalesce(producto, ingrediente) AS producto, precio,
+              DATE '2024-01-20' AS fecha_scrape FROM e WHERE precio > 0)
+SELECT coalesce(c.ingrediente, o.ingrediente) AS ingrediente, coalesce(c.supermercado, o.supermercado) AS supermercado,
+       CASE WHEN o.ingrediente IS NOT NULL THEN o.producto ELSE c.producto END AS producto,
+       CAST(CASE WHEN o.ingrediente IS NOT NULL THEN o.precio ELSE c.precio END AS DOUBLE) AS precio,
+       CASE WHEN o.ingrediente IS NOT NULL THEN o.fecha_scrape ELSE c.fecha_scrape END AS fecha_scrape
+FROM cur c FULL OUTER JOIN ok o ON o.ingrediente = c.ingrediente AND o.supermercado = c.supermercado""",
+                                    "precios_competencia"))
+def m6_price_edits(spark, sf):
+    """M6: price edits from the price screen merged into the day's prices by
+    (ingredient, store); product defaults to the ingredient; price 0 is rejected (M8)."""
+    from mise.operators.mutations import upsert
+    from mise.sources.adapters import ingredient_name
+    t = Tables.of(spark, sf)
+    pk = F.col("p_partkey")
+    edits = t.raw("part").filter(pk % 11 == 0).select(
+        ingredient_name(pk, F.col("p_name")).alias("ingrediente"),
+        F.when(pk % 2 == 0, "Makro").otherwise("Éxito").alias("supermercado"),
+        F.when(pk % 4 != 0, F.concat(F.lit("edit "), pk.cast("string"))).alias("producto"),
+        F.when(pk % 33 == 0, F.lit(0)).otherwise(F.col("p_retailprice")).cast("decimal(12,2)").alias("precio"))
+    rows, _rejected = PR.price_edits(edits, "2024-01-20")
+    cur = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date")).select(
+        "ingrediente", "supermercado", "producto", "precio", "fecha_scrape")
+    out = upsert(cur, rows.select("ingrediente", "supermercado", "producto", "precio", "fecha_scrape"),
+                 ["ingrediente", "supermercado"])
+    return out.withColumn("precio", F.col("precio").cast("double"))
+
+
+@query("t6_preview_first8", with_views("SELECT * FROM menu_board ORDER BY id LIMIT 8", "menu_board"))
+def t6_preview_first8(spark, sf):
+    """The table browser's 8-row preview (S11 + limit)."""
+    from mise.sources.loaders import browse
+    t = Tables.of(spark, sf)
+    return browse({"menu_board": t.menu}, "menu_board").orderBy("id").limit(8)

@@ -122,3 +122,27 @@ FROM projection_rows p LEFT JOIN ({FORECAST_SQL}) fc ON fc.dish_id = p.dish_id""
 def g2_apply_forecast(spark, sf):
     t = Tables.of(spark, sf)
     return P.apply_forecast(t.proj_rows, _forecast(t))
+
+
+@query("a19_bulk_recost_changes", with_views(f"""
+WITH chg AS (SELECT id, dish_id, projected_units + 10 AS projected_units FROM projection_rows WHERE id % 3 = 0)
+SELECT p.id, p.dish_id, coalesce(chg.projected_units, p.projected_units) AS projected_units,
+       CASE WHEN chg.id IS NOT NULL THEN CAST(coalesce(c.uc, 0) AS DOUBLE) END AS unit_cost,
+       CASE WHEN chg.id IS NOT NULL THEN CAST(round(coalesce(c.g, 0) * chg.projected_units, 2) AS DOUBLE) END
+         AS estimated_qty,
+       CASE WHEN chg.id IS NOT NULL THEN CAST(round(coalesce(c.uc, 0) * chg.projected_units, 2) AS DOUBLE) END
+         AS estimated_cost,
+       CASE WHEN chg.id IS NOT NULL THEN DATE '{AS_OF}' END AS updated_at
+FROM projection_rows p LEFT JOIN chg ON chg.id = p.id LEFT JOIN ({COST_INFO_SQL}) c ON c.dish_id = p.dish_id""",
+                                             *VIEWS))
+def a19_bulk_recost_changes(spark, sf):
+    """A19 bulk: rows whose units changed are re-costed and patched; others untouched."""
+    from pyspark.sql import types as T
+    t = Tables.of(spark, sf)
+    base = t.proj_rows.select("id", "dish_id", "projected_units",
+                              *[F.lit(None).cast(T.DoubleType()).alias(c)
+                                for c in ("unit_cost", "estimated_qty", "estimated_cost")],
+                              F.lit(None).cast("date").alias("updated_at"))
+    changes = t.proj_rows.filter(F.col("id") % 3 == 0).select(
+        "id", "dish_id", (F.col("projected_units") + 10).alias("projected_units"))
+    return P.bulk_recost(base, changes, t.items, t.ing, stamp=F.lit(AS_OF).cast("date"))
