@@ -25,17 +25,21 @@ MIN_REAL_ROWS = 100
 
 def price_pivot(ing: DataFrame, prices: DataFrame) -> DataFrame:
     """A21 (+J2): per ingredient with cost > 0, round(avg price, 0) per store over all
-    dates; stores without rows stay NULL."""
+    dates; stores without rows stay NULL.
+
+    The price fact is aggregated first - one row per ingredient, four conditional
+    averages, partially aggregated map-side - and only that ingredient-sized result
+    meets the ingredient table (names are unique, D13, so this equals grouping after
+    the join)."""
+    avgs = prices.groupBy(F.col("ingrediente").alias("name")).agg(*[
+        F.avg(F.when(F.col("supermercado") == s, F.col("precio"))).alias(c)
+        for s, c in zip(STORES, STORE_COLUMNS)])
     i = ing.filter(F.col("cost") > 0).select("name", "supplier", "cost")
-    p = prices.select(F.col("ingrediente").alias("name"), "supermercado", "precio")
-    j = i.join(p, "name", "left")
-    pv = (j.groupBy("name", "supplier", "cost")
-          .pivot("supermercado", STORES)
-          .agg(F.round(F.avg("precio"), 0)))
-    return pv.select(
+    j = i.join(avgs, "name", "left")
+    return j.select(
         F.col("name").alias("ingrediente"), F.col("supplier").alias("proveedor"),
         F.round("cost", 0).cast("double").alias("nuestro_costo"),
-        *[F.col(f"`{s}`").cast("double").alias(c) for s, c in zip(STORES, STORE_COLUMNS)])
+        *[F.round(c, 0).cast("double").alias(c) for c in STORE_COLUMNS])
 
 
 def price_latest(prices: DataFrame) -> DataFrame:
@@ -48,8 +52,10 @@ def price_latest(prices: DataFrame) -> DataFrame:
 def competitor_grid(ing: DataFrame, prices: DataFrame) -> DataFrame:
     """J16 + P20: one row per priced ingredient (or every ingredient when there are
     no prices at all), our cost, the latest price per store and its cell class."""
-    latest = price_latest(prices)
-    wide = latest.groupBy("ingrediente").pivot("supermercado", STORES).agg(F.first("precio"))
+    # latest price per store in one aggregate: max_by over the store's own rows only
+    wide = prices.groupBy("ingrediente").agg(*[
+        F.max_by("precio", F.when(F.col("supermercado") == s, F.col("fecha_scrape"))).alias(c)
+        for s, c in zip(STORES, STORE_COLUMNS)])
     # EXISTS subquery: stops at the first price row
     names = (prices.select(F.col("ingrediente").alias("name")).distinct()
              .unionByName(ing.filter(~prices.exists()).select("name")))
@@ -58,9 +64,8 @@ def competitor_grid(ing: DataFrame, prices: DataFrame) -> DataFrame:
         wide.withColumnRenamed("ingrediente", "name"), "name", "left")
     cost = F.coalesce(F.col("cost"), F.lit(0))
     cols = []
-    for s, c in zip(STORES, STORE_COLUMNS):
-        cols += [F.col(f"`{s}`").cast("double").alias(c),
-                 price_cell(F.col(f"`{s}`"), cost).alias(f"{c}_class")]
+    for c in STORE_COLUMNS:
+        cols += [F.col(c).cast("double").alias(c), price_cell(F.col(c), cost).alias(f"{c}_class")]
     return j.select("name", F.coalesce("measure", F.lit("")).alias("measure"),
                     cost.cast("double").alias("nuestro_costo"), *cols)
 
