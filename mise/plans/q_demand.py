@@ -7,7 +7,6 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from mise.operators import demand as D
-from mise.operators.projections import recost_projections
 from mise.plans.oracle_views import with_views
 from mise.plans.registry import AS_OF, Tables, query
 

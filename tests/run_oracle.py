@@ -2,7 +2,7 @@
 import os, sys, time
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-from harness import duck, compare, rows_of_spark
+from harness import duck, compare
 import __spark_entry__ as E
 from mise.session import get_spark
 

@@ -8,7 +8,6 @@ import glob
 import os
 from decimal import Decimal as D
 
-from pyspark.sql import functions as F
 
 from mise.sources import sinks as K
 from mise.streaming import tickets as R

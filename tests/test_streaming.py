@@ -14,7 +14,6 @@ import datetime as dt
 import os
 from decimal import Decimal as D
 
-import pytest
 from pyspark.sql import functions as F
 
 from mise.operators import sales as S
