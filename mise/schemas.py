@@ -68,8 +68,8 @@ TABLES = {
     "ingredient_table": INGREDIENT, "menu_board": MENU_BOARD, "menu_recipe_items": MENU_RECIPE_ITEMS,
     "nutrition_table": NUTRITION, "daily_sales": DAILY_SALES, "sale_items": SALE_ITEMS,
     "sales_projections": SALES_PROJECTIONS, "precios_competencia": PRECIOS_COMPETENCIA,
-    "fudness_products": CATALOG_PRODUCTS, "fudness_orders": CATALOG_ORDERS,
-    "fudness_sync_log": SYNC_LOG, "recipe_table": RECIPE, "recipe_ingredients_table": RECIPE_INGREDIENT,
+    "catalog_products": CATALOG_PRODUCTS, "catalog_orders": CATALOG_ORDERS,
+    "catalog_sync_log": SYNC_LOG, "recipe_table": RECIPE, "recipe_ingredients_table": RECIPE_INGREDIENT,
     "user_profiles": USER_PROFILES,
 }
 

@@ -48,7 +48,7 @@ NUTRITION_MEASURES = [
 INGREDIENT_SHEET = ["classification", "name", "brand", "supplier", "presentation", "cost", "qty"]
 
 # Tables the browser may show.
-BROWSABLE = ["fudness_products", "ingredient_table", "menu_board", "menu_recipe_items",
+BROWSABLE = ["catalog_products", "ingredient_table", "menu_board", "menu_recipe_items",
              "nutrition_table"]
 
 
