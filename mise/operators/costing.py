@@ -195,6 +195,26 @@ def recipes_with_items(recipes: DataFrame, lines: DataFrame, ing: DataFrame) ->
         "ingredients")
 
 
+def recipe_summary(recipes: DataFrame, lines: DataFrame, ing: DataFrame) -> DataFrame:
+    """J6/J7 as bounded aggregates per recipe (a hot recipe never becomes one row of
+    unbounded size): line count, first and last ingredient name, total name length,
+    and the lines whose ingredient is unknown."""
+    names = ing.select(F.col("name").alias("ingredient_name"), F.lit(True).alias("_known"))
+    j = lines.join(names, "ingredient_name", "left")
+    agg = j.groupBy("recipe_id").agg(
+        F.count(F.lit(1)).alias("n_ingredients"),
+        F.min("ingredient_name").alias("first_ingredient"),
+        F.max("ingredient_name").alias("last_ingredient"),
+        F.sum(F.length("ingredient_name")).alias("name_chars"),
+        F.count_if(F.col("_known").isNull()).alias("unknown_ingredients"))
+    out = recipes.select("recipe_id", "recipe_name").join(agg, "recipe_id", "left")
+    return out.select("recipe_id", "recipe_name",
+                      F.coalesce("n_ingredients", F.lit(0)).alias("n_ingredients"),
+                      "first_ingredient", "last_ingredient",
+                      F.coalesce("name_chars", F.lit(0)).cast("bigint").alias("name_chars"),
+                      F.coalesce("unknown_ingredients", F.lit(0)).alias("unknown_ingredients"))
+
+
 def profitability(menu: DataFrame, items: DataFrame, ing: DataFrame, sales: DataFrame,
                   sale_items: DataFrame, since) -> DataFrame:
     """Per dish raw cost, price, units sold since ``since`` (J11/J12), line count.

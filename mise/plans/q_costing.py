@@ -146,16 +146,19 @@ def a14_have_need_pct(spark, sf):
 
 @query("j7_recipes_with_items", with_views("""
 SELECT m.id AS recipe_id, m.dish_name AS recipe_name, coalesce(x.n, 0) AS n_ingredients,
-       coalesce(x.names, '') AS ingredient_names
+       x.first_name AS first_ingredient, x.last_name AS last_ingredient,
+       coalesce(x.chars, 0) AS name_chars, coalesce(x.unknown, 0) AS unknown_ingredients
 FROM menu_board m LEFT JOIN (
-  SELECT r.dish_id, count(*) AS n,
-         string_agg(r.ingredient_name, '|' ORDER BY r.ingredient_name, r.quantity_grams) AS names
+  SELECT r.dish_id, count(*) AS n, min(r.ingredient_name) AS first_name, max(r.ingredient_name) AS last_name,
+         sum(length(r.ingredient_name)) AS chars, count(*) FILTER (WHERE i.name IS NULL) AS unknown
   FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name
   GROUP BY r.dish_id) x ON x.dish_id = m.id""", *COSTING_VIEWS))
 def j7_recipes_with_items(spark, sf):
+    """J6/J7 summary per recipe: line count, first/last ingredient, unknown ingredients.
+    Bounded aggregates only; the nested list itself is ``costing.recipes_with_items``."""
     t = Tables.of(spark, sf)
     recipes, lines = _recipes(t)
-    return C.recipes_with_items(recipes, lines, t.ing).drop("ingredients")
+    return C.recipe_summary(recipes, lines, t.ing)
 
 
 @query("a29_dish_stock_flags", with_views("""
