@@ -46,11 +46,25 @@ def read_ticket_files(spark: SparkSession, path: str, files_per_trigger: int = 1
             .option("maxFilesPerTrigger", files_per_trigger).parquet(path))
 
 
+def _line_keys(df: DataFrame) -> list[str]:
+    """A ticket line is identified by the ticket id, plus its line number when the
+    stream carries several lines per ticket."""
+    return ["ticket_id"] + (["line_no"] if "line_no" in df.columns else [])
+
+
 def dedupe(stream: DataFrame, delay: str = "1 day") -> DataFrame:
-    """R2: watermark on the event time, then at most one row per ticket id."""
+    """R2: watermark on the event time, then at most one row per ticket line (a
+    retried ticket is booked once; rows older than the watermark are dropped)."""
     return (stream.withColumn("ts", F.col("ts").cast("timestamp"))
             .withWatermark("ts", delay)
-            .dropDuplicatesWithinWatermark(["ticket_id"]))
+            .dropDuplicatesWithinWatermark(_line_keys(stream)))
+
+
+def _ticket_count(df: DataFrame) -> F.Column:
+    """Tickets = their first lines when lines are numbered, else one row per ticket."""
+    if "line_no" in df.columns:
+        return F.count_if(F.col("line_no") == 1)
+    return F.count(F.lit(1))
 
 
 def day_totals(stream: DataFrame, delay: str = "1 day") -> DataFrame:
@@ -58,15 +72,15 @@ def day_totals(stream: DataFrame, delay: str = "1 day") -> DataFrame:
     d = dedupe(stream, delay)
     return d.groupBy(F.window("ts", "1 day").alias("w")).agg(
         F.sum("quantity").cast("bigint").alias("units"),
-        F.count(F.lit(1)).alias("tickets")).select(
+        _ticket_count(d).alias("tickets")).select(
         F.to_date(F.col("w.start")).alias("day"), "units", "tickets")
 
 
 def day_totals_batch(lines: DataFrame) -> DataFrame:
     """R1 batch twin: the same totals over a static, de-duplicated frame."""
-    d = lines.dropDuplicates(["ticket_id"])
+    d = lines.dropDuplicates(_line_keys(lines))
     return d.groupBy(F.to_date("ts").alias("day")).agg(
-        F.sum("quantity").cast("bigint").alias("units"), F.count(F.lit(1)).alias("tickets"))
+        F.sum("quantity").cast("bigint").alias("units"), _ticket_count(d).alias("tickets"))
 
 
 def grams_used(stream: DataFrame, items: DataFrame, delay: str = "1 day") -> DataFrame:

@@ -111,3 +111,29 @@ def test_running_stock_equals_batch_depletion(spark, tmp):
     want = {r["name"]: r["count_after"] for r in S.deplete_stock(ing_full, priced, totals, items).collect()}
     assert got == {k: v for k, v in want.items() if k in got}
     assert got["salt"] == 0.0 and "flour" not in got
+
+
+def test_multi_line_tickets_keep_all_lines(spark, tmp):
+    """Two-line tickets: both lines count as units, the ticket counts once, and a
+    replayed line is dropped."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    src, sink, ckpt = (os.path.join(tmp, x) for x in ("src", "sink", "ckpt"))
+    os.makedirs(src)
+    schema = pa.schema([("ticket_id", pa.int64()), ("line_no", pa.int32()),
+                        ("ts", pa.timestamp("us", tz="UTC")), ("dish_id", pa.int64()), ("quantity", pa.int32())])
+    utc = dt.timezone.utc
+    batches = [[(1, 1, dt.datetime(2024, 1, 1, 9, tzinfo=utc), 5, 2), (1, 2, dt.datetime(2024, 1, 1, 9, tzinfo=utc), 10, 1)],
+               [(1, 2, dt.datetime(2024, 1, 1, 9, tzinfo=utc), 10, 1), (2, 1, dt.datetime(2024, 1, 3, 9, tzinfo=utc), 5, 1)]]
+    for k, rows in enumerate(batches):
+        pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema),
+                       os.path.join(src, f"f{k}.parquet"))
+        os.utime(os.path.join(src, f"f{k}.parquet"), (1_700_000_000 + k, 1_700_000_000 + k))
+    from pyspark.sql import types as T
+    stream_schema = T.StructType(R.TICKET_SCHEMA.fields[:1] + [T.StructField("line_no", T.IntegerType())]
+                                 + R.TICKET_SCHEMA.fields[1:])
+    stream = spark.readStream.schema(stream_schema).option("maxFilesPerTrigger", 1).parquet(src)
+    q = R.start_day_totals(stream, sink, ckpt)
+    q.awaitTermination(120)
+    got = [tuple(r) for r in spark.read.parquet(sink).collect()]
+    assert got == [(dt.date(2024, 1, 1), 3, 1)]
