@@ -124,12 +124,12 @@ def recipe_size(items: DataFrame) -> DataFrame:
 
 
 def check_recipes(recipes: DataFrame, lines: DataFrame, ing: DataFrame) -> DataFrame:
-    """A13 + A14 for all recipes at once.
+    """A13 for all recipes at once (the per-line view with A14 is ``recipe_check_lines``).
 
     ``recipes``: recipe_id, recipe_name. ``lines``: recipe_id, ingredient_name,
     quantity_needed. An unknown ingredient has stock 0 and cost 0 and is flagged (D14).
-    Per recipe: total cost, missing cost, number of missing lines, all_available, and
-    the have/need percentage capped at 100 (averaged over lines).
+    Per recipe: total cost, missing cost (both round 2), line count, missing lines,
+    unknown ingredients and all_available. Recipes without lines are all available.
     """
     stock = ing.select(F.col("name").alias("ingredient_name"), "count", "cost")
     j = lines.join(stock, "ingredient_name", "left")

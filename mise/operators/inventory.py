@@ -1,8 +1,8 @@
-"""Inventory reports (A1-A3, A24, A25, A30, A32; P8-P16; T1-T3, T5, T7; W1; K3 frame).
+"""Inventory reports (A1-A3, A24, A30; P8-P14; T1-T3, T5, T7; W1, W4).
 
 Every report is one scan of the ingredient (or menu) table followed by a hash
-aggregate or a top-k (``TakeOrderedAndProject``). Global figures (the stock-bar
-maximum, page clamping) are scalar subqueries, never a one-partition window.
+aggregate or a top-k (``TakeOrderedAndProject``). The stock-bar maximum is a scalar
+subquery, never a one-partition window; the page clamp (T7) takes one row count.
 Top-k reports carry a unique tie-break so that results are repeatable.
 """
 

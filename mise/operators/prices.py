@@ -1,8 +1,9 @@
 """Competitor prices.
 
-Price snapshots are a fact table partitioned by ``fecha_scrape``; the ingredient
-table is the dimension. The pivot lists its four store values, so Spark runs one
-aggregation pass without a job to discover the pivot values.
+Price snapshots are a fact table (written partitioned by ``fecha_scrape``, K2); the
+ingredient table is the dimension. The per-store columns are conditional aggregates
+over the four listed stores: one aggregation pass per ingredient, reduced map-side,
+before the fact meets the dimension.
 
 Seed prices (G3) need a random factor u in [0, 1). The reference draws it from a
 seeded sequence that depends on row order and cannot run in parallel; here u comes
