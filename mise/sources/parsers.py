@@ -9,14 +9,16 @@ Arrow batches with the standard library's ``html.parser`` - one small helper per
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mise.functions.expr import MONEY, store_price_text
+from mise.sources import html_nodes
+
+# The HTML helper travels to the Python workers by value (no package install needed).
+cloudpickle.register_pickle_by_value(html_nodes)
 
 # The web domain of each JSON-searchable store.
 STORE_DOMAINS = {"Olímpica": "www.olimpica.com", "Carulla": "www.carulla.com", "Éxito": "www.exito.com"}
@@ -71,83 +73,17 @@ def parse_store_json(df: DataFrame, day=None) -> DataFrame:
 
 
 # ----------------------------------------------------------------- S5 store search HTML
-class _ProductPage(HTMLParser):
-    """Collects up to ``limit`` product nodes: (name, price text, link)."""
-
-    def __init__(self, limit: int = 3):
-        super().__init__(convert_charrefs=True)
-        self.limit, self.products = limit, []
-        self.stack: list[tuple[str, set]] = []
-        self.cur = None          # the open product node: [depth, name, price, link]
-        self.field = None        # ('name' | 'price', depth) being read
-
-    def handle_starttag(self, tag, attrs):
-        a = dict(attrs)
-        cls = set((a.get("class") or "").split())
-        self.stack.append((tag, cls))
-        depth = len(self.stack)
-        if self.cur is None:
-            if len(self.products) < self.limit and ("product-item" in cls or {"item", "product"} <= cls):
-                self.cur = [depth, None, None, None]
-            return
-        in_name_box = any({"product", "name"} <= c for _, c in self.stack[:-1])
-        if self.field is None and self.cur[1] is None and (
-                "product-item-link" in cls or (tag == "a" and in_name_box)):
-            self.field = ("name", depth, [])
-        elif self.field is None and self.cur[2] is None and "price" in cls:
-            self.field = ("price", depth, [])
-        if tag == "a" and "product-item-link" in cls and self.cur[3] is None:
-            self.cur[3] = a.get("href") or ""
-
-    def handle_endtag(self, tag):
-        depth = len(self.stack)
-        if self.field is not None and depth == self.field[1]:
-            kind, _, buf = self.field
-            text = "".join(buf).strip()
-            self.cur[1 if kind == "name" else 2] = text
-            self.field = None
-        if self.cur is not None and depth == self.cur[0]:
-            self.products.append(tuple(self.cur[1:]))
-            self.cur = None
-        if self.stack:
-            self.stack.pop()
-
-    def handle_data(self, data):
-        if self.field is not None:
-            self.field[2].append(data)
-
-
-def _html_products(html: str | None) -> list[tuple]:
-    if not html:
-        return []
-    p = _ProductPage()
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # malformed page: keep what was read
-        pass
-    return p.products
-
-
 HTML_HITS = T.StructType([
     T.StructField("ingrediente", T.StringType()), T.StructField("supermercado", T.StringType()),
     T.StructField("rank", T.IntegerType()), T.StructField("name", T.StringType()),
     T.StructField("price_text", T.StringType()), T.StructField("link", T.StringType())])
 
 
-def _extract_batches(batches):
-    for pdf in batches:
-        rows = []
-        for ing, sm, html in zip(pdf["ingrediente"], pdf["supermercado"], pdf["html"]):
-            for rank, (name, price, link) in enumerate(_html_products(html), 1):
-                rows.append((ing, sm, rank, name, price, link))
-        yield pd.DataFrame(rows, columns=[f.name for f in HTML_HITS.fields])
-
-
 def parse_store_html(df: DataFrame, day=None) -> DataFrame:
     """Product nodes of a store results page (first 3); price text by F5; the first
     node with a name and a price wins. Input: ingrediente, supermercado, html."""
-    hits = df.select("ingrediente", "supermercado", "html").mapInPandas(_extract_batches, HTML_HITS)
+    hits = df.select("ingrediente", "supermercado", "html").mapInPandas(
+        html_nodes.extract_batches, HTML_HITS)
     hits = hits.withColumn("precio", store_price_text("price_text")).filter(
         F.col("precio").isNotNull() & (F.col("precio") != 0) & (F.coalesce("name", F.lit("")) != ""))
     first = hits.groupBy("ingrediente", "supermercado").agg(
