@@ -44,6 +44,8 @@ class Tables:
         key = (id(spark), sf_dir)
         t = cls._shared.get(key)
         if t is None or t.spark is not spark:
+            # views of another (older) session are dropped, not kept alive
+            cls._shared = {k: v for k, v in cls._shared.items() if v.spark is spark}
             t = cls._shared[key] = cls(spark, sf_dir)
         return t
 

@@ -42,6 +42,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     hit = _READS.get((id(spark), path))
     if hit is None or hit[0] is not spark:
+        for k in [k for k, v in _READS.items() if v[0] is not spark]:
+            del _READS[k]   # reads of another (older) session
         hit = _READS[(id(spark), path)] = (spark, spark.read.parquet(path))
     return hit[1]
 
