@@ -147,7 +147,7 @@ def a14_have_need_pct(spark, sf):
 @query("j7_recipes_with_items", with_views("""
 SELECT m.id AS recipe_id, m.dish_name AS recipe_name, coalesce(x.n, 0) AS n_ingredients,
        x.first_name AS first_ingredient, x.last_name AS last_ingredient,
-       coalesce(x.chars, 0) AS name_chars, coalesce(x.unknown, 0) AS unknown_ingredients
+       CAST(coalesce(x.chars, 0) AS BIGINT) AS name_chars, coalesce(x.unknown, 0) AS unknown_ingredients
 FROM menu_board m LEFT JOIN (
   SELECT r.dish_id, count(*) AS n, min(r.ingredient_name) AS first_name, max(r.ingredient_name) AS last_name,
          sum(length(r.ingredient_name)) AS chars, count(*) FILTER (WHERE i.name IS NULL) AS unknown

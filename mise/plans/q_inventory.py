@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mise.functions.expr import normalise_class
 from mise.operators import inventory as I
 from mise.plans.oracle_views import with_views
-from mise.plans.registry import AS_OF, Tables, query
+from mise.plans.registry import AS_OF, Tables, decimals_as_double, query
 from mise.sources.sinks import inventory_export_frame
 
 ING = "ingredient_table"
@@ -114,15 +114,17 @@ def p10_stock_health(spark, sf):
 
 
 @query("p11_inventory_filter_low", with_views("""
-SELECT * FROM ingredient_table WHERE lower(name) LIKE '%bolt%' AND count < 5""", ING))
+SELECT * REPLACE (CAST(count AS DOUBLE) AS count, CAST(cost AS DOUBLE) AS cost, CAST(min_stock AS DOUBLE) AS min_stock)
+FROM ingredient_table WHERE lower(name) LIKE '%bolt%' AND count < 5""", ING))
 def p11_inventory_filter_low(spark, sf):
-    return I.inventory_filter(Tables.of(spark, sf).ing, "Bolt", "low")
+    return decimals_as_double(I.inventory_filter(Tables.of(spark, sf).ing, "Bolt", "low"))
 
 
 @query("p11_inventory_filter_ok", with_views("""
-SELECT * FROM ingredient_table WHERE lower(name) LIKE '%red%' AND count >= 5""", ING))
+SELECT * REPLACE (CAST(count AS DOUBLE) AS count, CAST(cost AS DOUBLE) AS cost, CAST(min_stock AS DOUBLE) AS min_stock)
+FROM ingredient_table WHERE lower(name) LIKE '%red%' AND count >= 5""", ING))
 def p11_inventory_filter_ok(spark, sf):
-    return I.inventory_filter(Tables.of(spark, sf).ing, "RED", "ok")
+    return decimals_as_double(I.inventory_filter(Tables.of(spark, sf).ing, "RED", "ok"))
 
 
 @query("p12_row_totals", with_views("""
@@ -132,7 +134,7 @@ def p12_row_totals(spark, sf):
 
 
 @query("p13_row_search", with_views("""
-SELECT * FROM ingredient_table
+SELECT * REPLACE (CAST(count AS DOUBLE) AS count, CAST(cost AS DOUBLE) AS cost, CAST(min_stock AS DOUBLE) AS min_stock) FROM ingredient_table
 WHERE lower(coalesce(CAST(name AS VARCHAR), '')) LIKE '%brand#1%'
    OR lower(coalesce(CAST(count AS VARCHAR), '')) LIKE '%brand#1%'
    OR lower(coalesce(CAST(cost AS VARCHAR), '')) LIKE '%brand#1%'
@@ -143,7 +145,7 @@ WHERE lower(coalesce(CAST(name AS VARCHAR), '')) LIKE '%brand#1%'
    OR lower(coalesce(presentation, '')) LIKE '%brand#1%'
    OR lower(coalesce(CAST(min_stock AS VARCHAR), '')) LIKE '%brand#1%'""", ING))
 def p13_row_search(spark, sf):
-    return I.row_search(Tables.of(spark, sf).ing, "Brand#1")
+    return decimals_as_double(I.row_search(Tables.of(spark, sf).ing, "Brand#1"))
 
 
 @query("p14_name_search", with_views("""
@@ -204,20 +206,21 @@ WITH n AS (SELECT count(*) AS total FROM ingredient_table),
      p AS (SELECT least(greatest({page_no}, 1), greatest(1, CAST(ceil(total / 10.0) AS BIGINT))) AS pg,
                   total FROM n),
      r AS (SELECT i.*, row_number() OVER (ORDER BY name) AS rn FROM ingredient_table i)
-SELECT r.name, r.count, r.cost, r.measure, r.classification, r.brand, r.supplier, r.presentation,
-       r.min_stock, CAST(p.pg AS INTEGER) AS page, CAST((p.pg - 1) * 10 + 1 AS INTEGER) AS from_row,
+SELECT r.name, CAST(r.count AS DOUBLE) AS count, CAST(r.cost AS DOUBLE) AS cost, r.measure,
+       r.classification, r.brand, r.supplier, r.presentation,
+       CAST(r.min_stock AS DOUBLE) AS min_stock, CAST(p.pg AS INTEGER) AS page, CAST((p.pg - 1) * 10 + 1 AS INTEGER) AS from_row,
        CAST(least(p.pg * 10, p.total) AS INTEGER) AS to_row, p.total AS total
 FROM r, p WHERE r.rn > (p.pg - 1) * 10 AND r.rn <= p.pg * 10""", ING)
 
 
 @query("t7_inventory_page", _page_sql(3))
 def t7_inventory_page(spark, sf):
-    return I.page(Tables.of(spark, sf).ing, ["name"], 3)
+    return decimals_as_double(I.page(Tables.of(spark, sf).ing, ["name"], 3))
 
 
 @query("t7_inventory_page_clamped", _page_sql(100000))
 def t7_inventory_page_clamped(spark, sf):
-    return I.page(Tables.of(spark, sf).ing, ["name"], 100000)
+    return decimals_as_double(I.page(Tables.of(spark, sf).ing, ["name"], 100000))
 
 
 @query("a24_suppliers", with_views("""

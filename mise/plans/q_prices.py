@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mise.operators import prices as PR
 from mise.plans.oracle_views import with_views
-from mise.plans.registry import Tables, query
+from mise.plans.registry import Tables, decimals_as_double, query
 
 PRICE_DAY = "2024-01-15"  # the newest scrape day of the fixture = "today" of the price job
 
@@ -34,11 +34,11 @@ def t6_price_pivot_first30(spark, sf):
 
 
 @query("a22_price_latest", with_views("""
-SELECT ingrediente, supermercado, CAST(arg_max(precio, fecha_scrape) AS DECIMAL(12,2)) AS precio,
+SELECT ingrediente, supermercado, CAST(arg_max(precio, fecha_scrape) AS DOUBLE) AS precio,
        max(fecha_scrape) AS fecha_scrape
 FROM precios_competencia GROUP BY 1, 2""", "precios_competencia"))
 def a22_price_latest(spark, sf):
-    return PR.price_latest(Tables.of(spark, sf).prices)
+    return decimals_as_double(PR.price_latest(Tables.of(spark, sf).prices))
 
 
 def _cell(col: str) -> str:
@@ -88,29 +88,30 @@ FROM ingredient_table i, (VALUES ('Olímpica'), ('Carulla'), ('Éxito'), ('Makro
 WHERE i.cost > 0"""
 
 
-@query("g3_seed_prices", with_views(SEED_SQL, "ingredient_table"))
+@query("g3_seed_prices", with_views("SELECT * REPLACE (CAST(precio AS DOUBLE) AS precio) FROM (" + SEED_SQL + ") s",
+                                   "ingredient_table"))
 def g3_seed_prices(spark, sf):
-    return PR.seed_prices(Tables.of(spark, sf).ing, PRICE_DAY)
+    return decimals_as_double(PR.seed_prices(Tables.of(spark, sf).ing, PRICE_DAY))
 
 
 REAL_SQL = f"SELECT * FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}'"
 
 
 @query("u1_real_over_seed_merge", with_views(f"""
-SELECT ingrediente, supermercado, producto, presentacion, precio, url, fecha_scrape FROM (
+SELECT ingrediente, supermercado, producto, presentacion, CAST(precio AS DOUBLE) AS precio, url, fecha_scrape FROM (
   SELECT *, row_number() OVER (PARTITION BY ingrediente, supermercado ORDER BY prio, producto, precio) AS rn
   FROM (SELECT *, 0 AS prio FROM ({REAL_SQL}) r UNION ALL SELECT *, 1 AS prio FROM ({SEED_SQL}) s) x) y
 WHERE rn = 1""", "ingredient_table", "precios_competencia"))
 def u1_real_over_seed_merge(spark, sf):
     t = Tables.of(spark, sf)
     real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
-    return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY), min_real_rows=None)
+    return decimals_as_double(PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY), min_real_rows=None))
 
 
 @query("u1_prices_with_seed_rule", with_views(f"""
-SELECT * FROM ({REAL_SQL}) r
+SELECT * REPLACE (CAST(precio AS DOUBLE) AS precio) FROM ({REAL_SQL}) r
 UNION ALL
-SELECT s.* FROM ({SEED_SQL}) s
+SELECT s.* REPLACE (CAST(s.precio AS DOUBLE) AS precio) FROM ({SEED_SQL}) s
 WHERE (SELECT count(*) FROM ({REAL_SQL}) r2) < 100
   AND NOT EXISTS (SELECT 1 FROM ({REAL_SQL}) r3
                   WHERE r3.ingrediente = s.ingrediente AND r3.supermercado = s.supermercado)""",
@@ -118,7 +119,7 @@ WHERE (SELECT count(*) FROM ({REAL_SQL}) r2) < 100
 def u1_prices_with_seed_rule(spark, sf):
     t = Tables.of(spark, sf)
     real = t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
-    return PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY))
+    return decimals_as_double(PR.real_over_seed(real, PR.seed_prices(t.ing, PRICE_DAY)))
 
 
 @query("m6_price_edits", with_views("""
@@ -157,9 +158,10 @@ def m6_price_edits(spark, sf):
     return out.withColumn("precio", F.col("precio").cast("double"))
 
 
-@query("t6_preview_first8", with_views("SELECT * FROM menu_board ORDER BY id LIMIT 8", "menu_board"))
+@query("t6_preview_first8", with_views("SELECT * REPLACE (CAST(cost_total AS DOUBLE) AS cost_total, CAST(overhead_cost AS DOUBLE) AS overhead_cost, CAST(sale_price AS DOUBLE) AS sale_price) FROM menu_board ORDER BY id LIMIT 8",
+                                      "menu_board"))
 def t6_preview_first8(spark, sf):
     """The table browser's 8-row preview (S11 + limit)."""
     from mise.sources.loaders import browse
     t = Tables.of(spark, sf)
-    return browse({"menu_board": t.menu}, "menu_board").orderBy("id").limit(8)
+    return decimals_as_double(browse({"menu_board": t.menu}, "menu_board").orderBy("id").limit(8))

@@ -14,7 +14,7 @@ from mise.sources import loaders as L
 from mise.sources import parsers as PS
 from mise.sources.adapters import ingredient_name
 from mise.plans.oracle_views import with_views
-from mise.plans.registry import Tables, query
+from mise.plans.registry import Tables, decimals_as_double, query
 
 PRICE_DAY = "2024-01-15"
 
@@ -55,7 +55,7 @@ def _comma(x: F.Column) -> F.Column:
 SELECT ingredient_name, classification, CAST(protein_g AS DOUBLE) AS protein_g, CAST(fat_g AS DOUBLE) AS fat_g,
        CAST(carbs_g AS DOUBLE) AS carbs_g, CAST(fiber_g AS DOUBLE) AS fiber_g,
        CAST(sodium_mg AS DOUBLE) AS sodium_mg, CAST(total_calories AS DOUBLE) AS total_calories,
-       CAST(total_calories AS DOUBLE) AS calories_usda, 0.0 AS calories_fat
+       CAST(total_calories AS DOUBLE) AS calories_usda, CAST(0 AS DOUBLE) AS calories_fat
 FROM nutrition_table
 WHERE NOT (CAST(regexp_extract(ingredient_name, '#([0-9]+)$', 1) AS BIGINT) % 9 = 0)""", "nutrition_table"))
 def s2_nutrition_sheet(spark, sf):
@@ -276,7 +276,7 @@ FROM pages""")
 def f10_page_excerpt(spark, sf):
     pages = Tables.of(spark, sf).raw("pages")
     return pages.select("page_id", X.excerpt("html").alias("excerpt"),
-                        F.length(X.strip_tags("html")).alias("text_chars"))
+                        F.length(X.strip_tags("html")).cast("bigint").alias("text_chars"))
 
 
 @query("f10_pg_array", """
@@ -362,11 +362,12 @@ def s10_ticket_payloads(spark, sf):
 
 
 # ------------------------------------------------------------------- S11 / F11
-@query("s11_browse_menu", with_views("SELECT * FROM menu_board", "menu_board"))
+@query("s11_browse_menu", with_views("SELECT * REPLACE (CAST(cost_total AS DOUBLE) AS cost_total, CAST(overhead_cost AS DOUBLE) AS overhead_cost, CAST(sale_price AS DOUBLE) AS sale_price) FROM menu_board", "menu_board"))
 def s11_browse_menu(spark, sf):
     t = Tables.of(spark, sf)
-    return L.browse({"menu_board": t.menu, "ingredient_table": t.ing,
-                     "menu_recipe_items": t.items, "nutrition_table": t.nut}, "menu_board")
+    return decimals_as_double(L.browse({"menu_board": t.menu, "ingredient_table": t.ing,
+                                        "menu_recipe_items": t.items, "nutrition_table": t.nut},
+                                       "menu_board"))
 
 
 @query("f11_day_of", with_views("""

@@ -18,6 +18,14 @@ AS_OF = A.AS_OF
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
+def decimals_as_double(df: DataFrame) -> DataFrame:
+    """Report form: decimal columns as double, so every engine prints them alike."""
+    from pyspark.sql import functions as F
+    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name)
+                       if f.dataType.typeName() == "decimal" else F.col(f"`{f.name}`")
+                       for f in df.schema.fields])
+
+
 def query(name: str, sql: str | None):
     def deco(fn):
         if name in REGISTRY:

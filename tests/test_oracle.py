@@ -26,8 +26,17 @@ def test_entry_runs(spark):
     assert "recipe_id" in df.columns
 
 
+# Spark type -> the DuckDB type the oracle must produce for the same column
+SAME_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = QUERIES[name](spark, SF_SMALL)
     problems = compare(df, con, ORACLE[name])
     assert not problems, "\n".join(problems)
+    rel = con.sql(ORACLE[name])
+    duck_types = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    for f in df.schema.fields:      # no decimals, timestamps or nested values in reports
+        assert SAME_TYPE.get(f.dataType.simpleString()) == duck_types[f.name], (name, f.name)
