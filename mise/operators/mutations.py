@@ -93,20 +93,40 @@ def restore_column(cur: DataFrame, snap: DataFrame, key: str, col: str) -> DataF
                       for c in cur.columns])
 
 
+def rank_within(df: DataFrame, group: str, order: str) -> DataFrame:
+    """0-based position of each row inside its ``group``, by ``order`` (unique per group),
+    without sorting a whole group in one task.
+
+    Rows are range-partitioned on (group, order), so a hot group is spread over many
+    partitions in order; the partition id is stored with a reliable checkpoint (in
+    the shared ``spark.checkpoint.dir``). The position is then the row number inside
+    (partition, group), plus the number of rows of the group in earlier partitions,
+    a running sum over the small (group, partition) count table."""
+    from pyspark.sql import Window
+    from mise.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    parts = (df.repartitionByRange(group, order).withColumn("_pid", F.spark_partition_id())
+             .checkpoint(eager=True))
+    local = parts.withColumn(
+        "_lrn", F.row_number().over(Window.partitionBy("_pid", group).orderBy(order)) - 1)
+    counts = parts.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    out = local.join(offsets, [group, "_pid"])
+    return out.withColumn("rank_in_group", F.col("_off") + F.col("_lrn")).drop("_pid", "_lrn", "_off")
+
+
 def append_dishes(menu: DataFrame, new: DataFrame, order_col: str = "id") -> DataFrame:
     """M7: new dishes go to the end of their category: sort_order = max in the
-    category + 1 (0 for a new category), then + 0, 1, 2 ... within the batch.
-
-    The batch is numbered with a window partitioned by category (bounded by the
-    batch size of one category); the current maxima are a grouped aggregate.
-    """
-    from pyspark.sql import Window
+    category + 1 (0 for a new category), then + 0, 1, 2 ... within the batch in
+    ``order_col`` order. The batch positions come from ``rank_within`` (no per-category
+    window over a whole category); the current maxima are a grouped aggregate."""
     top = menu.groupBy("category").agg(F.max("sort_order").alias("_max"))
-    w = Window.partitionBy("category").orderBy(order_col)
-    n = new.withColumn("_rn", F.row_number().over(w) - 1)
+    n = rank_within(new, "category", order_col)
     j = n.join(top, "category", "left")
     start = F.coalesce(F.col("_max") + 1, F.lit(0))
-    return j.withColumn("sort_order", (start + F.col("_rn")).cast("int")).drop("_max", "_rn")
+    return (j.withColumn("sort_order", (start + F.col("rank_in_group")).cast("int"))
+            .drop("_max", "rank_in_group"))
 
 
 def split_valid(df: DataFrame, checks: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:

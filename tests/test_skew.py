@@ -47,3 +47,19 @@ def test_hot_sale_id_is_split(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_rank_within_a_hot_group(spark):
+    """Positions inside a group that holds most rows equal a brute-force numbering."""
+    from mise.operators.mutations import rank_within
+    n = 5000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 4 == 0, F.lit("small")).otherwise(F.lit("hot")).alias("category"),
+        ((F.col("id") * 7919) % 100003).alias("id"))
+    got = {(r["category"], r["id"]): r["rank_in_group"] for r in rank_within(df, "category", "id").collect()}
+    rows = [(("small" if i % 4 == 0 else "hot"), (i * 7919) % 100003) for i in range(n)]
+    want = {}
+    for cat in ("small", "hot"):
+        for pos, key in enumerate(sorted(k for c, k in rows if c == cat)):
+            want[(cat, key)] = pos
+    assert got == want
