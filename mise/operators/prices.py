@@ -57,12 +57,13 @@ def competitor_grid(ing: DataFrame, prices: DataFrame) -> DataFrame:
     wide = prices.groupBy("ingrediente").agg(*[
         F.max_by("precio", F.when(F.col("supermercado") == s, F.col("fecha_scrape"))).alias(c)
         for s, c in zip(STORES, STORE_COLUMNS)])
-    # EXISTS subquery: stops at the first price row
-    names = (prices.select(F.col("ingrediente").alias("name")).distinct()
-             .unionByName(ing.filter(~prices.exists()).select("name")))
+    # the priced names are the keys of ``wide`` (one aggregate of the fact); every
+    # ingredient is listed only when there is no price at all (EXISTS subquery)
+    priced = wide.withColumnRenamed("ingrediente", "name")
+    no_prices = ing.filter(~prices.exists()).select(
+        "name", *[F.lit(None).cast(priced.schema[c].dataType).alias(c) for c in STORE_COLUMNS])
     info = ing.select("name", "cost", "measure")
-    j = names.join(info, "name", "left").join(
-        wide.withColumnRenamed("ingrediente", "name"), "name", "left")
+    j = priced.unionByName(no_prices).join(info, "name", "left")
     cost = F.coalesce(F.col("cost"), F.lit(0))
     cols = []
     for c in STORE_COLUMNS:
