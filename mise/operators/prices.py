@@ -112,7 +112,8 @@ def real_over_seed(real: DataFrame, seed: DataFrame, min_real_rows: int | None =
     r = real.withColumn("_prio", F.lit(0))
     s = seed.select(*cols).withColumn("_prio", F.lit(1))
     if min_real_rows is not None:
-        few = real.select((F.count(F.lit(1)) < min_real_rows).alias("few")).scalar()
+        # "fewer than N real rows": counting stops after N rows (limit), not a full count
+        few = real.limit(min_real_rows).select((F.count(F.lit(1)) < min_real_rows).alias("few")).scalar()
         s = s.filter(few)
     both = r.unionByName(s)
     order = F.struct("_prio", "producto", "precio")
