@@ -96,9 +96,10 @@ def projections_view(proj: DataFrame, menu: DataFrame, items: DataFrame) -> Data
 def forecast_units(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
     """G1: units per dish for the ``horizon`` days after its last sale day.
 
-    ``daily``: dish_id, dia, unidades (A6). One aggregate per dish over the daily
-    series gives everything the model needs, so the plan is: daily series -> one
-    shuffle by dish -> row arithmetic. No window, no re-join, no per-day explode.
+    ``daily``: dish_id, dia, unidades (A6). Sums per (dish, weekday) over the daily
+    series, then per dish over those (at most 7 rows), give everything the model
+    needs: daily series -> aggregate -> tiny aggregate -> row arithmetic. No window,
+    no re-join, no per-day explode.
 
     * Least squares from sums. t is the day number; the fit does not depend on where
       t starts, so t = days since 1970-01-01. With integer t and y the sums are exact
@@ -112,15 +113,20 @@ def forecast_units(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
     # products below are widened to decimal(38,0) so that they stay exact.
     t = F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("bigint")
     y = F.col("unidades").cast("bigint")
-    wd = F.dayofweek("dia")
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(F.col("unidades").cast("double")).alias("m"),
-            F.sum(t).alias("st"), F.sum(y).alias("sy"), F.sum(t * t).alias("stt"),
-            F.sum(t * y).alias("sty"), F.max("dia").alias("d1")]
+    # level 1, per (dish, weekday): six sums over the daily series (map-side partial)
+    per_wd = daily.groupBy("dish_id", F.dayofweek("dia").alias("wd")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(t).alias("st"), F.sum(y).alias("sy"),
+        F.sum(t * t).alias("stt"), F.sum(t * y).alias("sty"), F.max("dia").alias("d1"))
+    # level 2, per dish: at most 7 rows each
+    aggs = [F.sum("n").alias("n"), F.sum("st").alias("st"), F.sum("sy").alias("sy"),
+            F.sum("stt").alias("stt"), F.sum("sty").alias("sty"), F.max("d1").alias("d1")]
     for w in range(1, 8):
-        on = wd == w
-        aggs += [F.count_if(on).alias(f"n{w}"), F.sum(F.when(on, y)).alias(f"sy{w}"),
-                 F.sum(F.when(on, t)).alias(f"st{w}")]
-    g = daily.groupBy("dish_id").agg(*aggs)
+        on = F.col("wd") == w
+        aggs += [F.sum(F.when(on, F.col("n"))).alias(f"n{w}"),
+                 F.sum(F.when(on, F.col("sy"))).alias(f"sy{w}"),
+                 F.sum(F.when(on, F.col("st"))).alias(f"st{w}")]
+    g = (per_wd.groupBy("dish_id").agg(*aggs)
+         .withColumn("m", F.col("sy").cast("double") / F.col("n")))
 
     def dec(c):
         return F.col(c).cast("decimal(38,0)")
@@ -134,7 +140,7 @@ def forecast_units(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
     full_weeks, extra = divmod(horizon, 7)
     season = F.lit(0.0)
     for w in range(1, 8):
-        e_w = F.when(F.col(f"n{w}") > 0, (F.col(f"sy{w}").cast("double")
+        e_w = F.when(F.coalesce(F.col(f"n{w}"), F.lit(0)) > 0, (F.col(f"sy{w}").cast("double")
                                           - F.col("s") * F.col(f"st{w}").cast("double")
                                           - F.col("i") * F.col(f"n{w}")) / F.col(f"n{w}"))
         c_w = F.lit(full_weeks)
