@@ -148,26 +148,68 @@ def daily_snapshot_sink(path: str, day_col: str = "fecha_scrape"):
 
 
 def keyed_snapshot_sink(path: str, keys: list[str], order: str | None = None):
-    """R4 for keyed tables (products, orders): the batch is merged into the latest
-    snapshot (M1) and written as snapshot ``batch_id`` - a replayed batch rewrites the
-    same snapshot from the same input, and readers take the newest complete one."""
+    """R4 for keyed tables (products, orders): the batch is merged (M1) into the latest
+    snapshot written by an earlier batch and stored as snapshot ``batch_id``. A replayed
+    batch rebuilds the same snapshot from the same inputs, and never reads its own
+    (possibly half-written) output."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        prev = latest_snapshot(spark, path)
+        prev = latest_snapshot(spark, path, before=batch_id)
         if prev is None:
-            merged = upsert(batch.limit(0).drop(*([order] if order else [])), batch, keys, order)
-        else:
-            merged = upsert(prev, batch, keys, order)
-        merged.write.mode("overwrite").parquet(os.path.join(path, f"snapshot={batch_id:012d}"))
+            prev = batch.limit(0).drop(*([order] if order else []))
+        upsert(prev, batch, keys, order).write.mode("overwrite").parquet(
+            os.path.join(path, f"snapshot={batch_id:012d}"))
     return write
 
 
-def latest_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest snapshot written by ``keyed_snapshot_sink`` (None when there is none).
-    The newest id is a scalar subquery, so only that partition folder is scanned."""
+def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest snapshot under ``path`` (only snapshots older than ``before`` when
+    given); None when there is none. The newest id is a scalar subquery, so only that
+    partition folder is scanned."""
     try:
         snaps = spark.read.parquet(path)
     except AnalysisException:
         return None
+    if before is not None:
+        snaps = snaps.filter(F.col("snapshot") < before)
+        if snaps.isEmpty():
+            return None
     last = snaps.select(F.max("snapshot")).scalar()
     return snaps.filter(F.col("snapshot") == last).drop("snapshot")
+
+
+def post_ticket_stream(payloads: DataFrame, menu: DataFrame, items: DataFrame, ing: DataFrame,
+                       out_path: str, checkpoint: str, delay: str = "1 day") -> StreamingQuery:
+    """Point-of-sale write path as one stream: ticket payloads (ticket_id, ts, body) ->
+    S10 lines -> R2 de-duplication -> per micro-batch A26 pricing, A27 ticket totals
+    and A28 stock depletion.
+
+    Writes per batch (all idempotent on replay): ``sales/batch_id=N`` (accepted
+    tickets), ``sale_items/batch_id=N`` (their lines) and ``stock/snapshot=N`` - the
+    stock after the batch, computed from the snapshot of an earlier batch (the first
+    batch starts from ``ing``). Depletion floors once per batch, which equals the
+    per-line floor because grams are never negative.
+    """
+    from mise.operators.sales import deplete_stock, post_sales, price_tickets
+    from mise.sources.parsers import parse_tickets
+    lines = dedupe(parse_tickets(payloads), delay)
+    stock_path = os.path.join(out_path, "stock")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        stock = latest_snapshot(spark, stock_path, before=batch_id)
+        if stock is None:
+            stock = ing.select("name", "count")
+        batch = batch.withColumn("line_id", F.col("line_no"))
+        priced = price_tickets(batch, menu, items, ing)      # unit costs do not depend on stock
+        totals = post_sales(priced)
+        ok = totals.filter("accepted")
+        ok.write.mode("overwrite").parquet(os.path.join(out_path, "sales", f"batch_id={batch_id}"))
+        priced.join(ok.select("ticket_id"), "ticket_id", "left_semi").write.mode("overwrite").parquet(
+            os.path.join(out_path, "sale_items", f"batch_id={batch_id}"))
+        after = deplete_stock(stock, priced, totals, items).select(
+            "name", F.col("count_after").cast("decimal(12,2)").alias("count"))
+        after.write.mode("overwrite").parquet(os.path.join(stock_path, f"snapshot={batch_id:012d}"))
+
+    return (lines.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(availableNow=True).start())

@@ -137,3 +137,47 @@ def test_multi_line_tickets_keep_all_lines(spark, tmp):
     q.awaitTermination(120)
     got = [tuple(r) for r in spark.read.parquet(sink).collect()]
     assert got == [(dt.date(2024, 1, 1), 3, 1)]
+
+
+def test_ticket_posting_stream(spark, tmp):
+    """Payload stream -> priced lines -> accepted tickets -> stock snapshots; equals the
+    batch posting of the same (de-duplicated) tickets."""
+    import json
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    src, out, ckpt = (os.path.join(tmp, x) for x in ("src", "out", "ckpt"))
+    os.makedirs(src)
+    utc = dt.timezone.utc
+    files = [
+        [(1, dt.datetime(2024, 1, 1, 9, tzinfo=utc), [{"dish_id": 5, "quantity": 2}, {"dish_id": 10}]),
+         (2, dt.datetime(2024, 1, 1, 10, tzinfo=utc), [{"dish_id": 10, "quantity": 3}])],
+        [(1, dt.datetime(2024, 1, 1, 9, tzinfo=utc), [{"dish_id": 5, "quantity": 2}, {"dish_id": 10}]),   # retry
+         (3, dt.datetime(2024, 1, 2, 9, tzinfo=utc), [{"dish_id": 5}, {"dish_id": 99}]),                  # unknown dish
+         (4, dt.datetime(2024, 1, 2, 11, tzinfo=utc), [{"dish_id": 5, "quantity": 4}])],
+    ]
+    schema = pa.schema([("ticket_id", pa.int64()), ("ts", pa.timestamp("us", tz="UTC")), ("body", pa.string())])
+    for k, rows in enumerate(files):
+        path = os.path.join(src, f"t{k}.parquet")
+        pq.write_table(pa.Table.from_pylist([{"ticket_id": a, "ts": b, "body": json.dumps(c)} for a, b, c in rows],
+                                            schema=schema), path)
+        os.utime(path, (1_700_000_000 + k, 1_700_000_000 + k))
+    menu = spark.createDataFrame([(5, "X", "FIVE", 1, "activo", D("0"), D("0"), D("100"), 1),
+                                  (10, "X", "TEN", 2, "activo", D("0"), D("10"), D("50"), 1)],
+                                 "id bigint, category string, dish_name string, sort_order int, status string, "
+                                 "cost_total decimal(10,2), overhead_cost decimal(10,2), sale_price decimal(10,2), "
+                                 "portion_weight_g int")
+    items = spark.createDataFrame([(1, 5, None, "rice", D("100"), D("1")), (2, 10, None, "oil", D("30"), D("2"))],
+                                  ITEMS)
+    ing = spark.createDataFrame([("rice", D("650"), D("1"), "g"), ("oil", D("100"), D("1"), "g"),
+                                 ("salt", D("7"), D("1"), "g")], "name string, count decimal(12,2), "
+                                "cost decimal(12,2), measure string")
+    payloads = spark.readStream.schema("ticket_id bigint, ts timestamp, body string") \
+        .option("maxFilesPerTrigger", 1).parquet(src)
+    q = R.post_ticket_stream(payloads, menu, items, ing, out, ckpt)
+    q.awaitTermination(120)
+    assert q.exception() is None
+    sales = {r["ticket_id"]: (r["total_sale"], r["items_count"]) for r in spark.read.parquet(os.path.join(out, "sales")).collect()}
+    assert sales == {1: (250.0, 3), 2: (150.0, 3), 4: (400.0, 4)}          # 3 rejected, retry of 1 dropped
+    stock = {r["name"]: float(r["count"]) for r in R.latest_snapshot(spark, os.path.join(out, "stock")).collect()}
+    # rice: 650 - 100*(2 + 4) = 50; oil: 100 - 30*(1 + 3) = 0 (floored); salt untouched
+    assert stock == {"rice": 50.0, "oil": 0.0, "salt": 7.0}
