@@ -40,3 +40,21 @@ def test_forecast_is_order_free(spark):
     b = {r["dish_id"]: r["projected_units"]
          for r in P.forecast_units(daily.repartition(5, F.rand(seed=1))).collect()}
     assert a == b and all(v >= 1 for v in a.values())
+
+
+def test_dashboard_panels_equal_the_registered_queries(spark):
+    import __spark_entry__ as E
+    from mise.plans.dashboard import Dashboard
+    Q = E.queries()
+    same = {"kpis": "a3_kpis", "classification": "a1_class_null_bucket", "top_costly": "t1_top_costly",
+            "low_stock": "p9_low_stock_api", "margins": "t3_top_margin", "daily_sales": "a4_daily_sales_api",
+            "projections": "t4_top_projections", "suppliers": "a2_supplier_api", "health": "p10_stock_health",
+            "top_value": "t5_top_value_ingredients", "recipe_costs": "a31_profitability",
+            "top_recipes": "t5_top_recipes_by_cost", "suggested_prices": "p19_suggested_prices"}
+    with Dashboard(spark, SF_SMALL, "2001-08-01") as d:
+        panels = d.panels()
+        assert set(panels) == set(same)
+        for name, key in same.items():
+            got = sorted(map(tuple, panels[name].collect()), key=repr)
+            want = sorted(map(tuple, Q[key](spark, SF_SMALL).select(*panels[name].columns).collect()), key=repr)
+            assert got == want, name
