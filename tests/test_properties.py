@@ -58,3 +58,13 @@ def test_dashboard_panels_equal_the_registered_queries(spark):
             got = sorted(map(tuple, panels[name].collect()), key=repr)
             want = sorted(map(tuple, Q[key](spark, SF_SMALL).select(*panels[name].columns).collect()), key=repr)
             assert got == want, name
+
+
+def test_nightly_forecast_job_writes_g2(spark, tmp):
+    import os
+    import __spark_entry__ as E
+    from mise.plans.nightly import nightly_forecast
+    out = nightly_forecast(spark, SF_SMALL, "1995-01-01", os.path.join(tmp, "proj"), "2001-08-02")
+    got = {r["id"]: r["projected_units"] for r in out.collect()}
+    want = {r["id"]: r["projected_units"] for r in E.queries()["g2_apply_forecast"](spark, SF_SMALL).collect()}
+    assert got == want and out.filter("updated_at IS NULL").count() == 0
