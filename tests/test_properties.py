@@ -68,3 +68,29 @@ def test_nightly_forecast_job_writes_g2(spark, tmp):
     got = {r["id"]: r["projected_units"] for r in out.collect()}
     want = {r["id"]: r["projected_units"] for r in E.queries()["g2_apply_forecast"](spark, SF_SMALL).collect()}
     assert got == want and out.filter("updated_at IS NULL").count() == 0
+
+
+def test_daily_price_job(spark, tmp):
+    import json
+    import os
+    from decimal import Decimal as D
+    from mise.plans.prices_daily import daily_prices
+    ing = spark.createDataFrame([("rice", D("1"), D("1000"), "g"), ("oil", D("1"), D("0"), "g")],
+                                "name string, count decimal(12,2), cost decimal(12,2), measure string")
+    js = spark.createDataFrame([("rice", "Carulla", json.dumps([{"productName": "Arroz", "linkText": "arroz",
+                                                                  "priceRange": {"sellingPrice": {"highPrice": 2100}}}])),
+                                ("rice", "Éxito", json.dumps([{"productName": "Arroz 2", "linkText": "a2",
+                                                                "priceRange": {"sellingPrice": {"highPrice": 0}}}]))],
+                               "ingrediente string, supermercado string, body string")
+    html = spark.createDataFrame([("rice", "Makro", '<div class="product-item"><a class="product-item-link" '
+                                                    'href="/r">Arroz M</a><span class="price">$ 1.950</span></div>')],
+                                 "ingrediente string, supermercado string, html string")
+    path = os.path.join(tmp, "precios")
+    for _ in range(2):                       # a re-run replaces the day, it does not duplicate it
+        stored, summary = daily_prices(js, html, ing, "2024-02-01", path)
+    rows = {(r["ingrediente"], r["supermercado"]): float(r["precio"]) for r in stored.collect()}
+    # 2 real rows (< 100): seeds fill the other stores of rice; oil has cost 0 so no seed
+    assert rows[("rice", "Carulla")] == 2100.0 and rows[("rice", "Makro")] == 1950.0
+    assert set(rows) == {("rice", s) for s in ("Olímpica", "Carulla", "Éxito", "Makro")}
+    assert {r["supermercado"]: r["productos"] for r in summary.collect()} == {
+        "Olímpica": 1, "Carulla": 1, "Éxito": 1, "Makro": 1}
