@@ -313,7 +313,8 @@ def _order_bodies(t: Tables):
                                     F.lit("Doe").alias("last_name"))).alias("billing"),
         F.col("line_items"),
         F.struct(F.lit("CO").alias("country")).alias("shipping")))
-    return j.select(body.alias("body"))
+    # landed order payloads arrive as many files: spread the documents like that
+    return j.select(body.alias("body")).repartition(t.spark.sparkContext.defaultParallelism)
 
 
 @query("s8_orders", with_views("""
