@@ -107,14 +107,14 @@ def stock_after(used: DataFrame, ing: DataFrame) -> DataFrame:
 
 def running_stock(stream: DataFrame, items: DataFrame, ing: DataFrame, sink_path: str,
                   checkpoint: str, trigger_available_now: bool = True) -> StreamingQuery:
-    """R3 query: every micro-batch appends the changed ingredients' remaining stock,
-    tagged with the batch id; the latest row per ingredient is the current stock."""
+    """R3 query: every micro-batch merges the changed ingredients' remaining stock into
+    the previous stock snapshot (keyed by name, replay-safe), so the current stock is
+    one snapshot of ingredient-table size, however many batches have run."""
     used = grams_used(stream, items)
+    merge = keyed_snapshot_sink(sink_path, ["name"])
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        out = stock_after(batch, ing).withColumn("batch_id", F.lit(batch_id))
-        # idempotent on replay: the batch's own folder is overwritten
-        out.write.mode("overwrite").parquet(os.path.join(sink_path, f"batch_id={batch_id}"))
+        merge(stock_after(batch, ing), batch_id)
 
     w = used.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
     if trigger_available_now:
@@ -123,11 +123,8 @@ def running_stock(stream: DataFrame, items: DataFrame, ing: DataFrame, sink_path
 
 
 def current_stock(spark: SparkSession, sink_path: str) -> DataFrame:
-    """The latest remaining stock per ingredient written by ``running_stock``."""
-    rows = spark.read.parquet(sink_path)
-    g = rows.groupBy("name").agg(F.max_by(F.struct("used", "remaining", "estado", "alert"),
-                                          F.col("batch_id")).alias("s"))
-    return g.select("name", "s.*")
+    """The current remaining stock per ingredient written by ``running_stock``."""
+    return latest_snapshot(spark, sink_path)
 
 
 def start_day_totals(stream: DataFrame, sink_path: str, checkpoint: str | None = None,
