@@ -5,9 +5,11 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL
 from harness import compare, duck
+from mise.plans.registry import load_all
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+# the optional subpackage brings its own tests
+QUERIES = {name: fn for name, (fn, _sql) in load_all().items()}
+ORACLE = {name: sql for name, (_fn, sql) in load_all().items() if sql is not None}
 
 
 @pytest.fixture(scope="module")
