@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mise.llm import lines, packing, tokenfile, toxicity, warc
+from mise.llm import lines, minhash, packing, tokenfile, toxicity, warc
 from mise.llm.common import table
 
 
@@ -63,6 +63,43 @@ FROM m GROUP BY r
 """
 
 
+def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM d
+), e AS MATERIALIZED (
+  SELECT doc_id, len(sh) AS n, hash(unnest(sh)) AS h FROM s
+), r AS MATERIALIZED (
+  SELECT doc_id, n, h, row_number() OVER (PARTITION BY doc_id ORDER BY f, h) AS pos FROM (
+    SELECT *, count(*) OVER (PARTITION BY h) AS f FROM e)
+), p AS MATERIALIZED (
+  SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.h = b.h AND a.doc_id < b.doc_id
+  WHERE a.pos <= a.n - ceil(0.8 * a.n) + 1 AND b.pos <= b.n - ceil(0.8 * b.n) + 1
+    AND 10 * least(a.n, b.n) >= 8 * greatest(a.n, b.n)
+), v AS MATERIALIZED (
+  SELECT x, y FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y
+  WHERE 100 * len(list_intersect(a.sh, b.sh)) >=
+    80 * (len(a.sh) + len(b.sh) - len(list_intersect(a.sh, b.sh)))
+), l AS MATERIALIZED (
+  SELECT x, y FROM v UNION SELECT y, x FROM v
+), c AS (
+  SELECT doc_id AS x, doc_id AS y FROM s UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x
+), m AS (
+  SELECT x AS doc_id, min(y) AS component_id FROM c GROUP BY x
+)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM s JOIN m ON s.doc_id = m.doc_id
+"""
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -71,5 +108,6 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op9_token_file, op10_best_fit)}
-ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op8_hyperminhash,
+                                   op9_token_file, op10_best_fit)}
+ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_hyperminhash": OP8_SQL}
