@@ -31,3 +31,53 @@ def components(links: DataFrame) -> DataFrame:
         if after.filter("component <> before").isEmpty():
             return after.select("node", "component")
         labels = after.select("node", "component")
+
+
+def ordered(x: F.Column, y: F.Column) -> list[F.Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def star_pairs(members: DataFrame, turn: int = 0, near=None) -> DataFrame:
+    """(a, b): the members of a key against the key's centre of this turn, across components.
+
+    ``members`` has key, node, component and what ``near`` reads: a function of (column of the
+    member, column of the other) that makes the condition for a pair.
+    """
+    more = [c for c in members.columns if c != "key"]
+    centres = stored(members.groupBy("key").agg(F.min(F.struct(
+        F.xxhash64(F.lit(turn), "node").alias("h"), *more)).alias("x")).select(
+        "key", *(F.col(f"x.{c}").alias(f"o_{c}") for c in more)), "centres")
+    condition = F.col("component") != F.col("o_component")
+    if near is not None:
+        condition &= near(F.col, lambda c: F.col(f"o_{c}"))
+    return members.join(centres, "key").filter(condition).select(
+        *ordered(F.col("node"), F.col("o_node"))).distinct()
+
+
+def cross_pairs(members: DataFrame, near=None) -> DataFrame:
+    """(a, b): all pairs of a key's members that are in different components.
+
+    The largest component of a key is only met by the others, never by itself, so a group of
+    copies costs as many pairs as there are strangers in its keys times its members.
+    """
+    more = [c for c in members.columns if c != "key"]
+    largest = stored(members.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(
+        F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("k")).filter("k > 1").select(
+        "key", F.col("x.component").alias("largest")), "largest")
+    shared = stored(members.join(largest, "key"), "shared-members")
+    strays = stored(shared.filter("component <> largest").select(
+        "key", *(F.col(c).alias(f"o_{c}") for c in more)), "strays")
+    condition = F.col("component") != F.col("o_component")
+    if near is not None:
+        condition &= near(F.col, lambda c: F.col(f"o_{c}"))
+    return shared.join(strays, "key").filter(condition).select(
+        *ordered(F.col("node"), F.col("o_node"))).distinct()
+
+
+def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members of keys that hold several components, with their components over links."""
+    own = stored(members.drop("component").join(components(links), "node", "left").withColumn(
+        "component", F.coalesce("component", "node")), "labelled")
+    mixed = stored(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter(
+        "least < most").select("key"), "mixed-keys")
+    return stored(own.join(mixed, "key", "left_semi"), "mixed-members")

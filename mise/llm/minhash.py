@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mise.llm.common import id_text, ship, stored
-from mise.llm.components import components
+from mise.llm.components import components, cross_pairs, labelled, star_pairs
 
 BUCKETS = 128
 ROUNDS = 3
@@ -250,29 +250,6 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         run, "a long, b long")
 
 
-def ordered(x: F.Column, y: F.Column) -> list[F.Column]:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-
-def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
-    """(key, node, component) of the band keys that hold several components."""
-    labels = components(links)
-    own = stored(members.select("key", "node").join(labels, "node", "left").select(
-        "key", "node", F.coalesce("component", "node").alias("component")), "labelled")
-    mixed = stored(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter(
-        "least < most").select("key"), "mixed-keys")
-    return stored(own.join(mixed, "key", "left_semi"), "mixed-members")
-
-
-def star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Every member of a key against the key's centre of this turn, across components."""
-    centres = stored(members.groupBy("key").agg(F.min(F.struct(
-        F.xxhash64(F.lit(turn), "node").alias("h"), F.col("node").alias("centre"),
-        F.col("component").alias("other"))).alias("x")).select("key", "x.centre", "x.other"), "centres")
-    return members.join(centres, "key").filter("component <> other").select(
-        *ordered(F.col("centre"), F.col("node"))).distinct()
-
-
 def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs of different components that share one of their rarest shingles."""
     spark = members.sparkSession
@@ -307,18 +284,10 @@ def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int)
             node, component = np.array(own, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), pa.array(np.repeat(node, sizes)),
-                 pa.array(np.repeat(component, sizes))], names=["shingle", "node", "component"])
-
-    prefix = stored(rows.mapInArrow(cut, "shingle long, node long, component long"), "prefixes")
-    # the largest component of a shingle is compared with the others, never with itself
-    largest = stored(prefix.groupBy("shingle", "component").agg(F.count("*").alias("n")).groupBy("shingle").agg(
-        F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("k")).filter("k > 1").select(
-        "shingle", F.col("x.component").alias("largest")), "largest")
-    shared = stored(prefix.join(largest, "shingle"), "shared-prefixes")
-    strays = shared.filter("component <> largest").select(
-        "shingle", F.col("node").alias("stray"), F.col("component").alias("own"))
-    return shared.join(strays, "shingle").filter("component <> own").select(
-        *ordered(F.col("stray"), F.col("node"))).distinct()
+                 pa.array(np.repeat(component, sizes))], names=["key", "node", "component"])
+
+    prefix = stored(rows.mapInArrow(cut, "key long, node long, component long"), "prefixes")
+    return cross_pairs(prefix)
 
 
 def near_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:

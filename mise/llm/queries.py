@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mise.llm import lines, minhash, packing, tokenfile, toxicity, warc
+from mise.llm import embeddings, lines, minhash, packing, tokenfile, toxicity, warc
 from mise.llm.common import table
 
 
@@ -63,6 +63,31 @@ FROM m GROUP BY r
 """
 
 
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), g AS MATERIALIZED (
+  SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_inner_product(e, e) > 0
+), l AS MATERIALIZED (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.9
+), c AS (
+  SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT c.x, l.y FROM c JOIN l ON c.y = l.x
+), m AS (
+  SELECT x, min(y) AS least FROM c GROUP BY x
+)
+SELECT v.vec_id, (SELECT count(*) FROM l WHERE l.x = v.vec_id) AS n_links, m.least AS component_id,
+  v.vec_id = m.least AS kept
+FROM v JOIN m ON m.x = v.vec_id
+"""
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -108,6 +133,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op8_hyperminhash,
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op5_embeddings, op8_hyperminhash,
                                    op9_token_file, op10_best_fit)}
-ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op8_hyperminhash": OP8_SQL}
+ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embeddings": OP5_SQL,
+          "op8_hyperminhash": OP8_SQL}
