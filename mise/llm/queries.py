@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mise.llm import embeddings, lines, minhash, packing, ppm, tokenfile, toxicity, warc
+from mise.llm import embeddings, fingerprints, lines, minhash, packing, ppm, tokenfile, toxicity, warc
 from mise.llm.common import table
 
 
@@ -92,6 +92,10 @@ def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -137,7 +141,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op5_embeddings, op6_ppm, op8_hyperminhash,
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op5_embeddings, op6_ppm, op7_fingerprints, op8_hyperminhash,
                                    op9_token_file, op10_best_fit)}
 ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embeddings": OP5_SQL,
           "op8_hyperminhash": OP8_SQL}
