@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mise.llm import embeddings, fingerprints, lines, minhash, packing, ppm, tokenfile, toxicity, warc
+from mise.llm import embeddings, fingerprints, lines, minhash, packing, pieces, ppm, tokenfile, toxicity, warc
 from mise.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(table(spark, sf_dir, "documents"))
 
@@ -141,7 +145,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op4_line_dedup, op5_embeddings, op6_ppm, op7_fingerprints, op8_hyperminhash,
+QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_sentencepiece, op4_line_dedup, op5_embeddings, op6_ppm, op7_fingerprints, op8_hyperminhash,
                                    op9_token_file, op10_best_fit)}
 ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embeddings": OP5_SQL,
           "op8_hyperminhash": OP8_SQL}
