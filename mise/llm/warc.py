@@ -7,11 +7,11 @@ own under the shared folder and reports them; only the files of the committed re
 so that a repeated task leaves at most an unread file behind.
 
 Reader: archives are cut into byte ranges without looking at them. A task scans its range
-for the gzip magic, accepts a candidate member only when it inflates in full (checksum
-included), starts with a WARC version line and is followed by the end of the file or by
-another such member, and from there goes from member to member. It owns the records that
-start inside its range and reads past the end of the range to finish the last of them.
-Memory: one range plus one record.
+for the gzip magic and accepts a candidate member only when it inflates in full (checksum
+included), starts with a WARC version line, and such members follow each other from there past
+the end of the range or to the end of the file; so archives inside payloads don't mislead it.
+It owns the records that start inside its range and reads past the end of the range to finish
+the last of them. Memory: one range plus two records.
 
 Cases: a null html is an empty payload; empty payloads are equal payloads; a null id never
 becomes the largest while another is there, and where all ids of equal payloads are null all
@@ -124,12 +124,22 @@ class Range:
             at = self.data.find(MAGIC, at)
             if at < 0 or self.begin + at >= self.end:
                 return None
-            if self.is_record(at):
-                _, after = self.inflate(at) or (b"", None)
-                if after is not None and (self.begin + after >= self.size or self.is_record(after)):
-                    return at
+            if self.begin + at == 0 or self.leads_on(at):
+                return at
             at += 1
 
+    def leads_on(self, at: int) -> bool:
+        """Whether records follow each other from here to the end of the range and one further."""
+        while True:
+            if not self.is_record(at):
+                return False
+            got = self.inflate(at)
+            if got is None:
+                return False
+            passed, at = self.begin + at >= self.end, got[1]
+            if passed or self.begin + at >= self.size:
+                return True
+
     def __iter__(self):
         at = self.first()
         while at is not None and self.begin + at < self.end:
