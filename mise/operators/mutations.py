@@ -4,31 +4,39 @@ The reference writes one row at a time over REST. Here each mutation is a join p
 over whole tables; the caller writes the result with a sink (K1/K2). Parquet tables
 have no MERGE, so upserts are joins.
 
-Skew: "last change per key" is a ``max_by`` aggregate, reduced map-side, so a key
-with millions of changes never lands in a single sorted task.
+Skew: "last change per key" is ``row_number() = 1``. Spark keeps one row per key and
+task before the shuffle (group limit), so a key with millions of changes sends one row
+per task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(chg: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last change per key (largest ``order``)."""
+def latest_per_key(chg: DataFrame, keys: list[str], order: str | list[str] | None = None) -> DataFrame:
+    """The last change per key: largest ``order``, a NULL being older than any value;
+    equal orders are decided by a hash of the row, so that a rerun gives the same row.
+    Without ``order`` only the hash decides."""
+    orders = [order] if isinstance(order, str) else list(order or [])
+    missing = [c for c in orders if c not in chg.columns]
+    if missing:
+        raise ValueError(f"no order column {missing}")
     rest = [c for c in chg.columns if c not in keys]
-    g = chg.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_c"))
-    return g.select(*keys, "_c.*")
+    tie = [F.xxhash64(*rest).desc()] if rest else [F.lit(0).desc()]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in orders], *tie)
+    return chg.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").select(
+        *keys, *rest)
 
 
 def upsert(cur: DataFrame, chg: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """M1 "merge-duplicates": a change replaces the columns it supplies on the row with
-    the same key, or is inserted; the last change per key (by ``order``) wins.
+    the same key, or is inserted; one change per key wins (``latest_per_key``).
     Columns the change does not supply keep their current value (NULL when inserted)."""
-    if order is not None:
-        chg = latest_per_key(chg, keys, order)
-        if order not in cur.columns:
-            chg = chg.drop(order)
+    chg = latest_per_key(chg, keys, order)
+    if order is not None and order not in cur.columns:
+        chg = chg.drop(order)
     supplied = [c for c in chg.columns if c not in keys and c in cur.columns]
     a = cur.withColumn("_in_cur", F.lit(True))
     b = chg.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in supplied]).withColumn(
@@ -49,10 +57,11 @@ def upsert(cur: DataFrame, chg: DataFrame, keys: list[str], order: str | None =
 def patch(cur: DataFrame, chg: DataFrame, keys: list[str], cols: list[str],
           stamp_col: str | None = "updated_at", stamp: Column | None = None) -> DataFrame:
     """M2: matched rows only, only the allowed ``cols`` that the change supplies; set
-    ``stamp_col`` on patched rows. Unmatched changes are ignored."""
+    ``stamp_col`` on patched rows. Unmatched changes are ignored; of several changes for a
+    key one is used (``latest_per_key``)."""
     cols = [c for c in cols if c in chg.columns]
-    b = chg.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn(
-        "_hit", F.lit(True))
+    b = latest_per_key(chg.select(*keys, *cols), keys).select(
+        *keys, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = cur.join(b, keys, "left")
     out = []
     for c in cur.columns:
@@ -102,7 +111,6 @@ def rank_within(df: DataFrame, group: str, order: str) -> DataFrame:
     the shared ``spark.checkpoint.dir``). The position is then the row number inside
     (partition, group), plus the number of rows of the group in earlier partitions,
     a running sum over the small (group, partition) count table."""
-    from pyspark.sql import Window
     from mise.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     parts = (df.repartitionByRange(group, order).withColumn("_pid", F.spark_partition_id())
@@ -112,7 +120,10 @@ def rank_within(df: DataFrame, group: str, order: str) -> DataFrame:
     counts = parts.groupBy(group, "_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(group, "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    out = local.join(offsets, [group, "_pid"])
+    # a NULL group is a group of its own
+    offsets = offsets.select(F.col(group).alias("_group"), F.col("_pid").alias("_part"), "_off")
+    out = local.join(offsets, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_pid") == F.col("_part"))).drop(
+        "_group", "_part")
     return out.withColumn("rank_in_group", F.col("_off") + F.col("_lrn")).drop("_pid", "_lrn", "_off")
 
 
@@ -123,7 +134,8 @@ def append_dishes(menu: DataFrame, new: DataFrame, order_col: str = "id") -> Dat
     window over a whole category); the current maxima are a grouped aggregate."""
     top = menu.groupBy("category").agg(F.max("sort_order").alias("_max"))
     n = rank_within(new, "category", order_col)
-    j = n.join(top, "category", "left")
+    top = top.withColumnRenamed("category", "_category")
+    j = n.join(top, F.col("category").eqNullSafe(F.col("_category")), "left").drop("_category")
     start = F.coalesce(F.col("_max") + 1, F.lit(0))
     return (j.withColumn("sort_order", (start + F.col("rank_in_group")).cast("int"))
             .drop("_max", "rank_in_group"))

@@ -13,7 +13,7 @@ modulo 10^6, scaled to [0, 1) - deterministic, order-free, and the same in any e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mise.functions.expr import MONEY, price_cell
@@ -21,7 +21,6 @@ from mise.sources.adapters import STORES
 
 # The pivot column name of each store, in the reference's order.
 STORE_COLUMNS = ["olimpica", "carulla", "exito", "makro"]
-MIN_REAL_ROWS = 100
 
 
 def price_pivot(ing: DataFrame, prices: DataFrame) -> DataFrame:
@@ -44,10 +43,12 @@ def price_pivot(ing: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def price_latest(prices: DataFrame) -> DataFrame:
-    """A22 (+W5): the last price per (ingredient, store) - the newest scrape date wins."""
-    return prices.groupBy("ingrediente", "supermercado").agg(
-        F.max_by("precio", "fecha_scrape").alias("precio"),
-        F.max("fecha_scrape").alias("fecha_scrape"))
+    """A22 (+W5): the last price per (ingredient, store) - the newest scrape date wins, of
+    several prices of that date the highest."""
+    last = F.max(F.struct("fecha_scrape", "precio"))
+    return prices.groupBy("ingrediente", "supermercado").agg(last.alias("l")).select(
+        "ingrediente", "supermercado", F.col("l.precio").alias("precio"),
+        F.col("l.fecha_scrape").alias("fecha_scrape"))
 
 
 def competitor_grid(ing: DataFrame, prices: DataFrame) -> DataFrame:
@@ -100,27 +101,17 @@ def seed_prices(ing: DataFrame, day: str) -> DataFrame:
         F.lit("").alias("url"), F.lit(day).cast("date").alias("fecha_scrape"))
 
 
-def real_over_seed(real: DataFrame, seed: DataFrame, min_real_rows: int | None = MIN_REAL_ROWS) -> DataFrame:
-    """U1 (+J14, W2): real rows first, a seed row only for an (ingredient, store) pair
-    without a real one. Seeds are used only when there are fewer than ``min_real_rows``
-    real rows (None: always merge).
-
-    "First per key" is a ``min_by`` aggregate on (priority, product, price), so a hot
-    pair is reduced map-side instead of being sorted in one task.
-    """
+def real_over_seed(real: DataFrame, seed: DataFrame, use_estimates: bool = True) -> DataFrame:
+    """U1 (+J14, W2): one row per (ingredient, store): a real one first, an estimate only for a
+    pair without a real one and only if the caller wants estimates. How many real rows there
+    are changes nothing. Ties go to the first product name, then the lowest price."""
     cols = real.columns
-    r = real.withColumn("_prio", F.lit(0))
-    s = seed.select(*cols).withColumn("_prio", F.lit(1))
-    if min_real_rows is not None:
-        # "fewer than N real rows": counting stops after N rows (limit), not a full count
-        few = real.limit(min_real_rows).select((F.count(F.lit(1)) < min_real_rows).alias("few")).scalar()
-        s = s.filter(few)
-    both = r.unionByName(s)
-    order = F.struct("_prio", "producto", "precio")
-    picked = both.groupBy("ingrediente", "supermercado").agg(
-        F.min_by(F.struct(*[c for c in cols if c not in ("ingrediente", "supermercado")]), order)
-        .alias("row"))
-    return picked.select("ingrediente", "supermercado", "row.*").select(*cols)
+    both = real.withColumn("_prio", F.lit(0))
+    if use_estimates:
+        both = both.unionByName(seed.select(*cols).withColumn("_prio", F.lit(1)))
+    w = Window.partitionBy("ingrediente", "supermercado").orderBy(
+        "_prio", "producto", "precio", F.xxhash64(*cols))
+    return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*cols)
 
 
 def valid_price_rows(prices: DataFrame) -> DataFrame:

@@ -124,19 +124,23 @@ def price_tickets(tickets: DataFrame, menu: DataFrame, items: DataFrame, ing: Da
         F.round(line_sale - line_cost, 2).cast("double").alias("line_profit"))
 
 
-def post_sales(priced: DataFrame) -> DataFrame:
-    """Ticket totals; a ticket is accepted when every valid line found its dish.
-    Returns all tickets with ``accepted`` and, for accepted ones, the totals."""
+def post_sales(priced: DataFrame, tickets: DataFrame | None = None) -> DataFrame:
+    """Ticket totals; a ticket is accepted when it has a valid line and every valid line
+    found its dish. With ``tickets`` (all lines, valid or not) tickets without a valid line
+    are in the result, too. Returns all tickets with ``accepted`` and, for accepted ones, the totals."""
     dec = lambda c: F.col(c).cast(MONEY)
     g = priced.groupBy("ticket_id").agg(
         F.min("ts").alias("created_at"),
         F.bool_and("dish_found").alias("all_found"),
-        F.count(F.lit(1)).alias("lines"),
         F.round(F.sum(dec("line_sale")), 2).alias("s"),
         F.round(F.sum(dec("line_cost")), 2).alias("c"),
         F.round(F.sum(dec("line_profit")), 2).alias("p"),
         F.sum("quantity").alias("q"))
-    ok = F.col("all_found") & (F.col("lines") > 0)
+    if tickets is not None:
+        every = tickets.groupBy("ticket_id").agg(F.min("ts").alias("first_ts"))
+        g = every.join(g, "ticket_id", "left").withColumn(
+            "created_at", F.coalesce("created_at", "first_ts"))
+    ok = F.coalesce(F.col("all_found"), F.lit(False))
     return g.select(
         "ticket_id", "created_at", ok.alias("accepted"),
         F.when(ok, F.col("s")).cast("double").alias("total_sale"),
@@ -177,5 +181,5 @@ def post_tickets(tickets: DataFrame, menu: DataFrame, items: DataFrame, ing: Dat
         from mise.session import ensure_checkpoint_dir
         ensure_checkpoint_dir(priced.sparkSession)
         priced = priced.checkpoint(eager=True)
-    totals = post_sales(priced)
+    totals = post_sales(priced, tickets)
     return priced, totals, deplete_stock(ing, priced, totals, items)

@@ -199,7 +199,7 @@ def s5_store_html(spark, sf):
     link = F.concat(F.lit("/p/"), F.length("producto").cast("string"))
     html = F.concat(
         F.lit('<html><body><ol><li class="item product"><a class="product-item-link" href="/x">'),
-        F.col("producto"), F.lit(' 1</a></li><li class="product-item"><strong class="product name">'
+        F.col("producto"), F.lit(' 1</a><br><img src="/i.png"></li><li class="product-item"><img src="/j.png"><strong class="product name">'
                                  '<a class="product-item-link" href="'),
         link, F.lit('">'), F.col("producto"), F.lit(' 2</a></strong><span class="price">'), price_txt,
         F.lit('</span></li></ol></body></html>'))
@@ -222,7 +222,7 @@ def _catalog_bodies(t: Tables):
         F.array(F.struct(F.col("p_type").alias("name"))).alias("categories"),
         F.when(pk % 5 != 0, F.array(F.struct(F.col("p_brand").alias("name")),
                                     F.struct(F.lit("menu").alias("name")))).alias("tags")))
-    return part.select(body.alias("body"))
+    return part.select(body.alias("body"), pk.alias("arrival"))
 
 
 CATALOG_SQL = """
@@ -313,8 +313,7 @@ def _order_bodies(t: Tables):
                                     F.lit("Doe").alias("last_name"))).alias("billing"),
         F.col("line_items"),
         F.struct(F.lit("CO").alias("country")).alias("shipping")))
-    # landed order payloads arrive as many files: spread the documents like that
-    return j.select(body.alias("body")).repartition(t.spark.sparkContext.defaultParallelism)
+    return j.select(body.alias("body"), k.alias("arrival"))
 
 
 @query("s8_orders", with_views("""

@@ -13,23 +13,29 @@ import pandas as pd
 HIT_COLUMNS = ["ingrediente", "supermercado", "rank", "name", "price_text", "link"]
 
 
+# The elements of HTML that have no end tag.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
 class ProductPage(HTMLParser):
-    """Collects up to ``limit`` product nodes: (name, price text, link)."""
+    """Collects the product nodes of a page: (name, price text, link)."""
 
-    def __init__(self, limit: int = 3):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.limit, self.products = limit, []
+        self.products = []
         self.stack: list[tuple[str, set]] = []
         self.cur = None          # the open product node: [depth, name, price, link]
         self.field = None        # ('name' | 'price', depth, text parts) being read
 
     def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
         a = dict(attrs)
         cls = set((a.get("class") or "").split())
         self.stack.append((tag, cls))
         depth = len(self.stack)
         if self.cur is None:
-            if len(self.products) < self.limit and ("product-item" in cls or {"item", "product"} <= cls):
+            if "product-item" in cls or {"item", "product"} <= cls:
                 self.cur = [depth, None, None, None]
             return
         in_name_box = any({"product", "name"} <= c for _, c in self.stack[:-1])
@@ -41,7 +47,24 @@ class ProductPage(HTMLParser):
         if tag == "a" and "product-item-link" in cls and self.cur[3] is None:
             self.cur[3] = a.get("href") or ""
 
+    def handle_startendtag(self, tag, attrs):
+        if tag not in VOID:
+            self.handle_starttag(tag, attrs)
+            self.handle_endtag(tag)
+
     def handle_endtag(self, tag):
+        """Close the innermost open element of this name and all that are open inside it; an
+        end tag without a start is ignored."""
+        if tag in (t for t, _ in self.stack):
+            while self.close_innermost() != tag:
+                pass
+
+    def close(self):
+        super().close()
+        while self.stack:
+            self.close_innermost()
+
+    def close_innermost(self) -> str:
         depth = len(self.stack)
         if self.field is not None and depth == self.field[1]:
             kind, _, buf = self.field
@@ -50,8 +73,7 @@ class ProductPage(HTMLParser):
         if self.cur is not None and depth == self.cur[0]:
             self.products.append(tuple(self.cur[1:]))
             self.cur = None
-        if self.stack:
-            self.stack.pop()
+        return self.stack.pop()[0]
 
     def handle_data(self, data):
         if self.field is not None:
@@ -62,11 +84,8 @@ def html_products(html: str | None) -> list[tuple]:
     if not html:
         return []
     p = ProductPage()
-    try:
-        p.feed(html)
-        p.close()
-    except Exception:  # malformed page: keep what was read
-        pass
+    p.feed(html)
+    p.close()
     return p.products
 
 

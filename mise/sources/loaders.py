@@ -1,7 +1,8 @@
 """Table loaders.
 
-* S1 ``load_table``: an exported table with the money/quantity columns forced to
-  DECIMAL(12,2) and NaN turned into NULL (no row cap, D4).
+* S1 ``load_table`` / ``read_table``: an exported table with the money/quantity columns
+  typed as in its table schema (unit costs keep scale 4, D3; DECIMAL(12,2) where no schema
+  says otherwise), NaN turned into NULL, no row cap (D4), unreadable values counted.
 * S2 ``read_nutrition_tsv``: the nutrition sheet (tab separated, decimal comma).
 * S3 ``read_ingredient_tsv``: the ingredient sheet (thousands dots, unit inference).
 * S11 ``browse``: the allow-listed tables of the table browser.
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from mise.functions.expr import (MONEY, QTY, decimal_comma, normalise_class, strip,
                                  thousands_dot, unit_from_presentation)
 from mise.operators.mutations import latest_per_key
+from mise.schemas import TABLES
 
 # The columns the lakehouse sync casts to DECIMAL(12,2).
 DECIMAL_COLS = [
@@ -52,28 +54,61 @@ BROWSABLE = ["catalog_products", "ingredient_table", "menu_board", "menu_recipe_
              "nutrition_table"]
 
 
-def load_table(df: DataFrame) -> DataFrame:
-    """Cast every listed column present to DECIMAL(12,2); NaN -> NULL first."""
-    out = []
+def _typed(df: DataFrame, name: str | None) -> dict[str, tuple[F.Column, F.Column]]:
+    """Column -> (typed value, whether it had a value that could not be read)."""
+    known = {f.name: f.dataType for f in TABLES[name].fields} if name else {}
+    out = {}
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if f.name in DECIMAL_COLS:
-            if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-                c = F.nanvl(c, F.lit(None).cast(f.dataType))
-            c = c.try_cast(MONEY)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            c = F.nanvl(c, F.lit(None).cast(f.dataType))
+        target = known.get(f.name) or (MONEY if f.name in DECIMAL_COLS else None)
+        if target is None or f.dataType == target or isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            out[f.name] = F.col(f"`{f.name}`"), F.lit(False)
+        else:
+            typed = c.try_cast(target)
+            out[f.name] = typed, c.isNotNull() & typed.isNull()
+    return out
+
+
+def load_table(df: DataFrame, name: str | None = None) -> DataFrame:
+    """The columns of an exported table with their types: those of the table schema
+    ``name``, else DECIMAL(12,2) for every listed column present; NaN -> NULL first."""
+    return df.select(*(c.alias(k) for k, (c, _) in _typed(df, name).items()))
+
+
+def unreadable_values(df: DataFrame, name: str | None = None) -> DataFrame:
+    """Per column, how many values ``load_table`` could not read (they are NULL there)."""
+    bad = {k: b for k, (_, b) in _typed(df, name).items()}
+    counts = df.agg(*(F.count_if(b).alias(k) for k, b in bad.items()))
+    return counts.select(F.explode(F.map_from_arrays(
+        F.array(*map(F.lit, bad)), F.array(*(F.col(f"`{k}`") for k in bad)))).alias("column", "unreadable"))
+
+
+def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
+    """A parquet export of the table ``name``, typed by its schema."""
+    return load_table(spark.read.parquet(path), name)
 
 
 def _string_schema(names: list[str]) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def _sheets(spark: SparkSession, path: str | list[str], columns: list[str], header: bool) -> DataFrame:
+    """Sheets in load order, ``batch`` ascending with the place in the list, then in the file."""
+    out = None
+    for k, p in enumerate([path] if isinstance(path, str) else path):
+        raw = (spark.read.schema(_string_schema(columns)).option("sep", "\t").option("header", header).csv(p))
+        raw = raw.withColumn("batch", F.struct(
+            F.lit(k).alias("load"), F.col("_metadata.file_block_start").alias("block"),
+            F.monotonically_increasing_id().alias("line")))
+        out = raw if out is None else out.unionByName(raw)
+    return out
+
+
 def read_nutrition_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Read one or more nutrition sheets; see ``parse_nutrition``."""
-    raw = (spark.read.schema(_string_schema(NUTRITION_HEADER))
-           .option("sep", "\t").option("header", True).csv(path))
-    return parse_nutrition(raw.withColumn("batch", F.input_file_name()))
+    return parse_nutrition(_sheets(spark, path, NUTRITION_HEADER, header=True))
 
 
 def parse_nutrition(raw: DataFrame) -> DataFrame:
@@ -94,8 +129,7 @@ def parse_nutrition(raw: DataFrame) -> DataFrame:
 
 def read_ingredient_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """S3: read ingredient sheets (7 columns, no header); see ``parse_ingredients``."""
-    raw = spark.read.schema(_string_schema(INGREDIENT_SHEET)).option("sep", "\t").csv(path)
-    return parse_ingredients(raw.withColumn("batch", F.input_file_name()))
+    return parse_ingredients(_sheets(spark, path, INGREDIENT_SHEET, header=False))
 
 
 def parse_ingredients(raw: DataFrame) -> DataFrame:

@@ -42,13 +42,13 @@ def _truthy_price(x: F.Column) -> F.Column:
 
 
 def parse_store_json(df: DataFrame, day=None) -> DataFrame:
-    """The first of the first 3 hits that has both a name and a price.
+    """The first hit of the page that has both a name and a price.
 
     price = priceRange.sellingPrice.highPrice, else items[0].sellers[0].commertialOffer.Price;
-    product name cut to 200 characters, url (from linkText) to 500. Input columns:
+    names and urls (from linkText) are kept whole. Input columns:
     ingrediente, supermercado, body. A malformed body yields no row.
     """
-    hits = F.slice(F.from_json("body", SEARCH_SCHEMA), 1, 3)
+    hits = F.from_json("body", SEARCH_SCHEMA)
     domain = F.element_at(F.create_map(*[x for k, v in STORE_DOMAINS.items()
                                          for x in (F.lit(k), F.lit(v))]), F.col("supermercado"))
 
@@ -66,9 +66,9 @@ def parse_store_json(df: DataFrame, day=None) -> DataFrame:
     out = df.select("ingrediente", "supermercado", first.alias("hit")).filter(F.col("hit").isNotNull())
     return out.select(
         "ingrediente", "supermercado",
-        F.substring("hit.name", 1, 200).alias("producto"),
+        F.col("hit.name").alias("producto"),
         F.col("hit.price").alias("precio"),
-        F.substring(F.coalesce("hit.url", F.lit("")), 1, 500).alias("url"),
+        F.coalesce("hit.url", F.lit("")).alias("url"),
         (day if day is not None else F.current_date()).alias("fecha_scrape"))
 
 
@@ -80,8 +80,7 @@ HTML_HITS = T.StructType([
 
 
 def parse_store_html(df: DataFrame, day=None) -> DataFrame:
-    """Product nodes of a store results page (first 3); price text by F5; the first
-    node with a name and a price wins. Input: ingrediente, supermercado, html."""
+    """Product nodes of a store results page; price text by F5; the first node with a name and a price wins. Input: ingrediente, supermercado, html."""
     hits = df.select("ingrediente", "supermercado", "html").mapInPandas(
         html_nodes.extract_batches, HTML_HITS)
     hits = hits.withColumn("precio", store_price_text("price_text")).filter(
@@ -89,9 +88,9 @@ def parse_store_html(df: DataFrame, day=None) -> DataFrame:
     first = hits.groupBy("ingrediente", "supermercado").agg(
         F.min_by(F.struct("name", "precio", "link"), F.col("rank")).alias("h"))
     return first.select(
-        "ingrediente", "supermercado", F.substring("h.name", 1, 200).alias("producto"),
+        "ingrediente", "supermercado", F.col("h.name").alias("producto"),
         F.col("h.precio").alias("precio"),
-        F.substring(F.coalesce("h.link", F.lit("")), 1, 500).alias("url"),
+        F.coalesce("h.link", F.lit("")).alias("url"),
         (day if day is not None else F.current_date()).alias("fecha_scrape"))
 
 
@@ -105,15 +104,24 @@ PRODUCT_SCHEMA = T.StructType([
     T.StructField("categories", _NAMED), T.StructField("tags", _NAMED)])
 
 
+def _last_body(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The last landed body per key, decided on the texts before they are parsed. ``order``
+    is the arrival number or time of a body; there is no order to fall back on."""
+    from mise.operators.mutations import latest_per_key
+    keyed = df.select(F.get_json_object("body", f"$.{key}").alias("_key"), "body", order)
+    return latest_per_key(keyed.filter(F.col("_key").isNotNull()), ["_key"], order)
+
+
 def _blank_zero(x: F.Column) -> F.Column:
     return F.coalesce(F.nullif(x, F.lit("")).try_cast(MONEY), F.lit(0).cast(MONEY))
 
 
-def parse_catalog(df: DataFrame) -> DataFrame:
+def parse_catalog(df: DataFrame, order: str = "arrival") -> DataFrame:
     """One product per body; price and regular_price blank -> 0, in_stock default
-    false, category and tag names as arrays; the last body per slug wins."""
+    false, category and tag names as arrays; the last body per slug by ``order`` wins."""
+    df = _last_body(df, "slug", order)
     p = df.select(F.from_json("body", PRODUCT_SCHEMA).alias("p"),
-                  F.monotonically_increasing_id().alias("_seq")).filter(F.col("p.slug").isNotNull())
+                  ).filter(F.col("p.slug").isNotNull())
     rows = p.select(
         F.col("p.slug").alias("slug"), F.col("p.name").alias("name"),
         _blank_zero(F.col("p.prices.price")).alias("price"),
@@ -122,9 +130,8 @@ def parse_catalog(df: DataFrame) -> DataFrame:
         F.coalesce(F.transform("p.categories", lambda c: c["name"]), F.array().cast("array<string>"))
         .alias("categories"),
         F.coalesce(F.transform("p.tags", lambda c: c["name"]), F.array().cast("array<string>"))
-        .alias("tags"), "_seq")
-    from mise.operators.mutations import latest_per_key
-    return latest_per_key(rows, ["slug"], "_seq").drop("_seq")
+        .alias("tags"))
+    return rows
 
 
 DETAIL_SCHEMA = T.StructType([
@@ -139,6 +146,8 @@ def apply_catalog_details(products: DataFrame, details: DataFrame) -> DataFrame:
     d = details.select(F.from_json("body", DETAIL_SCHEMA).alias("d")).select(
         F.col("d.slug").alias("slug"), F.coalesce("d.content.rendered", F.lit("")).alias("_desc"),
         F.coalesce("d.excerpt.rendered", F.lit("")).alias("_var"))
+    from mise.operators.mutations import latest_per_key
+    d = latest_per_key(d.filter(F.col("slug").isNotNull()), ["slug"])     # one body per slug
     j = products.join(d, "slug", "left")
     base = [c for c in products.columns if c not in ("description", "variations")]
     old_d = F.col("description") if "description" in products.columns else F.lit(None).cast("string")
@@ -164,13 +173,14 @@ ORDER_SCHEMA = T.StructType([
     T.StructField("payment_status", T.StringType())])
 
 
-def parse_orders(df: DataFrame) -> DataFrame:
+def parse_orders(df: DataFrame, order: str = "arrival") -> DataFrame:
     """Order header, currency default COP, customer_name = first + ' ' + last (blank
     parts keep the space), line items projected to (product_id, name, quantity, price,
-    total) with numeric casts, shipping kept as its JSON text; last body per id wins."""
+    total) with numeric casts, shipping kept as its JSON text; the last body per id by
+    ``order`` wins."""
+    df = _last_body(df, "id", order)
     o = df.select(F.from_json("body", ORDER_SCHEMA).alias("o"),
-                  F.get_json_object("body", "$.shipping").alias("shipping_address"),
-                  F.monotonically_increasing_id().alias("_seq"))
+                  F.get_json_object("body", "$.shipping").alias("shipping_address"))
     o = o.filter(F.col("o.id").isNotNull())
     items = F.transform(F.coalesce("o.line_items", F.array().cast(T.ArrayType(LINE_SCHEMA))),
                         lambda i: F.struct(
@@ -192,9 +202,8 @@ def parse_orders(df: DataFrame) -> DataFrame:
         items.alias("items"),
         F.coalesce("shipping_address", F.lit("{}")).alias("shipping_address"),
         F.coalesce("o.payment_method_title", F.lit("")).alias("payment_method"),
-        F.coalesce("o.payment_status", F.lit("")).alias("payment_status"), "_seq")
-    from mise.operators.mutations import latest_per_key
-    return latest_per_key(rows, ["id"], "_seq").drop("_seq")
+        F.coalesce("o.payment_status", F.lit("")).alias("payment_status"))
+    return rows
 
 
 def order_lines(orders: DataFrame) -> DataFrame:
@@ -212,10 +221,21 @@ TICKET_ITEMS = T.ArrayType(T.StructType([
 
 def parse_tickets(df: DataFrame) -> DataFrame:
     """Ticket payloads -> lines (ticket_id, line_no, ts, dish_id, quantity default 1,
-    optional sale_price). Input: ticket_id, ts, body (JSON array of items)."""
+    optional sale_price). Input: ticket_id, ts, body (JSON array of items). The default is for
+    an absent quantity only: one that cannot be read stays NULL and is refused like a
+    quantity below 1. Bodies that are no list of items are in ``rejected_tickets``."""
     x = df.select("ticket_id", "ts", F.posexplode(F.from_json("body", TICKET_ITEMS)).alias("pos", "it"))
     return x.select(
         "ticket_id", (F.col("pos") + 1).alias("line_no"), "ts",
         F.col("it.dish_id").try_cast("bigint").alias("dish_id"),
-        F.coalesce(F.col("it.quantity").try_cast("int"), F.lit(1)).alias("quantity"),
+        F.when(F.col("it.quantity").isNull(), F.lit(1)).otherwise(
+            F.col("it.quantity").try_cast("int")).alias("quantity"),
         F.col("it.sale_price").try_cast(MONEY).alias("sale_price"))
+
+
+def rejected_tickets(df: DataFrame) -> DataFrame:
+    """(ticket_id, ts, reason) of the payloads that give no line at all."""
+    items = F.from_json("body", TICKET_ITEMS)
+    reason = F.when(items.isNull(), F.lit("body is not a list of items")).when(
+        F.size(items) == 0, F.lit("no items"))
+    return df.select("ticket_id", "ts", reason.alias("reason")).filter(F.col("reason").isNotNull())

@@ -23,16 +23,24 @@ def write_full(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("overwriteSchema", "true").parquet(path)
 
 
-def replace_days(df: DataFrame, path: str, day_col: str = "fecha_scrape") -> None:
-    """K2: idempotent daily snapshot - the days present in ``df`` are replaced, other
-    days are kept (dynamic partition overwrite). Re-running gives the same rows."""
+def replace_days(df: DataFrame, path: str, day_col: str = "fecha_scrape", days: list | None = None,
+                 tasks: int | None = None) -> None:
+    """K2: idempotent daily snapshot - the days present in ``df`` and those listed in ``days``
+    are replaced, other days are kept. Re-running gives the same rows.
+
+    A listed day without rows loses its earlier rows. A day's rows are dealt over ``tasks``
+    tasks (default: the session's shuffle partitions) by a hash of the row, so that one large
+    day is not one task; AQE joins small ones."""
     spark = df.sparkSession
-    old = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.repartition(day_col).write.mode("overwrite").partitionBy(day_col).parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", old)
+    tasks = tasks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = [c for c in df.columns if c != day_col]
+    (df.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(tasks)))
+     .hint("rebalance", F.col(day_col), F.col("_salt")).drop("_salt")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day_col).parquet(path))
+    for day in days or []:
+        if df.filter(F.col(day_col) == F.lit(day).cast("date")).isEmpty():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{day_col}={day}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def inventory_export_frame(ing: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def log_run(spark: SparkSession, path: str, sync_type: str, items_count: int,
             message: str = "", at: _dt.datetime | None = None, error_when_empty: bool = False) -> None:
     """K4: append one run-log row; an order sync with 0 items is logged as 'error'."""
     status = "error" if (error_when_empty and items_count == 0) else "success"
-    row = [(sync_type, status, message, int(items_count), at or _dt.datetime.utcnow())]
+    row = [(sync_type, status, message, int(items_count), at or _dt.datetime.now(_dt.timezone.utc))]
     spark.createDataFrame(row, RUN_LOG_SCHEMA).write.mode("append").parquet(path)
 
 

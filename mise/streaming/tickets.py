@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import AnalysisException
 
 from mise.functions.expr import MONEY, stock_state_report
 from mise.operators.mutations import upsert
@@ -34,6 +33,7 @@ from mise.sources.sinks import replace_days
 
 TICKET_SCHEMA = T.StructType([
     T.StructField("ticket_id", T.LongType()),
+    T.StructField("line_no", T.IntegerType()),
     T.StructField("ts", T.TimestampType()),
     T.StructField("dish_id", T.LongType()),
     T.StructField("quantity", T.IntegerType()),
@@ -140,7 +140,7 @@ def start_day_totals(stream: DataFrame, sink_path: str, checkpoint: str | None =
 def daily_snapshot_sink(path: str, day_col: str = "fecha_scrape"):
     """R4 for price snapshots: each micro-batch replaces its days (K2)."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        replace_days(batch, path, day_col)
+        replace_days(batch, path, day_col)      # a batch replaces the days it brings
     return write
 
 
@@ -163,10 +163,10 @@ def latest_snapshot(spark: SparkSession, path: str, before: int | None = None) -
     """The newest snapshot under ``path`` (only snapshots older than ``before`` when
     given); None when there is none. The newest id is a scalar subquery, so only that
     partition folder is scanned."""
-    try:
-        snaps = spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None             # only a missing table is "no snapshot yet"; errors are errors
+    snaps = spark.read.parquet(path)
     if before is not None:
         snaps = snaps.filter(F.col("snapshot") < before)
         if snaps.isEmpty():
@@ -198,8 +198,9 @@ def post_ticket_stream(payloads: DataFrame, menu: DataFrame, items: DataFrame, i
         if stock is None:
             stock = ing.select("name", "count")
         batch = batch.withColumn("line_id", F.col("line_no"))
-        priced = price_tickets(batch, menu, items, ing)      # unit costs do not depend on stock
-        totals = post_sales(priced)
+        # unit costs do not depend on stock; three writes read these lines
+        priced = price_tickets(batch, menu, items, ing).persist()
+        totals = post_sales(priced, batch)
         ok = totals.filter("accepted")
         ok.write.mode("overwrite").parquet(os.path.join(out_path, "sales", f"batch_id={batch_id}"))
         priced.join(ok.select("ticket_id"), "ticket_id", "left_semi").write.mode("overwrite").parquet(
@@ -207,6 +208,7 @@ def post_ticket_stream(payloads: DataFrame, menu: DataFrame, items: DataFrame, i
         after = deplete_stock(stock, priced, totals, items).select(
             "name", F.col("count_after").cast("decimal(12,2)").alias("count"))
         after.write.mode("overwrite").parquet(os.path.join(stock_path, f"snapshot={batch_id:012d}"))
+        priced.unpersist()
 
     return (lines.writeStream.option("checkpointLocation", checkpoint)
             .foreachBatch(write).trigger(availableNow=True).start())

@@ -35,10 +35,10 @@ def _write_files(spark, folder, which):
     import pyarrow as pa
     import pyarrow.parquet as pq
     os.makedirs(folder, exist_ok=True)
-    schema = pa.schema([("ticket_id", pa.int64()), ("ts", pa.timestamp("us", tz="UTC")),
+    schema = pa.schema([("ticket_id", pa.int64()), ("line_no", pa.int32()), ("ts", pa.timestamp("us", tz="UTC")),
                         ("dish_id", pa.int64()), ("quantity", pa.int32())])
     for k in which:
-        rows = [(tid, dt.datetime(2024, 1, day, 12, 0, tzinfo=dt.timezone.utc), 5 * (tid % 3), q)
+        rows = [(tid, 1, dt.datetime(2024, 1, day, 12, 0, tzinfo=dt.timezone.utc), 5 * (tid % 3), q)
                 for tid, day, q in FILES[k]]
         table = pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
         dst = os.path.join(folder, f"file{k}.parquet")
@@ -72,7 +72,7 @@ def test_day_totals_restart_from_checkpoint(spark, tmp):
 
 
 def test_day_totals_batch_twin_on_time_rows(spark):
-    rows = [(tid, dt.datetime(2024, 1, day, 12), 0, q) for f in FILES for tid, day, q in f if tid != 30]
+    rows = [(tid, 1, dt.datetime(2024, 1, day, 12), 0, q) for f in FILES for tid, day, q in f if tid != 30]
     got = sorted(tuple(r) for r in R.day_totals_batch(
         spark.createDataFrame(rows, R.TICKET_SCHEMA)).filter(F.col("day") < dt.date(2024, 1, 20)).collect())
     assert got == EXPECTED_R1
@@ -129,10 +129,7 @@ def test_multi_line_tickets_keep_all_lines(spark, tmp):
         pq.write_table(pa.Table.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema),
                        os.path.join(src, f"f{k}.parquet"))
         os.utime(os.path.join(src, f"f{k}.parquet"), (1_700_000_000 + k, 1_700_000_000 + k))
-    from pyspark.sql import types as T
-    stream_schema = T.StructType(R.TICKET_SCHEMA.fields[:1] + [T.StructField("line_no", T.IntegerType())]
-                                 + R.TICKET_SCHEMA.fields[1:])
-    stream = spark.readStream.schema(stream_schema).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(R.TICKET_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     q = R.start_day_totals(stream, sink, ckpt)
     q.awaitTermination(120)
     got = [tuple(r) for r in spark.read.parquet(sink).collect()]
