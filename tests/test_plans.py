@@ -8,10 +8,13 @@ import io
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
+from mise.plans.registry import load_all
 
-QUERIES = {k: v for k, v in E.queries().items() if not k.startswith("r")}
+# streams run when they are built, so they are no plans
+QUERIES = {k: fn for k, (fn, _sql) in load_all().items() if not k.startswith(("r1_", "r3_"))}
+# the "last per key" rules must not sort whole rows twice around a shuffle
+NO_SORT_AGGREGATE = ("m1_", "s6_", "s8_", "s9_", "u1_")
 FORBIDDEN = ["CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"]
 PYTHON_ALLOWED = {"s5_store_html": "MapInPandas"}
 
@@ -30,6 +33,8 @@ def test_plan_shape(spark, name):
         assert bad not in text, f"{name}: {bad}"
     if "MapInPandas" in text:
         assert PYTHON_ALLOWED.get(name) == "MapInPandas", name
+    if name.startswith(NO_SORT_AGGREGATE):
+        assert "SortAggregate" not in text, name
 
 
 def test_scans_are_pruned_and_filtered(spark):
