@@ -172,6 +172,21 @@ def recipe_check_lines(lines: DataFrame, ing: DataFrame) -> DataFrame:
         F.round(pct, 1).cast("double").alias("have_pct"))
 
 
+def recipe_shopping_lines(lines: DataFrame, ing: DataFrame) -> DataFrame:
+    """A13 shopping list of every recipe, one row per missing line: the quantity that the
+    stock does not cover, its unit and its cost. An unknown ingredient has stock 0, cost 0.
+    The unit is the line's where it has one, else the ingredient's."""
+    stock = ing.select(F.col("name").alias("ingredient_name"), "count", "cost",
+                       F.col("measure").alias("stock_measure"))
+    j = lines.join(stock, "ingredient_name", "left")
+    qty = F.col("quantity_needed") - F.coalesce("count", F.lit(0))
+    measure = F.coalesce("measure", "stock_measure") if "measure" in lines.columns else F.col("stock_measure")
+    return j.filter(qty > 0).select(
+        "recipe_id", F.col("ingredient_name").alias("name"), qty.cast("double").alias("qty"),
+        measure.alias("measure"),
+        (qty * F.coalesce("cost", F.lit(0))).cast("double").alias("cost"))
+
+
 def recipes_with_items(recipes: DataFrame, lines: DataFrame, ing: DataFrame) -> DataFrame:
     """J6 + J7: recipe rows with their lines nested (ingredient stock and cost embedded).
 

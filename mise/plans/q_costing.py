@@ -129,6 +129,17 @@ def a13_recipe_check(spark, sf):
     return C.check_recipes(recipes, lines, t.ing)
 
 
+@query("a13_shopping_lines", with_views("""
+SELECT r.dish_id AS recipe_id, r.ingredient_name AS name,
+       CAST(r.quantity_grams - coalesce(i.count, 0) AS DOUBLE) AS qty, i.measure,
+       CAST((r.quantity_grams - coalesce(i.count, 0)) * coalesce(i.cost, 0) AS DOUBLE) AS cost
+FROM menu_recipe_items r LEFT JOIN ingredient_table i ON i.name = r.ingredient_name
+WHERE r.quantity_grams > coalesce(i.count, 0)""", *COSTING_VIEWS))
+def a13_shopping_lines(spark, sf):
+    t = Tables.of(spark, sf)
+    return C.recipe_shopping_lines(_recipes(t)[1], t.ing)
+
+
 @query("a14_have_need_pct", with_views("""
 SELECT r.dish_id AS recipe_id, r.ingredient_name,
        CAST(r.quantity_grams AS DOUBLE) AS needed,
@@ -161,6 +172,24 @@ def j7_recipes_with_items(spark, sf):
     return C.recipe_summary(recipes, lines, t.ing)
 
 
+@query("j7_nested_list", with_views("""
+SELECT m.id AS recipe_id, m.dish_name AS recipe_name, coalesce(x.n, 0) AS n_ingredients,
+       coalesce(x.items, '') AS ingredients
+FROM menu_board m LEFT JOIN (
+  SELECT r.dish_id, count(*) AS n,
+         string_agg(r.ingredient_name || ':' || CAST(CAST(r.quantity_grams AS INTEGER) AS VARCHAR), '|'
+                    ORDER BY r.ingredient_name, r.quantity_grams) AS items
+  FROM menu_recipe_items r GROUP BY r.dish_id) x ON x.dish_id = m.id""", *COSTING_VIEWS))
+def j7_nested_list(spark, sf):
+    """Each recipe with its whole ingredient list (nested, shown as name:grams)."""
+    t = Tables.of(spark, sf)
+    nested = C.recipes_with_items(*_recipes(t), t.ing)
+    shown = F.transform("ingredients", lambda x: F.concat(
+        x["ingredient_name"], F.lit(":"), x["quantity_needed"].cast("int").cast("string")))
+    return nested.select("recipe_id", "recipe_name", "n_ingredients",
+                         F.coalesce(F.array_join(shown, "|"), F.lit("")).alias("ingredients"))
+
+
 @query("a29_dish_stock_flags", with_views("""
 SELECT m.id AS dish_id, m.dish_name, coalesce(f.low, false) AS low_stock,
        coalesce(f.n, 0) AS short_ingredients

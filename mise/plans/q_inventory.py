@@ -310,3 +310,63 @@ SELECT coalesce(classification, '') AS "Clasificacion", name AS "Producto", coal
 FROM ingredient_table""", ING))
 def k3_inventory_export(spark, sf):
     return inventory_export_frame(Tables.of(spark, sf).ing)
+
+
+# ------------------------------------------------------------------- T8 two-key orders
+@query("t8_menu_by_position", with_views("""
+SELECT category, sort_order, id, dish_name FROM menu_board ORDER BY category, sort_order, id""", "menu_board"))
+def t8_menu_by_position(spark, sf):
+    return Tables.of(spark, sf).menu.select("category", "sort_order", "id", "dish_name").orderBy(
+        "category", "sort_order", "id")
+
+
+@query("t8_menu_by_name", with_views("""
+SELECT category, dish_name, id FROM menu_board ORDER BY category, dish_name, id""", "menu_board"))
+def t8_menu_by_name(spark, sf):
+    return Tables.of(spark, sf).menu.select("category", "dish_name", "id").orderBy("category", "dish_name", "id")
+
+
+@query("t8_prices_by_ingredient", with_views("""
+SELECT ingrediente, supermercado, fecha_scrape, CAST(precio AS DOUBLE) AS precio FROM precios_competencia
+ORDER BY ingrediente, supermercado, fecha_scrape""", "precios_competencia"))
+def t8_prices_by_ingredient(spark, sf):
+    return Tables.of(spark, sf).prices.select(
+        "ingrediente", "supermercado", "fecha_scrape", F.col("precio").cast("double").alias("precio")).orderBy(
+        "ingrediente", "supermercado", "fecha_scrape")
+
+
+# ------------------------------------------------------------------- sinks, read back
+def _folder(spark, name: str) -> str:
+    import uuid
+    from mise.session import scratch_path
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("k1_full_refresh", with_views("SELECT name, measure, CAST(cost AS DOUBLE) AS cost FROM ingredient_table", ING))
+def k1_full_refresh(spark, sf):
+    """K1: a table with other columns is overwritten by the ingredient table and read back."""
+    from mise.sources.sinks import write_full
+    t, path = Tables.of(spark, sf), _folder(spark, "k1")
+    write_full(t.menu.select("id", "dish_name"), path)
+    write_full(t.ing.select("name", "measure", F.col("cost").cast("double").alias("cost")), path)
+    return spark.read.parquet(path)
+
+
+@query("k2_day_replace", with_views("""
+SELECT ingrediente, supermercado, CAST(precio + CASE WHEN fecha_scrape = (SELECT max(fecha_scrape) FROM precios_competencia)
+         THEN 1 ELSE 0 END AS DOUBLE) AS precio, fecha_scrape
+FROM precios_competencia
+WHERE fecha_scrape <> (SELECT min(fecha_scrape) FROM precios_competencia)""", "precios_competencia"))
+def k2_day_replace(spark, sf):
+    """K2: the newest day is replaced (twice: a replay), the oldest day comes without rows."""
+    from mise.sources.sinks import replace_days
+    path = _folder(spark, "k2")
+    p = Tables.of(spark, sf).prices.select("ingrediente", "supermercado", F.col("precio").cast("double").alias("precio"),
+                                           "fecha_scrape")
+    replace_days(p, path)
+    ends = p.agg(F.min("fecha_scrape").alias("a"), F.max("fecha_scrape").alias("b")).first()
+    new = p.filter(F.col("fecha_scrape") == F.lit(ends["b"])).withColumn("precio", F.col("precio") + 1)
+    replace_days(new, path, days=[str(ends["b"])])
+    replace_days(new, path, days=[str(ends["b"])])
+    replace_days(p.limit(0), path, days=[str(ends["a"])])
+    return spark.read.parquet(path).select("ingrediente", "supermercado", "precio", "fecha_scrape")
