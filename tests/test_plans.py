@@ -42,3 +42,8 @@ def test_scans_are_pruned_and_filtered(spark):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in text
     assert "GreaterThanOrEqual(o_orderdate" in text
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in text
+
+
+def test_unused_supplier_is_not_read(spark):
+    assert "s_suppkey" not in plan_text(QUERIES["a3_kpis"](spark, SF_SMALL))
+    assert "s_suppkey" in plan_text(QUERIES["a24_suppliers"](spark, SF_SMALL))
