@@ -214,3 +214,8 @@ def month_start(as_of: str) -> Column:
 def next_month_start(d) -> Column:
     """First day of the next month."""
     return F.date_add(F.last_day(_c(d)), 1)
+
+
+def thirty_days_on(d) -> Column:
+    """P23, table default: 30 days after the start."""
+    return F.date_add(_c(d), 30)

@@ -175,16 +175,18 @@ def ticket_checks() -> list[tuple[str, Column]]:
     return [("quantity < 1", F.col("quantity") >= 1)]
 
 
-# The menu columns copied onto a catalog product by the alignment.
-ALIGN_COLUMNS = ["dish_name", "category", "sort_order", "status", "cost_total", "portion_weight_g",
-                 "protein_g", "calories", "carbs_g", "fat_g", "fiber_g", "sodium_mg",
-                 "overhead_cost", "sale_price"]
+# The menu columns copied onto a catalog product by the alignment, with the
+# value a product without a dish starts with (created_at: the time of the alignment).
+ALIGN_COLUMNS = {"dish_name": "", "category": "General", "sort_order": 0, "status": "activo", "created_at": None,
+                 "cost_total": 0, "portion_weight_g": 0, "protein_g": 0, "calories": 0, "carbs_g": 0,
+                 "fat_g": 0, "fiber_g": 0, "sodium_mg": 0, "overhead_cost": 0, "sale_price": 0}
 
 
-def align_catalog(products: DataFrame, menu: DataFrame) -> DataFrame:
+def align_catalog(products: DataFrame, menu: DataFrame, now: Column | None = None) -> DataFrame:
     """M9: copy menu columns onto catalog products whose upper(trim(name)) equals the
     dish's upper(trim(dish_name)) (the lowest dish id wins a tie), set
-    menu_board_dish_id; products without a dish get dish_name = name."""
+    menu_board_dish_id. A column that the catalog does not have yet starts with its default
+    (``now`` for created_at); products without a dish get dish_name = name."""
     cols = [c for c in ALIGN_COLUMNS if c in menu.columns]
     m = menu.select(F.upper(F.trim("dish_name")).alias("_k"), "id", *cols)
     one = m.groupBy("_k").agg(F.min_by(F.struct("id", *cols), F.col("id")).alias("_m")).select(
@@ -194,8 +196,8 @@ def align_catalog(products: DataFrame, menu: DataFrame) -> DataFrame:
                           *[F.col(c).alias(f"_mb_{c}") for c in cols]), "_k", "left")
     out = [F.col(c) for c in products.columns if c not in cols and c != "menu_board_dish_id"]
     for c in cols:
-        # a column the catalog does not have yet starts as '' (dish_name) or NULL
-        cur = F.col(c) if c in products.columns else (F.lit("") if c == "dish_name" else F.lit(None))
+        start = now if c == "created_at" and now is not None else F.lit(ALIGN_COLUMNS[c])
+        cur = F.col(c) if c in products.columns else start.cast(menu.schema[c].dataType)
         v = F.when(F.col("menu_board_dish_id").isNotNull(), F.col(f"_mb_{c}")).otherwise(cur)
         if c == "dish_name":
             v = F.when(v == "", F.col("name")).otherwise(v)

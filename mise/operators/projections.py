@@ -42,16 +42,18 @@ def _projection_values(units: F.Column) -> list:
             F.round(uc * units, 2).cast("double").alias("estimated_cost")]
 
 
-def init_projections(menu: DataFrame, items: DataFrame, ing: DataFrame, as_of: str) -> DataFrame:
+def init_projections(menu: DataFrame, items: DataFrame, ing: DataFrame, as_of: str,
+                     end=next_month_start) -> DataFrame:
     """One projection per dish: 30 units, unit cost = raw recipe cost, estimates
-    and dates (start = as_of, end = first day of the next month, P23)."""
+    and dates (P23: start = as_of, end = first day of the next month, or by another rule
+    such as ``thirty_days_on``)."""
     m = menu.select(F.col("id").alias("dish_id"), "dish_name", "category")
     j = m.join(_cost_info(items, ing), "dish_id", "left")
     units = F.lit(DEFAULT_UNITS)
     start = F.lit(as_of).cast("date")
     return j.select("dish_id", "dish_name", F.lit(DEFAULT_UNITS).alias("projected_units"),
                     *_projection_values(units),
-                    start.alias("start_date"), next_month_start(start).alias("end_date"))
+                    start.alias("start_date"), end(start).alias("end_date"))
 
 
 def recost_projections(proj: DataFrame, items: DataFrame, ing: DataFrame) -> DataFrame:

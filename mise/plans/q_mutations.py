@@ -224,7 +224,9 @@ WITH prods AS (
 mb AS (SELECT upper(trim(dish_name)) AS k, min(id) AS id FROM menu_board GROUP BY 1)
 SELECT p.slug, p.name,
        CASE WHEN coalesce(m.dish_name, '') = '' THEN p.name ELSE m.dish_name END AS dish_name,
-       m.category, CAST(m.cost_total AS DOUBLE) AS cost_total, CAST(m.sale_price AS DOUBLE) AS sale_price,
+       CASE WHEN mb.id IS NULL THEN 'General' ELSE m.category END AS category,
+       CAST(CASE WHEN mb.id IS NULL THEN 0 ELSE m.cost_total END AS DOUBLE) AS cost_total,
+       CAST(CASE WHEN mb.id IS NULL THEN 0 ELSE m.sale_price END AS DOUBLE) AS sale_price,
        mb.id AS menu_board_dish_id
 FROM prods p LEFT JOIN mb ON mb.k = upper(trim(p.name)) LEFT JOIN menu_board m ON m.id = mb.id""",
                                       "menu_board"))

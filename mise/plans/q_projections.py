@@ -40,6 +40,17 @@ def a18_init_projections(spark, sf):
     return P.init_projections(t.menu, t.items, t.ing, AS_OF)
 
 
+@query("p23_thirty_day_projections", with_views(f"""
+SELECT id AS dish_id, dish_name, DATE '{AS_OF}' AS start_date, DATE '{AS_OF}' + 30 AS end_date FROM menu_board""",
+                                               "menu_board"))
+def p23_thirty_day_projections(spark, sf):
+    """P23, the table's default dates: start and 30 days on."""
+    from mise.functions.expr import thirty_days_on
+    t = Tables.of(spark, sf)
+    return P.init_projections(t.menu, t.items, t.ing, AS_OF, thirty_days_on).select(
+        "dish_id", "dish_name", "start_date", "end_date")
+
+
 @query("a19_recost_projections", with_views(PROJ_SQL, *VIEWS))
 def a19_recost_projections(spark, sf):
     return Tables.of(spark, sf).proj
