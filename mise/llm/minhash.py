@@ -11,13 +11,14 @@ however many they are.
 * Banding: ``ROWS`` registers make a band key; classes that share a key in any of the
   ``BUCKETS / ROWS`` bands are candidates. At a similarity of 0.8 a band fails with
   probability 0.59, all 32 with less than 1e-7.
-* Candidates are compared with one centre of their band key at a time, links verified and
-  classes merged after each of ``ROUNDS`` rounds; only keys that still hold several components
-  go into the next one. A group of m near copies thereby costs about m comparisons a round.
-* What is left (members of keys that still hold several components) is compared across
-  components wherever two sets can be similar at all: sets of n shingles with a similarity of
-  s share one of their n - s n + 1 first shingles in any common order, here rare ones first.
-  So no link is missed, and texts that only share a frequent passage never meet.
+* Candidates are first compared with one centre of their band key, links verified and classes
+  merged, so that a group of m near copies costs about m comparisons.
+* Keys that still hold several components are compared across components: those of at most
+  ``SMALL`` members pair by pair; larger ones are joined into clusters by the keys they share,
+  and clusters are compared in blocks of ``BLOCK`` texts: a pair of blocks is one small group
+  that returns only the links that join components, so that thousands of texts that are alike
+  but not near copies never become rows of pairs. Every two members of a key thus either are
+  compared or already in one component: no link between components is missed.
 * Estimate: equal registers, less those expected to be equal by chance, over the buckets used
   by either; pairs that are ``SIGMAS`` standard errors below the threshold are dropped.
 * Verification: intersection and union of the full sets, in integers.
@@ -41,8 +42,8 @@ from mise.llm.common import id_text, ship, stored
 from mise.llm.components import components, cross_pairs, labelled, star_pairs
 
 BUCKETS = 128
-ROUNDS = 3
-COUNTERS = 1 << 20
+SMALL = 32
+BLOCK = 512
 ROWS = 4
 MANTISSA = 10
 SIGMAS = 5.0
@@ -250,44 +251,46 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
         run, "a long, b long")
 
 
-def prefix_pairs(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of different components that share one of their rarest shingles."""
-    spark = members.sparkSession
-    left = members.select("node", "component").distinct()
-    rows = stored(texts.join(left, "node"), "left-texts")
-
-    def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            for t in b.column("text").to_pylist():
-                np.add.at(total, (shingles(t, width) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
-        spot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(total[spot])], names=["spot", "n"])
-
-    counts = np.zeros(COUNTERS, np.int64)       # hashed counts: at most COUNTERS rows and 8 MB
-    for r in rows.mapInArrow(count, "spot long, n long").groupBy("spot").agg(F.sum("n").alias("n")).toLocalIterator():
-        counts[r["spot"]] = r["n"]
-    sent = spark.sparkContext.broadcast(np.minimum(counts, (1 << 31) - 1).astype(np.int32))
-
-    def cut(batches):
-        rarity = sent.value
-        for b in batches:
-            own, parts = [], []
-            for node, component, t in zip(b.column("node").to_pylist(), b.column("component").to_pylist(),
-                                          b.column("text").to_pylist()):
-                s = shingles(t, width)
-                first = len(s) - -(-percent * len(s) // 100) + 1
-                order = np.lexsort((s, rarity[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:first]
-                parts.append(s[order].view(np.int64))
-                own.append((node, component))
-            sizes = [len(x) for x in parts]
-            node, component = np.array(own, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([np.zeros(0, np.int64), *parts])), pa.array(np.repeat(node, sizes)),
-                 pa.array(np.repeat(component, sizes))], names=["key", "node", "component"])
+def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) that join components among the members of large keys, by blocks of clusters."""
+    centres = stored(members.groupBy("key").agg(F.min("node").alias("centre")), "cluster-centres")
+    edges = members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = stored(components(edges).withColumnRenamed("component", "cluster").join(
+        members.select("node", "component").distinct(), "node"), "clusters")
+    sizes = stored(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
+    rows = nodes.join(sizes, "cluster").select(
+        "node", "component", "cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = texts.join(stored(rows, "block-members"), "node").select(
+        "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine",
+        "node", "component", "text")
+
+    def link(key, frame):
+        i, j = key[1].as_py(), key[2].as_py()
+        mine, node = frame.column("mine").to_numpy(), frame.column("node").to_numpy()
+        own = frame.column("component").to_numpy().copy()
+        sets = [shingles(t, width) for t in frame.column("text").to_pylist()]
+        sketch, n = registers(sets), np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        found = []
+        for x in left:
+            others = right if i != j else right[right > x]
+            others = others[(own[others] != own[x]) & (np.minimum(n[others], n[x]) * 100
+                                                       >= np.maximum(n[others], n[x]) * percent)]
+            if not len(others):
+                continue
+            similar, error = estimate(sketch[others], sketch[x], n[others], n[x])
+            for y in others[similar + SIGMAS * error >= percent / 100]:
+                if own[y] == own[x]:
+                    continue                        # joined meanwhile
+                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                if 100 * both >= percent * (n[x] + n[y] - both):
+                    found.append((int(min(node[x], node[y])), int(max(node[x], node[y]))))
+                    own[own == own[y]] = own[x]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    prefix = stored(rows.mapInArrow(cut, "key long, node long, component long"), "prefixes")
-    return cross_pairs(prefix)
+    return rows.groupBy("cluster", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def near_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -301,15 +304,13 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     common = stored(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "common-keys")
     members = stored(bands.join(common, "key").select("key", "node", F.col("node").alias("component")), "members")
     texts = stored(texts_of(docs, sets, members.select("node").distinct()), "member-texts")
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    for turn in range(ROUNDS + 1):
-        pairs = star_pairs(members, turn) if turn < ROUNDS else prefix_pairs(members, texts, width, percent)
-        found = stored(verified(stored(likely(pairs, sets, percent), "likely"), texts, width, percent), "links")
-        links = stored(links.unionByName(found), "all-links")
-        if turn < ROUNDS:
-            members = labelled(members, links)
-            if members.isEmpty():
-                break
+    check = lambda pairs: stored(verified(stored(likely(pairs, sets, percent), "likely"), texts, width, percent), "links")
+    links = check(star_pairs(members))
+    mixed = labelled(members, links)
+    large = stored(mixed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("key"), "large-keys")
+    links = links.unionByName(check(cross_pairs(stored(mixed.join(large, "key", "left_anti"), "small-members"))))
+    links = links.unionByName(stored(block_links(
+        stored(mixed.join(large, "key", "left_semi"), "large-members"), texts, width, percent), "links"))
     own = sets.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return rows.drop("registers"), own.select("c1", "c2", "node", "component", "first_id", "rep")
 
