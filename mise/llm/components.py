@@ -23,14 +23,13 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(
             F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        closer = stored(labels.join(near, "node").select(
-            "node", F.least("component", "near").alias("component"), F.col("component").alias("before")), "labels")
-        jump = closer.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = stored(closer.join(jump, "component", "left").select(
-            "node", F.least("component", "further").alias("component"), "before"), "labels")
-        if after.filter("component <> before").isEmpty():
-            return after.select("node", "component")
-        labels = after.select("node", "component")
+        closer = labels.join(near, "node").select(
+            "node", F.least("component", "near").alias("closer"), F.col("component").alias("before"))
+        jump = labels.select(F.col("node").alias("closer"), F.col("component").alias("further"))
+        labels = stored(closer.join(jump, "closer", "left").select(
+            "node", F.least("closer", "further").alias("component"), "before"), "labels")
+        if labels.filter("component <> before").isEmpty():
+            return labels.select("node", "component")
 
 
 def ordered(x: F.Column, y: F.Column) -> list[F.Column]:
