@@ -37,12 +37,12 @@ and the base score of a token is 0; extra columns are ignored; an empty table gi
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,7 +69,7 @@ def phrases(words: list[bytes]) -> list[bytes]:
 
 
 def phrase_keys(parts: list[bytes]) -> list[bytes]:
-    return [SPACE + hashlib.blake2b(x, digest_size=12).digest() for x in parts]
+    return [SPACE + xxhash.xxh3_128_digest(x) for x in parts]
 
 
 def phrase_sizes(parts: list[bytes]) -> np.ndarray:
@@ -128,7 +128,7 @@ def block_words(docs: DataFrame, blocks: int) -> DataFrame:
         words = [*trained, *(w for w in other if w not in trained)]
         n = np.zeros(len(words), np.int64)
         n[:len(trained)] = list(trained.values())
-        m = n + np.fromiter((other[w] for w in words), np.int64, len(words))
+        m = n + np.fromiter((other.get(w, 0) for w in words), np.int64, len(words))
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(words), block, np.int32)), pa.array(words, pa.binary()), pa.array(n), pa.array(m)],
             names=["block", "word", "n", "m"])
@@ -328,10 +328,13 @@ def score(docs: DataFrame, order: int = ORDER, words_per_block: int = WORDS) ->
         ~is_phrase | (F.col("m") > 1)).select("word", "n", "blocks"), "words")
     words = keys.filter(~is_phrase)
     repeated = keys.filter(is_phrase & (F.col("word") != F.lit(PHRASES)))
-    count = lambda df: df.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count_if(F.col("n") > 0).alias("known"),
-        F.count_if(F.col("n") == 1).alias("once"), F.count("*").alias("all")).first()
-    total, again, whole = count(words), count(repeated), count(keys.filter(F.col("word") == F.lit(PHRASES)))
+    # all numbers that the model needs, in one pass
+    kind = F.when(F.col("word") == F.lit(PHRASES), "whole").when(is_phrase, "again").otherwise("words")
+    numbers = {r["kind"]: r for r in keys.groupBy(kind.alias("kind")).agg(
+        F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("known"),
+        F.count_if(F.col("n") == 1).alias("once"), F.count("*").alias("all")).collect()}
+    none = {"n": 0, "known": 0, "once": 0, "all": 0}
+    total, again, whole = (numbers.get(k, none) for k in ("words", "again", "whole"))
     n_tokens, scale = total["n"], total["n"] + ADD * (total["known"] + 1)
     n_phrases = whole["n"]
     word_escape = (total["once"] + 1) / (n_tokens + 2)
