@@ -1,19 +1,24 @@
-"""Encoding and decoding with a SentencePiece vocabulary by streaming Viterbi.
-
-The vocabulary's pieces and scores form a unigram model: a text's encoding is the split into
-pieces with the greatest sum of scores, the earlier and shorter split winning ties. White
-space is escaped as in SentencePiece (a space becomes U+2581, one is put in front);
+"""Encoding and decoding with a SentencePiece vocabulary by a streaming search.
+
+A unigram vocabulary encodes a text as the split into pieces with the greatest sum of scores,
+the earlier and shorter split winning ties (``Pieces``). A BPE vocabulary (``Merges``) joins
+neighbours again and again, the pair whose piece has the best score first, the leftmost of
+equals. A split is the outcome of that exactly if every two pieces in a row are the outcome
+for their own text: the first join across a border would be the first one in that pair, too.
+So each boundary has one last piece, that which may follow the last piece where it begins,
+and the search is the same with this rule in place of the sum. White space is escaped as in SentencePiece (a space becomes U+2581, one is put in front);
 characters that no piece covers, and U+2581 itself, become their UTF-8 byte pieces, so that
 decoding gives every text back exactly.
 
-The search reads the text once. It keeps the best score and the last piece's length for the
-``longest piece`` last boundaries only. Whenever all their backpointer paths run through one
+The search reads the text once. It keeps the best score or the last piece, and that piece's
+length, for the ``longest piece`` last boundaries only. Whenever all their backpointer paths run through one
 boundary, everything up to it is settled: its ids are committed and forgotten. Memory is that
 window plus the stretch since the last commit.
 
 No piece but runs of U+2581 has that character after its first place, so paths always meet in
 front of a word. Committed words are remembered (up to ``CACHE_WORDS`` per worker, then
-forgotten all at once), and a word seen before skips the search.
+forgotten all at once), and a word seen before skips the search. So are up to ``CACHE_PAIRS``
+answers whether a piece may follow another.
 
 Cases: a null or empty text has no ids and decodes to the empty text; repeated rows are
 encoded alike; null ids are kept; extra columns are ignored; an empty table gives no rows.
@@ -33,14 +38,22 @@ from mise.llm.common import id_text, ship
 
 MARK = "▁"
 CACHE_WORDS = 1_500_000
+CACHE_PAIRS = 500_000
 UNKNOWN_SCORE = -1e6        # of each byte piece: worse than any split into other pieces
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 NORMAL, BYTE = 1, 6         # fixed values: piece types of the model format
+BPE = 2                     # and a model type
 COLUMNS = "doc_id long, n_tokens long, n_byte_tokens long, ids_crc32 long, decoded_sha256 string, exact boolean"
 
 _models: dict = {}
 
 
+def model_type(path: str) -> int:
+    from sentencepiece import sentencepiece_model_pb2 as format_
+    with open(path, "rb") as f:
+        return format_.ModelProto.FromString(f.read()).trainer_spec.model_type
+
+
 class Pieces:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as format_
@@ -153,10 +166,66 @@ class Pieces:
         return "".join(out)[1:]         # without the space put in front
 
 
+class Merges(Pieces):
+    """A BPE vocabulary."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.pairs: dict[tuple[str, str], bool] = {}
+        self.reach: dict[str, int] = {}     # the longest piece that ends in two characters
+        for p in self.scores:
+            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+
+    def merged(self, text: str) -> list[str]:
+        parts, scores = list(text), self.scores
+        while True:
+            top, at = None, 0
+            for k in range(len(parts) - 1):
+                found = scores.get(parts[k] + parts[k + 1])
+                if found is not None and (top is None or found[0] > top):
+                    top, at = found[0], k
+            if top is None:
+                return parts
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+
+    def follows(self, before: str, piece: str) -> bool:
+        """May the piece come after another (or none, at the beginning)?"""
+        if len(self.pairs) >= CACHE_PAIRS:
+            self.pairs.clear()
+        known = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return known
+
+    def stream(self, text: str):
+        longest, scores, reach, pairs = self.longest, self.scores, self.reach, self.pairs
+        last = [""]             # the last piece of the boundaries base, base + 1, ...
+        back: list[tuple[int, list[int]]] = [(0, [])]       # (its length, its ids)
+        base = 0
+        for end in range(1, len(text) + 1):
+            for size in range(min(reach.get(text[max(end - 2, 0):end], 1), end - base), 0, -1):
+                piece = text[end - size:end]
+                found = scores.get(piece)
+                # a character that is no piece stays alone, as its byte pieces
+                if found is not None or size == 1:
+                    before = last[end - size - base]
+                    known = pairs.get((before, piece))
+                    if self.follows(before, piece) if known is None else known:
+                        break
+            last.append(piece)
+            back.append((size, self.byte_ids(piece) if found is None else [found[1]]))
+            if end - base >= 2 * longest:
+                meet = self.meeting(back, base, end)
+                if meet > base:
+                    yield self.path(back, base, meet)
+                    shift = meet - base
+                    last, back, base = last[shift:], back[shift:], meet
+        if len(text) > base:
+            yield self.path(back, base, len(text))
+
+
 def pieces_of(path: str) -> Pieces:
     """The worker's vocabulary, kept over tasks."""
     if path not in _models:
-        _models[path] = Pieces(path)
+        _models[path] = Merges(path) if model_type(path) == BPE else Pieces(path)
     return _models[path]
 
 

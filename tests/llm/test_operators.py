@@ -195,6 +195,25 @@ def test_pieces_round_trip(spark, odd, empty):
     assert pieces.round_trip(empty, path).count() == 0
 
 
+def test_pieces_equal_the_library(spark, odd, sample):
+    from sentencepiece import SentencePieceProcessor
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, rnd = SentencePieceProcessor(model_file=path), random.Random(6)
+    m = pieces.pieces_of(path)
+    texts = ["the windows of the relationship", "a  b   c" + " " * 40 + "d", "====----===", "the" * 300, "日本語 é\t\n"]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 300)))
+              for letters in ("thein \n日é1", "aeinorst", " a=-*", "internationalization ") for _ in range(100)]
+    for t in texts:
+        ids = library.encode(t)
+        assert m.encode(t) == ids == list(m.search("▁" + t.replace(" ", "▁")))
+    commits = list(m.stream("▁the" * 400))
+    assert len(commits) > 50 and max(map(len, commits)) < 50
+    for df in (odd, sample):
+        want = Counter((r["doc_id"], tuple(library.encode(r["text"] or ""))) for r in df.collect() if "▁" not in (r["text"] or ""))
+        got = Counter((r["doc_id"], tuple(r["ids"])) for r in pieces.encode(df, path).collect())
+        assert want and not want - got
+
+
 # ---- 4 line dedup
 
 def brute_lines(pairs, min_docs):
