@@ -3,7 +3,9 @@ r"""Language-model scores by prediction by partial matching over byte contexts.
 A text is the sequence of its words (runs of other bytes than ``[\x20\x09-\x0D]``, A-Z
 lower-cased) and one end. Each word is coded byte by byte and closed by a space, the end is a
 newline at the place of a word. The model is a trie of the contexts of 0 to ``ORDER`` bytes
-that precede a byte, never reaching back beyond the space before its word. Escape estimation
+that precede a byte: with ``across``, of the text (the words joined by spaces, one in front),
+over the space into the words before; else never reaching back beyond the space before its
+word. Escape estimation
 is method C: a context seen T times with D different successors gives the escape D / (T + D).
 After an escape the shorter context is used without the successors of the longer one (symbol
 exclusion); after all contexts the remaining byte values are equally likely.
@@ -11,23 +13,25 @@ exclusion); after all contexts the remaining byte values are equally likely.
 Two longer contexts stand above the trie, each with one escape: a whole word is coded as in
 training with probability 1 - e, else (e) by the trie, and a whole phrase (the words up to one
 that ends in ``.``, ``!`` or ``?``, or up to the end) as in training, else by its words. The
-escapes are the share of words or phrases seen once (Good and Turing). A way to code a text is
+escapes are the share of words or phrases seen once (Good and Turing); with ``across`` that of
+words is 1/2, as the trie then knows what the count of a word does not: the words before it. A way to code a text is
 chosen at random, so probabilities add up and stay at most 1 over all texts. A training
 document's own occurrence of a phrase does not count for it.
 
-Each distinct word is scored once, with pretrained counts. Nothing is broadcast and nothing
-but a few numbers reaches the driver:
+Each distinct unit is scored once, with pretrained counts. A unit is a word, with ``across``
+together with the ``order`` bytes before it, all that its bytes' contexts can see. Nothing is
+broadcast and nothing but a few numbers reaches the driver:
 
-1. Documents go to blocks; a block's words and phrases (by hash) are counted once per block
-   (compressed texts and (block, key, counts) are exchanged), then added up per key, with the
-   list of its blocks. A phrase that occurs once in all texts can match nothing and goes.
-2. Words with training counts give successor counts of all contexts, partially added up.
-3. Words go to word blocks; each asks for the contexts that occur in its words, gets that part
-   of the trie by a join, and scores its words.
-4. Scores return to the blocks that hold the words and are summed per document.
+1. Documents go to blocks; a block's words, units and phrases (by hash) are counted once per
+   block (compressed texts and (block, key, counts) are exchanged), then added up per key, with
+   the list of its blocks. A phrase that occurs once in all texts can match nothing and goes.
+2. Units with training counts give successor counts of all contexts, partially added up.
+3. Units go to word blocks; each asks for the contexts that occur in its units, gets that part
+   of the trie by a join, and scores its units.
+4. Scores return to the blocks that hold the units and are summed per document.
 
 Every group is bounded by the size of a block: documents are dealt over the session's shuffle
-partitions, words over blocks of about ``WORDS`` words. A frequent word costs one row per
+partitions, units over blocks of about ``WORDS`` units. A frequent unit costs one row per
 block.
 
 Cases: a null or empty text is the end alone; null ids count as training documents; repeated
@@ -55,6 +59,7 @@ CHUNK = 20_000
 LN = np.log(10.0)
 SPACE, END = b" ", b"\n"
 PHRASES = b"  "             # the key that counts all phrases; a space begins a phrase's key
+PRECEDED = b"\t"            # begins the key of a unit with the bytes before its word
 PHRASE_END = re.compile(rb"(?<=[.!?]) ")
 
 
@@ -80,6 +85,15 @@ def phrase_sizes(parts: list[bytes]) -> np.ndarray:
     return size
 
 
+def units(words: list[bytes], order: int) -> list[bytes]:
+    """Keys of a text's words and its end, each with the (at most ``order``) bytes before it."""
+    out, before = [], SPACE
+    for w in [*words, END]:
+        out.append(PRECEDED + before + w)
+        before = (before + w + SPACE)[-order:] if order else b""
+    return out
+
+
 def is_held_out(doc_id: F.Column) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
@@ -101,9 +115,9 @@ def blocked(docs: DataFrame, blocks: int) -> DataFrame:
     return rows.mapInArrow(squeeze, "doc_id long, held_out boolean, block int, z binary")
 
 
-def block_words(docs: DataFrame, blocks: int) -> DataFrame:
-    """(block, word, n, m): the words and phrases of each block, with their number in its
-    training documents and in all."""
+def block_words(docs: DataFrame, blocks: int, order: int, across: bool) -> DataFrame:
+    """(block, word, n, m): the words, phrases and, with ``across``, units of each block, with
+    their number in its training documents and in all."""
     def count(batches):
         import zstandard
         unpacker = zstandard.ZstdDecompressor()
@@ -119,6 +133,8 @@ def block_words(docs: DataFrame, blocks: int) -> DataFrame:
                 into = other if held else trained
                 into.update(words)
                 into.update(keys)
+                if across:
+                    into.update(units(words, order))
                 into[END] += 1
                 into[PHRASES] += len(keys)
         if block is not None:
@@ -138,20 +154,21 @@ def block_words(docs: DataFrame, blocks: int) -> DataFrame:
 
 
 class Positions:
-    """The coded bytes of a list of words: contexts of each order and the byte itself."""
+    """The coded bytes of a list of words or units: contexts of each order and the byte itself."""
 
     def __init__(self, words: list[bytes], order: int):
-        units = [SPACE + w + (b"" if w == END else SPACE) for w in words]
-        raw = np.frombuffer(b"".join(units), np.uint8)
-        size = np.array([len(u) for u in units])
+        shown = [w[1:] if w.startswith(PRECEDED) else SPACE + w for w in words]
+        # the space before a word, and what a unit has before that, is given
+        given = np.array([u.rfind(SPACE) + 1 for u in shown], np.int64)
+        shown = [u if u.endswith(END) else u + SPACE for u in shown]
+        raw = np.frombuffer(b"".join(shown), np.uint8)
+        size = np.array([len(u) for u in shown])
         start = np.cumsum(size) - size
-        coded = np.ones(len(raw), bool)
-        coded[start] = False                    # the space before a word is given
         place = np.arange(len(raw)) - np.repeat(start, size)
-        at = np.flatnonzero(coded)
+        at = np.flatnonzero(place >= np.repeat(given, size))
         self.symbol = raw[at]
         self.depth = np.minimum(place[at], order)       # longest context
-        self.word = np.repeat(np.arange(len(units)), size - 1)
+        self.word = np.repeat(np.arange(len(shown)), size - given)
         self.context = [np.zeros(len(at), np.uint64)]
         packed = np.zeros(len(at), np.uint64)
         for k in range(1, order + 1):
@@ -316,20 +333,22 @@ def word_scores(words: list[bytes], trie: Trie, order: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def score(docs: DataFrame, order: int = ORDER, words_per_block: int = WORDS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, words_per_block: int = WORDS, across: bool = False) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per document."""
     spark = docs.sparkSession
     ship(spark)
     blocks = partitions(spark)
     texts = blocked(docs, blocks)
     is_phrase = F.startswith(F.col("word"), F.lit(SPACE))
-    keys = stored(block_words(texts, blocks).groupBy("word").agg(
+    is_unit = F.startswith(F.col("word"), F.lit(PRECEDED))
+    keys = stored(block_words(texts, blocks, order, across).groupBy("word").agg(
         F.sum("n").alias("n"), F.sum("m").alias("m"), F.collect_list("block").alias("blocks")).filter(
         ~is_phrase | (F.col("m") > 1)).select("word", "n", "blocks"), "words")
-    words = keys.filter(~is_phrase)
-    repeated = keys.filter(is_phrase & (F.col("word") != F.lit(PHRASES)))
+    words = keys.filter(is_unit if across else ~is_phrase)
+    looked_up = keys.filter(is_phrase & (F.col("word") != F.lit(PHRASES)) | (~is_phrase & ~is_unit & F.lit(across)))
     # all numbers that the model needs, in one pass
-    kind = F.when(F.col("word") == F.lit(PHRASES), "whole").when(is_phrase, "again").otherwise("words")
+    kind = F.when(F.col("word") == F.lit(PHRASES), "whole").when(is_phrase, "again").when(
+        is_unit, "units").otherwise("words")
     numbers = {r["kind"]: r for r in keys.groupBy(kind.alias("kind")).agg(
         F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("known"),
         F.count_if(F.col("n") == 1).alias("once"), F.count("*").alias("all")).collect()}
@@ -337,12 +356,12 @@ def score(docs: DataFrame, order: int = ORDER, words_per_block: int = WORDS) ->
     total, again, whole = (numbers.get(k, none) for k in ("words", "again", "whole"))
     n_tokens, scale = total["n"], total["n"] + ADD * (total["known"] + 1)
     n_phrases = whole["n"]
-    word_escape = (total["once"] + 1) / (n_tokens + 2)
+    word_escape = 0.5 if across else (total["once"] + 1) / (n_tokens + 2)
     phrase_escape = (n_phrases - again["n"] + again["once"] + 1) / (n_phrases + 2)
 
     trie = stored(successor_counts(words, order).groupBy("context").agg(
         F.collect_list(F.struct("symbol", "n")).alias("next")), "trie")
-    w = max(1, -(-total["all"] // words_per_block))
+    w = max(1, -(-numbers.get("units", total)["all"] // words_per_block))
     dealt = words.withColumn("wblock", F.pmod(F.xxhash64("word"), F.lit(w)).cast("int"))
     wanted = asked(dealt.select("wblock", "word").repartition(w, "wblock").sortWithinPartitions("wblock"), order)
     fetched = wanted.join(trie, "context").select("wblock", "context", "next")
@@ -358,7 +377,7 @@ def score(docs: DataFrame, order: int = ORDER, words_per_block: int = WORDS) ->
 
     rated = dealt.groupBy("wblock").cogroup(fetched.groupBy("wblock")).applyInArrow(
         rate, "word binary, n long, blocks array<int>, score double")
-    returned = rated.unionByName(repeated.withColumn("score", F.lit(0.0))).select(
+    returned = rated.unionByName(looked_up.withColumn("score", F.lit(0.0))).select(
         F.explode("blocks").alias("block"), "word", "n", "score")
 
     def total_up(key, own, known):
@@ -369,15 +388,16 @@ def score(docs: DataFrame, order: int = ORDER, words_per_block: int = WORDS) ->
         base = np.log10((n + ADD) / scale)
         with np.errstate(divide="ignore"):
             wordwise = np.log10((1 - word_escape) * n / max(n_tokens, 1))
-            rated = np.logaddexp(wordwise * LN, (np.log10(word_escape) + bytewise) * LN) / LN
         out = []
         for z, held in zip(own.column("z").to_pylist(), own.column("held_out").to_pylist()):
             words = unpacker.decompress(z).split()
             parts = phrases(words)
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             at = np.append(at, place[END])
+            unit = np.fromiter(map(place.__getitem__, units(words, order)), np.int64, len(at)) if across else at
+            rated = np.logaddexp(wordwise[at] * LN, (np.log10(word_escape) + bytewise[unit]) * LN) / LN
             first = np.cumsum(size := phrase_sizes(parts)) - size
-            by_words = np.add.reduceat(rated[at], first)
+            by_words = np.add.reduceat(rated, first)
             seen = np.array([n[place[k]] - (not held) if k in place else 0 for k in phrase_keys(parts)])
             with np.errstate(divide="ignore"):
                 whole = np.log10((1 - phrase_escape) * np.maximum(seen, 0) / max(n_phrases, 1))

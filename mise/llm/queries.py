@@ -93,7 +93,7 @@ FROM v JOIN m ON m.x = v.vec_id
 
 
 def op6_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ppm.score(table(spark, sf_dir, "documents"))
+    return ppm.score(table(spark, sf_dir, "documents"), across=True)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -373,12 +373,66 @@ def test_language_model_against_brute_force(spark, odd):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-4)
 
 
+def test_contexts_reach_over_the_space(spark):
+    """Bytes against whole texts context by context; and the order of words counts."""
+    rnd = random.Random(12)
+    text = lambda n: [rnd.choice(["ab", "abc", "c", "bca", "ca"]).encode() for _ in range(n)]
+    known, asked = [text(rnd.randrange(12)) for _ in range(60)], [text(7), [b"zz", b"c"], []]
+    n = Counter(u for t in known for u in ppm.units(t, ppm.ORDER))
+    p = ppm.Positions(list(n), ppm.ORDER)
+    counts = np.array(list(n.values()))[p.word]
+    parts = [ppm.summed(p.context[k][p.depth >= k], p.symbol[p.depth >= k], counts[p.depth >= k])
+             for k in range(ppm.ORDER + 1)]
+    trie = ppm.Trie(*(np.concatenate(x) for x in zip(*parts)))
+    # a whole text with its end as one word of the slow trie, less the space that closes a word
+    whole = Counter(b" ".join([*t, b"\n"]) for t in known)
+    next_ = defaultdict(Counter)
+    for t, c in whole.items():
+        for at in range(1, len(t) + 1):
+            for k in range(min(at, ppm.ORDER) + 1):
+                next_[(b" " + t)[at - k:at]][(b" " + t)[at]] += c
+    assert {int(sum(trie.n)), sum(map(len, next_.values()))} == {sum(sum(x.values()) for x in next_.values()), len(trie.n)}
+    for t in asked:
+        raw, want = b" " + b" ".join([*t, b"\n"]), 0.0
+        for at in range(1, len(raw)):
+            q, gone = 1.0, set()
+            for k in range(min(at, ppm.ORDER), -1, -1):
+                left = {s: c for s, c in next_.get(raw[at - k:at], {}).items() if s not in gone}
+                room = sum(left.values()) + len(left)
+                if raw[at] in left:
+                    q *= left[raw[at]] / room
+                    break
+                if left:
+                    q *= len(left) / room
+                gone |= set(left)
+            else:
+                q *= 1 / (256 - len(gone))
+            want += math.log10(q)
+        assert ppm.word_scores(ppm.units(t, ppm.ORDER), trie, ppm.ORDER).sum() == pytest.approx(want)
+    words = ["green", "apples", "fall", "slowly", "under", "old", "trees"]
+    held = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    rows = [(i, " ".join(words)) for i in range(30) if zlib.crc32(str(i).encode()) % 10]
+    rows += [(held[0], " ".join([*words, "today"])), (held[1], " ".join([*words[::-1], "today"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same, turned = ({r["doc_id"]: r["score"] for r in ppm.score(docs, words_per_block=5, across=True).collect()}[i] for i in held)
+    assert same > turned + 1
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark, empty):
     rows = ppm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
     assert ppm.score(empty).count() == 0
 
 
+def test_contexts_over_the_space_score_higher(spark, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    within, over = ({r["doc_id"]: r for r in d.filter("held_out").collect()} for d in (
+        ppm.score(docs), queries.op6_ppm(spark, "/root/testdata/sf0.01")))
+    assert all(within[i][:6] == pytest.approx(over[i][:6]) for i in within) and set(within) == set(over)
+    assert sum(r["score"] for r in over.values()) > sum(r["score"] for r in within.values())
+    assert ppm.score(empty, across=True).count() == 0
+
+
 # ---- 7 fingerprints
 
 def test_windows_against_brute_force():
