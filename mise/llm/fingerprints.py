@@ -1,10 +1,12 @@
 """Document fingerprints: improbable byte windows in chained Bloom filters.
 
-* Windows of ``WINDOW`` bytes start where a hash of the next four bytes is the least within
-  ``SPACING`` places, so the choice of windows depends on nearby text only and moves with it.
-* A window's feature value is the Shannon entropy of its bytes, in ``LEVELS`` steps. How rare
-  each step is in all documents (counted over the whole table) ranks the windows; of every
-  ``POPULAR`` neighbouring windows the rarest is selected, which drops the commonplace ones.
+* Windows of ``WINDOW`` bytes begin at every byte. Short texts have windows of ``SHORT`` bytes:
+  below ``4 * WINDOW`` bytes only these, below ``8 * WINDOW`` both, so that an edit that moves a
+  text over one of the bounds leaves it one kind.
+* A window's feature value is the Shannon entropy of its bytes, in ``LEVELS`` steps, kept up from
+  byte to byte in whole numbers. How rare each step is in all windows of all documents ranks the
+  windows, equals by a hash of their first bytes; the rarest of any ``SPACING`` in a row are
+  selected, about one in 16 bytes, which drops the commonplace ones.
 * Selected windows are hashed into Bloom filters of ``BITS`` bits, ``PROBES`` bits a window; a
   filter that holds ``FILL`` windows is closed and the next one begins.
 * Two fingerprints are compared filter by filter: the bits in common, less those expected in
@@ -16,7 +18,7 @@ sorting the table in one place: doc_ids are cut into ranges at quantiles that ar
 table, and the document that begins a range is sent to the range before as well.
 
 Cases: a null or empty text has no windows and an empty fingerprint; two empty fingerprints
-are alike (1), an empty and another are not (0); texts shorter than a window are one window;
+are alike (1), an empty and another are not (0); texts shorter than any window are one window;
 null ids come last, documents with the same id follow each other by text; the last document's
 next one is the first; a single document is its own next one; extra columns are ignored; an
 empty table gives no rows.
@@ -36,9 +38,9 @@ from pyspark.sql import functions as F
 from mise.llm.common import id_text, partitions, ship
 
 WINDOW = 64
+SHORT = 16
 SPACING = 32
 LEVELS = 1000
-POPULAR = 4
 BITS = 2048
 PROBES = 5
 FILL = 160
@@ -60,20 +62,25 @@ def run_minima(x: np.ndarray, width: int) -> np.ndarray:
     return x == high
 
 
-def starts(raw: np.ndarray) -> np.ndarray:
-    """Where windows begin: the places of least gram hash within any ``SPACING`` places."""
-    n = len(raw) - WINDOW + 1
-    if n <= 1:
-        return np.zeros(min(len(raw), 1), np.int64)
+def grams(raw: np.ndarray, n: int) -> np.ndarray:
+    """A hash of four bytes at each of the first ``n`` places."""
     x = raw.astype(np.uint32)
     gram = (x[:n] | (x[1:n + 1] << np.uint32(8)) | (x[2:n + 2] << np.uint32(16)) | (x[3:n + 3] << np.uint32(24))) * GRAM
     gram ^= gram >> np.uint32(15)
     gram *= np.uint32(2246822519)
-    return np.flatnonzero(run_minima(gram, SPACING))
+    return gram
+
+
+def starts(raw: np.ndarray) -> np.ndarray:
+    """The places of least gram hash within any ``SPACING`` places; fingerprints do not use them."""
+    n = len(raw) - WINDOW + 1
+    if n <= 1:
+        return np.zeros(min(len(raw), 1), np.int64)
+    return np.flatnonzero(run_minima(grams(raw, n), SPACING))
 
 
 def windows(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entropy level, 64-bit hash) of a text's windows in order."""
+    """(entropy level, 64-bit hash) of the windows at a text's ``starts``, one by one."""
     at = starts(raw)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -91,24 +98,61 @@ def windows(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     row = place // WINDOW
     bits = math.log2(WINDOW) - np.bincount(row, CLOGC[run], minlength=len(view)) / WINDOW
     level = np.minimum((bits / math.log2(WINDOW) * LEVELS).astype(np.int64), LEVELS - 1)
+    return level, hashes(view)
+
+
+def hashes(view: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(view).view("<u8")
     h = (words * MULTIPLIERS[:words.shape[1]]).sum(axis=1, dtype=np.uint64)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return level, h ^ (h >> np.uint64(29))
+    return h ^ (h >> np.uint64(29))
 
 
 CLOGC = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
 
 
-def selected(level: np.ndarray, h: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that are the rarest among ``POPULAR`` neighbours, in order."""
-    if not len(h):
-        return h
-    # rarest first; equally rare ones by hash, so that equal neighbours decide alike anywhere
-    rank = rarity[level].astype(np.float64) + (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
-    wins = run_minima(rank, POPULAR)
-    own = h[wins]
+CLOGC_WHOLE = np.rint(CLOGC * (1 << 20)).astype(np.int64)
+
+
+def levels(raw: np.ndarray, width: int) -> np.ndarray:
+    """Entropy level of the window at every byte. From one to the next a byte leaves and one joins."""
+    n = len(raw)
+    order = np.argsort(raw, kind="stable")
+    of = raw[order].astype(np.int64) * n
+    key, spot = of + order, np.arange(n)
+    ahead, behind = np.empty(n, np.int64), np.empty(n, np.int64)
+    # equal bytes among the ``width`` from each byte on, and among the ``width - 1`` before it
+    ahead[order] = np.searchsorted(key, np.minimum(key + width, of + n)) - spot
+    behind[order] = spot - np.searchsorted(key, np.maximum(key - width + 1, of))
+    f = CLOGC_WHOLE
+    step = np.diff(f)
+    total = np.empty(n - width + 1, np.int64)
+    total[0] = f[np.bincount(raw[:width])].sum()
+    total[1:] = step[behind[width:]] - step[ahead[:n - width] - 1]
+    whole = int(f[width])
+    return np.minimum((whole - np.cumsum(total)) * LEVELS // whole, LEVELS - 1)
+
+
+def kinds(raw: np.ndarray) -> list[tuple[int, int]]:
+    """(length, first level) of a text's windows."""
+    return [(SHORT, LEVELS)] * (len(raw) < 8 * WINDOW) + [(WINDOW, 0)] * (len(raw) >= 4 * WINDOW)
+
+
+def selected(raw: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that are the rarest of ``SPACING`` in a row, in order."""
+    if not len(raw):
+        return np.zeros(0, np.uint64)
+    if len(raw) < SHORT:
+        return hashes(np.concatenate([raw, np.zeros(SHORT - len(raw), np.uint8)])[None])
+    out = []
+    for width, first in kinds(raw):
+        level = levels(raw, width)
+        # rarest first; equally rare ones by gram, so that equal neighbours decide alike anywhere
+        rank = rarity[first + level].astype(np.float64) + grams(raw, len(level)) / (1 << 32)
+        wins = np.flatnonzero(run_minima(rank, SPACING))
+        out.append(hashes(np.lib.stride_tricks.sliding_window_view(raw, width)[wins]))
+    own = np.concatenate(out)
     _, first = np.unique(own, return_index=True)
     return own[np.sort(first)]
 
@@ -124,7 +168,7 @@ def filters(features: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(raw: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    return filters(selected(*windows(raw), rarity))
+    return filters(selected(raw, rarity))
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -146,17 +190,24 @@ def text_of(chain: np.ndarray) -> str:
     return base64.b64encode(chain.tobytes()).decode()
 
 
+def level_counts(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros(2 * LEVELS, np.int64)
+    for width, first in kinds(raw) if len(raw) >= SHORT else ():
+        out[first:first + LEVELS] += np.bincount(levels(raw, width), minlength=LEVELS)
+    return out
+
+
 def rarities(docs: DataFrame) -> np.ndarray:
-    """How many windows of the whole table have each entropy level: at most LEVELS numbers."""
+    """How many of all windows of the table have each entropy level: LEVELS numbers for each length."""
     def count(batches):
-        total = np.zeros(LEVELS, np.int64)
+        total = np.zeros(2 * LEVELS, np.int64)
         for b in batches:
             for t in b.column("text").to_pylist():
-                total += np.bincount(windows(np.frombuffer(t.encode(), np.uint8))[0], minlength=LEVELS)
+                total += level_counts(np.frombuffer(t.encode(), np.uint8))
         spot = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(spot), pa.array(total[spot])], names=["level", "n"])
 
-    out = np.zeros(LEVELS, np.int64)
+    out = np.zeros(2 * LEVELS, np.int64)
     for r in id_text(docs).select("text").mapInArrow(count, "level long, n long").groupBy("level").agg(
             F.sum("n").alias("n")).collect():
         out[r["level"]] = r["n"]
@@ -206,7 +257,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(rarities(docs))     # LEVELS numbers
+    sent = spark.sparkContext.broadcast(rarities(docs))     # 2 * LEVELS numbers
 
     def run(batches):
         rarity = sent.value

@@ -453,6 +453,44 @@ def test_windows_against_brute_force():
         assert abs(own - -(c * np.log2(c)).sum() / 6 * 1000) <= 1
 
 
+def test_every_window_is_ranked(spark, sample):
+    rnd = random.Random(9)
+    for n in (16, 17, 63, 64, 200, 300, 700):
+        raw = np.frombuffer("".join(rnd.choice("abcdefgh \n") for _ in range(n)).encode(), np.uint8)
+        for width, _ in fingerprints.kinds(raw):
+            level = fingerprints.levels(raw, width)
+            assert len(level) == n - width + 1
+            for at, own in enumerate(level):
+                c = np.bincount(raw[at:at + width])
+                c = c[c > 0] / width
+                assert abs(own - -(c * np.log2(c)).sum() / math.log2(width) * 1000) <= 1
+    texts = [r["text"].encode() for r in sample.select("text").collect() if r["text"]]
+    count = lambda width, keep: sum(max(len(t) - width + 1, 0) for t in texts if keep(len(t)))
+    n = fingerprints.rarities(sample)
+    assert n[:1000].sum() == count(64, lambda k: k >= 256) and n[1000:].sum() == count(16, lambda k: k < 512)
+    # the improbable windows of a text give a feature, wherever they are
+    rarity = np.full(2000, 10**6)
+    rarity[999] = 1
+    for at in range(300, 340):
+        raw = np.frombuffer(b"ab" * 400, np.uint8).copy()
+        raw[at:at + 64] = np.arange(100, 164)
+        rare = np.flatnonzero(fingerprints.levels(raw, 64) == 999)
+        assert at in rare and len(rare) < 6
+        assert {int(fingerprints.hashes(raw[k:k + 64][None])[0]) for k in rare} & set(fingerprints.selected(raw, rarity).tolist())
+
+
+def test_short_texts_keep_features_of_their_unchanged_part(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rarity = fingerprints.rarities(docs)
+    texts = [r["text"] for r in docs.collect() if r["text"] and 96 <= len(r["text"]) < 1000]
+    lost = 0
+    for t, following in zip(texts, texts[1:] + texts[:1]):
+        a, b = (set(fingerprints.selected(np.frombuffer(x.encode(), np.uint8), rarity).tolist())
+                for x in (t, fingerprints.edited(t, following)))
+        lost += not a & b
+    assert len(texts) > 20 and lost == 0
+
+
 def test_fingerprints_of_neighbours(odd, sample, empty):
     for df in (odd, sample):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()),
