@@ -12,11 +12,12 @@ decoding gives every text back exactly.
 
 The search reads the text once. It keeps the best score or the last piece, and that piece's
 length, for the ``longest piece`` last boundaries only. Whenever all their backpointer paths run through one
-boundary, everything up to it is settled: its ids are committed and forgotten. Memory is that
-window plus the stretch since the last commit.
+boundary, everything up to it is settled: its ids are committed and forgotten. Memory of a
+search is that window plus the stretch since the last commit.
 
 No piece but runs of U+2581 has that character after its first place, so paths always meet in
-front of a word. Committed words are remembered (up to ``CACHE_WORDS`` per worker, then
+front of a word. Such vocabularies encode a text word by word: it is split as a whole, and only
+a new word is searched. Committed words are remembered (up to ``CACHE_WORDS`` per worker, then
 forgotten all at once), and a word seen before skips the search. So are up to ``CACHE_PAIRS``
 answers whether a piece may follow another.
 
