@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mise.llm import embeddings, fingerprints, lines, minhash, packing, pieces, ppm, tokenfile, toxicity, warc
+from mise.llm import (conversations, embeddings, fingerprints, lines, minhash, packing, pieces, ppm, quality, spelling,
+                      tokenfile, toxicity, warc)
 from mise.llm.common import table
 
 
@@ -145,7 +146,129 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_toxicity, op3_sentencepiece, op4_line_dedup, op5_embeddings, op6_ppm, op7_fingerprints, op8_hyperminhash,
-                                   op9_token_file, op10_best_fit)}
-ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embeddings": OP5_SQL,
-          "op8_hyperminhash": OP8_SQL}
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: CRC-32 of a text: ``crc`` holds the table of 256 remainders.
+CRC_TABLE = """
+t AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, _k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+)"""
+CRC_OF = """xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen({0})),
+    lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295)"""
+
+OP12_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS named FROM conversations
+), h AS (
+  SELECT o.*, {CRC_OF.format("named")} % 20 AS kind FROM o, t
+), d AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM h, range(CASE WHEN kind = 3 THEN 2 ELSE 1 END) WHERE kind <> 0
+), a AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again FROM d
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again) AS k,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM a
+), f AS MATERIALIZED (
+  SELECT conv_id, turn, k, role, text, substr(role, 1, 1) AS i, CASE WHEN cut = '' THEN 1 WHEN again > 1 THEN 2
+    WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM n
+), c AS MATERIALIZED (
+  SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count_if(fault = 1) AS blank,
+    count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated, max(k) AS rows FROM f GROUP BY conv_id
+), j AS (
+  SELECT conv_id, count_if(before || i NOT IN ('su', 'ua', 'au')) AS illegal FROM (
+    SELECT conv_id, i, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before FROM f) GROUP BY conv_id
+), e AS (
+  -- from state to state ('' nothing yet) with a letter: inserts, and what a row of a role may become
+  SELECT * FROM (VALUES ('', 'u'), ('', 's'), ('s', 'u'), ('u', 'a'), ('a', 'u')) e(q, z)
+), p AS (
+  -- best path (cost before audit, as text) after k rows for each last role; odd steps insert, even ones read a row
+  SELECT conv_id, 0::BIGINT AS step, '' AS q, '00000000' AS best FROM c
+  UNION ALL
+  SELECT conv_id, step, q, min(best) AS best FROM (
+    SELECT p.conv_id, p.step + 1 AS step, unnest(CASE WHEN p.step % 2 = 0 THEN list_concat([{{'q': p.q, 'best': p.best}}],
+        [{{'q': CASE WHEN p.q = 'u' THEN 'a' ELSE 'u' END, 'best': lpad((left(p.best, 8)::BIGINT + 2)::VARCHAR, 8, '0') || substr(p.best, 9) || 'I'}}])
+      ELSE list_concat([{{'q': p.q, 'best': lpad((left(p.best, 8)::BIGINT + 3)::VARCHAR, 8, '0') || substr(p.best, 9) || 'D'}}],
+        CASE WHEN f.fault IN (0, 3) THEN list_concat(
+          CASE WHEN (p.q, f.i) IN (('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')) THEN
+            [{{'q': f.i, 'best': lpad((left(p.best, 8)::BIGINT + f.fault // 3)::VARCHAR, 8, '0') || substr(p.best, 9) || 'K'}}] ELSE [] END,
+          [{{'q': CASE WHEN p.q = 'u' THEN 'a' ELSE 'u' END,
+            'best': lpad((left(p.best, 8)::BIGINT + 2 + f.fault // 3)::VARCHAR, 8, '0') || substr(p.best, 9) || 'R'}}]) ELSE [] END) END,
+      recursive := true)
+    FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.k = p.step // 2 + 1 AND p.step % 2 = 1
+    WHERE p.step <= 2 * c.rows) GROUP BY conv_id, step, q
+), w AS MATERIALIZED (
+  SELECT p.conv_id, left(min(best), 8)::BIGINT AS cost, substr(min(best), 9) AS audit FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id
+  WHERE step = 2 * c.rows + 1 AND q IN ('', 'a') GROUP BY p.conv_id
+), l AS (
+  SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS spot FROM w
+), m AS (
+  SELECT conv_id, spot, audit[spot] AS letter, length(replace(left(audit, spot), 'I', '')) AS k, length(replace(left(audit, spot), 'D', '')) AS pos,
+    length(replace(audit, 'D', '')) AS total FROM l
+), r AS (
+  SELECT m.conv_id, sha256(string_agg(CASE WHEN letter = 'K' THEN f.role WHEN (total - pos) % 2 = 0 THEN 'assistant' ELSE 'user' END
+    || ':' || CASE WHEN letter = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY spot)) AS repaired
+  FROM m LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM m.conv_id AND f.k = m.k AND letter <> 'I' WHERE letter <> 'D' GROUP BY m.conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit,
+  coalesce(repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN j ON j.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE}, o AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS raw FROM documents
+), s AS (
+  SELECT doc_id, run, count(*) AS n, coalesce(doc_id::VARCHAR, '') || ':' || run AS named FROM (
+    SELECT doc_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM o) GROUP BY doc_id, run
+), h AS (
+  SELECT run, n, {CRC_OF.format("named")} AS h FROM s, t
+), m AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h
+), v AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), x AS MATERIALIZED (
+  -- each word without each of its letters: two words of one length are near if they agree without
+  -- the same place, words of lengths one apart if the shorter is the longer without a letter
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)
+), near AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.rest = v.word
+), b AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS most FROM near GROUP BY word
+), g AS MATERIALIZED (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * v.n THEN most END AS form_n,
+    (SELECT min(near) FROM near WHERE near.word = v.word AND near_n = most AND most >= 2 * v.n) AS form
+  FROM v LEFT JOIN b ON b.word = v.word
+), c AS (
+  SELECT word, word AS root FROM g UNION SELECT c.word, g.form FROM c JOIN g ON g.word = c.root WHERE g.form IS NOT NULL
+)
+SELECT g.word, g.form, c.root, g.n, g.n_near, g.form_n FROM g JOIN c ON c.word = g.word
+JOIN g e ON e.word = c.root AND e.form IS NULL
+"""
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_toxicity, op3_sentencepiece, op4_line_dedup, op5_embeddings, op6_ppm, op7_fingerprints, op8_hyperminhash,
+    op9_token_file, op10_best_fit, op11_quality_rules, op12_conversation_repair, op13_spelling_variants)}
+ORACLE = {"op1_warc": OP1_SQL, "op4_line_dedup": OP4_SQL, "op5_embeddings": OP5_SQL, "op8_hyperminhash": OP8_SQL,
+          "op12_conversation_repair": OP12_SQL, "op13_spelling_variants": OP13_SQL}
