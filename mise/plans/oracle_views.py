@@ -116,14 +116,27 @@ FROM part WHERE p_partkey % 8 <> 0""")
 
 _v("ticket_lines", [], """
 SELECT event_id AS ticket_id, event_id AS line_id, CAST(ts AS TIMESTAMP) AS ts,
-       5 * (event_id % 40) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
+       5 * (event_id % ((SELECT count(*) FROM part) // 5)) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
 FROM events WHERE event_type = 'purchase'""")
 
 _v("ticket_lines_multi", [], """
 SELECT event_id - event_id % 3 AS ticket_id, event_id AS line_id, CAST(ts AS TIMESTAMP) AS ts,
-       5 * (event_id % 40) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
+       5 * (event_id % ((SELECT count(*) FROM part) // 5)) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
 FROM events WHERE event_type = 'purchase'""")
 
+_v("stock_events", [], """
+SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+       CASE event_type WHEN 'purchase' THEN 'sale' WHEN 'signup' THEN 'delivery' ELSE 'count' END AS kind,
+       5 * (event_id % ((SELECT count(*) FROM part) // 5)) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity,
+       CAST((event_id * 37) % 5000 AS DECIMAL(12,2)) AS counted
+FROM events WHERE event_type IN ('purchase', 'signup', 'error')""")
+
+_v("stock_moves", ["stock_events", "menu_recipe_items"], """
+SELECT r.ingredient_name AS name, e.ts, e.seq, e.kind,
+       CASE e.kind WHEN 'count' THEN 0 WHEN 'delivery' THEN 1 ELSE 2 END AS rank,
+       CASE WHEN e.kind = 'count' THEN max(e.counted) ELSE sum(r.quantity_grams * e.quantity) END AS amount
+FROM stock_events e JOIN menu_recipe_items r ON r.dish_id = e.dish_id GROUP BY r.ingredient_name, e.ts, e.seq, e.kind""")
+
 _v("user_profiles", [], """
 SELECT c_custkey AS id,
        lower(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g')) || '@example.com' AS email,
@@ -152,6 +165,8 @@ def with_views(body: str, *names: str) -> str:
     order = _order(list(names))
     ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in order)
     body = body.lstrip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -7,6 +7,7 @@ import datetime as _dt
 from pyspark.sql import functions as F
 
 from mise.operators import sales as S
+from mise.operators import stock_moves as M
 from mise.plans.oracle_views import with_views
 from mise.plans.q_costing import UNIT_COST_SQL
 from mise.plans.registry import AS_OF, Tables, query
@@ -152,3 +153,71 @@ def a28_stock_depletion(spark, sf):
     t = Tables.of(spark, sf)
     _priced_lines, _totals, stock = S.post_tickets(t.tickets_multi, t.menu, t.items, t.ing)
     return stock
+
+
+#: Every move of an ingredient replayed one after the other.
+REPLAY_SQL = """moves AS (
+  SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts, seq, rank) AS k FROM stock_moves),
+replay AS (
+  SELECT name, CAST(0 AS BIGINT) AS k, CAST(count AS DECIMAL(18,2)) AS before, CAST(count AS DECIMAL(18,2)) AS after
+  FROM ingredient_table
+  UNION ALL
+  SELECT m.name, m.k, r.after, CAST(CASE m.kind WHEN 'count' THEN m.amount WHEN 'delivery' THEN r.after + m.amount
+    ELSE greatest(0, r.after - m.amount) END AS DECIMAL(18,2))
+  FROM replay r JOIN moves m ON m.name = r.name AND m.k = r.k + 1),
+ledger AS (
+  SELECT m.name, m.ts, m.seq, m.kind, m.rank, m.amount, r.before, r.after, i.min_stock,
+         CASE WHEN r.before > i.min_stock AND r.after <= i.min_stock
+              THEN CASE WHEN r.after <= 0 THEN 'SIN STOCK' ELSE 'BAJO' END END AS alert
+  FROM replay r JOIN moves m ON m.name = r.name AND m.k = r.k JOIN ingredient_table i ON i.name = r.name)"""
+MOVE_VIEWS = ("stock_moves", "ingredient_table")
+#: Where the stream's watermark ends: a day (in whole milliseconds) before the last event.
+UNTIL_SQL = "(SELECT epoch_ms(max(ts)) - 86400000 FROM stock_events)"
+LASTING_SQL = """lasting AS (
+  SELECT name, due, low_since FROM (
+    SELECT name, ts + INTERVAL 1 DAY AS due, ts AS low_since, alert,
+           lead(ts) OVER (PARTITION BY name ORDER BY ts, seq, rank) AS lifted
+    FROM ledger WHERE (before <= min_stock) <> (after <= min_stock)) t
+  WHERE alert IS NOT NULL AND (lifted IS NULL OR lifted > due))"""
+
+
+@query("a28_stock_with_deliveries", with_views(f"""
+WITH RECURSIVE {REPLAY_SQL},
+last AS (SELECT name, max_by(after, k) AS after FROM replay GROUP BY name),
+sums AS (SELECT name, sum(amount) FILTER (WHERE kind = 'sale') AS sale,
+                sum(amount) FILTER (WHERE kind = 'delivery') AS delivery FROM moves GROUP BY name)
+SELECT i.name, CAST(i.count AS DOUBLE) AS count_before, CAST(coalesce(s.sale, 0) AS DOUBLE) AS sold,
+       CAST(coalesce(s.delivery, 0) AS DOUBLE) AS delivered, CAST(l.after AS DOUBLE) AS count_after,
+       CASE WHEN l.after <= 0 THEN 'SIN STOCK' WHEN l.after < i.min_stock THEN 'BAJO' ELSE 'OK' END AS estado
+FROM ingredient_table i JOIN last l ON l.name = i.name LEFT JOIN sums s ON s.name = i.name""", *MOVE_VIEWS))
+def a28_stock_with_deliveries(spark, sf):
+    t = Tables.of(spark, sf)
+    return M.stock_after_moves(t.ing, t.stock_moves)
+
+
+LEDGER_COLUMNS = """name, epoch_us(ts) AS ts_us, seq, kind, CAST(amount AS DOUBLE) AS amount, CAST(before AS DOUBLE) AS before,
+       CAST(after AS DOUBLE) AS after, alert"""
+
+
+def ledger_report(ledger):
+    number = lambda c: F.col(c).cast("double").alias(c)
+    return ledger.select("name", F.unix_micros("ts").alias("ts_us"), "seq", "kind", number("amount"), number("before"),
+                         number("after"), "alert")
+
+
+@query("a28_stock_ledger", with_views(f"WITH RECURSIVE {REPLAY_SQL} SELECT {LEDGER_COLUMNS} FROM ledger", *MOVE_VIEWS))
+def a28_stock_ledger(spark, sf):
+    t = Tables.of(spark, sf)
+    return ledger_report(M.stock_ledger(t.ing, t.stock_moves))
+
+
+@query("a28_lasting_alerts", with_views(f"""
+WITH RECURSIVE {REPLAY_SQL}, {LASTING_SQL}
+SELECT name, epoch_us(due) AS due_us, epoch_us(low_since) AS low_since_us FROM lasting WHERE epoch_us(due) < {UNTIL_SQL} * 1000""",
+                                        "stock_events", *MOVE_VIEWS))
+def a28_lasting_alerts(spark, sf):
+    t = Tables.of(spark, sf)
+    last = t.raw("events").filter(F.col("event_type").isin("purchase", "signup", "error")).select(
+        F.timestamp_millis(F.unix_millis(F.max("ts").cast("timestamp")) - 86_400_000)).scalar()
+    return M.lasting_alerts(M.stock_ledger(t.ing, t.stock_moves), "1 DAY", last).select(
+        "name", F.unix_micros("ts").alias("due_us"), F.unix_micros("low_since").alias("low_since_us"))

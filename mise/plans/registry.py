@@ -103,6 +103,12 @@ class Tables:
     def tickets_multi(self) -> DataFrame:
         return A.ticket_lines(self.spark, self.sf, multi_line=True)
 
+    @cached_property
+    def stock_moves(self) -> DataFrame:
+        from mise.operators.stock_moves import event_moves
+        events = A.stock_events(A.read(self.spark, self.sf, "events"), A.part_count(self.spark, self.sf))
+        return event_moves(events, self.items)
+
     @cached_property
     def profiles(self) -> DataFrame:
         return A.user_profiles(self.spark, self.sf)

@@ -200,6 +200,15 @@ def nutrition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dish_of_event(event_id, parts) -> F.Column:
+    """Events go round all dishes."""
+    return 5 * (event_id % F.floor(parts / 5))
+
+
+def part_count(spark: SparkSession, sf_dir: str) -> F.Column:
+    return read(spark, sf_dir, "part").select(F.count(F.lit(1))).scalar()
+
+
 def ticket_lines(spark: SparkSession, sf_dir: str, multi_line: bool = False) -> DataFrame:
     """Sale tickets from purchase events: one line per event; ``multi_line`` groups
     three consecutive event ids into one ticket."""
@@ -210,11 +219,26 @@ def ticket_lines(spark: SparkSession, sf_dir: str, multi_line: bool = False) ->
         tid.alias("ticket_id"),
         eid.alias("line_id"),
         F.col("ts").cast("timestamp").alias("ts"),
-        (5 * (eid % 40)).alias("dish_id"),
+        dish_of_event(eid, part_count(spark, sf_dir)).alias("dish_id"),
         (1 + F.col("user_id") % 4).cast("int").alias("quantity"),
     )
 
 
+# The fixture's events as stock events.
+STOCK_EVENTS = {"purchase": "sale", "signup": "delivery", "error": "count"}
+
+
+def stock_events(events: DataFrame, parts) -> DataFrame:
+    """Sales, deliveries and stock-takes of dishes (``operators.stock_moves``) from an events
+    frame or stream; ``parts``: the number of parts."""
+    eid = F.col("event_id")
+    kind = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in STOCK_EVENTS.items()))
+    return events.filter(F.col("event_type").isin(*STOCK_EVENTS)).select(
+        eid.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
+        dish_of_event(eid, parts).alias("dish_id"), (1 + F.col("user_id") % 4).cast("int").alias("quantity"),
+        ((eid * 37) % 5000).cast(MONEY).alias("counted"))
+
+
 def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyed table for the mutation operators (customer rows)."""
     return read(spark, sf_dir, "customer").select(
