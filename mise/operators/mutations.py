@@ -15,17 +15,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def latest_per_key(chg: DataFrame, keys: list[str], order: str | list[str] | None = None) -> DataFrame:
+def latest_per_key(chg: DataFrame, keys: list[str], order: str | list[str] | None = None,
+                   tie: list[str] | None = None) -> DataFrame:
     """The last change per key: largest ``order``, a NULL being older than any value;
     equal orders are decided by a hash of the row, so that a rerun gives the same row.
-    Without ``order`` only the hash decides."""
+    Without ``order`` only the hash decides. ``tie``: the columns that the hash reads (all others
+    by default), for rows with columns that have no hash."""
     orders = [order] if isinstance(order, str) else list(order or [])
     missing = [c for c in orders if c not in chg.columns]
     if missing:
         raise ValueError(f"no order column {missing}")
     rest = [c for c in chg.columns if c not in keys]
-    tie = [F.xxhash64(*rest).desc()] if rest else [F.lit(0).desc()]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in orders], *tie)
+    hashed = rest if tie is None else tie
+    by_hash = [F.xxhash64(*hashed).desc()] if hashed else [F.lit(0).desc()]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in orders], *by_hash)
     return chg.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn").select(
         *keys, *rest)
 
@@ -54,13 +57,15 @@ def upsert(cur: DataFrame, chg: DataFrame, keys: list[str], order: str | None =
     return j.select(*out)
 
 
-def patch(cur: DataFrame, chg: DataFrame, keys: list[str], cols: list[str],
+def patch(cur: DataFrame, chg: DataFrame, keys: list[str], cols: list[str], order: str | None,
           stamp_col: str | None = "updated_at", stamp: Column | None = None) -> DataFrame:
     """M2: matched rows only, only the allowed ``cols`` that the change supplies; set
     ``stamp_col`` on patched rows. Unmatched changes are ignored; of several changes for a
-    key one is used (``latest_per_key``)."""
+    key the last by ``order`` is used. ``order=None`` says that no key is changed twice."""
     cols = [c for c in cols if c in chg.columns]
-    b = latest_per_key(chg.select(*keys, *cols), keys).select(
+    if order is not None:
+        chg = latest_per_key(chg.select(*dict.fromkeys([*keys, *cols, order])), keys, order)
+    b = chg.select(
         *keys, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     j = cur.join(b, keys, "left")
     out = []

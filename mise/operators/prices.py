@@ -42,21 +42,27 @@ def price_pivot(ing: DataFrame, prices: DataFrame) -> DataFrame:
         *[F.round(c, 0).cast("double").alias(c) for c in STORE_COLUMNS])
 
 
-def price_latest(prices: DataFrame) -> DataFrame:
-    """A22 (+W5): the last price per (ingredient, store) - the newest scrape date wins, of
-    several prices of that date the highest."""
-    last = F.max(F.struct("fecha_scrape", "precio"))
+def _lastness(arrival: str | None) -> list[str]:
+    """What makes a price the last of its cell (A22, J16): the newest scrape date, of several
+    prices of that date the last to arrive, of prices that arrived together the highest."""
+    return ["fecha_scrape", *([arrival] if arrival else []), "precio"]
+
+
+def price_latest(prices: DataFrame, arrival: str | None = None) -> DataFrame:
+    """A22 (+W5): the last price per (ingredient, store) by ``_lastness``; ``arrival`` names the
+    column that numbers arrivals (a load's ``batch``), if there is one."""
+    last = F.max(F.struct(*_lastness(arrival)))
     return prices.groupBy("ingrediente", "supermercado").agg(last.alias("l")).select(
         "ingrediente", "supermercado", F.col("l.precio").alias("precio"),
         F.col("l.fecha_scrape").alias("fecha_scrape"))
 
 
-def competitor_grid(ing: DataFrame, prices: DataFrame) -> DataFrame:
+def competitor_grid(ing: DataFrame, prices: DataFrame, arrival: str | None = None) -> DataFrame:
     """J16 + P20: one row per priced ingredient (or every ingredient when there are
-    no prices at all), our cost, the latest price per store and its cell class."""
+    no prices at all), our cost, the latest price per store (``_lastness``) and its cell class."""
     # latest price per store in one aggregate: max_by over the store's own rows only
     wide = prices.groupBy("ingrediente").agg(*[
-        F.max_by("precio", F.when(F.col("supermercado") == s, F.col("fecha_scrape"))).alias(c)
+        F.max_by("precio", F.when(F.col("supermercado") == s, F.struct(*_lastness(arrival)))).alias(c)
         for s, c in zip(STORES, STORE_COLUMNS)])
     # the priced names are the keys of ``wide`` (one aggregate of the fact); every
     # ingredient is listed only when there is no price at all (EXISTS subquery)

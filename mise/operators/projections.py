@@ -111,14 +111,25 @@ def forecast_units(daily: DataFrame, horizon: int = HORIZON) -> DataFrame:
       plus sum_h e[weekday(d1 + h)] = sum_w c_w * e[w], where c_w counts the horizon days
       on weekday w (full weeks, plus the remaining days after them).
     """
+    return forecast_from_sums(weekday_sums(daily), horizon)
+
+
+def weekday_sums(daily: DataFrame) -> DataFrame:
+    """G1, first step: per (dish, weekday) the sums over the daily series that the model needs.
+    Sums of disjoint days add up, so they can be kept and moved on by changed days only
+    (``operators.sales_state``)."""
     # bigint sums (ANSI mode fails on overflow rather than wrapping); the per-dish
     # products below are widened to decimal(38,0) so that they stay exact.
     t = F.datediff("dia", F.lit("1970-01-01").cast("date")).cast("bigint")
     y = F.col("unidades").cast("bigint")
     # level 1, per (dish, weekday): six sums over the daily series (map-side partial)
-    per_wd = daily.groupBy("dish_id", F.dayofweek("dia").alias("wd")).agg(
+    return daily.groupBy("dish_id", F.dayofweek("dia").alias("wd")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(t).alias("st"), F.sum(y).alias("sy"),
         F.sum(t * t).alias("stt"), F.sum(t * y).alias("sty"), F.max("dia").alias("d1"))
+
+
+def forecast_from_sums(per_wd: DataFrame, horizon: int = HORIZON) -> DataFrame:
+    """G1, second step: the forecast from the sums per (dish, weekday)."""
     # level 2, per dish: at most 7 rows each
     aggs = [F.sum("n").alias("n"), F.sum("st").alias("st"), F.sum("sy").alias("sy"),
             F.sum("stt").alias("stt"), F.sum("sty").alias("sty"), F.max("d1").alias("d1")]
@@ -174,4 +185,4 @@ def bulk_recost(proj: DataFrame, changes: DataFrame, items: DataFrame, ing: Data
     from mise.operators.mutations import patch
     costed = recost_projections(changes.select("id", "dish_id", "projected_units"), items, ing)
     cols = ["projected_units", "unit_cost", "estimated_qty", "estimated_cost"]
-    return patch(proj, costed, ["id"], cols, stamp_col="updated_at", stamp=stamp)
+    return patch(proj, costed, ["id"], cols, order=None, stamp_col="updated_at", stamp=stamp)

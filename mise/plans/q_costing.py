@@ -273,6 +273,6 @@ def a9_persist_costs(spark, sf):
     t = Tables.of(spark, sf)
     costs = C.dish_cost_report(t.menu, t.items, t.ing).select(
         F.col("dish_id").alias("id"), F.col("final_cost").cast("decimal(10,2)").alias("cost_total"))
-    out = patch(t.menu, costs, ["id"], ["cost_total"], stamp_col="updated_at",
+    out = patch(t.menu, costs, ["id"], ["cost_total"], order=None, stamp_col="updated_at",
                 stamp=F.lit(AS_OF).cast("date"))
     return out.select("id", "dish_name", F.col("cost_total").cast("double").alias("cost_total"), "updated_at")

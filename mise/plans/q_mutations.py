@@ -81,7 +81,7 @@ def m2_patch_projections(spark, sf):
         (F.col("id") + 1).alias("id"), F.lit(1).alias("projected_units"),
         F.lit(True).alias("is_active"), F.lit("x").alias("dish_name"))
     return M.patch(p, chg.unionByName(stray), ["id"], ["projected_units", "is_active"],
-                   stamp_col="updated_at", stamp=F.lit(AS_OF).cast("date"))
+                   order=None, stamp_col="updated_at", stamp=F.lit(AS_OF).cast("date"))
 
 
 @query("m3_delete_cascade", with_views("""

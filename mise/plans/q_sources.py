@@ -16,9 +16,6 @@ from mise.sources.adapters import ingredient_name
 from mise.plans.oracle_views import with_views
 from mise.plans.registry import Tables, decimals_as_double, query
 
-PRICE_DAY = "2024-01-15"
-
-
 def _dots(x: F.Column) -> F.Column:
     """Integer as Colombian text with thousands dots: 1234567 -> '1.234.567'."""
     return F.regexp_replace(F.format_number(x, 0), ",", ".")
@@ -138,28 +135,24 @@ def f3_unit_from_presentation(spark, sf):
 
 
 # ------------------------------------------------------------------- S4 / S5 / F5
-def _today_prices(t: Tables):
-    return t.prices.filter(F.col("fecha_scrape") == F.lit(PRICE_DAY).cast("date"))
-
-
 def _slug(x: F.Column) -> F.Column:
     return F.lower(F.regexp_replace(x, r"[^A-Za-z0-9]+", "-"))
 
 
-@query("s4_store_json", with_views(f"""
-SELECT ingrediente, supermercado,
+@query("s4_store_json", with_views("""
+SELECT ingrediente, supermercado, fecha_scrape,
        CASE WHEN length(ingrediente) % 2 = 0 THEN producto || ' B' ELSE producto || ' C' END AS producto,
        CAST(CASE WHEN length(ingrediente) % 2 = 0 THEN precio ELSE precio + 1 END AS DOUBLE) AS precio,
        'https://' || CASE supermercado WHEN 'Olímpica' THEN 'www.olimpica.com' WHEN 'Carulla' THEN 'www.carulla.com'
                                        ELSE 'www.exito.com' END || '/'
          || lower(regexp_replace(producto, '[^A-Za-z0-9]+', '-', 'g'))
          || CASE WHEN length(ingrediente) % 2 = 0 THEN '-b' ELSE '-c' END || '/p' AS url
-FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}' AND supermercado <> 'Makro'""",
+FROM precios_competencia WHERE supermercado <> 'Makro'""",
                                    "precios_competencia"))
 def s4_store_json(spark, sf):
-    """Search responses built from the day's prices (a hit without price, a hit priced
+    """Search responses of all days built from the prices (a hit without price, a hit priced
     only by its seller, a hit with a range price; two orders) and parsed by S4."""
-    p = _today_prices(Tables.of(spark, sf)).filter(F.col("supermercado") != "Makro")
+    p = Tables.of(spark, sf).prices.filter(F.col("supermercado") != "Makro")
     slug = _slug(F.col("producto"))
     price_txt = F.col("precio").cast("string")
     no_price = F.struct(F.concat("producto", F.lit(" A")).alias("productName"),
@@ -179,21 +172,20 @@ def s4_store_json(spark, sf):
                                  F.lit(","), F.to_json(ranged), F.lit("]"))).otherwise(
         F.concat(F.lit("["), F.to_json(ranged), F.lit(","), F.to_json(no_price), F.lit(","),
                  F.to_json(seller), F.lit("]")))
-    parsed = PS.parse_store_json(p.select("ingrediente", "supermercado", body.alias("body")),
-                                 F.lit(PRICE_DAY).cast("date"))
-    return parsed.select("ingrediente", "supermercado", "producto",
+    parsed = PS.parse_store_json(p.select("ingrediente", "supermercado", "fecha_scrape", body.alias("body")))
+    return parsed.select("ingrediente", "supermercado", "fecha_scrape", "producto",
                          F.col("precio").cast("double").alias("precio"), "url")
 
 
-@query("s5_store_html", with_views(f"""
-SELECT ingrediente, supermercado, producto || ' 2' AS producto, CAST(precio AS DOUBLE) AS precio,
+@query("s5_store_html", with_views("""
+SELECT ingrediente, supermercado, fecha_scrape, producto || ' 2' AS producto, CAST(precio AS DOUBLE) AS precio,
        '/p/' || CAST(length(producto) AS VARCHAR) AS url
-FROM precios_competencia WHERE fecha_scrape = DATE '{PRICE_DAY}' AND supermercado = 'Makro'""",
+FROM precios_competencia WHERE supermercado = 'Makro'""",
                                    "precios_competencia"))
 def s5_store_html(spark, sf):
-    """Store result pages generated from the day's Makro prices (a node without price,
+    """Store result pages of all days generated from the Makro prices (a node without price,
     then a priced node with a '$ 1.234,56' price) and parsed by S5."""
-    p = _today_prices(Tables.of(spark, sf)).filter(F.col("supermercado") == "Makro")
+    p = Tables.of(spark, sf).prices.filter(F.col("supermercado") == "Makro")
     cents = F.lpad(((F.col("precio") * 100).cast("bigint") % 100).cast("string"), 2, "0")
     price_txt = F.concat(F.lit("$ "), _dots(F.floor("precio")), F.lit(","), cents)
     link = F.concat(F.lit("/p/"), F.length("producto").cast("string"))
@@ -203,9 +195,8 @@ def s5_store_html(spark, sf):
                                  '<a class="product-item-link" href="'),
         link, F.lit('">'), F.col("producto"), F.lit(' 2</a></strong><span class="price">'), price_txt,
         F.lit('</span></li></ol></body></html>'))
-    parsed = PS.parse_store_html(p.select("ingrediente", "supermercado", html.alias("html")),
-                                 F.lit(PRICE_DAY).cast("date"))
-    return parsed.select("ingrediente", "supermercado", "producto",
+    parsed = PS.parse_store_html(p.select("ingrediente", "supermercado", "fecha_scrape", html.alias("html")))
+    return parsed.select("ingrediente", "supermercado", "fecha_scrape", "producto",
                          F.col("precio").cast("double").alias("precio"), "url")
 
 
@@ -262,9 +253,9 @@ def s7_catalog_details(spark, sf):
         F.concat(F.lit("p-"), pk.cast("string")).alias("slug"),
         F.struct(F.concat(F.lit("<p>"), F.col("p_name"), F.lit("</p>")).alias("rendered")).alias("content"),
         F.struct(F.concat(F.lit("<em>"), F.col("p_brand"), F.lit("</em>")).alias("rendered")).alias("excerpt")
-    )).alias("body"))
+    )).alias("body"), pk.alias("arrival"))
     stray = part.filter(pk % 3 == 1).select(F.to_json(F.struct(
-        F.concat(F.lit("zz-"), pk.cast("string")).alias("slug"))).alias("body"))
+        F.concat(F.lit("zz-"), pk.cast("string")).alias("slug"))).alias("body"), pk.alias("arrival"))
     out = PS.apply_catalog_details(_catalog(t), details.unionByName(stray))
     return out.select("slug", "description", "variations")
 

@@ -120,5 +120,5 @@ class Tables:
 def load_all() -> dict:
     # Importing the query modules fills REGISTRY.
     from mise.plans import (q_costing, q_inventory, q_sales, q_demand,  # noqa: F401
-                            q_projections, q_prices, q_mutations, q_sources, q_streaming)
+                            q_projections, q_prices, q_mutations, q_sources, q_streaming, q_kept)
     return REGISTRY

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 
-HIT_COLUMNS = ["ingrediente", "supermercado", "rank", "name", "price_text", "link"]
+HIT_COLUMNS = ["ingrediente", "supermercado", "fecha_scrape", "rank", "name", "price_text", "link"]
 
 
 # The elements of HTML that have no end tag.
@@ -93,7 +93,7 @@ def extract_batches(batches):
     """mapInPandas body: one output row per product node of each page."""
     for pdf in batches:
         rows = []
-        for ing, sm, html in zip(pdf["ingrediente"], pdf["supermercado"], pdf["html"]):
+        for ing, sm, day, html in zip(pdf["ingrediente"], pdf["supermercado"], pdf["fecha_scrape"], pdf["html"]):
             for rank, (name, price, link) in enumerate(html_products(html), 1):
-                rows.append((ing, sm, rank, name, price, link))
+                rows.append((ing, sm, day, rank, name, price, link))
         yield pd.DataFrame(rows, columns=HIT_COLUMNS)

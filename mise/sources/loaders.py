@@ -54,7 +54,7 @@ BROWSABLE = ["catalog_products", "ingredient_table", "menu_board", "menu_recipe_
              "nutrition_table"]
 
 
-def _typed(df: DataFrame, name: str | None) -> dict[str, tuple[F.Column, F.Column]]:
+def typed_columns(df: DataFrame, name: str | None) -> dict[str, tuple[F.Column, F.Column]]:
     """Column -> (typed value, whether it had a value that could not be read)."""
     known = {f.name: f.dataType for f in TABLES[name].fields} if name else {}
     out = {}
@@ -74,12 +74,12 @@ def _typed(df: DataFrame, name: str | None) -> dict[str, tuple[F.Column, F.Colum
 def load_table(df: DataFrame, name: str | None = None) -> DataFrame:
     """The columns of an exported table with their types: those of the table schema
     ``name``, else DECIMAL(12,2) for every listed column present; NaN -> NULL first."""
-    return df.select(*(c.alias(k) for k, (c, _) in _typed(df, name).items()))
+    return df.select(*(c.alias(k) for k, (c, _) in typed_columns(df, name).items()))
 
 
 def unreadable_values(df: DataFrame, name: str | None = None) -> DataFrame:
     """Per column, how many values ``load_table`` could not read (they are NULL there)."""
-    bad = {k: b for k, (_, b) in _typed(df, name).items()}
+    bad = {k: b for k, (_, b) in typed_columns(df, name).items()}
     counts = df.agg(*(F.count_if(b).alias(k) for k, b in bad.items()))
     return counts.select(F.explode(F.map_from_arrays(
         F.array(*map(F.lit, bad)), F.array(*(F.col(f"`{k}`") for k in bad)))).alias("column", "unreadable"))
@@ -95,17 +95,26 @@ def _string_schema(names: list[str]) -> T.StructType:
 
 
 def _sheets(spark: SparkSession, path: str | list[str], columns: list[str], header: bool) -> DataFrame:
-    """Sheets in load order, ``batch`` ascending with the place in the list, then in the file."""
+    """Sheets in load order, ``batch`` ascending with the place in the list, then (several files
+    under one path) by modification time and name, then in the file."""
     out = None
     for k, p in enumerate([path] if isinstance(path, str) else path):
         raw = (spark.read.schema(_string_schema(columns)).option("sep", "\t").option("header", header).csv(p))
         raw = raw.withColumn("batch", F.struct(
-            F.lit(k).alias("load"), F.col("_metadata.file_block_start").alias("block"),
+            F.lit(k).alias("load"), F.col("_metadata.file_modification_time").alias("modified"),
+            F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("line")))
         out = raw if out is None else out.unionByName(raw)
     return out
 
 
+def read_sheet_lines(spark: SparkSession, path: str | list[str], columns: list[str], header: bool) -> DataFrame:
+    """A sheet's cells as text, and the whole line in ``_corrupt`` where it has more or fewer cells."""
+    schema = _string_schema([*columns, "_corrupt"])
+    return (spark.read.schema(schema).option("sep", "\t").option("header", header)
+            .option("columnNameOfCorruptRecord", "_corrupt").csv(path))
+
+
 def read_nutrition_tsv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Read one or more nutrition sheets; see ``parse_nutrition``."""
     return parse_nutrition(_sheets(spark, path, NUTRITION_HEADER, header=True))

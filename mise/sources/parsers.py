@@ -41,12 +41,19 @@ def _truthy_price(x: F.Column) -> F.Column:
     return F.when(v != 0, v)
 
 
+def _scrape_day(df: DataFrame, day) -> F.Column:
+    """The day of a response: the given one, else its own, else today."""
+    own = F.col("fecha_scrape") if "fecha_scrape" in df.columns else F.current_date()
+    return (own if day is None else day).cast("date").alias("fecha_scrape")
+
+
 def parse_store_json(df: DataFrame, day=None) -> DataFrame:
     """The first hit of the page that has both a name and a price.
 
     price = priceRange.sellingPrice.highPrice, else items[0].sellers[0].commertialOffer.Price;
-    names and urls (from linkText) are kept whole. Input columns:
-    ingrediente, supermercado, body. A malformed body yields no row.
+    names and urls (from linkText) are kept whole. Input columns: ingrediente, supermercado,
+    body and, for responses of several days, fecha_scrape (else ``day`` says the day). A malformed
+    body yields no row.
     """
     hits = F.from_json("body", SEARCH_SCHEMA)
     domain = F.element_at(F.create_map(*[x for k, v in STORE_DOMAINS.items()
@@ -63,35 +70,35 @@ def parse_store_json(df: DataFrame, day=None) -> DataFrame:
 
     ok = F.filter(F.transform(hits, cand), lambda c: c["price"].isNotNull() & (c["name"] != ""))
     first = F.try_element_at(ok, F.lit(1))
-    out = df.select("ingrediente", "supermercado", first.alias("hit")).filter(F.col("hit").isNotNull())
+    out = df.select("ingrediente", "supermercado", _scrape_day(df, day), first.alias("hit")).filter(F.col("hit").isNotNull())
     return out.select(
         "ingrediente", "supermercado",
         F.col("hit.name").alias("producto"),
         F.col("hit.price").alias("precio"),
-        F.coalesce("hit.url", F.lit("")).alias("url"),
-        (day if day is not None else F.current_date()).alias("fecha_scrape"))
+        F.coalesce("hit.url", F.lit("")).alias("url"), "fecha_scrape")
 
 
 # ----------------------------------------------------------------- S5 store search HTML
 HTML_HITS = T.StructType([
     T.StructField("ingrediente", T.StringType()), T.StructField("supermercado", T.StringType()),
-    T.StructField("rank", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("fecha_scrape", T.DateType()), T.StructField("rank", T.IntegerType()), T.StructField("name", T.StringType()),
     T.StructField("price_text", T.StringType()), T.StructField("link", T.StringType())])
 
 
 def parse_store_html(df: DataFrame, day=None) -> DataFrame:
-    """Product nodes of a store results page; price text by F5; the first node with a name and a price wins. Input: ingrediente, supermercado, html."""
-    hits = df.select("ingrediente", "supermercado", "html").mapInPandas(
+    """Product nodes of a store results page; price text by F5; the first node with a name
+    and a price wins. Input: ingrediente, supermercado, html and, for pages of several days,
+    fecha_scrape."""
+    hits = df.select("ingrediente", "supermercado", _scrape_day(df, day), "html").mapInPandas(
         html_nodes.extract_batches, HTML_HITS)
     hits = hits.withColumn("precio", store_price_text("price_text")).filter(
         F.col("precio").isNotNull() & (F.col("precio") != 0) & (F.coalesce("name", F.lit("")) != ""))
-    first = hits.groupBy("ingrediente", "supermercado").agg(
+    first = hits.groupBy("ingrediente", "supermercado", "fecha_scrape").agg(
         F.min_by(F.struct("name", "precio", "link"), F.col("rank")).alias("h"))
     return first.select(
         "ingrediente", "supermercado", F.col("h.name").alias("producto"),
         F.col("h.precio").alias("precio"),
-        F.coalesce("h.link", F.lit("")).alias("url"),
-        (day if day is not None else F.current_date()).alias("fecha_scrape"))
+        F.coalesce("h.link", F.lit("")).alias("url"), "fecha_scrape")
 
 
 # ----------------------------------------------------------------- S6/S7 catalog
@@ -140,14 +147,14 @@ DETAIL_SCHEMA = T.StructType([
     T.StructField("excerpt", T.StructType([T.StructField("rendered", T.StringType())]))])
 
 
-def apply_catalog_details(products: DataFrame, details: DataFrame) -> DataFrame:
+def apply_catalog_details(products: DataFrame, details: DataFrame, order: str = "arrival") -> DataFrame:
     """Description <- content.rendered, variations <- excerpt.rendered, only for
-    slugs that are in the catalog (left join from the products)."""
-    d = details.select(F.from_json("body", DETAIL_SCHEMA).alias("d")).select(
+    slugs that are in the catalog (left join from the products); the last body per slug by
+    ``order`` wins."""
+    last = _last_body(details, "slug", order)
+    d = last.select(F.from_json("body", DETAIL_SCHEMA).alias("d")).select(
         F.col("d.slug").alias("slug"), F.coalesce("d.content.rendered", F.lit("")).alias("_desc"),
-        F.coalesce("d.excerpt.rendered", F.lit("")).alias("_var"))
-    from mise.operators.mutations import latest_per_key
-    d = latest_per_key(d.filter(F.col("slug").isNotNull()), ["slug"])     # one body per slug
+        F.coalesce("d.excerpt.rendered", F.lit("")).alias("_var")).filter(F.col("slug").isNotNull())
     j = products.join(d, "slug", "left")
     base = [c for c in products.columns if c not in ("description", "variations")]
     old_d = F.col("description") if "description" in products.columns else F.lit(None).cast("string")
@@ -157,53 +164,43 @@ def apply_catalog_details(products: DataFrame, details: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- S8/S9 orders
-LINE_SCHEMA = T.StructType([
-    T.StructField("product_id", T.StringType()), T.StructField("name", T.StringType()),
-    T.StructField("quantity", T.StringType()), T.StructField("price", T.StringType()),
-    T.StructField("total", T.StringType())])
-ORDER_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("status", T.StringType()),
-    T.StructField("currency", T.StringType()), T.StructField("date_created", T.StringType()),
-    T.StructField("total", T.StringType()),
-    T.StructField("billing", T.StructType([
-        T.StructField("first_name", T.StringType()), T.StructField("last_name", T.StringType()),
-        T.StructField("email", T.StringType()), T.StructField("phone", T.StringType())])),
-    T.StructField("line_items", T.ArrayType(LINE_SCHEMA)),
-    T.StructField("payment_method_title", T.StringType()),
-    T.StructField("payment_status", T.StringType())])
+LINE_ITEMS = "array<struct<product_id string, name string, quantity string, price string, total string>>"
 
 
 def parse_orders(df: DataFrame, order: str = "arrival") -> DataFrame:
     """Order header, currency default COP, customer_name = first + ' ' + last (blank
     parts keep the space), line items projected to (product_id, name, quantity, price,
-    total) with numeric casts, shipping kept as its JSON text; the last body per id by
-    ``order`` wins."""
-    df = _last_body(df, "id", order)
-    o = df.select(F.from_json("body", ORDER_SCHEMA).alias("o"),
-                  F.get_json_object("body", "$.shipping").alias("shipping_address"))
-    o = o.filter(F.col("o.id").isNotNull())
-    items = F.transform(F.coalesce("o.line_items", F.array().cast(T.ArrayType(LINE_SCHEMA))),
+    total) with numeric casts, shipping kept as JSON text; the last body per id by
+    ``order`` wins. A body is parsed once, into a variant: the key that decides which body is the
+    last and the columns are both taken from it. A malformed body yields no row."""
+    from mise.operators.mutations import latest_per_key
+    parsed = df.select(F.try_parse_json("body").alias("o"), F.xxhash64("body").alias("_hash"), order)
+    keyed = parsed.withColumn("_key", F.try_variant_get("o", "$.id", "string")).filter(F.col("_key").isNotNull())
+    o = latest_per_key(keyed, ["_key"], order, tie=["_hash"])
+
+    def text(path: str, default: str | None = "") -> F.Column:
+        v = F.try_variant_get("o", f"$.{path}", "string")
+        return v if default is None else F.coalesce(v, F.lit(default))
+
+    def money(c: F.Column) -> F.Column:
+        return F.coalesce(c.try_cast(MONEY), F.lit(0).cast(MONEY))
+
+    items = F.transform(F.coalesce(F.try_variant_get("o", "$.line_items", LINE_ITEMS), F.array().cast(LINE_ITEMS)),
                         lambda i: F.struct(
                             i["product_id"].try_cast("bigint").alias("product_id"),
                             i["name"].alias("name"),
                             i["quantity"].try_cast("int").alias("quantity"),
-                            F.coalesce(i["price"].try_cast(MONEY), F.lit(0).cast(MONEY)).alias("price"),
-                            F.coalesce(i["total"].try_cast(MONEY), F.lit(0).cast(MONEY)).alias("total")))
-    rows = o.select(
-        F.col("o.id").try_cast("bigint").alias("id"),
-        F.coalesce("o.status", F.lit("")).alias("status"),
-        F.coalesce("o.currency", F.lit("COP")).alias("currency"),
-        F.col("o.date_created").alias("date_created"),
-        F.coalesce(F.col("o.total").try_cast(MONEY), F.lit(0).cast(MONEY)).alias("total"),
-        F.concat(F.coalesce("o.billing.first_name", F.lit("")), F.lit(" "),
-                 F.coalesce("o.billing.last_name", F.lit(""))).alias("customer_name"),
-        F.coalesce("o.billing.email", F.lit("")).alias("customer_email"),
-        F.coalesce("o.billing.phone", F.lit("")).alias("customer_phone"),
+                            money(i["price"]).alias("price"), money(i["total"]).alias("total")))
+    shipping = F.try_variant_get("o", "$.shipping", "variant")
+    return o.select(
+        F.col("_key").try_cast("bigint").alias("id"), text("status").alias("status"),
+        text("currency", "COP").alias("currency"), text("date_created", None).alias("date_created"),
+        money(text("total", None)).alias("total"),
+        F.concat(text("billing.first_name"), F.lit(" "), text("billing.last_name")).alias("customer_name"),
+        text("billing.email").alias("customer_email"), text("billing.phone").alias("customer_phone"),
         items.alias("items"),
-        F.coalesce("shipping_address", F.lit("{}")).alias("shipping_address"),
-        F.coalesce("o.payment_method_title", F.lit("")).alias("payment_method"),
-        F.coalesce("o.payment_status", F.lit("")).alias("payment_status"))
-    return rows
+        F.when(shipping.isNull() | F.is_variant_null(shipping), "{}").otherwise(F.to_json(shipping)).alias("shipping_address"),
+        text("payment_method_title").alias("payment_method"), text("payment_status").alias("payment_status"))
 
 
 def order_lines(orders: DataFrame) -> DataFrame:
