@@ -68,11 +68,11 @@ class Refusals:
             lines.unpersist()
 
     def booked(self) -> DataFrame:
-        return self.spark.read.schema(TICKET_SCHEMA).parquet(f"{self.path}/booked")
+        return self.spark.read.schema(TICKET_SCHEMA).parquet(f"{self.path}/booked").select(*TICKET_SCHEMA.names)
 
     def refused(self) -> DataFrame:
         schema = T.StructType([*TICKET_SCHEMA.fields, T.StructField("reason", T.StringType())])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/refused")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/refused").select(*schema.names)
 
 
 def refuse_lines(lines: DataFrame, path: str, checkpoint: str, delay: str = "1 DAY", buckets: int = 64) -> StreamingQuery:
