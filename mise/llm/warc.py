@@ -8,10 +8,13 @@ so that a repeated task leaves at most an unread file behind.
 
 Reader: archives are cut into byte ranges without looking at them. A task scans its range
 for the gzip magic and accepts a candidate member only when it inflates in full (checksum
-included), starts with a WARC version line, and such members follow each other from there past
-the end of the range or to the end of the file; so archives inside payloads don't mislead it.
-It owns the records that start inside its range and reads past the end of the range to finish
-the last of them. Memory: one range plus two records.
+included) and starts with a WARC version line; from each it follows the members that come next,
+to the first that begins past the end of the range. Such chains (first byte, next byte) are a
+few numbers a range; joined end to first from byte 0 on they are the archive's records, and chains in
+archives inside payloads, wherever a range begins, are not met. Then every chain is read by the task that owns its
+first record. A chain that ends before its range does, or a place where none begins, is a broken
+member: reading fails and names its byte, which is the same for every size of the ranges; no
+sound record is passed over. Memory: one range plus two records.
 
 Cases: a null html is an empty payload; empty payloads are equal payloads; a null id never
 becomes the largest while another is there, and where all ids of equal payloads are null all
@@ -94,18 +97,21 @@ class Range:
             self.data += more
         return bytes(self.data[at:at + n])
 
-    def inflate(self, at: int, most: int | None = None) -> tuple[bytes, int] | None:
-        """(content, place after the member), or None if there is no whole member here."""
+    def inflate(self, at: int, most: int | None = None, keep: bool = True) -> tuple[bytes, int] | None:
+        """(content, place after the member), or None if there is no whole member here. ``keep``:
+        the content is wanted."""
         out, size, inflater = [], 0, zlib.decompressobj(31)
         while not inflater.eof:
             chunk = self.slice(at, FEED)
             if not chunk:
                 return None
             try:
-                out.append(inflater.decompress(chunk))
+                data = inflater.decompress(chunk)
             except zlib.error:
                 return None
-            size += len(out[-1])
+            size += len(data)
+            if keep:
+                out.append(data)
             at += len(chunk) - len(inflater.unused_data)
             if most is not None and size >= most:
                 break
@@ -117,37 +123,56 @@ class Range:
         got = self.inflate(at, 16)
         return got is not None and got[0].startswith(b"WARC/1.")
 
-    def first(self) -> int | None:
-        at = 0
+    def follow(self, at: int) -> tuple[int, bool, set]:
+        """(place after the last whole record from here, whether that is past the range, their places)."""
+        places = set()
+        while True:
+            got = self.inflate(at, keep=False) if self.is_record(at) else None
+            if got is None:
+                return at, False, places
+            places.add(at)
+            at = got[1]
+            if self.begin + at >= min(self.end, self.size):
+                return at, True, places
+
+    def chains(self):
+        """(first byte, next byte, whether it passes the end) of the chains that begin in the range."""
+        at, passed = 0, set()
         while True:
             self.slice(self.end - self.begin, 2)     # a magic may begin on the last byte
             at = self.data.find(MAGIC, at)
             if at < 0 or self.begin + at >= self.end:
-                return None
-            if self.begin + at == 0 or self.leads_on(at):
-                return at
+                return
+            if at not in passed and self.is_record(at):
+                stop, whole, places = self.follow(at)
+                passed |= places
+                yield self.begin + at, self.begin + stop, whole
+                if whole:
+                    return      # what begins later in the range lies in one of these records
             at += 1
 
-    def leads_on(self, at: int) -> bool:
-        """Whether records follow each other from here to the end of the range and one further."""
-        while True:
-            if not self.is_record(at):
-                return False
-            got = self.inflate(at)
-            if got is None:
-                return False
-            passed, at = self.begin + at >= self.end, got[1]
-            if passed or self.begin + at >= self.size:
-                return True
-
-    def __iter__(self):
-        at = self.first()
-        while at is not None and self.begin + at < self.end:
+    def records(self, stop: int):
+        """The records of the chain from the range's first byte to ``stop``."""
+        at = 0
+        while self.begin + at < stop:
             got = self.inflate(at)
             if got is None:
                 raise ValueError(f"broken gzip member at byte {self.begin + at}")
             yield got[0]
-            at = got[1] if self.begin + got[1] < self.size else None
+            at = got[1]
+
+
+def joined(size: int, found: list[tuple[int, int, bool]], uri: str) -> list[tuple[int, int]]:
+    """The chains (first, next) that cover an archive, from all that its ranges found."""
+    by_first = {first: (stop, whole) for first, stop, whole in found}
+    at, out = 0, []
+    while at < size:
+        stop, whole = by_first.get(at, (at, False))
+        if not whole:
+            raise ValueError(f"broken gzip member at byte {stop} of {uri}")
+        out.append((at, stop))
+        at = stop
+    return out
 
 
 def with_first_copy(pages: DataFrame) -> DataFrame:
@@ -199,21 +224,42 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
 
 
 def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool = True) -> DataFrame:
-    """The records of the archives named in ``files`` (uri, size), one byte range per row."""
+    """The records of the archives named in ``files`` (uri, size), one byte range per row. The
+    ranges are scanned when this is called, and read when the result is."""
     spark = files.sparkSession
     ship(spark)
     ranges = files.filter(F.col("size") > 0).select(
         "uri", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1,
                                             F.lit(split_bytes).cast("long"))).alias("begin"))
 
+    def scan(batches):
+        for batch in batches:
+            rows = []
+            for job in batch.to_pylist():
+                fs, path = filesystem(job["uri"])
+                with fs.open_input_file(path) as source:
+                    end = min(job["size"], job["begin"] + split_bytes)
+                    rows += [(job["uri"], job["size"], *c) for c in Range(source, job["size"], job["begin"], end).chains()]
+            cols = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+                names=["uri", "size", "first", "next", "whole"])
+
+    def cover(key, table):
+        """One archive's chains: a row for each of its ranges."""
+        uri, size = key[0].as_py(), key[1].as_py()
+        found = zip(*(table.column(c).to_pylist() for c in ("first", "next", "whole")))
+        out = joined(size, [f for f in found if f[0] is not None], uri)
+        return pa.table({"uri": [uri] * len(out), "size": [size] * len(out), "first": [f for f, _ in out], "next": [n for _, n in out]},
+                        pa.schema([("uri", pa.string()), ("size", pa.int64()), ("first", pa.int64()), ("next", pa.int64())]))
+
     def read(batches):
         for batch in batches:
             for job in batch.to_pylist():
                 fs, path = filesystem(job["uri"])
                 with fs.open_input_file(path) as source:
                     rows, held = [], 0
-                    end = min(job["size"], job["begin"] + split_bytes)
-                    for data in Range(source, job["size"], job["begin"], end):
+                    for data in Range(source, job["size"], job["first"], job["next"]).records(job["next"]):
                         f, payload = parse(data)
                         sha = f["warc-payload-digest"].removeprefix("sha1:")
                         if f["warc-type"] == "response" and digest(payload) != sha:
@@ -228,7 +274,12 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES, payloads: bool =
                             rows, held = [], 0
                     yield to_batch(rows)
 
-    return ranges.repartition(partitions(spark)).mapInArrow(read, RECORDS)
+    chains = ranges.repartition(partitions(spark)).mapInArrow(scan, "uri string, size long, first long, next long, whole boolean")
+    # an archive without any chain is broken, too: its file is a row of its own
+    every = chains.unionByName(files.filter(F.col("size") > 0).select(
+        "uri", "size", F.lit(None).cast("long").alias("first"), F.lit(None).cast("long").alias("next"), F.lit(None).cast("boolean").alias("whole")))
+    parts = stored(every.groupBy("uri", "size").applyInArrow(cover, "uri string, size long, first long, next long"), "warc-ranges")
+    return parts.repartition(partitions(spark)).mapInArrow(read, RECORDS)
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
