@@ -14,7 +14,8 @@ however many they are.
 * Candidates are first compared with one centre of their band key, links verified and classes
   merged, so that a group of m near copies costs about m comparisons.
 * Keys that still hold several components are compared across components: those of at most
-  ``SMALL`` members pair by pair; larger ones are joined into clusters by the keys they share,
+  ``SMALL`` members sketch by sketch where a key's members lie, so that only pairs that the
+  estimate leaves possible become rows; larger ones are joined into clusters by the keys they share,
   and clusters are compared in blocks of ``BLOCK`` texts: a pair of blocks is one small group
   that returns only the links that join components, so that thousands of texts that are alike
   but not near copies never become rows of pairs. Every two members of a key thus either are
@@ -38,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mise.llm.common import id_text, ship, stored
-from mise.llm.components import components, cross_pairs, labelled, star_pairs
+from mise.llm.common import id_text, partitions, ship, stored
+from mise.llm.components import components, labelled, star_pairs
 
 BUCKETS = 128
 SMALL = 32
@@ -226,6 +227,48 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.mapInArrow(run, "a long, b long")
 
 
+def likely_of_keys(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different components among the members of each key (at most ``SMALL``)
+    that their sizes and the estimate leave possible. The sketches come to the members first,
+    so that a pair that is no candidate never becomes a row."""
+    rows = members.join(sets.select("node", "n", "registers"), "node").select("key", "node", "component", "n", "registers")
+
+    def compared(t: pa.Table) -> pa.RecordBatch:
+        key, node, own, n = (t.column(c).to_numpy() for c in ("key", "node", "component", "n"))
+        sketch = np.frombuffer(b"".join(t.column("registers").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        found = []
+        for step in range(1, SMALL):        # each member with the one ``step`` places on in its key
+            x = np.flatnonzero((key[:-step] == key[step:]) & (own[:-step] != own[step:]))
+            if not (key[:-step] == key[step:]).any():
+                break
+            y = x + step
+            fit = np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent
+            x, y = x[fit], y[fit]
+            j, error = estimate(sketch[x], sketch[y], n[x], n[y])
+            fit = j + SIGMAS * error >= percent / 100
+            found.append((np.minimum(node[x], node[y])[fit], np.maximum(node[x], node[y])[fit]))
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            if not len(t):
+                continue
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))        # the last key may go on
+            if cut:
+                yield compared(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield compared(rest)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of one document of each class."""
     reps = nodes.join(sets.select("node", "rep.d1", "rep.d2"), "node")
@@ -304,11 +347,12 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
     common = stored(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "common-keys")
     members = stored(bands.join(common, "key").select("key", "node", F.col("node").alias("component")), "members")
     texts = stored(texts_of(docs, sets, members.select("node").distinct()), "member-texts")
-    check = lambda pairs: stored(verified(stored(likely(pairs, sets, percent), "likely"), texts, width, percent), "links")
-    links = check(star_pairs(members))
+    check = lambda pairs: stored(verified(stored(pairs, "likely"), texts, width, percent), "links")
+    links = check(likely(star_pairs(members), sets, percent))
     mixed = labelled(members, links)
     large = stored(mixed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("key"), "large-keys")
-    links = links.unionByName(check(cross_pairs(stored(mixed.join(large, "key", "left_anti"), "small-members"))))
+    small = stored(mixed.join(large, "key", "left_anti"), "small-members")
+    links = links.unionByName(check(likely_of_keys(small, sets, percent)))
     links = links.unionByName(stored(block_links(
         stored(mixed.join(large, "key", "left_semi"), "large-members"), texts, width, percent), "links"))
     own = sets.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
