@@ -172,10 +172,13 @@ class Merges(Pieces):
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.reach: dict[str, int] = {}     # the longest piece that ends in two characters
-        for p in self.scores:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 1))
+        self.pairs: dict[tuple, bool] = {}
+        self.tails: dict = {}       # the pieces read backwards, letter by letter; "" holds a piece's id
+        for p, (_, k) in self.scores.items():
+            node = self.tails
+            for c in reversed(p):
+                node = node.setdefault(c, {})
+            node[""] = k
 
     def merged(self, text: str) -> list[str]:
         parts, scores = list(text), self.scores
@@ -189,30 +192,41 @@ class Merges(Pieces):
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def follows(self, before: str, piece: str) -> bool:
-        """May the piece come after another (or none, at the beginning)?"""
+    def follows(self, before: int | str, piece: int | str) -> bool:
+        """May the piece come after another (or none, at the beginning)? Pieces go by id, characters
+        that are no piece by themselves."""
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        known = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        x, y = (p if isinstance(p, str) else self.pieces[p] for p in (before, piece))
+        known = self.pairs[before, piece] = self.merged(x + y) == ([x, y] if x else [y])
         return known
 
     def stream(self, text: str):
-        longest, scores, reach, pairs = self.longest, self.scores, self.reach, self.pairs
-        last = [""]             # the last piece of the boundaries base, base + 1, ...
+        longest, tails, pairs = self.longest, self.tails, self.pairs
+        last: list = [""]           # the last piece of the boundaries base, base + 1, ...
         back: list[tuple[int, list[int]]] = [(0, [])]       # (its length, its ids)
         base = 0
         for end in range(1, len(text) + 1):
-            for size in range(min(reach.get(text[max(end - 2, 0):end], 1), end - base), 0, -1):
-                piece = text[end - size:end]
-                found = scores.get(piece)
-                # a character that is no piece stays alone, as its byte pieces
-                if found is not None or size == 1:
-                    before = last[end - size - base]
-                    known = pairs.get((before, piece))
-                    if self.follows(before, piece) if known is None else known:
-                        break
+            # the pieces that end here: one step back at a time through those read backwards
+            at, node, fits = end - 1, tails.get(text[end - 1]), []
+            while node is not None:
+                k = node.get("")
+                if k is not None:
+                    fits.append((end - at, k))
+                at -= 1
+                if at < base:
+                    break
+                node = node.get(text[at])
+            if not fits or fits[0][0] > 1:
+                fits.insert(0, (1, text[end - 1]))      # no piece: it stays alone, as its byte pieces
+            while True:
+                size, piece = fits.pop()
+                before = last[end - size - base]
+                known = pairs.get((before, piece))
+                if not fits or (self.follows(before, piece) if known is None else known):
+                    break
             last.append(piece)
-            back.append((size, self.byte_ids(piece) if found is None else [found[1]]))
+            back.append((size, self.byte_ids(piece) if isinstance(piece, str) else [piece]))
             if end - base >= 2 * longest:
                 meet = self.meeting(back, base, end)
                 if meet > base:
