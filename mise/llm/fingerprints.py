@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +43,7 @@ LEVELS = 1000
 BITS = 2048
 PROBES = 5
 FILL = 160
+COMPARED = 1024         # filters of a chain compared at a time
 GRAM = np.uint32(2654435761)
 MULTIPLIERS = np.random.default_rng(64).integers(0, 1 << 63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -55,7 +55,7 @@ def run_minima(x: np.ndarray, width: int) -> np.ndarray:
     low, step = x, 1
     while step < width:                             # minima of runs, by doubling
         low, step = np.minimum(low[:-step], low[step:]), 2 * step
-    edge = np.full(width - 1, x.min(initial=0) if x.dtype.kind == "u" else -np.inf, x.dtype)
+    edge = np.zeros(width - 1, x.dtype)             # ranks are not negative
     high, step = np.concatenate([edge, low, edge]), 1
     while step < width:                             # of the runs that hold a place, the greatest
         high, step = np.maximum(high[:-step], high[step:]), 2 * step
@@ -71,36 +71,6 @@ def grams(raw: np.ndarray, n: int) -> np.ndarray:
     return gram
 
 
-def starts(raw: np.ndarray) -> np.ndarray:
-    """The places of least gram hash within any ``SPACING`` places; fingerprints do not use them."""
-    n = len(raw) - WINDOW + 1
-    if n <= 1:
-        return np.zeros(min(len(raw), 1), np.int64)
-    return np.flatnonzero(run_minima(grams(raw, n), SPACING))
-
-
-def windows(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(entropy level, 64-bit hash) of the windows at a text's ``starts``, one by one."""
-    at = starts(raw)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    if len(raw) < WINDOW:
-        counts = np.bincount(raw)
-        counts = counts[counts > 0]
-        raw = np.concatenate([raw, np.zeros(WINDOW - len(raw), np.uint8)])
-        at = np.zeros(1, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(raw, WINDOW)[at]
-    ordered = np.sort(view, axis=1)
-    edge = np.ones((len(view), WINDOW), bool)
-    edge[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-    place = np.flatnonzero(edge.reshape(-1))
-    run = np.diff(place, append=edge.size)      # equal bytes; a run never passes a row's end
-    row = place // WINDOW
-    bits = math.log2(WINDOW) - np.bincount(row, CLOGC[run], minlength=len(view)) / WINDOW
-    level = np.minimum((bits / math.log2(WINDOW) * LEVELS).astype(np.int64), LEVELS - 1)
-    return level, hashes(view)
-
-
 def hashes(view: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(view).view("<u8")
     h = (words * MULTIPLIERS[:words.shape[1]]).sum(axis=1, dtype=np.uint64)
@@ -109,10 +79,8 @@ def hashes(view: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-CLOGC = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
-
-
-CLOGC_WHOLE = np.rint(CLOGC * (1 << 20)).astype(np.int64)
+#: c * log2(c) in whole numbers, so that sums do not hang on their order.
+CLOGC_WHOLE = np.rint(np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))]) * (1 << 20)).astype(np.int64)
 
 
 def levels(raw: np.ndarray, width: int) -> np.ndarray:
@@ -139,18 +107,31 @@ def kinds(raw: np.ndarray) -> list[tuple[int, int]]:
     return [(SHORT, LEVELS)] * (len(raw) < 8 * WINDOW) + [(WINDOW, 0)] * (len(raw) >= 4 * WINDOW)
 
 
-def selected(raw: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    """Hashes of the windows that are the rarest of ``SPACING`` in a row, in order."""
+def all_levels(raw: np.ndarray, known: dict[int, np.ndarray] | None = None, same: int = 0) -> dict[int, np.ndarray]:
+    """Window length -> ``levels`` of a text. ``known``: those of a text with the same first
+    ``same`` bytes, whose windows inside them are not computed again."""
+    out = {}
+    for width, _ in kinds(raw) if len(raw) >= SHORT else ():
+        old = (known or {}).get(width)
+        kept = 0 if old is None else min(max(same - width + 1, 0), len(old), len(raw) - width + 1)
+        rest = levels(raw[kept:], width) if len(raw) - kept >= width else np.zeros(0, np.int64)
+        out[width] = np.concatenate([old[:kept], rest]) if kept else rest
+    return out
+
+
+def selected(raw: np.ndarray, rank: np.ndarray, known: dict[int, np.ndarray]) -> np.ndarray:
+    """Hashes of the windows that are the rarest of ``SPACING`` in a row, in order. ``rank``: of
+    each level, the rarest first; ``known``: the text's levels."""
     if not len(raw):
         return np.zeros(0, np.uint64)
     if len(raw) < SHORT:
         return hashes(np.concatenate([raw, np.zeros(SHORT - len(raw), np.uint8)])[None])
     out = []
     for width, first in kinds(raw):
-        level = levels(raw, width)
-        # rarest first; equally rare ones by gram, so that equal neighbours decide alike anywhere
-        rank = rarity[first + level].astype(np.float64) + grams(raw, len(level)) / (1 << 32)
-        wins = np.flatnonzero(run_minima(rank, SPACING))
+        level = known[width]
+        # equally rare ones by gram, so that equal neighbours decide alike anywhere
+        order = rank[first + level] << np.uint64(32) | grams(raw, len(level))
+        wins = np.flatnonzero(run_minima(order, SPACING))
         out.append(hashes(np.lib.stride_tricks.sliding_window_view(raw, width)[wins]))
     own = np.concatenate(out)
     _, first = np.unique(own, return_index=True)
@@ -167,8 +148,14 @@ def filters(features: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def fingerprint(raw: np.ndarray, rarity: np.ndarray) -> np.ndarray:
-    return filters(selected(raw, rarity))
+def ranks(rarity: np.ndarray) -> np.ndarray:
+    """The levels' places by their counts, equal counts in one place: whole numbers below
+    2 * LEVELS, whatever the table's size."""
+    return np.searchsorted(np.unique(rarity), rarity).astype(np.uint64)
+
+
+def fingerprint(raw: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    return filters(selected(raw, rank, all_levels(raw)))
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> float:
@@ -177,13 +164,18 @@ def likeness(x: np.ndarray, y: np.ndarray) -> float:
         return 1.0 if len(x) == len(y) else 0.0
     if len(x) > len(y):
         x, y = y, x
-    a, b = np.unpackbits(x, axis=1).astype(np.float32), np.unpackbits(y, axis=1).astype(np.float32)
-    p, q = a.sum(axis=1)[:, None], b.sum(axis=1)[None, :]
-    common, chance, most = a @ b.T, p * q / BITS, np.minimum(p, q)
-    score = (common - chance) / np.maximum(most - chance, 1e-9)
-    full = most - chance < 1e-6
-    score = np.where(full, (common >= most).astype(np.float32), score)
-    return float(np.clip(score.max(axis=1), 0, 1).mean())
+    a, p = np.unpackbits(x, axis=1).astype(np.float32), np.bitwise_count(x).sum(axis=1, dtype=np.int64)[:, None]
+    best = np.zeros(len(x), np.float32)
+    for at in range(0, len(x), COMPARED):           # bounded memory for the chains of very long texts
+        for to in range(0, len(y), COMPARED):
+            part = y[to:to + COMPARED]
+            b, q = np.unpackbits(part, axis=1).astype(np.float32), np.bitwise_count(part).sum(axis=1, dtype=np.int64)[None, :]
+            rows = slice(at, at + COMPARED)
+            common, chance, most = a[rows] @ b.T, p[rows] * q / BITS, np.minimum(p[rows], q)
+            score = (common - chance) / np.maximum(most - chance, 1e-9)
+            score = np.where(most - chance < 1e-6, (common >= most).astype(np.float32), score)
+            best[rows] = np.maximum(best[rows], np.clip(score.max(axis=1), 0, 1))
+    return float(best.mean(dtype=np.float64))
 
 
 def text_of(chain: np.ndarray) -> str:
@@ -192,8 +184,9 @@ def text_of(chain: np.ndarray) -> str:
 
 def level_counts(raw: np.ndarray) -> np.ndarray:
     out = np.zeros(2 * LEVELS, np.int64)
-    for width, first in kinds(raw) if len(raw) >= SHORT else ():
-        out[first:first + LEVELS] += np.bincount(levels(raw, width), minlength=LEVELS)
+    first = dict(kinds(raw))
+    for width, level in all_levels(raw).items():
+        out[first[width]:first[width] + LEVELS] += np.bincount(level, minlength=LEVELS)
     return out
 
 
@@ -243,7 +236,7 @@ def neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     else:
         places = F.array(F.struct(F.col("own").alias("part"), F.lit(False).alias("guest")))
     return rows.select(F.explode(places).alias("at"), "key", "doc_id", "text").select(
-        "at.part", "at.guest", "key", "doc_id", "text").repartition(ranges, "part").sortWithinPartitions(
+        "at.part", "at.guest", "key", "doc_id", "text").repartitionById(ranges, F.col("part").cast("int")).sortWithinPartitions(
         "part", "guest", F.desc("key"), "text")
 
 
@@ -257,27 +250,31 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     spark = docs.sparkSession
     ship(spark)
-    sent = spark.sparkContext.broadcast(rarities(docs))     # 2 * LEVELS numbers
+    sent = spark.sparkContext.broadcast(ranks(rarities(docs)))      # 2 * LEVELS numbers
 
     def run(batches):
-        rarity = sent.value
+        rank = sent.value
         rows: list[tuple] = []
-        last = None         # part, doc_id, text and fingerprint of the document that waits for its next one
+        last = None         # doc_id, text, levels and fingerprint of the document that waits for its next one
 
-        def pair(doc_id, text, own, following, other):
+        def pair(doc_id, text, known, own, following, other):
             changed = edited(text, following).encode()
-            new = fingerprint(np.frombuffer(changed, np.uint8), rarity)
-            rows.append((doc_id, len(text), hashlib.sha256(changed).hexdigest(), text_of(own), text_of(new),
-                         likeness(own, new), likeness(own, other)))
+            new = np.frombuffer(changed, np.uint8)
+            stays = len(text[:len(text) - len(text) // 3].encode())
+            print_ = filters(selected(new, rank, all_levels(new, known, stays)))
+            rows.append((doc_id, len(text), hashlib.sha256(changed).hexdigest(), text_of(own), text_of(print_),
+                         likeness(own, print_), likeness(own, other)))
 
         for b in batches:
             for part, guest, doc_id, text in zip(*(b.column(c).to_pylist() for c in ("part", "guest", "doc_id", "text"))):
                 if guest and last is None:
                     continue                        # only the first guest follows
-                print_ = fingerprint(np.frombuffer(text.encode(), np.uint8), rarity)
+                raw = np.frombuffer(text.encode(), np.uint8)
+                known = all_levels(raw)
+                print_ = filters(selected(raw, rank, known))
                 if last is not None:
                     pair(*last, text, print_)
-                last = None if guest else (doc_id, text, print_)
+                last = None if guest else (doc_id, text, known, print_)
             yield batch_of(rows)
             rows.clear()
         if last is not None:

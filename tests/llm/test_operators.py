@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on odd inputs and on the smallest tables."""
 
 import hashlib
+import io
 import math
 import random
 import re
@@ -66,19 +67,45 @@ def test_warc_ranges_own_each_record_once(spark, tmp_path):
         assert warc.read_warc(files, split).count() == 120
 
 
-def test_warc_magic_inside_a_payload_is_no_record(tmp_path):
-    inner = b"".join(member(warc.record(k, "u", b"x" * 50, None, "d"), 6) for k in range(3))
-    data = member(warc.record(9, "u", inner, None, "d"), 0) + member(warc.record(10, "u", b"end", None, "d"), 6)
-    path = tmp_path / "a.warc.gz"
-    path.write_bytes(data)
-    assert data.count(warc.MAGIC) >= 5
-    for split in (len(data) // 2, 10_000):
-        found = []
-        for begin in range(0, len(data), split):
-            with open(path, "rb") as f:
-                found += [warc.parse(x)[0]["x-page-id"]
-                          for x in warc.Range(f, len(data), begin, min(len(data), begin + split))]
-        assert found == ["9", "10"]
+def read_ranges(data, split):
+    """Page ids of an archive read in ranges, without Spark."""
+    found = []
+    for begin in range(0, len(data), split):
+        found += warc.Range(io.BytesIO(data), len(data), begin, min(len(data), begin + split)).chains()
+    return [warc.parse(x)[0]["x-page-id"] for first, stop in warc.joined(len(data), found, "archive")
+            for x in warc.Range(io.BytesIO(data), len(data), first, stop).records(stop)]
+
+
+def test_warc_archives_inside_payloads_are_no_records():
+    """Stored, not deflated, archives in a record, one of them longer than many ranges."""
+    rnd = random.Random(4)
+    one = lambda k: member(warc.record(k, "u", bytes(rnd.choices(range(97, 123), k=rnd.randrange(300))), None, "d"), 6)
+    inner = b"".join(map(one, range(40)))
+    data = (one(8) + member(warc.record(9, "u", inner, None, "d"), 0) + one(10)
+            + member(warc.record(11, "u", inner * 3, None, "d"), 0) + one(12))
+    assert data.count(warc.MAGIC) >= 160
+    for split in (97, 1000, len(data) // 2, 10**6):
+        assert read_ranges(data, split) == ["8", "9", "10", "11", "12"]
+
+
+def test_a_damaged_member_fails_alike_for_every_split(spark, tmp_path):
+    rnd = random.Random(5)
+    records = [member(warc.record(k, "u", bytes(rnd.choices(range(97, 123), k=rnd.randrange(300))), None, "d"), 6) for k in range(100)]
+    data, at = b"".join(records), sum(map(len, records[:60]))
+    for off in [0, 1, 2, *range(10, len(records[60]), 23), len(records[60]) - 1]:
+        bad = bytearray(data)
+        bad[at + off] ^= 0x55
+        for split in (97, 500, len(data) // 4, len(data) // 2, len(data)):
+            with pytest.raises(ValueError, match=f"byte {at} of"):
+                read_ranges(bytes(bad), split)
+    with pytest.raises(ValueError, match="byte 0 of"):
+        read_ranges(b"no archive" * 50, 100)
+    path = tmp_path / "bad.warc.gz"
+    path.write_bytes(bytes(bad))
+    files = spark.createDataFrame([(path.as_uri(), len(bad))], "uri string, size long")
+    for split in (500, 10**6):
+        with pytest.raises(Exception, match=f"broken gzip member at byte {at} of"):
+            warc.read_warc(files, split).count()
 
 
 def member(data, level):
@@ -435,22 +462,87 @@ def test_contexts_over_the_space_score_higher(spark, empty):
 
 # ---- 7 fingerprints
 
-def test_windows_against_brute_force():
-    rnd = random.Random(8)
-    raw = np.frombuffer("".join(rnd.choice("abcdefgh \n") for _ in range(700)).encode(), np.uint8)
+def slow_features(raw, rank):
+    """Selected windows' hashes, window by window, in plain integers."""
+    raw, out, big = bytes(raw), [], 2**64
+    if not raw:
+        return []
+
+    def hash_(w):
+        words = [int.from_bytes(w[k:k + 8], "little") for k in range(0, len(w), 8)]
+        h = sum(x * int(m) for x, m in zip(words, fingerprints.MULTIPLIERS)) % big
+        h = (h ^ h >> 32) * 0x9E3779B97F4A7C15 % big
+        return h ^ h >> 29
 
     def gram(i):
-        x = int.from_bytes(raw[i:i + 4].tobytes(), "little") * 2654435761 % 2**32
+        x = int.from_bytes(raw[i:i + 4], "little") * 2654435761 % 2**32
         return (x ^ x >> 15) * 2246822519 % 2**32
-    n, w = len(raw) - fingerprints.WINDOW + 1, fingerprints.SPACING
-    g = [gram(i) for i in range(n)]
-    want = sorted({j for a in range(n - w + 1) for j in range(a, a + w) if g[j] == min(g[a:a + w])})
-    assert list(fingerprints.starts(raw)) == want
-    level, _ = fingerprints.windows(raw)
-    for at, own in zip(want, level):
-        c = np.bincount(raw[at:at + 64])
-        c = c[c > 0] / 64
-        assert abs(own - -(c * np.log2(c)).sum() / 6 * 1000) <= 1
+
+    def level(w):
+        f = [round(c * math.log2(c) * 2**20) if c else 0 for c in range(len(w) + 1)]
+        return min((f[len(w)] - sum(f[c] for c in Counter(w).values())) * 1000 // f[len(w)], 999)
+    if len(raw) < 16:
+        return [hash_(raw.ljust(16, b"\0"))]
+    for width, first in [(16, 1000)] * (len(raw) < 512) + [(64, 0)] * (len(raw) >= 256):
+        n, run = len(raw) - width + 1, 32
+        order = [int(rank[first + level(raw[k:k + width])]) << 32 | gram(k) for k in range(n)]
+        while run > n:
+            run //= 2
+        wins = {j for a in range(n - run + 1) for j in range(a, a + run) if order[j] == min(order[a:a + run])}
+        out += [hash_(raw[k:k + width]) for k in sorted(wins)]
+    return list(dict.fromkeys(out))
+
+
+def slow_chain(features):
+    return [{(h >> 11 * k) % 2048 for h in features[at:at + 160] for k in range(5)} for at in range(0, len(features), 160)]
+
+
+def slow_likeness(x, y):
+    if not x or not y:
+        return float(len(x) == len(y))
+    if len(x) > len(y):
+        x, y = y, x
+
+    def one(a, b):
+        chance, most = len(a) * len(b) / 2048, min(len(a), len(b))
+        if most - chance < 1e-6:
+            return float(len(a & b) >= most)
+        return min(max((len(a & b) - chance) / (most - chance), 0), 1)
+    return sum(max(one(a, b) for b in y) for a in x) / len(x)
+
+
+def test_fingerprints_against_brute_force(monkeypatch):
+    monkeypatch.setattr(fingerprints, "COMPARED", 2)
+    rnd = random.Random(8)
+    rank = fingerprints.ranks(np.array([rnd.randrange(40) for _ in range(2000)]))
+    text = lambda n: "".join(rnd.choice("abcdefgh \n") for _ in range(n))
+    texts = [text(n) for n in (0, 3, 15, 16, 60, 255, 256, 511, 512, 700)] + [text(9000), text(9000)]
+    texts += [fingerprints.edited(texts[-1], texts[-2]), "ab" * 400]
+    chains = []
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        want = slow_features(raw, rank)
+        assert fingerprints.selected(raw, rank, fingerprints.all_levels(raw)).tolist() == want
+        chains.append((fingerprints.fingerprint(raw, rank), slow_chain(want)))
+        assert [set(np.flatnonzero(np.unpackbits(f))) for f in chains[-1][0]] == chains[-1][1]
+    for x, a in chains:
+        for y, b in chains[::3]:
+            assert fingerprints.likeness(x, y) == pytest.approx(slow_likeness(a, b), abs=1e-5)
+
+
+def test_levels_of_an_edited_text_are_carried_over():
+    rnd = random.Random(18)
+    for n in (10, 50, 250, 300, 520, 900, 2000):
+        t, other = ("".join(rnd.choice("abcdéf \n") for _ in range(n)) for _ in range(2))
+        raw, new = (np.frombuffer(x.encode(), np.uint8) for x in (t, fingerprints.edited(t, other)))
+        same = len(t[:n - n // 3].encode())
+        got, want = fingerprints.all_levels(new, fingerprints.all_levels(raw), same), fingerprints.all_levels(new)
+        assert got.keys() == want.keys() and all((got[w] == want[w]).all() for w in want)
+
+
+def test_ranks_do_not_hang_on_the_table_size():
+    n = np.array([5, 0, 7, 5, 10**6])
+    assert fingerprints.ranks(n).tolist() == [1, 0, 2, 1, 3] == fingerprints.ranks(n * 10**9).tolist()
 
 
 def test_every_window_is_ranked(spark, sample):
@@ -476,17 +568,18 @@ def test_every_window_is_ranked(spark, sample):
         raw[at:at + 64] = np.arange(100, 164)
         rare = np.flatnonzero(fingerprints.levels(raw, 64) == 999)
         assert at in rare and len(rare) < 6
-        assert {int(fingerprints.hashes(raw[k:k + 64][None])[0]) for k in rare} & set(fingerprints.selected(raw, rarity).tolist())
+        assert {int(fingerprints.hashes(raw[k:k + 64][None])[0]) for k in rare} & set(
+            fingerprints.selected(raw, fingerprints.ranks(rarity), fingerprints.all_levels(raw)).tolist())
 
 
 def test_short_texts_keep_features_of_their_unchanged_part(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    rarity = fingerprints.rarities(docs)
+    rank = fingerprints.ranks(fingerprints.rarities(docs))
     texts = [r["text"] for r in docs.collect() if r["text"] and 96 <= len(r["text"]) < 1000]
     lost = 0
     for t, following in zip(texts, texts[1:] + texts[:1]):
-        a, b = (set(fingerprints.selected(np.frombuffer(x.encode(), np.uint8), rarity).tolist())
-                for x in (t, fingerprints.edited(t, following)))
+        raws = (np.frombuffer(x.encode(), np.uint8) for x in (t, fingerprints.edited(t, following)))
+        a, b = (set(fingerprints.selected(raw, rank, fingerprints.all_levels(raw)).tolist()) for raw in raws)
         lost += not a & b
     assert len(texts) > 20 and lost == 0
 
@@ -495,9 +588,9 @@ def test_fingerprints_of_neighbours(odd, sample, empty):
     for df in (odd, sample):
         rows = sorted(((r["doc_id"], r["text"] or "") for r in df.collect()),
                       key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
-        rarity = fingerprints.rarities(df)
+        rank = fingerprints.ranks(fingerprints.rarities(df))
         want = Counter()
-        print_ = lambda t: fingerprints.fingerprint(np.frombuffer(t.encode(), np.uint8), rarity)
+        print_ = lambda t: fingerprints.fingerprint(np.frombuffer(t.encode(), np.uint8), rank)
         for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
             k = len(t) // 3
             new = t[:len(t) - k] + following[:k]
