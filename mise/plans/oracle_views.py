@@ -36,7 +36,7 @@ SELECT p.p_name || ' #' || CAST(p.p_partkey AS VARCHAR) AS name,
                  WHEN p.p_partkey % 97 = 3 THEN 0
                  WHEN p.p_partkey % 13 = 0 THEN p.p_partkey % 5
                  ELSE (p.p_partkey * 11) % 900 END AS DECIMAL(12,2)) AS min_stock
-FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey % 10""")
+FROM part p LEFT JOIN supplier s ON s.s_suppkey = p.p_partkey % (SELECT count(*) FROM supplier)""")
 
 _v("menu_board", [], """
 SELECT p_partkey AS id, p_type AS category,
@@ -47,7 +47,7 @@ SELECT p_partkey AS id, p_type AS category,
        CAST((p_partkey % 10) * 10 AS DECIMAL(10,2)) AS overhead_cost,
        CAST(CASE WHEN p_partkey % 35 = 0 THEN 0 ELSE 1500 + (p_partkey * 13) % 4000 END AS DECIMAL(10,2)) AS sale_price,
        CAST(CASE WHEN p_partkey % 45 = 0 THEN 0 ELSE p_size * 10 END AS INTEGER) AS portion_weight_g
-FROM part WHERE p_partkey % 5 = 0""")
+FROM part""")
 
 _v("menu_recipe_items", ["menu_board"], """
 SELECT m.id * 10 + k.k AS id, m.id AS dish_id,
@@ -63,7 +63,7 @@ FROM menu_board m, (VALUES (1), (2), (3), (4)) k(k)
 WHERE k.k <= 1 + m.id % 4 AND m.id % 50 <> 45""")
 
 _v("sale_items", [], """
-SELECT l_orderkey AS sale_id, l_partkey - l_partkey % 5 AS dish_id,
+SELECT l_orderkey AS sale_id, l_partkey AS dish_id,
        CAST(l_quantity AS INTEGER) AS quantity,
        CAST(l_extendedprice AS DECIMAL(12,2)) AS line_sale,
        CAST(round(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(1 - l_discount AS DECIMAL(4,2)) * 0.6, 2)
@@ -86,7 +86,7 @@ FROM orders o LEFT JOIN (
 _v("projection_rows", ["menu_board"], """
 SELECT id, id AS dish_id, dish_name, CAST(1 + id % 60 AS INTEGER) AS projected_units,
        (id % 6 <> 0) AS is_active
-FROM menu_board WHERE id % 10 = 0""")
+FROM menu_board""")
 
 _v("precios_competencia", [], """
 SELECT p.p_name || ' #' || CAST(p.p_partkey AS VARCHAR) AS ingrediente,
@@ -116,18 +116,18 @@ FROM part WHERE p_partkey % 8 <> 0""")
 
 _v("ticket_lines", [], """
 SELECT event_id AS ticket_id, event_id AS line_id, CAST(ts AS TIMESTAMP) AS ts,
-       5 * (event_id % ((SELECT count(*) FROM part) // 5)) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
+       event_id % (SELECT count(*) FROM part) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
 FROM events WHERE event_type = 'purchase'""")
 
 _v("ticket_lines_multi", [], """
 SELECT event_id - event_id % 3 AS ticket_id, event_id AS line_id, CAST(ts AS TIMESTAMP) AS ts,
-       5 * (event_id % ((SELECT count(*) FROM part) // 5)) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
+       event_id % (SELECT count(*) FROM part) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity
 FROM events WHERE event_type = 'purchase'""")
 
 _v("stock_events", [], """
 SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
        CASE event_type WHEN 'purchase' THEN 'sale' WHEN 'signup' THEN 'delivery' ELSE 'count' END AS kind,
-       5 * (event_id % ((SELECT count(*) FROM part) // 5)) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity,
+       event_id % (SELECT count(*) FROM part) AS dish_id, CAST(1 + user_id % 4 AS INTEGER) AS quantity,
        CAST((event_id * 37) % 5000 AS DECIMAL(12,2)) AS counted
 FROM events WHERE event_type IN ('purchase', 'signup', 'error')""")
 

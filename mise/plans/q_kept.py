@@ -315,3 +315,22 @@ SELECT event_id - event_id % 3 AS ticket_id, CAST(event_id % 3 AS INTEGER) AS li
 FROM events WHERE event_type = 'purchase'""")
 def r2_booked_lines(spark, sf):
     return _refusals(spark, sf).booked().select("ticket_id", "line_no", F.unix_micros("ts").alias("ts_us"), "quantity")
+
+
+# ------------------------------------------------------------------- K4
+@query("k4_run_log", """
+SELECT 'orders' AS sync_type, CASE WHEN n = 0 THEN 'error' ELSE 'success' END AS status,
+       'supplier ' || CAST(s_suppkey AS VARCHAR) AS message, CAST(n AS INTEGER) AS items_count, s_suppkey * 3600 AS at_s
+FROM (SELECT s_suppkey, (SELECT count(*) FROM part WHERE p_partkey % 40 = s_suppkey) AS n FROM supplier) t
+ORDER BY s_suppkey DESC LIMIT 20""")
+def k4_run_log(spark, sf):
+    """A sync run per supplier, an hour apart; runs without items are errors; the newest twenty."""
+    from mise.sources import sinks
+    t, path = Tables.of(spark, sf), folder(spark, "run-log")
+    items = t.raw("part").groupBy((F.col("p_partkey") % 40).alias("s_suppkey")).agg(F.count(F.lit(1)).alias("n"))
+    runs = t.raw("supplier").join(items, "s_suppkey", "left").select(
+        F.lit("orders").alias("sync_type"), F.concat(F.lit("supplier "), F.col("s_suppkey").cast("string")).alias("message"),
+        F.coalesce("n", F.lit(0)).alias("items_count"), F.timestamp_seconds(F.col("s_suppkey") * 3600).alias("created_at"))
+    sinks.log_runs(runs, path, error_when_empty=True)
+    return sinks.latest_runs(spark, path).select("sync_type", "status", "message", "items_count",
+                                                 F.unix_seconds("created_at").alias("at_s"))

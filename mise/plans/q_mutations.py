@@ -78,7 +78,7 @@ def m2_patch_projections(spark, sf):
         "id", (F.col("projected_units") * 2).alias("projected_units"),
         F.lit(False).alias("is_active"), F.lit("NOT ALLOWED").alias("dish_name"))
     stray = p.filter(F.col("id") % 20 == 0).select(
-        (F.col("id") + 1).alias("id"), F.lit(1).alias("projected_units"),
+        (-1 - F.col("id")).alias("id"), F.lit(1).alias("projected_units"),
         F.lit(True).alias("is_active"), F.lit("x").alias("dish_name"))
     return M.patch(p, chg.unionByName(stray), ["id"], ["projected_units", "is_active"],
                    order=None, stamp_col="updated_at", stamp=F.lit(AS_OF).cast("date"))

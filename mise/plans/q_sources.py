@@ -307,6 +307,11 @@ def _order_bodies(t: Tables):
     return j.select(body.alias("body"), k.alias("arrival"))
 
 
+def land_orders(spark, sf, path: str) -> None:
+    """Write the fixture's order bodies, as a shop's export lands them."""
+    _order_bodies(Tables.of(spark, sf)).write.mode("overwrite").parquet(path)
+
+
 @query("s8_orders", with_views("""
 SELECT o.o_orderkey AS id, o.o_orderstatus AS status,
        CASE WHEN o.o_orderkey % 5 = 0 THEN 'COP' ELSE 'USD' END AS currency,
@@ -316,7 +321,12 @@ SELECT o.o_orderkey AS id, o.o_orderstatus AS status,
        '{"country":"CO"}' AS shipping_address
 FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey"""))
 def s8_orders(spark, sf):
-    o = PS.parse_orders(_order_bodies(Tables.of(spark, sf)))
+    return orders_of(_order_bodies(Tables.of(spark, sf)))
+
+
+def orders_of(bodies):
+    """S8 of landed order bodies."""
+    o = PS.parse_orders(bodies)
     return o.select("id", "status", "currency", F.col("total").cast("double").alias("total"),
                     "customer_name", F.size("items").cast("bigint").alias("n_items"), "shipping_address")
 
@@ -331,7 +341,12 @@ UNION ALL
 SELECT o_orderkey, NULL, NULL, NULL, NULL, NULL FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)"""))
 def s9_order_lines(spark, sf):
-    lines = PS.order_lines(PS.parse_orders(_order_bodies(Tables.of(spark, sf))))
+    return order_lines_of(_order_bodies(Tables.of(spark, sf)))
+
+
+def order_lines_of(bodies):
+    """S9 of landed order bodies."""
+    lines = PS.order_lines(PS.parse_orders(bodies))
     return lines.select("order_id", "product_id", "name", "quantity",
                         F.col("price").cast("double").alias("price"),
                         F.col("total").cast("double").alias("total"))

@@ -59,11 +59,11 @@ def ingredient_name(pk: F.Column, p_name: F.Column) -> F.Column:
 def ingredient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read(spark, sf_dir, "part")
     pk = F.col("p_partkey")
-    # the ten suppliers used, one row per key: small to send, and dropped from the plan of a
-    # query that does not read the supplier
-    sup = read(spark, sf_dir, "supplier").filter(F.col("s_suppkey").between(0, 9)).groupBy("s_suppkey").agg(
-        F.min("s_name").alias("s_name"))
-    j = part.join(sup, (pk % 10) == sup.s_suppkey, "left")
+    # one row per supplier, which drops it from the plan of a query that does not read it
+    suppliers = read(spark, sf_dir, "supplier")
+    sup = suppliers.groupBy("s_suppkey").agg(F.min("s_name").alias("s_name"))
+    own = part.withColumn("own_supplier", pk % suppliers.select(F.count(F.lit(1))).scalar())
+    j = own.join(sup, F.col("own_supplier") == sup.s_suppkey, "left")
     return j.select(
         ingredient_name(pk, F.col("p_name")).alias("name"),
         F.when(pk % 17 == 0, 0).when(pk % 13 == 0, pk % 5).when(pk % 97 == 3, -5)
@@ -84,7 +84,7 @@ def ingredient_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def menu_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     pk = F.col("p_partkey")
-    return read(spark, sf_dir, "part").filter(pk % 5 == 0).select(
+    return read(spark, sf_dir, "part").select(
         pk.alias("id"),
         F.col("p_type").alias("category"),
         F.concat(F.upper("p_name"), F.lit(" "), pk.cast("string")).alias("dish_name"),
@@ -132,7 +132,7 @@ def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
                         * dec("0.6", "decimal(2,1)"), 2).cast(MONEY)
     return li.select(
         F.col("l_orderkey").alias("sale_id"),
-        (F.col("l_partkey") - F.col("l_partkey") % 5).alias("dish_id"),
+        F.col("l_partkey").alias("dish_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
         line_sale.alias("line_sale"),
         line_cost.alias("line_cost"),
@@ -158,7 +158,7 @@ def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def projection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rows of ``sales_projections``; costs and estimates come from A19."""
-    return menu_board(spark, sf_dir).filter(F.col("id") % 10 == 0).select(
+    return menu_board(spark, sf_dir).select(
         F.col("id"), F.col("id").alias("dish_id"), "dish_name",
         (1 + F.col("id") % 60).cast("int").alias("projected_units"),
         (F.col("id") % 6 != 0).alias("is_active"),
@@ -202,7 +202,7 @@ def nutrition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dish_of_event(event_id, parts) -> F.Column:
     """Events go round all dishes."""
-    return 5 * (event_id % F.floor(parts / 5))
+    return event_id % parts
 
 
 def part_count(spark: SparkSession, sf_dir: str) -> F.Column:

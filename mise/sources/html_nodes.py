@@ -24,6 +24,7 @@ class ProductPage(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.products = []
         self.stack: list[tuple[str, set]] = []
+        self.open: dict[str, int] = {}      # open elements by name
         self.cur = None          # the open product node: [depth, name, price, link]
         self.field = None        # ('name' | 'price', depth, text parts) being read
 
@@ -33,6 +34,7 @@ class ProductPage(HTMLParser):
         a = dict(attrs)
         cls = set((a.get("class") or "").split())
         self.stack.append((tag, cls))
+        self.open[tag] = self.open.get(tag, 0) + 1
         depth = len(self.stack)
         if self.cur is None:
             if "product-item" in cls or {"item", "product"} <= cls:
@@ -55,7 +57,7 @@ class ProductPage(HTMLParser):
     def handle_endtag(self, tag):
         """Close the innermost open element of this name and all that are open inside it; an
         end tag without a start is ignored."""
-        if tag in (t for t, _ in self.stack):
+        if self.open.get(tag):
             while self.close_innermost() != tag:
                 pass
 
@@ -73,7 +75,9 @@ class ProductPage(HTMLParser):
         if self.cur is not None and depth == self.cur[0]:
             self.products.append(tuple(self.cur[1:]))
             self.cur = None
-        return self.stack.pop()[0]
+        tag = self.stack.pop()[0]
+        self.open[tag] -= 1
+        return tag
 
     def handle_data(self, data):
         if self.field is not None:
