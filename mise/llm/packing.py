@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mise.llm.common import id_text, ship, stored
-from mise.llm.tokens import encoder
+from mise.llm.tokens import CACHE_BYTES, encoder
 
 CAPACITY = 4096
 END = 1
@@ -103,12 +103,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple]:
     return runs
 
 
-def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int, end: int, cache_bytes: int) -> DataFrame:
     """One row per piece, with its task and its number among the task's pieces of that length."""
 
     def cut(batches):
         from pyspark import TaskContext
-        enc, part, seen = encoder(path, "dropped"), TaskContext.get().partitionId(), {}
+        enc, part, seen = encoder(path, "dropped", cache_bytes), TaskContext.get().partitionId(), {}
         for batch in batches:
             rows = []
             texts = batch.column(1).to_pylist()
@@ -128,11 +128,13 @@ def pieces(docs: DataFrame, path: str, capacity: int, end: int) -> DataFrame:
     return id_text(docs).mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece."""
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
+         cache_bytes: int = CACHE_BYTES) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece. ``cache_bytes``:
+    what a worker may remember of encoded words."""
     spark = docs.sparkSession
     ship(spark)
-    cut = stored(pieces(docs, path, capacity, end), "pieces")
+    cut = stored(pieces(docs, path, capacity, end, cache_bytes), "pieces")
     by_part = cut.groupBy("part", "length").agg(F.max("nth").alias("last"))
     # at most (tasks x capacity) rows: where each task's pieces of a length begin
     w = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,4 +1,4 @@
-"""Whole-text encoding with the ``tokenizers`` library, one call per distinct word.
+"""Whole-text encoding with the ``tokenizers`` library, piece by piece.
 
 Both vocabularies split a text at white space before any merge, so the ids of a text
 are the ids of its pieces one after the other, provided that it is cut only where the
@@ -10,19 +10,28 @@ library cuts as well:
   Python is none for the library.
 * ``dropped``: the vocabulary drops white space, so any space or newline is a cut.
 
-Pieces repeat; their ids are remembered per worker up to ``CACHE_PIECES`` pieces and then
-forgotten all at once. That bounds memory and never changes a result.
+Pieces repeat; their ids are remembered per worker in two generations of half of ``cache_bytes`` each:
+when the young one is full it becomes the old one, whose pieces come back when they are met
+again. Pieces of over ``LONGEST_KEPT`` characters are not remembered. Texts are split and encoded
+``SLICE`` pieces at a time. That bounds memory and never changes a result.
+
+New pieces are encoded many at a time, joined by a special token, whose text no such piece holds:
+the library cuts there before anything else, and so does the result.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
 import numpy as np
 
-CACHE_PIECES = 1_500_000
-CALL_PIECES = 20_000
+CACHE_BYTES = 384 << 20
+ENTRY_BYTES = 200       # of a remembered piece besides its characters and ids
+LONGEST_KEPT = 64
+SLICE = 200_000
+CALL_PIECES = 32
 CUT = re.compile(r"(?<=\S)(?= )")
 RUNS = re.compile(r"\s ")
 
@@ -30,14 +39,18 @@ _encoders: dict = {}
 
 
 class Encoder:
-    def __init__(self, path: str, style: str):
+    def __init__(self, path: str, style: str, cache_bytes: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.width = "<u2" if size <= 1 << 16 else "<u4"
-        self.style = style
-        self.cache: dict[str, bytes] = {}
+        self.style, self.cache_bytes = style, cache_bytes
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held, self.long = 0, []
+        ends = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        self.stop = ends[-1] if ends else None
 
     def pieces(self, text: str) -> list[str]:
         if self.style == "dropped":
@@ -47,43 +60,80 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]] if rest else [first]
 
-    def learn(self, missing: list[str]) -> None:
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-        for k in range(0, len(missing), CALL_PIECES):
-            part = missing[k:k + CALL_PIECES]
+    def know(self, pieces: set[str]) -> None:
+        """All of the pieces are remembered in the young generation until ``forget``."""
+        young, old, missing = self.young, self.old, []
+        for w in pieces.difference(young):
+            ids = old.get(w)
+            if ids is None:
+                missing.append(w)
+            else:
+                young[w] = ids
+                self.held += ENTRY_BYTES + len(w) + len(ids)
+        for w, ids in self.fresh(missing):
+            young[w] = ids
+            self.held += ENTRY_BYTES + len(w) + len(ids)
+            if len(w) > LONGEST_KEPT:
+                self.long.append(w)
+
+    def forget(self) -> None:
+        for w in self.long:
+            self.held -= ENTRY_BYTES + len(w) + len(self.young.pop(w))
+        self.long.clear()
+        if self.held > self.cache_bytes // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+
+    def fresh(self, pieces: list[str]):
+        """(piece, ids) of pieces by the library."""
+        plain = [w for w in pieces if "<" not in w and self.stop is not None]
+        for k in range(0, len(plain), CALL_PIECES):
+            part = plain[k:k + CALL_PIECES]
+            text, stop = self.stop
+            ids = np.array(self.tok.encode_batch_fast([text.join(part)], add_special_tokens=False)[0].ids, dtype=self.width)
+            data, size, at = ids.tobytes(), ids.itemsize, 0
+            for w, end in zip(part, [*(np.flatnonzero(ids == stop) * size).tolist(), len(data)], strict=True):
+                yield w, data[at:end]
+                at = end + size
+        rest = pieces if self.stop is None else [w for w in pieces if "<" in w]
+        for k in range(0, len(rest), CALL_PIECES):
+            part = rest[k:k + CALL_PIECES]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype=self.width).tobytes()
+                yield w, np.array(e.ids, dtype=self.width).tobytes()
 
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, in the narrowest little-endian width, ``end`` put after each."""
         tail = b"" if end is None else np.array([end], dtype=self.width).tobytes()
-        out, split, size, todo = [], [], 0, set()
+        out, split, size = [], [], 0
 
         def flush():
-            nonlocal size, todo
-            missing = [w for w in todo if w not in self.cache]
-            if len(self.cache) + len(missing) > CACHE_PIECES:
-                missing = list(todo)
-            self.learn(missing)
-            get = self.cache.__getitem__
+            nonlocal size
+            self.know(set().union(*split))
+            get = self.young.__getitem__
             out.extend(np.frombuffer(b"".join(map(get, p)) + tail, dtype=self.width) for p in split)
+            self.forget()
             split.clear()
-            size, todo = 0, set()
-
-        for text in texts:
-            p = self.pieces(text)
-            split.append(p)
-            todo.update(p)
-            size += len(p)
-            if size > 200_000:
-                flush()
-        flush()
+            size = 0
+
+        # millions of strings in no cycles: the collector would only walk over them
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            for text in texts:
+                p = self.pieces(text)
+                split.append(p)
+                size += len(p)
+                if size > SLICE:
+                    flush()
+            flush()
+        finally:
+            if collects:
+                gc.enable()
         return out
 
 
-def encoder(path: str, style: str) -> Encoder:
+def encoder(path: str, style: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     """The worker's encoder for a vocabulary, kept over tasks."""
     if (path, style) not in _encoders:
-        _encoders[path, style] = Encoder(path, style)
+        _encoders[path, style] = Encoder(path, style, cache_bytes)
+    _encoders[path, style].cache_bytes = cache_bytes
     return _encoders[path, style]
