@@ -22,6 +22,7 @@ from mise.llm.queries import vocabulary
 
 MIN_DOCS = 10           # documents that share a line before it goes
 WIDTH, PERCENT = 5, 80  # words in a shingle, similarity of near duplicates
+WORD_CACHE = 128 << 20  # bytes of encoded words that a worker remembers, beside what the other stages left
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +48,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens packed into sequences: one row per piece."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), cache_bytes=WORD_CACHE)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_copies), ("packing", pack)]
