@@ -12,14 +12,19 @@ survives restarts in the query's checkpoint; rows later than the watermark are d
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from mise.operators.stock_moves import KINDS
 
+# The processor travels to the Python workers by value (no package install needed).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: amounts in hundredths, times in microseconds; ``alert`` rows carry no move
 LEDGER = "name string, ts_us bigint, seq bigint, kind string, amount bigint, before bigint, after bigint, alert string"
 STOCK = "stock bigint, minimum bigint, low_since bigint, told boolean, wake bigint"
