@@ -229,7 +229,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, miss: f
     rows, nodes = distinct_vectors(embeddings)
     bits, bands = banding(nodes.count(), threshold, miss)
     codes = stored(coded(nodes, bits, bands), "codes")
-    keys = stored(codes.select(F.explode("keys").alias("key"), "node", "code1", "code2"), "vector-keys")
+    # most keys hold one vector: they are counted from the codes, and only rows of shared ones are stored
+    keys = codes.select(F.explode("keys").alias("key"), "node", "code1", "code2")
     shared = stored(keys.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "shared-keys")
     members = stored(keys.join(shared, "key").withColumn("component", F.col("node")), "vector-members")
     near = near_codes(threshold)
