@@ -152,3 +152,28 @@ def test_stream_equals_batch_across_a_restart(spark, tmp):
     alerts = sorted((r["name"], r["ts"]) for r in got if r["kind"] == "alert")
     assert alerts == lasting(want, {n: m for n, _, m in STOCK}, dt.timedelta(days=1), until)
     assert alerts and len(set(alerts)) == len(alerts)
+
+
+def test_stream_in_a_session_that_names_another_state_store(spark, tmp):
+    """A session of the caller's, without ``SCALE_CONF``: Spark's default store holds one state only."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    other = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    rows = some_moves(5, 60, NAMES)
+    src = os.path.join(tmp, "src")
+    os.makedirs(src)
+    _land(spark, src, 0, rows)
+    before = spark.conf.get(name)
+    spark.conf.set(name, other)
+    try:
+        stream = spark.readStream.schema(MOVES).option("pathGlobFilter", "moves*").parquet(src)
+        q = L.start_ledger(stream, spark.createDataFrame(STOCK, ING), os.path.join(tmp, "sink"), os.path.join(tmp, "ckpt"))
+        q.awaitTermination(180)
+        assert q.exception() is None
+        assert spark.conf.get(name) == other
+    finally:
+        spark.conf.set(name, before)
+    until = max(r[1] for r in rows) - dt.timedelta(days=1)
+    until = until.replace(microsecond=until.microsecond // 1000 * 1000)
+    want = [r for r in replay(STOCK, rows)[0] if r[1] < until]
+    got = L.read_ledger(spark, os.path.join(tmp, "sink")).filter("kind <> 'alert'").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
