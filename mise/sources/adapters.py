@@ -140,6 +140,12 @@ def sale_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sale_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id and time of ``daily_sales``, row for row: their totals, sums over all lines, are not needed."""
+    return read(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
+
+
 def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_sale = sale_items(spark, sf_dir).groupBy("sale_id").agg(
         F.sum("line_sale").alias("s"), F.sum("line_cost").alias("c"),
@@ -165,8 +171,15 @@ def projection_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def spread(rows: DataFrame, key: str, per_task: int = 25_000) -> DataFrame:
+    """The rows dealt over tasks of about ``per_task`` rows, where each is about to become many or to
+    cost much: a small file of parts is one or two tasks' otherwise. The count reads the file's footers."""
+    tasks = -(-rows.count() // per_task)
+    return rows.repartition(tasks, key) if tasks > 1 else rows
+
+
 def precios_competencia(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = read(spark, sf_dir, "part")
+    part = spread(read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice"), "p_partkey")
     combos = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(d).alias("d"))
                        for s in range(len(STORES)) for d in range(len(SCRAPE_DATES))])
     pk = F.col("p_partkey")
