@@ -69,13 +69,11 @@ def parse_store_json(df: DataFrame, day=None) -> DataFrame:
                                  F.coalesce(h["linkText"], F.lit("")), F.lit("/p")).alias("url"))
 
     ok = F.filter(F.transform(hits, cand), lambda c: c["price"].isNotNull() & (c["name"] != ""))
-    first = F.try_element_at(ok, F.lit(1))
-    out = df.select("ingrediente", "supermercado", _scrape_day(df, day), first.alias("hit")).filter(F.col("hit").isNotNull())
+    # a generator, so that a body is parsed once and not again for the filter and for each column
+    out = df.select("ingrediente", "supermercado", _scrape_day(df, day), F.inline(F.slice(ok, 1, 1)))
     return out.select(
-        "ingrediente", "supermercado",
-        F.col("hit.name").alias("producto"),
-        F.col("hit.price").alias("precio"),
-        F.coalesce("hit.url", F.lit("")).alias("url"), "fecha_scrape")
+        "ingrediente", "supermercado", F.col("name").alias("producto"), F.col("price").alias("precio"),
+        F.coalesce("url", F.lit("")).alias("url"), "fecha_scrape")
 
 
 # ----------------------------------------------------------------- S5 store search HTML
