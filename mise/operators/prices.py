@@ -117,6 +117,8 @@ def real_over_seed(real: DataFrame, seed: DataFrame, use_estimates: bool = True)
         both = both.unionByName(seed.select(*cols).withColumn("_prio", F.lit(1)))
     w = Window.partitionBy("ingrediente", "supermercado").orderBy(
         "_prio", "producto", "precio", F.xxhash64(*cols))
+    # dealt first: no sort of a scan's task for the first rows of its groups
+    both = both.repartition("ingrediente", "supermercado")
     return both.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(*cols)
 
 
