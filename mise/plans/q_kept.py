@@ -74,17 +74,17 @@ def sales_state(spark, sf) -> SalesState:
     """Four batches: the days before ``CUT`` without the sales that come in late, and a day with a
     wrong date; the days since; the days that late sales belong to, whole; the wrong day, empty."""
     t, state = Tables.of(spark, sf), SalesState(spark, folder(spark, "sales-state"), buckets=8)
-    day = F.to_date("created_at").alias("dia")
-    whole = daily_units(t.sales, t.sale_items, HISTORY_START)
+    heads, day = t.sale_heads, F.to_date("created_at").alias("dia")
+    whole = daily_units(heads, t.sale_items, HISTORY_START)
     early, late = F.col("dia") < F.lit(CUT).cast("date"), F.col("id") % LATE_SALE == 0
-    on_time = daily_units(t.sales.filter(~late), t.sale_items, HISTORY_START).filter(early)
+    on_time = daily_units(heads.filter(~late), t.sale_items, HISTORY_START).filter(early)
     typo = on_time.groupBy("dish_id").agg(F.max("unidades").alias("unidades")).select(
         "dish_id", F.lit(TYPO_DAY).cast("date").alias("dia"), "unidades")
-    known = t.sales.select(day).filter(F.col("dia") >= F.lit(HISTORY_START).cast("date"))
+    known = heads.select(day).filter(F.col("dia") >= F.lit(HISTORY_START).cast("date"))
     typo_day = typo.select("dia")
     state.apply_days(on_time.unionByName(typo), known.filter(early).unionByName(typo_day), 0)
     state.apply_days(whole, known.filter(~early), 1)
-    state.apply_days(whole, t.sales.filter(late).select(day).filter(early), 2)
+    state.apply_days(whole, heads.filter(late).select(day).filter(early), 2)
     state.apply_days(whole.limit(0), typo_day, 3)
     return state
 
@@ -133,8 +133,7 @@ def r4_keyed_batches(spark, sf):
 @query("j1_stored_daily_units", sql_of("a6_daily_units"))
 def j1_stored_daily_units(spark, sf):
     t, name = Tables.of(spark, sf), f"mise_sales_{uuid.uuid4().hex}"
-    layout.store_sales(t.sales.select("id", "created_at"), t.sale_items.select("sale_id", "dish_id", "quantity"), name,
-                       folder(spark, "sales-layout"), buckets=8)
+    layout.store_sales(t.sale_heads, t.sale_items.select("sale_id", "dish_id", "quantity"), name, folder(spark, "sales-layout"))
     return layout.stored_daily_units(spark, name, HISTORY_START)
 
 

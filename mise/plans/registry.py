@@ -77,6 +77,10 @@ class Tables:
     def sales(self) -> DataFrame:
         return A.daily_sales(self.spark, self.sf)
 
+    @cached_property
+    def sale_heads(self) -> DataFrame:
+        return A.sale_heads(self.spark, self.sf)
+
     @cached_property
     def proj_rows(self) -> DataFrame:
         return A.projection_rows(self.spark, self.sf)

@@ -4,7 +4,9 @@
 buckets on ``sale_id``; the lines carry their sale's year. A bucket of one table meets the same bucket of
 the other in one task, so J1 joins without a shuffle, and a date filter prunes year folders of
 both tables. The files lie under ``path`` in the shared folder. The lines are shuffled once, when
-they are stored, not in every query. ``buckets`` is for the table's life: about bytes of a year / 256 MB.
+they are stored, not in every query. ``buckets`` is for the table's life, and a task of the join sorts and
+sums a bucket of all the years read: the number follows from the lines (``ROWS`` a bucket) unless the
+caller, who knows how the table will grow, names it.
 A hot sale id is one bucket's matter: AQE cannot split a join without exchanges, so for such data
 use J1 over the plain tables (``operators.sales.sold_lines``), which does.
 """
@@ -22,9 +24,14 @@ def _write(df: DataFrame, table: str, path: str, buckets: int) -> None:
      .saveAsTable(table))
 
 
-def store_sales(sales: DataFrame, items: DataFrame, name: str, path: str, buckets: int = 64) -> None:
+ROWS, LEAST = 500_000, 8
+
+
+def store_sales(sales: DataFrame, items: DataFrame, name: str, path: str, buckets: int | None = None) -> None:
     """Store ``sales`` (id, created_at, ...) as ``<name>_heads`` and ``items`` (sale_id, ...) as
     ``<name>_lines``. Lines without a header go to no year and no join; they are not stored."""
+    if buckets is None:
+        buckets = max(LEAST, -(-items.count() // ROWS))
     heads = sales.withColumnRenamed("id", "sale_id").withColumn("year", F.year("created_at"))
     _write(heads, f"{name}_heads", f"{path}/heads", buckets)
     years = heads.select("sale_id", "year")
