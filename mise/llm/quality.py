@@ -1,11 +1,13 @@
 """Quality rules: word and line counts, and n-gram perplexity within bands of each language.
 
-The perplexity comes from one modified Kneser-Ney model per language over character classes
-(``ORDER`` of them at a time). Spark counts the n-grams of all documents labelled as good and
-derives continuation counts, discounts and interpolated probabilities; the model is written as
-arrays sorted by n-gram code, which the tasks load from the shared folder and search. Characters
-fold into ``CLASSES`` classes, so a code is a collision-free hash of ``ORDER`` * 6 bits and a
-language's arrays hold at most 64^4 entries, whatever the corpus. Bands are fitted from the
+The perplexity comes from one modified Kneser-Ney model per language over the characters
+themselves (``ORDER`` code points at a time). Spark counts the n-grams of all documents labelled
+as good and derives continuation counts, discounts and interpolated probabilities; the model is
+written as arrays sorted by n-gram, which the tasks load from the shared folder and search. An
+n-gram is its context (at most ``ORDER`` - 1 code points of ``BITS`` bits in one long) and its
+last character, so no two share a code; in the arrays it is the index of its context among the
+n-grams that are one shorter, and the character. The arrays grow with the different n-grams of a
+language's good documents: 16 to 24 bytes each. Bands are fitted from the
 labelled documents' counts per language and perplexity step: the cuts that lose the least,
 a good document lost weighing ``GOOD_WEIGHT`` times a bad one kept.
 
@@ -36,49 +38,21 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 LEAST_WORDS, MOST_REPEATED = 10, 20
 
-ORDER, BITS = 4, 6
-CLASSES = 1 << BITS
-START = CLASSES - 1
-UNIFORM = 1 / (CLASSES - 1)
+ORDER, BITS = 4, 21
+START = 0x110000            # before a text: one more than the last code point
+UNIFORM = 1 / (START - 0x800)       # all code points but the surrogates
 LEAST_DISCOUNT = 0.05
 STEP, SLACK, GOOD_WEIGHT = 0.01, 60, 4
 STRETCH, HELD = 1 << 19, 1 << 22
 ODD = np.uint64(0x9E3779B97F4A7C15)
+LAST = np.uint64((1 << BITS) - 1)
 
 FEATURES = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
             "n_repeat_words long, log_perplexity double")
 
 
-def classes_of_ascii() -> np.ndarray:
-    """a-z each a class; capitals, digits, white space and rare marks share one each."""
-    out = np.full(128, 62, dtype=np.uint32)
-    out[97:123] = np.arange(26)
-    out[65:91] = 26
-    out[[9, 11, 12, 13, 32]] = 27
-    out[10] = 28
-    out[48:58] = 29
-    for k, c in enumerate(".,;:!?'\"-()"):
-        out[ord(c)] = 50 + k
-    for c in SYMBOLS:
-        out[ord(c)] = 61
-    return out
-
-
-ASCII = classes_of_ascii()
-
-
-def classes(text: str) -> np.ndarray:
-    points = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
-    return np.where(points < 128, ASCII[np.minimum(points, 127)], 30 + points % 20)
-
-
-def grams(symbols: np.ndarray) -> np.ndarray:
-    """The n-gram code that ends at each place from the ``ORDER``-th on."""
-    n = len(symbols) - ORDER + 1
-    out = np.zeros(n, dtype=np.uint32)
-    for k in range(ORDER):
-        out = out << np.uint32(BITS) | symbols[k:k + n]
-    return out
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
 
 
 def stretches(text: str):
@@ -93,58 +67,73 @@ def stretches(text: str):
     yield text[at:] if at else text
 
 
-def gram_runs(text: str):
-    """The codes of a whole text, a stretch at a time."""
+def runs(text: str):
+    """The characters of a whole text, a stretch at a time, each after the ``ORDER`` - 1 before it."""
     before = np.full(ORDER - 1, START, dtype=np.uint32)
     for part in stretches(text):
-        symbols = np.concatenate([before, classes(part).astype(np.uint32)])
+        symbols = np.concatenate([before, characters(part)])
         before = symbols[-(ORDER - 1):]
-        yield grams(symbols)
+        yield symbols
 
 
 # ---- model
 
+def summed(context: np.ndarray, char: np.ndarray, n: np.ndarray):
+    """Equal (context, char) added up."""
+    contexts, of = np.unique(context, return_inverse=True)
+    keys, where = np.unique(of.astype(np.uint64) << np.uint64(BITS) | char, return_inverse=True)
+    total = np.zeros(len(keys), dtype=np.int64)
+    np.add.at(total, where, n)
+    return contexts[(keys >> np.uint64(BITS)).astype(np.int64)], (keys & LAST).astype(np.uint32), total
+
+
 class Counts:
-    """Counts of a language's codes: sorted codes with their counts, and codes not added yet."""
+    """Counts of a language's n-grams: (context, char, n), and runs of characters not added yet."""
 
     def __init__(self):
-        self.codes, self.n = np.empty(0, np.uint32), np.empty(0, np.int64)
+        self.grams = np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.int64)
         self.fresh, self.size = [], 0
 
-    def add(self, codes: np.ndarray) -> None:
-        self.fresh.append(codes)
-        self.size += len(codes)
+    def add(self, symbols: np.ndarray) -> None:
+        self.fresh.append(symbols)
+        self.size += len(symbols)
         if self.size > STRETCH:
             self.settle()
 
     def settle(self) -> None:
         if self.fresh:
-            codes, n = np.unique(np.concatenate(self.fresh), return_counts=True)
+            context = []
+            for symbols in self.fresh:
+                n = len(symbols) - ORDER + 1
+                own = np.zeros(n, dtype=np.uint64)
+                for k in range(ORDER - 1):
+                    own = own << np.uint64(BITS) | symbols[k:k + n]
+                context.append(own)
+            context, char = np.concatenate(context), np.concatenate([x[ORDER - 1:] for x in self.fresh])
             self.fresh, self.size = [], 0
-            both, where = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
-            total = np.zeros(len(both), dtype=np.int64)
-            np.add.at(total, where, np.concatenate([self.n, n]))
-            self.codes, self.n = both, total
+            new = summed(context, char, np.ones(len(char), np.int64))
+            self.grams = summed(*(np.concatenate(x) for x in zip(self.grams, new)))
 
 
 def count_grams(batches):
-    """Batches of (lang, text) -> (lang, gram, n): a task's counts, handed on when there are
-    more than ``HELD`` of them."""
+    """Batches of (lang, text) -> (lang, context, char, n): a task's counts, handed on when there
+    are more than ``HELD`` of them."""
     held: dict = {}
 
     def out():
         for lang, counts in held.items():
             counts.settle()
+            context, char, n = counts.grams
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(counts.n), pa.string()), pa.array(counts.codes.view(np.int32)), pa.array(counts.n)],
-                ["lang", "gram", "n"])
+                [pa.array([lang] * len(n), pa.string()), pa.array(context.view(np.int64)), pa.array(char.view(np.int32)), pa.array(n)],
+                ["lang", "context", "char", "n"])
 
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             counts = held.setdefault(lang, Counts())
-            for codes in gram_runs(text.as_py()):
-                counts.add(codes)
-        if sum(len(c.n) + c.size for c in held.values()) > HELD:
+            for symbols in runs(text.as_py()):
+                counts.add(symbols)
+        if sum(len(c.grams[0]) + c.size for c in held.values()) > HELD:
             yield from out()
             held = {}
     yield from out()
@@ -163,76 +152,94 @@ def discounts(level: DataFrame) -> DataFrame:
 
 
 def model(good: DataFrame) -> DataFrame:
-    """(lang, level, code, log_p, log_rest) of documents (lang, text).
+    """(lang, level, context, char, log_p, log_rest) of documents (lang, text).
 
-    ``log_p``: log10 of the interpolated probability of the last class of the n-gram ``code`` of
-    ``level`` classes; ``log_rest``: log10 of what the n-gram leaves, as a context, to shorter
+    ``log_p``: log10 of the interpolated probability of ``char`` after ``context``, an n-gram of
+    ``level`` characters; ``log_rest``: log10 of what the n-gram leaves, as a context, to shorter
     ones (null where it is no context). Level 0 is the empty context."""
     ship(good.sparkSession)
-    counted = good.select("lang", "text").mapInArrow(count_grams, "lang string, gram int, n long")
-    level = stored(counted.groupBy("lang", F.col("gram").cast("long").alias("code")).agg(F.sum("n").alias("n")), "grams")
+    counted = good.select("lang", "text").mapInArrow(count_grams, "lang string, context long, char int, n long")
+    level = stored(counted.groupBy("lang", "context", "char").agg(F.sum("n").alias("n")), "grams")
     levels = {ORDER: level}
-    for k in range(ORDER - 1, 0, -1):       # continuation counts: distinct classes before
-        level = levels[k + 1].groupBy("lang", F.col("code").bitwiseAND((1 << BITS * k) - 1).alias("code")).agg(
-            F.count("*").alias("n"))
-        levels[k] = stored(level, f"grams-{k}")
+    for k in range(ORDER - 1, 0, -1):       # continuation counts: distinct characters before
+        level = levels[k + 1].groupBy("lang", shorter(k + 1), "char").agg(F.count("*").alias("n"))
+        levels[k] = stored(level.withColumnRenamed("shorter", "context"), f"grams-{k}")
     probability, out = None, []
     for k in range(1, ORDER + 1):
         cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        each = levels[k].join(discounts(levels[k]), "lang").withColumn("cut", cut).withColumn(
-            "context", F.shiftright("code", BITS))
+        each = levels[k].join(discounts(levels[k]), "lang").withColumn("cut", cut)
         contexts = each.groupBy("lang", "context").agg(F.sum("n").alias("total"), (F.sum("cut") / F.sum("n")).alias("rest"))
-        each = each.join(contexts, ["lang", "context"]).withColumn("shorter", F.col("code").bitwiseAND((1 << BITS * (k - 1)) - 1))
+        each = each.join(contexts, ["lang", "context"])
         if probability is None:
             each = each.withColumn("lower", F.lit(UNIFORM))
         else:
-            each = each.join(probability.select("lang", F.col("code").alias("shorter"), F.col("p").alias("lower")), ["lang", "shorter"])
-        probability = stored(each.select("lang", "code", ((F.col("n") - F.col("cut")) / F.col("total")
-                                                          + F.col("rest") * F.col("lower")).alias("p")), f"model-{k}")
-        out.append(probability.select("lang", F.lit(k).alias("level"), "code", F.log10("p").alias("log_p"),
+            each = each.select("*", shorter(k)).join(probability.select(
+                "lang", F.col("context").alias("shorter"), "char", F.col("p").alias("lower")), ["lang", "shorter", "char"])
+        probability = stored(each.select("lang", "context", "char", ((F.col("n") - F.col("cut")) / F.col("total")
+                                                                     + F.col("rest") * F.col("lower")).alias("p")), f"model-{k}")
+        out.append(probability.select("lang", F.lit(k).alias("level"), "context", "char", F.log10("p").alias("log_p"),
                                       F.lit(None).cast("double").alias("log_rest")))
-        out.append(contexts.select("lang", F.lit(k - 1).alias("level"), F.col("context").alias("code"),
+        out.append(contexts.select("lang", F.lit(k - 1).alias("level"), F.shiftright("context", BITS).alias("context"),
+                                   F.col("context").bitwiseAND(int(LAST)).cast("int").alias("char"),
                                    F.lit(None).cast("double").alias("log_p"), F.log10("rest").alias("log_rest")))
     rows = out[0]
     for more in out[1:]:
         rows = rows.unionByName(more)
-    return rows.groupBy("lang", "level", "code").agg(F.max("log_p").alias("log_p"), F.max("log_rest").alias("log_rest"))
+    return rows.groupBy("lang", "level", "context", "char").agg(F.max("log_p").alias("log_p"), F.max("log_rest").alias("log_rest"))
+
+
+def shorter(level: int) -> F.Column:
+    """The context of an n-gram of ``level`` characters without its first character."""
+    return F.col("context").bitwiseAND((1 << BITS * max(level - 2, 0)) - 1).alias("shorter")
 
 
 def write_model(rows: DataFrame) -> str:
     """The model as sorted arrays in the shared folder."""
     path = shared_dir(rows.sparkSession, "perplexity-model")
-    rows.repartitionByRange("lang", "level", "code").sortWithinPartitions("lang", "level", "code").write.parquet(path)
+    order = ["lang", "level", "context", "char"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(path)
     return path
 
 
 class Arrays:
-    """A language's n-grams: for each level sorted codes, log10 probabilities and rests."""
+    """A language's n-grams: for each level sorted keys (index of the context in the level below
+    and last character), log10 probabilities and rests, not a number where there is none."""
 
     def __init__(self, levels: dict):
         self.levels = levels
-
-    def log_p(self, codes: np.ndarray) -> float:
-        """Sum of the log10 probabilities of the last classes of full-length codes."""
-        total, left = 0.0, codes
-        for k in range(ORDER, 0, -1):
-            known, log_p, _ = self.levels[k]
-            left = left & np.uint32((1 << BITS * k) - 1)
-            at = np.searchsorted(known, left)
-            at[at == len(known)] = 0
-            found = known[at] == left
-            found &= ~np.isnan(log_p[at])
-            total += float(log_p[at[found]].sum())
-            left = left[~found]
-            if not len(left):
-                return total
-            contexts, _, rest = self.levels[k - 1]
-            over = left >> np.uint32(BITS)
-            at = np.searchsorted(contexts, over)
-            at[at == len(contexts)] = 0
-            known_context = (contexts[at] == over) & ~np.isnan(rest[at])
-            total += float(rest[at[known_context]].sum())
-        return total + len(left) * float(np.log10(UNIFORM))
+        # the level of single characters by code point
+        self.single = np.full(START + 1, -1, np.int32)
+        keys = levels[1][0].astype(np.int64)
+        self.single[keys] = np.arange(len(keys))
+
+    def logs(self, symbols: np.ndarray) -> np.ndarray:
+        """log10 probabilities of the characters of a run from the ``ORDER``-th on."""
+        n = len(symbols) - ORDER + 1
+        found = self.single[symbols]            # the n-gram of k characters that ends at each place, or -1
+        total = np.full(n, np.log10(UNIFORM))
+        rest = self.levels[0][2]
+        total += rest[0] if len(rest) else 0.0
+        for k in range(1, ORDER + 1):
+            keys, log_p, rests = self.levels[k]
+            if k > 1:
+                at = np.flatnonzero(before[:-1] >= 0) + 1
+                asked = before[at - 1].astype(np.uint64) << np.uint64(BITS) | symbols[at]
+                spot = np.searchsorted(keys, asked)
+                spot[spot == len(keys)] = 0
+                found = np.full(len(symbols), -1, np.int32)
+                hit = keys[spot] == asked if len(keys) else np.zeros(len(at), bool)
+                found[at[hit]] = spot[hit]
+            own = found[ORDER - 1:]
+            known = np.flatnonzero(own >= 0)
+            p = log_p[own[known]]
+            known, p = known[~np.isnan(p)], p[~np.isnan(p)]
+            total[known] = p
+            if k < ORDER:                       # what this context leaves, where the next level knows no more
+                own = found[ORDER - 2:-1]
+                known = np.flatnonzero(own >= 0)
+                total[known] += np.nan_to_num(rests[own[known]])
+            before = found
+        return total
 
 
 @lru_cache(maxsize=1)
@@ -245,15 +252,18 @@ def load_model(path: str) -> dict:
     whole = pa.concat_tables([pq.read_table(f, filesystem=fs) for f in files])
     langs = whole["lang"].combine_chunks().dictionary_encode()
     of, level = langs.indices.to_numpy(), whole["level"].to_numpy()
-    code = whole["code"].to_numpy().astype(np.uint32)
+    context, char = whole["context"].to_numpy().astype(np.uint64), whole["char"].to_numpy().astype(np.uint64)
     log_p, rest = (whole[c].to_numpy(zero_copy_only=False).astype(np.float64) for c in ("log_p", "log_rest"))
     out = {}
     for i, lang in enumerate(langs.dictionary.to_pylist()):
-        levels = {}
+        levels, packed = {}, None
         for k in range(ORDER + 1):
             take = np.flatnonzero((of == i) & (level == k))
-            take = take[np.argsort(code[take], kind="stable")]
-            levels[k] = code[take], log_p[take], rest[take]
+            take = take[np.lexsort((char[take], context[take]))]
+            # every context is an n-gram of the level below, so its place there stands for it
+            within = np.searchsorted(packed, context[take]) if k > 1 else np.zeros(len(take), np.int64)
+            levels[k] = within.astype(np.uint64) << np.uint64(BITS) | char[take], log_p[take], rest[take] if k < ORDER else None
+            packed = context[take] << np.uint64(BITS) | char[take]
         out[lang] = Arrays(levels)
     return out
 
@@ -305,7 +315,7 @@ def measure(batches, path: str | None):
             text = text.as_py()
             found, log = models.get(lang), None
             if found is not None and text:
-                log = -sum(found.log_p(codes) for codes in gram_runs(text)) / len(text)
+                log = -sum(float(found.logs(symbols).sum()) for symbols in runs(text)) / len(text)
             rows.append((*base(text), log))
         columns = list(zip(*rows)) or [()] * 6
         yield pa.RecordBatch.from_arrays(

@@ -36,7 +36,7 @@ def slow_model(texts):
     """{level: {gram: p}} and {level: {context: rest}} by dictionaries."""
     full = Counter()
     for t in texts:
-        s = (Q.START,) * (Q.ORDER - 1) + tuple(int(x) for x in Q.classes(t))
+        s = (Q.START,) * (Q.ORDER - 1) + tuple(map(ord, t))
         full.update(s[k:k + Q.ORDER] for k in range(len(s) - Q.ORDER + 1))
     counts = {Q.ORDER: full}
     for k in range(Q.ORDER - 1, 0, -1):
@@ -57,7 +57,7 @@ def slow_model(texts):
 
 
 def slow_log_p(text, p, rests):
-    s = (Q.START,) * (Q.ORDER - 1) + tuple(int(x) for x in Q.classes(text))
+    s = (Q.START,) * (Q.ORDER - 1) + tuple(map(ord, text))
 
     def one(g):
         if not g:
@@ -88,12 +88,39 @@ def test_model_against_dictionaries(spark, short_stretches):
     p, rests = slow_model(texts)
     arrays = Q.load_model(path)["x"]
     for t in texts[:10] + ["never seen: QQ#", "a", "é" * 200]:
-        assert sum(map(arrays.log_p, Q.gram_runs(t))) == pytest.approx(slow_log_p(t, p, rests))
-    # every context's probabilities add up to one
-    for context in [(Q.START,) * 3, (0, 0, 1), (61, 61, 61)]:
-        codes = [np.array([sum(c << Q.BITS * (3 - k) for k, c in enumerate((*context, w)))], dtype=np.uint32)
-                 for w in range(Q.CLASSES - 1)]
-        assert sum(10 ** arrays.log_p(c) for c in codes) == pytest.approx(1)
+        assert sum(arrays.logs(s).sum() for s in Q.runs(t)) == pytest.approx(slow_log_p(t, p, rests))
+    # every context's probabilities add up to one over all code points
+    for context in [(Q.START,) * 3, tuple(map(ord, "aab")), tuple(map(ord, "QQ#"))]:
+        after = np.array([arrays.logs(np.array([*context, ord(w)], dtype=np.uint32))[0] for w in "abcé .\nQ"])
+        rest = 1 / Q.UNIFORM - 7            # the code points that no text has are alike
+        assert (10 ** after[:-1]).sum() + rest * 10 ** after[-1] == pytest.approx(1)
+
+
+def test_characters_are_told_apart(spark):
+    """Characters alike in kind (capitals, digits, letters far apart in Unicode) are not one symbol."""
+    rnd = random.Random(7)
+    texts = ["".join(rnd.choice("AB 12\u00e9\u4e00x") for _ in range(rnd.randrange(90))) for _ in range(40)]
+    path = Q.write_model(Q.model(spark.createDataFrame([("x", t) for t in texts], "lang string, text string")))
+    arrays = Q.load_model(path)["x"]
+    rate = lambda t: sum(a.sum() for a in map(arrays.logs, Q.runs(t)))
+    for known, other in (("AB", "CD"), ("12", "34"), ("\u00e9", "\u00fd"), ("\u4e00", "\u4e14"), (" x", "\tx")):
+        assert rate(known * 3) > rate(other * 3) + 1
+
+
+def test_more_characters_than_sixteen_bits(spark, short_stretches):
+    texts = ["".join(map(chr, range(k, k + 40_000))) for k in (0x10000, 0x20000, 0x100000)]
+    counts = Q.Counts()
+    for t in texts:
+        for symbols in Q.runs(t):
+            counts.add(symbols)
+    counts.settle()
+    context, char, n = counts.grams
+    want = Counter()
+    for t in texts:
+        points = (Q.START,) * 3 + tuple(map(ord, t))
+        want.update(zip(points, points[1:], points[2:], points[3:]))
+    got = {(int(c) >> 42, int(c) >> 21 & 0x1FFFFF, int(c) & 0x1FFFFF, int(w)): int(m) for c, w, m in zip(context, char, n)}
+    assert got == want
 
 
 def test_quality_of_documents(spark):
