@@ -1,4 +1,4 @@
-"""Connected components of a link table by repeated minimum labels and pointer jumping."""
+"""Connected components of a link table by least neighbours, pointer jumping and contraction."""
 
 from __future__ import annotations
 
@@ -11,25 +11,35 @@ from mise.llm.common import stored
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over (a, b) links, for nodes with links.
 
-    Each round takes the least label among a node's neighbours, then the label's own label,
-    so that the number of rounds grows with the logarithm of the longest chain. All sides of
-    a join are written tables or fresh exchanges, so AQE splits a node with very many links;
-    counts per node are partially aggregated.
+    Each round every node points to its least neighbour, if that is smaller; pointers are followed
+    to their ends by doubling and the links drawn together to links between the ends. So a round
+    reads only what the rounds before have left, not all links again. All sides of a join are
+    written tables, so AQE splits a node with very many links; counts per node are partially
+    aggregated.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stored(both.filter("a <> b").distinct(), "links")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(
-        F.col("a").alias("node"), F.least("a", "b").alias("component")), "labels")
+    edges = stored(links.filter("a <> b").select(*ordered(F.col("a"), F.col("b"))).distinct(), "links")
+    labels = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(
+        "node", F.col("node").alias("component")), "labels")
+    while not edges.isEmpty():
+        ends = pointer_ends(edges.groupBy("b").agg(F.min("a").alias("end")).select(F.col("b").alias("node"), "end"))
+        labels = stored(labels.join(ends.withColumnRenamed("node", "component"), "component", "left").select(
+            "node", F.coalesce("end", "component").alias("component")), "labels")
+        drawn = edges.join(ends.select(F.col("node").alias("b"), F.col("end").alias("y")), "b").join(
+            ends.select(F.col("node").alias("a"), F.col("end").alias("x")), "a", "left")
+        edges = stored(drawn.select(*ordered(F.coalesce("x", "a"), F.col("y"))).filter("a <> b").distinct(), "links")
+    return labels
+
+
+def pointer_ends(pointers: DataFrame) -> DataFrame:
+    """(node, end): the end of each chain of pointers (node, end) to smaller nodes."""
+    ends = stored(pointers, "pointers")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        closer = labels.join(near, "node").select(
-            "node", F.least("component", "near").alias("closer"), F.col("component").alias("before"))
-        jump = labels.select(F.col("node").alias("closer"), F.col("component").alias("further"))
-        labels = stored(closer.join(jump, "closer", "left").select(
-            "node", F.least("closer", "further").alias("component"), "before"), "labels")
-        if labels.filter("component <> before").isEmpty():
-            return labels.select("node", "component")
+        further = ends.select(F.col("node").alias("end"), F.col("end").alias("further"))
+        ends = stored(ends.join(further, "end", "left").select(
+            "node", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "pointers")
+        if ends.filter("moved").isEmpty():
+            return ends.drop("moved")
+        ends = ends.drop("moved")
 
 
 def ordered(x: F.Column, y: F.Column) -> list[F.Column]:

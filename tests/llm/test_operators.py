@@ -445,6 +445,31 @@ def test_contexts_reach_over_the_space(spark):
     assert same > turned + 1
 
 
+def test_windows_equal_units_and_parts_the_whole(monkeypatch):
+    """Windows are the units' bytes and contexts; parts score theirs as one trie of all does."""
+    rnd = random.Random(21)
+    texts = [[rnd.choice(["ab", "abc", "c", "bca", "é"]).encode() for _ in range(rnd.randrange(30))] for _ in range(40)]
+    held = [k % 5 == 0 for k in range(40)]
+    monkeypatch.setattr(ppm, "SLICE_BYTES", 100)
+    for order in (2, 6):
+        w, p = ppm.Windows(ppm.windows(texts, order), order), ppm.Positions([u for t in texts for u in ppm.units(t, order)], order)
+        assert (w.symbol == p.symbol).all() and (w.depth == p.depth).all()
+        assert all((x[p.depth >= k] == y[p.depth >= k]).all() for k, (x, y) in enumerate(zip(w.context, p.context)))
+        known = [t for t, h in zip(texts, held) if not h]
+        q = ppm.Positions([u for t in known for u in ppm.units(t, order)], order)
+        one = np.ones(len(q.symbol), np.int64)
+        counts = [ppm.summed(q.context[k][q.depth >= k], q.symbol[q.depth >= k], one[q.depth >= k]) for k in range(order + 1)]
+        whole = ppm.Trie(*(np.concatenate(x) for x in zip(*counts)))
+        short = tuple(np.concatenate(x) for x in zip(*counts[:ppm.SPLIT]))
+        blocks = [ppm.trained_windows(texts[k:k + 10], held[k:k + 10], order) for k in range(0, 40, 10)]
+        keys, n = ppm.different(*map(np.concatenate, zip(*blocks)))
+        part = ppm.part_of(keys, order, 7)
+        assert len(set(part)) > 1
+        for k in set(part):
+            own = keys[part == k]
+            assert np.allclose(ppm.window_scores(own, n[part == k], short, order), whole.log10(ppm.Windows(own, order)))
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark, empty):
     rows = ppm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
@@ -681,6 +706,23 @@ def test_keep_one(odd, empty):
     assert minhash.keep_one(empty).count() == 0 and minhash.near_duplicates(empty).count() == 0
 
 
+def test_rounds_read_only_links_that_are_left(spark, monkeypatch):
+    """A large group's links are read once, not again in every round."""
+    sizes, keep = [], components.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        if name == "links":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "stored", counted)
+    links = [(a, b) for a in range(20) for b in range(20, 120)] + [(k, k + 1) for k in range(1000, 1040)] + [(1020, 5)]
+    got = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == {k: 0 for k in [*range(120), *range(1000, 1041)]}
+    assert sizes[0] == len(links) and sizes[-1] == 0 and sum(sizes[1:]) < len(links) / 10
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (103, 101), (7, 3), (200, 200)]
     df = spark.createDataFrame(links, "a long, b long")
