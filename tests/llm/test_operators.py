@@ -10,7 +10,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -470,6 +472,39 @@ def test_windows_equal_units_and_parts_the_whole(monkeypatch):
             assert np.allclose(ppm.window_scores(own, n[part == k], short, order), whole.log10(ppm.Windows(own, order)))
 
 
+def test_words_are_sent_by_block_and_part(spark, sample):
+    """A block's words go as one row for each part, not a row for each word, and come back added up."""
+    texts = ppm.packed(sample.repartition(5))
+    own = [x for r in texts.collect() for x in ppm.unpacked(pa.RecordBatch.from_pylist([{k: bytes(v) if k == "z" else v for k, v in r.asDict().items()}]))]
+    sent = ppm.words_of_blocks(texts, ppm.ORDER, 3)
+    assert len(own) == 5 and sent.count() <= 5 * 3
+    words, said = Counter(), Counter()
+    for _, _, held, rows in own:
+        for t, h in zip(rows, held):
+            words.update({w: 0 for w in [*t, ppm.END]} if h else [*t, ppm.END])
+            said.update({x: 0 for x in ppm.phrases(t)} if h else ppm.phrases(t))
+    rows = sent.groupBy("part").applyInArrow(ppm.add_up, ppm.COUNTED).collect()
+    totals = np.array([r["totals"] for r in rows if r["block"] is None]).sum(axis=0).tolist()
+    some = [c for c in words.values() if c], [c for c in said.values() if c]
+    assert totals == [len(words), sum(some[0]), len(some[0]), some[0].count(1), sum(some[1]), some[1].count(1)]
+    unpacker = zstandard.ZstdDecompressor()
+    for block, _, _, texts_ in own:
+        keys, _ = ppm.placed(texts_)
+        counts = {r["part"]: ppm.spread(unpacker, bytes(r["counts"]), np.int64) for r in rows if r["block"] == block}
+        got = {keys[k]: int(x) for p, at in ppm.dealt(keys, 3) for k, x in zip(at, counts[p])}
+        want = {**words, **{k: said[x] for x, k in zip(said, ppm.phrase_keys(list(said)))}}
+        assert got == {k: want[k] for k in keys}
+
+
+def test_scores_over_the_space_do_not_depend_on_blocks(spark, odd):
+    rows = odd.select("doc_id", "text")
+    first, second = ([(r[0], *r[1:5], round(r[5], 6), round(r[6], 6)) for r in ppm.score(d, across=True).collect()]
+                     for d in (rows.repartition(1), rows.repartition(7)))
+    assert Counter(first) == Counter(second) and len(first) == len(odd_pairs())
+    counts = Counter(w for i, t in odd_pairs() if i is None or zlib.crc32(str(i).encode()) % 10 for w in [*(t or "").encode().lower().split(), b"\n"])
+    assert {r[4] for r in first} == {sum(counts.values())}
+
+
 def test_language_model_beats_its_base_on_held_out_texts(spark, empty):
     rows = ppm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
