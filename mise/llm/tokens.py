@@ -8,6 +8,9 @@ library cuts as well:
   piece before a space that follows a non-space character. The text is cut there. Python's
   white space includes all of Unicode's, so that a character which is no white space for
   Python is none for the library.
+  A piece that is not known yet is cut further: where a letter meets a punctuation mark or a newline,
+  and after a newline alone between two characters that are no white space. Pre-tokenisation has
+  no match over such a place and never looks back, so a word is encoded once, whatever follows it.
 * ``dropped``: the vocabulary drops white space, so any space or newline is a cut.
 
 Pieces repeat; their ids are remembered per worker in two generations of half of ``cache_bytes`` each:
@@ -34,6 +37,8 @@ SLICE = 200_000
 CALL_PIECES = 32
 CUT = re.compile(r"(?<=\S)(?= )")
 RUNS = re.compile(r"\s ")
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"
+INSIDE = re.compile(rf"(?<={LETTER})(?=[.,;:!?#$%&*\n])|(?<=\S\n)(?={LETTER})")
 
 _encoders: dict = {}
 
@@ -62,19 +67,28 @@ class Encoder:
 
     def know(self, pieces: set[str]) -> None:
         """All of the pieces are remembered in the young generation until ``forget``."""
-        young, old, missing = self.young, self.old, []
-        for w in pieces.difference(young):
-            ids = old.get(w)
-            if ids is None:
-                missing.append(w)
-            else:
-                young[w] = ids
-                self.held += ENTRY_BYTES + len(w) + len(ids)
-        for w, ids in self.fresh(missing):
-            young[w] = ids
-            self.held += ENTRY_BYTES + len(w) + len(ids)
-            if len(w) > LONGEST_KEPT:
-                self.long.append(w)
+        missing = self.recalled(pieces.difference(self.young))
+        if self.style != "spaced":
+            return self.learn(missing)
+        inside = {w: INSIDE.split(w) for w in missing if not w[1:].isalpha() and "<" not in w and INSIDE.search(w)}
+        self.learn(self.recalled(set(missing).difference(inside).union(*inside.values()).difference(self.young)))
+        get = self.young.__getitem__
+        self.remember(list(inside), [b"".join(map(get, parts)) for parts in inside.values()])
+
+    def recalled(self, pieces: set[str]) -> list[str]:
+        """Old pieces become young again; those that are not remembered at all are returned."""
+        found = [w for w in pieces if w in self.old]
+        self.remember(found, [self.old[w] for w in found])
+        return list(pieces.difference(found))
+
+    def remember(self, pieces: list[str], ids: list[bytes]) -> None:
+        self.young.update(zip(pieces, ids, strict=True))
+        self.held += ENTRY_BYTES * len(pieces) + sum(map(len, pieces)) + sum(map(len, ids))
+        self.long += [w for w in pieces if len(w) > LONGEST_KEPT]
+
+    def learn(self, pieces: list[str]) -> None:
+        for part, ids in self.fresh(pieces):
+            self.remember(part, ids)
 
     def forget(self) -> None:
         for w in self.long:
@@ -84,21 +98,20 @@ class Encoder:
             self.old, self.young, self.held = self.young, {}, 0
 
     def fresh(self, pieces: list[str]):
-        """(piece, ids) of pieces by the library."""
+        """(some pieces, ids of each) by the library."""
         plain = [w for w in pieces if "<" not in w and self.stop is not None]
         for k in range(0, len(plain), CALL_PIECES):
             part = plain[k:k + CALL_PIECES]
             text, stop = self.stop
             ids = np.array(self.tok.encode_batch_fast([text.join(part)], add_special_tokens=False)[0].ids, dtype=self.width)
-            data, size, at = ids.tobytes(), ids.itemsize, 0
-            for w, end in zip(part, [*(np.flatnonzero(ids == stop) * size).tolist(), len(data)], strict=True):
-                yield w, data[at:end]
-                at = end + size
+            data, size = ids.tobytes(), ids.itemsize
+            ends = [*(np.flatnonzero(ids == stop) * size).tolist(), len(data)]
+            yield part, [data[at:end] for at, end in zip([0, *(x + size for x in ends[:-1])], ends)]
         rest = pieces if self.stop is None else [w for w in pieces if "<" in w]
         for k in range(0, len(rest), CALL_PIECES):
             part = rest[k:k + CALL_PIECES]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                yield w, np.array(e.ids, dtype=self.width).tobytes()
+            yield part, [np.array(e.ids, dtype=self.width).tobytes()
+                         for e in self.tok.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(self, texts: list[str], end: int | None = None) -> list[np.ndarray]:
         """Ids of each text, in the narrowest little-endian width, ``end`` put after each."""

@@ -777,6 +777,24 @@ def test_piecewise_ids_equal_whole_ids(name, style):
     texts += ["".join(rnd.choice("ab1!' \n\t\x1c\x85\xa0é́▁") for _ in range(rnd.randrange(200))) for _ in range(300)]
     texts += ["", " ", "  ", "a  b   c", " it's  <|endoftext|> we'll", "Á b́", "ΑΣ ΑΣ.", "x  y  z"]
     assert [list(x) for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    # a bound that is met at once: what is forgotten is encoded again
+    enc.cache_bytes = 1
+    assert all(list(enc.encode([t])[0]) == tok.encode(t, add_special_tokens=False).ids for t in texts) and not enc.long
+
+
+def test_words_are_encoded_once_whatever_follows_them():
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, enc, asked = Tokenizer.from_file(path), tokens.Encoder(path, "spaced"), []
+    fresh = enc.fresh
+    enc.fresh = lambda pieces: asked.extend(pieces) or fresh(pieces)
+    text = "x wordone wordone. wordone, wordone;\nwordone\nÉtés Étés. wordone's wordone.$$ wordone\n\nwordone \n wordone" + "y" * 70 + ".\nend"
+    assert list(enc.encode([text])[0]) == tok.encode(text, add_special_tokens=False).ids
+    assert asked.count(" wordone") == 1 and not [w for w in asked if w.startswith(" wordone") and w[8:9] in set(".,;\n")]
+    assert not enc.long and all(len(w) <= tokens.LONGEST_KEPT for w in enc.young)
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("abÉ1²²'s.,!#\n\n \t\r\u0301\u4e00<|>_-") for _ in range(rnd.randrange(120))) for _ in range(3000)]
+    assert [list(x) for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def whole_ids(pairs, name, end):
