@@ -80,6 +80,27 @@ def test_counts_of_words_and_lines(short_stretches):
         assert Q.base(t or "") == slow_base(t)
 
 
+def test_words_are_cut_at_their_blanks_only(short_stretches):
+    rnd = random.Random(8)
+    for n in [0, 1, 3, *range(5, 120, 5)]:
+        text = "".join(rnd.choice("aé\u4e00\U0001f600 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u2028") for _ in range(n))
+        assert Q.base(text) == slow_base(text)
+
+
+def test_keys_are_found_in_a_few_looks():
+    """Lookups are by hash, not by a search over all sorted keys."""
+    rnd = np.random.default_rng(9)
+    for keys in (np.empty(0, np.uint64), np.arange(1, dtype=np.uint64), np.arange(70_000, dtype=np.uint64) << np.uint64(21),
+                 np.unique(rnd.integers(0, 1 << 52, 50_000).astype(np.uint64)), np.arange(3000, dtype=np.uint64) * np.uint64(1 << 40)):
+        places = Q.Places(keys)
+        asked = np.concatenate([keys, keys + np.uint64(1), rnd.integers(0, 1 << 63, 1000).astype(np.uint64), [np.uint64(0)]])
+        want = {int(k): i for i, k in enumerate(keys)}
+        assert places.find(asked).tolist() == [want.get(int(k), -1) for k in asked]
+        # as many looks at slots as the longest run of taken ones allows
+        taken = np.flatnonzero(np.diff(np.concatenate([[0], (places.slots >= 0), [0]])))
+        assert len(keys) == 0 or (places.slots >= 0).mean() <= 0.5 and (taken[1::2] - taken[::2]).max() < 200
+
+
 def test_model_against_dictionaries(spark, short_stretches):
     rnd = random.Random(5)
     texts = ["".join(rnd.choice("aab cé.\n") for _ in range(rnd.randrange(90))) for _ in range(40)]
