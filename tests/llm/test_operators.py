@@ -5,6 +5,7 @@ import io
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -472,6 +473,50 @@ def test_windows_equal_units_and_parts_the_whole(monkeypatch):
             assert np.allclose(ppm.window_scores(own, n[part == k], short, order), whole.log10(ppm.Windows(own, order)))
 
 
+def test_a_block_is_placed_without_steps_for_each_word_or_text():
+    """Words and phrases stand where those of each text stand; a Python call is made for each phrase at most."""
+    rnd = random.Random(31)
+    some = [b"ab", b"c.", b"no!", "\u00e9?".encode(), b".", b"\x00", b"\xff\x00x", "\u00a0".encode(), b"a\x1fb"]
+    texts = [[rnd.choice(some) for _ in range(rnd.choice([0, 1, 2, 9, 40]))] for _ in range(300)]
+    block, calls = ppm.Texts.of(texts), Counter()
+    assert list(block) == texts and list(block[7:11]) == texts[7:11] and list(block[300:]) == []
+    assert list(block.chosen(np.arange(300) % 3 == 1)) == texts[1::3]
+    ppm.placed(block)       # what is imported at first use
+    before = sys.getprofile()
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        keys, (words, said, first, of_words, of_phrases) = ppm.placed(block)
+    finally:
+        sys.setprofile(before)
+    assert len(set(keys)) == len(keys)
+    assert [keys[k] for k in words] == [w for t in texts for w in [*t, ppm.END]]
+    assert [keys[k] for k in said] == [x for t in texts for x in ppm.phrase_keys(ppm.phrases(t))]
+    assert np.diff(first, append=len(words)).tolist() == [x for t in texts for x in ppm.phrase_sizes(ppm.phrases(t))]
+    assert np.diff(of_words, append=len(words)).tolist() == [len(t) + 1 for t in texts]
+    assert np.diff(of_phrases, append=len(said)).tolist() == [len(ppm.phrases(t)) for t in texts]
+    assert calls["c_call"] + calls["call"] < 2 * len(said) + 300
+    one = ppm.Texts.of([])
+    assert len(ppm.windows(one, 6)) == 0 and len(ppm.trained_windows(one, [], 6)[0]) == 0
+
+
+def test_windows_are_told_apart_whatever_their_hashes(monkeypatch):
+    rnd = random.Random(32)
+    texts = [[rnd.choice(["ab", "abc", "c", "\x00", "\u00e9"]).encode() for _ in range(rnd.randrange(30))] for _ in range(60)]
+    held = [k % 4 == 0 for k in range(60)]
+    for hash_ in (int(ppm.HASH), 1, 1 << 60, 0):
+        monkeypatch.setattr(ppm, "HASH", np.uint64(hash_))
+        for some in (texts, texts[:1], [[]]):
+            keys = ppm.windows(some, 6)
+            own, index = ppm.coded(keys)
+            assert (own[index] == keys).all() and set(own.tolist()) == set(keys.tolist())
+    assert len(ppm.coded(keys[:0])[0]) == 0
+    for which in (held, [True] * 60, [False] * 60):
+        want = Counter(ppm.windows(texts, 6).tolist())
+        want.subtract(ppm.windows([t for t, h in zip(texts, which) if h], 6).tolist())
+        got, n = ppm.trained_windows(texts, which, 6)
+        assert dict(zip(got.tolist(), n.tolist())) == want and (np.diff(got.astype(object)) > 0).all()
+
+
 def test_words_are_sent_by_block_and_part(spark, sample):
     """A block's words go as one row for each part, not a row for each word, and come back added up."""
     texts = ppm.packed(sample.repartition(5))
