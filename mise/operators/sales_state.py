@@ -54,7 +54,8 @@ class SalesState:
                                                          F.max("lost").alias("lost"), F.max("won").alias("won")).persist()
         try:
             touched = self.sums_table.touched(moves)
-            now = self.sums_table.read(batch_id, touched)
+            # sums that lost all their rows have no last day
+            now = self.sums_table.read(batch_id, touched).withColumn("d1", F.when(F.col("n") > 0, F.col("d1")))
             j = moves.join(now, keys, "left")
             moved = j.select(*keys, *(F.coalesce(c, F.lit(0)).alias(c) + F.col(f"d_{c}") for c in ADDED), "d1", "lost", "won")
             moved = moved.toDF(*keys, *ADDED, "d1", "lost", "won")

@@ -156,6 +156,15 @@ def test_stream_into_buckets_survives_a_lost_batch(spark, tmp):
 
 
 # ------------------------------------------------------------------- sums moved on
+def test_a_last_day_that_went_does_not_come_back(spark, tmp):
+    state = SalesState(spark, f"{tmp}/state", buckets=1)
+    late, early = dt.date(2024, 2, 10), dt.date(2023, 12, 23)       # both Saturdays
+    for batch, (day, n) in enumerate([(late, [3]), (late, []), (early, [2])]):
+        state.apply_days(spark.createDataFrame([(1, day, x) for x in n], "dish_id bigint, dia date, unidades bigint"),
+                         spark.createDataFrame([(day,)], "dia date"), batch)
+    assert rows(state.sums_table.read().filter("n > 0").select("n", "d1")) == [(1, early)]
+
+
 def test_kept_sums_equal_a_recompute(spark, tmp):
     rnd = random.Random(7)
     state, truth = SalesState(spark, f"{tmp}/state", buckets=3), {}
