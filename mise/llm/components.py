@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mise.llm.common import stored
+from mise.llm.common import apart, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -14,18 +14,18 @@ def components(links: DataFrame) -> DataFrame:
     Each round every node points to its least neighbour, if that is smaller; pointers are followed
     to their ends by doubling and the links drawn together to links between the ends. So a round
     reads only what the rounds before have left, not all links again. All sides of a join are
-    written tables, so AQE splits a node with very many links; counts per node are partially
-    aggregated.
+    written tables and none is broadcast, so AQE splits a node with very many links; counts per
+    node are partially aggregated.
     """
     edges = stored(links.filter("a <> b").select(*ordered(F.col("a"), F.col("b"))).distinct(), "links")
     labels = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(
         "node", F.col("node").alias("component")), "labels")
     while not edges.isEmpty():
         ends = pointer_ends(edges.groupBy("b").agg(F.min("a").alias("end")).select(F.col("b").alias("node"), "end"))
-        labels = stored(labels.join(ends.withColumnRenamed("node", "component"), "component", "left").select(
+        labels = stored(labels.join(apart(ends.withColumnRenamed("node", "component")), "component", "left").select(
             "node", F.coalesce("end", "component").alias("component")), "labels")
-        drawn = edges.join(ends.select(F.col("node").alias("b"), F.col("end").alias("y")), "b").join(
-            ends.select(F.col("node").alias("a"), F.col("end").alias("x")), "a", "left")
+        drawn = edges.join(apart(ends.select(F.col("node").alias("b"), F.col("end").alias("y"))), "b").join(
+            apart(ends.select(F.col("node").alias("a"), F.col("end").alias("x"))), "a", "left")
         edges = stored(drawn.select(*ordered(F.coalesce("x", "a"), F.col("y"))).filter("a <> b").distinct(), "links")
     return labels
 
@@ -35,7 +35,7 @@ def pointer_ends(pointers: DataFrame) -> DataFrame:
     ends = stored(pointers, "pointers")
     while True:
         further = ends.select(F.col("node").alias("end"), F.col("end").alias("further"))
-        ends = stored(ends.join(further, "end", "left").select(
+        ends = stored(ends.join(apart(further), "end", "left").select(
             "node", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "pointers")
         if ends.filter("moved").isEmpty():
             return ends.drop("moved")
@@ -59,7 +59,7 @@ def star_pairs(members: DataFrame, turn: int = 0, near=None) -> DataFrame:
     condition = F.col("component") != F.col("o_component")
     if near is not None:
         condition &= near(F.col, lambda c: F.col(f"o_{c}"))
-    return members.join(centres, "key").filter(condition).select(
+    return members.join(apart(centres), "key").filter(condition).select(
         *ordered(F.col("node"), F.col("o_node"))).distinct()
 
 
@@ -85,8 +85,8 @@ def cross_pairs(members: DataFrame, near=None) -> DataFrame:
 
 def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """The members of keys that hold several components, with their components over links."""
-    own = stored(members.drop("component").join(components(links), "node", "left").withColumn(
+    own = stored(members.drop("component").join(apart(components(links)), "node", "left").withColumn(
         "component", F.coalesce("component", "node")), "labelled")
     mixed = stored(own.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter(
         "least < most").select("key"), "mixed-keys")
-    return stored(own.join(mixed, "key", "left_semi"), "mixed-members")
+    return stored(own.join(apart(mixed), "key", "left_semi"), "mixed-members")

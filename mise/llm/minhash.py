@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mise.llm.common import id_text, partitions, ship, stored
+from mise.llm.common import apart, id_text, partitions, ship, stored
 from mise.llm.components import components, labelled, star_pairs
 
 BUCKETS = 128
@@ -222,7 +222,7 @@ def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"),
                                  F.col("registers").alias(f"registers_{c}"))
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(
+    sized = pairs.join(apart(side("a")), "a").join(apart(side("b")), "b").filter(
         F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
     return sized.mapInArrow(run, "a long, b long")
 
@@ -231,7 +231,7 @@ def likely_of_keys(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     """The pairs (a, b) of different components among the members of each key (at most ``SMALL``)
     that their sizes and the estimate leave possible. The sketches come to the members first,
     so that a pair that is no candidate never becomes a row."""
-    rows = members.join(sets.select("node", "n", "registers"), "node").select("key", "node", "component", "n", "registers")
+    rows = members.join(apart(sets.select("node", "n", "registers")), "node").select("key", "node", "component", "n", "registers")
 
     def compared(t: pa.Table) -> pa.RecordBatch:
         key, node, own, n = (t.column(c).to_numpy() for c in ("key", "node", "component", "n"))
@@ -271,8 +271,8 @@ def likely_of_keys(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
 
 def texts_of(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of one document of each class."""
-    reps = nodes.join(sets.select("node", "rep.d1", "rep.d2"), "node")
-    return identified(docs).select("d1", "d2", "text").join(reps, ["d1", "d2"]).select(
+    reps = nodes.join(apart(sets.select("node", "rep.d1", "rep.d2")), "node")
+    return identified(docs).select("d1", "d2", "text").join(apart(reps), ["d1", "d2"]).select(
         "node", "text").dropDuplicates(["node"])
 
 
@@ -290,23 +290,25 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(
+    return pairs.join(apart(side("a")), "a").join(apart(side("b")), "b").select("a", "b", "text_a", "text_b").mapInArrow(
         run, "a long, b long")
 
 
 def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) that join components among the members of large keys, by blocks of clusters."""
     centres = stored(members.groupBy("key").agg(F.min("node").alias("centre")), "cluster-centres")
-    edges = members.join(centres, "key").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    edges = members.join(apart(centres), "key").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     nodes = stored(components(edges).withColumnRenamed("component", "cluster").join(
-        members.select("node", "component").distinct(), "node"), "clusters")
+        apart(members.select("node", "component").distinct()), "node"), "clusters")
     sizes = stored(nodes.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cluster-sizes")
-    rows = nodes.join(sizes, "cluster").select(
-        "node", "component", "cluster", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = texts.join(stored(rows, "block-members"), "node").select(
-        "cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine",
-        "node", "component", "text")
+    rows = stored(nodes.join(apart(sizes), "cluster").select(
+        "node", "component", "cluster", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")),
+        "block-members")
+    # a row for each block it meets only after the text has come, once, to its node
+    rows = texts.join(apart(rows), "node").select(
+        "cluster", "component", "node", "text", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine",
+                       "node", "component", "text")
 
     def link(key, frame):
         i, j = key[1].as_py(), key[2].as_py()
@@ -345,17 +347,17 @@ def near_classes(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame,
         "node", F.monotonically_increasing_id()), "classes")
     bands = stored(banded(sets), "bands")
     common = stored(bands.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key"), "common-keys")
-    members = stored(bands.join(common, "key").select("key", "node", F.col("node").alias("component")), "members")
+    members = stored(bands.join(apart(common), "key").select("key", "node", F.col("node").alias("component")), "members")
     texts = stored(texts_of(docs, sets, members.select("node").distinct()), "member-texts")
     check = lambda pairs: stored(verified(stored(pairs, "likely"), texts, width, percent), "links")
     links = check(likely(star_pairs(members), sets, percent))
     mixed = labelled(members, links)
     large = stored(mixed.groupBy("key").agg(F.count("*").alias("m")).filter(F.col("m") > SMALL).select("key"), "large-keys")
-    small = stored(mixed.join(large, "key", "left_anti"), "small-members")
+    small = stored(mixed.join(apart(large), "key", "left_anti"), "small-members")
     links = links.unionByName(check(likely_of_keys(small, sets, percent)))
     links = links.unionByName(stored(block_links(
-        stored(mixed.join(large, "key", "left_semi"), "large-members"), texts, width, percent), "links"))
-    own = sets.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        stored(mixed.join(apart(large), "key", "left_semi"), "large-members"), texts, width, percent), "links"))
+    own = sets.join(apart(components(links)), "node", "left").withColumn("component", F.coalesce("component", "node"))
     return rows.drop("registers"), own.select("c1", "c2", "node", "component", "first_id", "rep")
 
 
@@ -364,8 +366,8 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     rows, own = near_classes(docs, width, percent)
     own = stored(own, "class-components")
     least = stored(own.groupBy("component").agg(F.min("first_id").alias("least")), "component-ids")
-    named = stored(own.join(least, "component").select("c1", "c2", F.col("least").alias("least")), "class-ids")
-    return rows.join(named, ["c1", "c2"], "left").select(
+    named = stored(own.join(apart(least), "component").select("c1", "c2", F.col("least").alias("least")), "class-ids")
+    return rows.join(apart(named), ["c1", "c2"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
@@ -382,5 +384,5 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     key = [F.xxhash64(F.lit(k), doc.isNull(), doc, text).alias(f"d{k}") for k in (1, 2)]
     whole = docs.select(F.struct("*").alias("row"))
     blank = F.btrim(text, F.lit(STRIPPED)) == ""
-    one = whole.filter(~blank).select("row", *key).join(keep, ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("row")
+    one = whole.filter(~blank).select("row", *key).join(apart(keep), ["d1", "d2"]).dropDuplicates(["d1", "d2"]).select("row")
     return one.unionByName(whole.filter(blank)).select("row.*")
