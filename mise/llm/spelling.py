@@ -8,7 +8,8 @@ stay. Two words within the distance share at least one of them, whichever parts
 (``REPLACE`` parts, two left out, for words of one length; ``INSERT`` parts, one left out,
 for lengths one apart). As an edit is either before or after the middle, each signature is
 refined by the half that stays as it is, which loses nothing and splits the signatures that
-very many words share. Words with equal signatures are joined and verified by edit distance.
+very many words share. Words with equal signatures are joined and verified by edit distance. The
+joins are by shuffle at every size: a table of words looks small before its signatures are made.
 
 Cases: null and empty texts have no words; a null id counts as an empty one; repeated rows
 count again; a text is read in stretches of ``STRETCH`` characters or more that end between
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mise.llm.common import id_text, ship, stored
+from mise.llm.common import apart, id_text, ship, stored
 
 #: Fixed values of the contract: letters of a word, and the share of runs that lose a letter.
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
@@ -162,8 +163,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
         return words.select("word", "n").mapInArrow(lambda b: sign(b, kind), f"key long, {name} string, {name}_n long")
 
     verified = F.levenshtein(F.col("x"), F.col("y"), 1) == 1
-    equal = side(0, "x").join(side(0, "y"), "key").filter((F.col("x") < F.col("y")) & verified)
-    longer = side(1, "x").join(side(2, "y"), "key").filter(verified)
+    equal = side(0, "x").join(apart(side(0, "y")), "key").filter((F.col("x") < F.col("y")) & verified)
+    longer = side(1, "x").join(apart(side(2, "y")), "key").filter(verified)
     both = F.array(F.struct(F.col("x").alias("word"), F.col("y").alias("near"), F.col("y_n").alias("near_n")),
                    F.struct(F.col("y").alias("word"), F.col("x").alias("near"), F.col("x_n").alias("near_n")))
     return equal.unionByName(longer).select(F.inline(both))
@@ -177,7 +178,7 @@ def roots(forms: DataFrame) -> DataFrame:
     up = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         over = up.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        further = up.join(over, "root", "left").select(
+        further = up.join(apart(over), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root"), F.col("further").isNotNull().alias("moved"))
         up = stored(further, "roots")
         if up.filter("moved").isEmpty():
@@ -195,9 +196,9 @@ def variants(docs: DataFrame, least_chars: int = 5, least_n: int = 3, times: int
     best = near.groupBy("word").agg(F.count("*").alias("n_near"),
                                     F.min(F.struct((-F.col("near_n")).alias("least"), "near")).alias("x"))
     takes = -F.col("x.least") >= times * F.col("n")
-    found = stored(words.join(best, "word", "left").select(
+    found = stored(words.join(apart(best), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(takes, F.col("x.near")).alias("form"),
         F.when(takes, -F.col("x.least")).alias("form_n")), "variants")
     ends = roots(found.filter("form IS NOT NULL"))
-    return found.join(ends, "word", "left").select(
+    return found.join(apart(ends), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -53,3 +53,14 @@ def test_near_duplicates_without_a_broadcast(spark, written):
     for rows, large in zip(blocks, members):
         assert rows.count() == large.select("node").distinct().count() > 0
         assert "other" not in rows.columns
+
+
+def test_spelling_variants_without_a_broadcast(spark, written):
+    words = "kitchen kitchan kitchens ingredient ingredents"
+    docs = spark.createDataFrame(rows_of([(i, "kitchen ingredient kitchens" if i % 3 else words) for i in range(60)]), SCHEMA)
+    got = spelling.variants(docs)
+    plans = [(name, plan) for name, _, plan in written] + [("result", plan_of(got))]
+    assert not broadcast(plans)
+    assert {"words", "variants", "roots"} <= {name for name, _ in plans}
+    forms = {r["word"]: r["form"] for r in got.collect()}
+    assert forms["kitchan"] == "kitchen" and forms["kitchen"] is None
